@@ -5,6 +5,12 @@ from pyspark.sql import functions as F
 # The currency codes accepted as they are.
 CURRENCIES = ["USD", "EUR", "GBP", "CAD", "AUD", "JPY"]
 
+# The characters that count as white space at the ends of a text.
+_WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _NUMBER = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
 _FLOAT_TEXT = rf"^({_NUMBER}|[+-]?(?i:inf|infinity|nan))$"
 
@@ -15,7 +21,7 @@ def _col(c):
 
 def strip(c):
     """Remove white space of every kind at both ends (`trim` removes blanks only)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(_WHITE_SPACE))
 
 
 def present(c):
@@ -55,7 +61,7 @@ def normalize_currency(c):
 def parse_float(c):
     """Text to double by the rules of a Python `float`; null when it is not a number."""
     text = strip(c)
-    digits = F.regexp_replace(text, "_", "")
+    digits = F.replace(text, F.lit("_"), F.lit(""))
     return F.when(text.rlike(_FLOAT_TEXT), digits.try_cast("double"))
 
 

@@ -84,10 +84,10 @@ def anomaly_flags(amount, purchase_order, date, vendor_average):
     )
 
 
-def anomaly_rules(df):
+def anomaly_rules(df, settle=True):
     """Add `rule_flags`; the vendor's average is over all invoices given."""
     return (
-        with_group_values(df, ["vendor_name"], _average=money_avg("total_amount"))
+        with_group_values(df, ["vendor_name"], settle, _average=money_avg("total_amount"))
         .withColumn(
             "rule_flags",
             anomaly_flags(

@@ -13,6 +13,8 @@ partially aggregated `groupBy`, and the rows are joined to them. Two details kee
 
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import materialize
+
 KEY = "_lookup_key"
 _SPREAD = "_lookup_spread"
 
@@ -25,15 +27,28 @@ def join_values(rows, key, values, how="left"):
     """
     left = rows.withColumn(KEY, key).withColumn(_SPREAD, F.xxhash64(KEY))
     right = values.withColumn(_SPREAD, F.xxhash64(KEY))
-    return left.join(right, [KEY, _SPREAD], how).drop(KEY, _SPREAD)
+    # The hash comes first: rows then sort by a number and compare structs only where it ties.
+    return left.join(right, [_SPREAD, KEY], how).drop(KEY, _SPREAD)
 
 
-def with_group_values(rows, keys, **aggregates):
-    """Add aggregates over all rows with the same key to every row."""
-    key = F.struct(*keys)
-    totals = (
-        rows.withColumn(KEY, key)
+def group_values(rows, keys, **aggregates):
+    """The aggregates per key, as `join_values` takes them."""
+    return (
+        rows.withColumn(KEY, F.struct(*keys))
         .groupBy(KEY)
         .agg(*[agg.alias(name) for name, agg in aggregates.items()])
     )
-    return join_values(rows, key, totals)
+
+
+def with_group_values(rows, keys, settle=False, **aggregates):
+    """Add aggregates over all rows with the same key to every row.
+
+    Left lazy, the join disappears when nobody uses the added columns, but Spark moves all rows
+    before it knows how many keys there are. With `settle` the per-key values are written to the
+    shared folder first and the join is planned from their real size: with few keys they are
+    broadcast and the rows stay where they are.
+    """
+    values = group_values(rows, keys, **aggregates)
+    if settle:
+        values = materialize(values, "group-values")
+    return join_values(rows, F.struct(*keys), values)

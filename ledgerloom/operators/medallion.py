@@ -70,7 +70,7 @@ def with_fiscal_period(df):
     )
 
 
-def with_vendor_totals(df):
+def with_vendor_totals(df, settle=False):
     """Count, sum and average of the vendor's invoices on every row.
 
     The same figures as three windows over `vendor_name_clean`, in a form that a vendor with a
@@ -79,6 +79,7 @@ def with_vendor_totals(df):
     return with_group_values(
         df,
         ["vendor_name_clean"],
+        settle,
         vendor_invoice_count=F.count("id"),
         vendor_total_spend=money_sum("total_amount"),
         vendor_avg_amount=money_avg("total_amount"),
@@ -104,6 +105,9 @@ def with_scores(df):
     )
 
 
-def silver(df):
-    """Bronze rows with fiscal period, vendor totals and scores."""
-    return with_scores(with_vendor_totals(with_fiscal_period(df)))
+def silver(df, settle=False):
+    """Bronze rows with fiscal period, vendor totals and scores.
+
+    Give `settle` when the bronze rows are a stored table and the vendor columns are wanted.
+    """
+    return with_scores(with_vendor_totals(with_fiscal_period(df), settle))

@@ -2,6 +2,9 @@
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import present, strip
@@ -23,7 +26,7 @@ HIT_COLUMNS = [
 ]
 
 # Query vectors per pass over the stored vectors.
-MAX_QUERY_VECTORS = 1000
+MAX_QUERY_VECTORS = 256
 
 
 def chunks_of(c, max_chars=CHUNK_CHARS):
@@ -138,47 +141,56 @@ def _hit_columns():
     return [snippet if c == "content" else F.col(c) for c in HIT_COLUMNS]
 
 
-def _dot(a, b):
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def cosine(a, b):
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
-
-
 def vector_topk(vectors, queries, k=TOP_HITS, id_column="id", vector_column="content_vector"):
-    """The `k` nearest vectors by cosine for each query, exact.
+    """The `k` nearest vectors by cosine for each query, exact; ties go to the smaller id.
 
-    `queries` maps a query id to a list of numbers. They travel as literals, `MAX_QUERY_VECTORS` at
-    a time. Every task keeps `k` rows per query before the shuffle.
+    `queries` maps a query id to a list of numbers, all of one width. Vectors that have no cosine
+    with them (another width, a null element, length zero) are not ranked. Queries go out with the
+    tasks, `MAX_QUERY_VECTORS` at a time.
     """
     queries = list(queries.items())
     blocks = [
         queries[i : i + MAX_QUERY_VECTORS] for i in range(0, len(queries), MAX_QUERY_VECTORS)
     ]
-    return reduce(
-        lambda a, b: a.unionByName(b),
-        [_topk_of_block(vectors, block, k, id_column, vector_column) for block in blocks],
-    )
-
-
-def _topk_of_block(vectors, block, k, id_column, vector_column):
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(query_id).alias("query_id"),
-                F.array(*[F.lit(float(x)) for x in vector]).alias("vector"),
-            )
-            for query_id, vector in block
-        ]
-    )
-    scored = vectors.select(
-        F.col(id_column).alias("id"), F.col(vector_column).alias("_v"), F.explode(asked).alias("_q")
-    ).select(
-        F.col("_q.query_id").alias("query_id"),
-        "id",
-        F.round(cosine(F.col("_q.vector"), F.col("_v")), 6).alias("score"),
+    found = [_nearest(vectors, block, k, id_column, vector_column) for block in blocks]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _nearest(vectors, block, k, id_column, vector_column):
+    """Every batch of vectors is scored against all queries by one matrix product and keeps the
+    best `k` of each query, so the shuffle that ranks them moves few rows."""
+    matrix = np.array([vector for _, vector in block], dtype="float64")
+    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    width = matrix.shape[1]
+    vector = F.col(vector_column)
+    whole = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    rows = vectors.filter(whole).select(F.col(id_column).alias("id"), vector.alias("vector"))
+
+    def best_of(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pandas()
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            values = values.reshape(-1, width).astype("float64")
+            lengths = np.linalg.norm(values, axis=1)
+            usable = lengths > 0
+            ids = ids[usable]
+            scores = np.round((values[usable] / lengths[usable, None]) @ matrix.T, 6)
+            for query in range(len(matrix)):
+                scored = pd.DataFrame({"id": ids, "score": scores[:, query]})
+                best = scored.sort_values(["score", "id"], ascending=[False, True]).head(k)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(best), query, dtype="int32")),
+                        pa.array(best["id"], type=batch.schema.field(0).type),
+                        pa.array(best["score"].to_numpy()),
+                    ],
+                    names=["query", "id", "score"],
+                )
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    best = rows.mapInArrow(best_of, f"query int, id {id_type}, score double")
+    query_ids = F.array(*[F.lit(query_id) for query_id, _ in block])
+    ranked = first_n_per_key(best, ["query"], [F.desc("score"), F.col("id")], k)
+    return ranked.select(
+        F.element_at(query_ids, F.col("query") + 1).alias("query_id"), "id", "score", "rank"
     )
-    order = [F.col("score").desc_nulls_last(), F.col("id")]
-    return first_n_per_key(scored, ["query_id"], order, k)

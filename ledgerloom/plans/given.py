@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.intake import CREATED_EVENT, subject_prefix
 from ledgerloom.functions.money import money_sum
 from ledgerloom.schemas import INVOICE, SPEND_CATEGORIES
+from ledgerloom.sources.tables import spread
 
 CONTAINER = "uploads"
 
@@ -62,11 +63,14 @@ def _line_items(k, total):
     return F.slice(items, F.lit(1), n)
 
 
-def invoices(spark, sf_dir, *columns):
-    """The invoice records with the given columns, all of them when none is given."""
+def invoices(spark, sf_dir, *columns, copies=True):
+    """The invoice records with the given columns, all of them when none is given.
+
+    Some records have an exact copy, some a near copy stored the next day, unless `copies` is off.
+    """
     wanted = list(columns) or INVOICE.names
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders")
+    rows = spread(table(spark, sf_dir, "orders"), "o_orderkey")
 
     if {"vendor_name", "subtotal", "total_tax"} & set(wanted):
         lines = table(spark, sf_dir, "lineitem")
@@ -95,11 +99,9 @@ def invoices(spark, sf_dir, *columns):
         )
         rows = rows.join(texts, "o_orderkey", "left")
 
-    # 0 is the record itself, 1 an exact copy, 2 a near copy stored the next day.
-    copies = F.array_compact(
-        F.array(F.lit(0), F.when(k % 150 == 0, F.lit(1)), F.when(k % 40 == 7, F.lit(2)))
-    )
-    rows = rows.withColumn("_copy", F.explode(copies))
+    # 0 is the record itself, 1 an exact copy, 2 a near copy.
+    which = F.array(F.lit(0), F.when(k % 150 == 0, F.lit(1)), F.when(k % 40 == 7, F.lit(2)))
+    rows = rows.withColumn("_copy", F.explode(F.array_compact(which)) if copies else F.lit(0))
 
     day = F.col("o_orderdate").cast("date")
     key = k.cast("string")
@@ -204,7 +206,7 @@ def file_events(spark, sf_dir):
     subject = F.when(e % 16 == 15, F.lit("/other")).otherwise(
         F.concat(F.lit(subject_prefix(CONTAINER)), path)
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         e.cast("string").alias("id"),
         subject.alias("subject"),
         F.when(created, CREATED_EVENT)
@@ -373,7 +375,6 @@ def stored_results(spark, sf_dir):
     paths = file_events(spark, sf_dir).select(
         "id", blob_name("subject", F.col("data.url")).alias("blob_path")
     )
-    results = analysis_results(invoices(spark, sf_dir, *RESULT_COLUMNS)).select("id", "result")
     present = paths.filter(F.col("id").try_cast("bigint") % 13 != 0)
-    # Exact copies of an invoice give the same text, so one result per path remains.
-    return present.join(results, "id").groupBy("blob_path").agg(F.min("result").alias("result"))
+    records = invoices(spark, sf_dir, *RESULT_COLUMNS, copies=False).join(present, "id")
+    return analysis_results(records).select("blob_path", "result")

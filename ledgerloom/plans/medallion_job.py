@@ -6,23 +6,22 @@ from ledgerloom.sources.tables import read_table, write_table, zone_path
 
 
 def run_medallion(spark, invoices, base, fmt="parquet"):
-    """Rebuild every zone below `base` from the invoice records. Returns the tables' paths.
+    """Rebuild every zone below `base` from the invoice records.
 
-    Each zone is written once and read back by the next one, so a lost executor costs at most the
-    running stage's work and the gold tables read only the silver columns they use.
+    Returns path and row count of every table. Each zone is written once and read back by the next
+    one, so a lost executor costs at most the running stage's work and the gold tables read only the
+    silver columns they use.
     """
-    paths = {
-        "raw_invoices": zone_path(base, "landing", "raw_invoices"),
-        "invoices_bronze": zone_path(base, "bronze", "invoices_bronze"),
-        "invoices_silver": zone_path(base, "silver", "invoices_silver"),
-    }
-    write_table(with_audit_columns(invoices), paths["raw_invoices"], fmt)
-    raw = read_table(spark, paths["raw_invoices"], fmt)
-    write_table(bronze(raw), paths["invoices_bronze"], fmt)
-    clean = read_table(spark, paths["invoices_bronze"], fmt)
-    write_table(silver(clean), paths["invoices_silver"], fmt)
-    enriched = read_table(spark, paths["invoices_silver"], fmt)
+    done = {}
+
+    def store(zone, name, df):
+        path = zone_path(base, zone, name)
+        done[name] = (path, write_table(df, path, fmt))
+        return read_table(spark, path, fmt)
+
+    raw = store("landing", "raw_invoices", with_audit_columns(invoices))
+    clean = store("bronze", "invoices_bronze", bronze(raw))
+    enriched = store("silver", "invoices_silver", silver(clean, settle=True))
     for name, build in GOLD_TABLES.items():
-        paths[name] = zone_path(base, "gold", name)
-        write_table(build(enriched), paths[name], fmt)
-    return paths
+        store("gold", name, build(enriched))
+    return done

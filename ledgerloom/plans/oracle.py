@@ -424,7 +424,9 @@ FROM inv WHERE user_id = '{USER}' ORDER BY processed_at DESC, id LIMIT 10"""),
 SELECT id, vendor_name, total_amount, invoice_date, anomaly_flags, is_likely_duplicate,
   spend_category
 FROM inv WHERE user_id = '{USER}' AND flag_count > 0 ORDER BY processed_at DESC, id LIMIT 20"""),
-    "invoice_detail": _inv(f"SELECT {_INVOICE_FLAT}, notes FROM inv WHERE id = '1234'"),
+    "invoice_detail": _inv(f"""
+SELECT {_INVOICE_FLAT}, notes FROM inv
+WHERE user_id = '{USER}' AND id = (SELECT min(id) FROM inv WHERE user_id = '{USER}') LIMIT 1"""),
     "review_queue": _inv("""
 SELECT id, user_id, spend_category, classification_confidence FROM inv
 WHERE classification_confidence < 0.9"""),

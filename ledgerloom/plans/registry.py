@@ -4,6 +4,9 @@ Each reads the given tables whole. Arrays and dates are shown as text so that re
 by value with the SQL statements in `oracle.py`.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import intake as intake_rules
@@ -124,12 +127,19 @@ SILVER_INPUT = [
 
 
 def _silver(spark, sf_dir):
+    """Silver in one plan; the vendor totals drop out where no column of theirs is used."""
     return medallion.silver(medallion.bronze(invoices(spark, sf_dir, *SILVER_INPUT)))
 
 
+def _stored_silver(spark, sf_dir):
+    """Silver from stored bronze, for queries that show vendor totals."""
+    clean = medallion.bronze(invoices(spark, sf_dir, *SILVER_INPUT))
+    return medallion.silver(tables.materialize(clean, "bronze"), settle=True)
+
+
 @query
 def silver(spark, sf_dir):
-    return _silver(spark, sf_dir).select(
+    return _stored_silver(spark, sf_dir).select(
         "id",
         "vendor_name_clean",
         "fiscal_year",
@@ -144,7 +154,7 @@ def silver(spark, sf_dir):
 
 @query
 def silver_vendor_window(spark, sf_dir):
-    return _silver(spark, sf_dir).select(
+    return _stored_silver(spark, sf_dir).select(
         "id",
         "vendor_name_clean",
         "vendor_invoice_count",
@@ -172,26 +182,26 @@ def monthly_trend(spark, sf_dir):
 
 @query
 def anomaly_summary(spark, sf_dir):
-    result = gold.anomaly_summary(_silver(spark, sf_dir))
-    return result.withColumn("invoice_date_parsed", F.col("invoice_date_parsed").cast("string")).withColumn(
-        "anomaly_flags", F.array_join("anomaly_flags", ",")
+    result = gold.anomaly_summary(_stored_silver(spark, sf_dir))
+    return result.withColumns(
+        {
+            "invoice_date_parsed": F.col("invoice_date_parsed").cast("string"),
+            "anomaly_flags": F.array_join("anomaly_flags", ","),
+        }
     )
 
 
 @query
 def medallion_batch(spark, sf_dir):
-    """The whole batch job, written zone by zone; one row per table with its row count."""
-    paths = run_medallion(spark, invoices(spark, sf_dir), work_path(spark, "zones"))
+    """The whole batch job, written zone by zone; one row per table with the rows it holds."""
+    done = run_medallion(spark, invoices(spark, sf_dir), work_path(spark, "zones"))
     counts = [
         tables.read_table(spark, path).agg(
             F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")
         )
-        for name, path in paths.items()
+        for name, (path, _) in done.items()
     ]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, counts)
 
 
 # Reports ------------------------------------------------------------------------------------------
@@ -268,17 +278,14 @@ def detect_anomalies(spark, sf_dir):
 
 @query
 def invoice_detail(spark, sf_dir):
+    """The user's invoice with the smallest id, in full."""
     columns = [c for c in INVOICE.names if c not in ("line_items", "tags", "raw_text")]
     rows = invoices(spark, sf_dir, *columns).withColumns({"_etag": F.lit("x"), "_ts": F.lit(1)})
-    found = reports.invoice_detail(rows, "1234", _owner_of_detail(spark, sf_dir))
+    ids = reports.of_user(invoices(spark, sf_dir, "id", "user_id"), USER)
+    found = reports.invoice_detail(rows, ids.agg(F.min("id")).scalar(), USER)
     return found.withColumn("anomaly_flags", F.array_join("anomaly_flags", ","))
 
 
-def _owner_of_detail(spark, sf_dir):
-    owner = invoices(spark, sf_dir, "id", "user_id").filter("id = '1234'").select("user_id")
-    return owner.limit(1).scalar()
-
-
 @query
 def review_queue(spark, sf_dir):
     rows = invoices(
@@ -370,7 +377,9 @@ def apply_deletes(spark, sf_dir):
 
 @query
 def chunk_text(spark, sf_dir):
-    texts = given.table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = tables.spread(
+        given.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
+    )
     return search.chunk_text(texts, "text").select(
         "doc_id",
         F.col("chunk_id").cast("bigint").alias("chunk_id"),

@@ -5,6 +5,7 @@ once its `_SUCCESS` marker is there, so a failed write leaves the table as it wa
 own transactions (`delta`, `iceberg`) are passed through and overwritten in place.
 """
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import INVOICE
@@ -38,16 +39,20 @@ def _versions(spark, path):
 
 
 def write_table(df, path, fmt="parquet", partition_by=()):
-    """Replace a table's content; the schema may change."""
+    """Replace a table's content; the schema may change. Returns the number of rows written,
+    counted by the write itself."""
     spark = df.sparkSession
-    writer = df.write.format(fmt).partitionBy(*partition_by)
+    counter = Observation()
+    counted = df.observe(counter, F.count(F.lit(1)).alias("rows"))
+    writer = counted.write.format(fmt).partitionBy(*partition_by)
     if fmt in OWN_TRANSACTIONS:
         writer.mode("overwrite").option("overwriteSchema", "true").save(path)
-        return
-    versions = _versions(spark, path)
-    version = versions[-1] + 1 if versions else 1
-    # A version without its marker is left from a failed write and may be replaced.
-    writer.mode("overwrite").save(f"{path}/v={version}")
+    else:
+        versions = _versions(spark, path)
+        version = versions[-1] + 1 if versions else 1
+        # A version without its marker is left from a failed write and may be replaced.
+        writer.mode("overwrite").save(f"{path}/v={version}")
+    return counter.get["rows"]
 
 
 def read_table(spark, path, fmt="parquet", schema=None):
@@ -80,6 +85,17 @@ def materialize(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df, *keys):
+    """Spread a small scan over all cores before work that is heavy per row.
+
+    A scan that already has a task per core, as any large table does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def write_index(documents, path):
     """Add search documents to the index folder, one sub-folder per spend category."""
     documents.write.mode("append").partitionBy("spend_category").parquet(path)

@@ -19,7 +19,6 @@ from ledgerloom.operators.extraction import (
     parse_classification,
 )
 from ledgerloom.operators.latest import first_per_key, row_hash
-from ledgerloom.operators.lookup import KEY, join_values
 from ledgerloom.operators.search import cut_stored_text
 from ledgerloom.schemas import INVOICE
 from ledgerloom.streaming.intake import from_queue
@@ -65,7 +64,9 @@ def extract_messages(messages, results, classify=by_rules, processed_at=None):
     message_columns = ["id", "user_id", "source", "blob_path", "correlation_id"]
     ids = messages.withColumn("id", stable_id("container_name", "blob_path"))
     once = first_per_key(ids, ["id"], [row_hash(ids)]).select(message_columns)
-    extracted = extract_fields(once.join(results, "blob_path", "left"))
+    # The results of other files fall away in the scan when the messages are few.
+    wanted = results.join(once.select("blob_path"), "blob_path", "left_semi")
+    extracted = extract_fields(once.join(wanted, "blob_path", "left"))
     now = utc_now_text() if processed_at is None else processed_at
     return classify(extracted.withColumn("processed_at", now))
 
@@ -123,8 +124,9 @@ def current_invoices(spark, store):
 def process_into(store, results, classify=by_rules, processed_at=None, stored_chars=None):
     """A `foreachBatch` function that processes queue rows into the store.
 
-    The classified batch is staged inside the store before the duplicate check, which reads it
-    several times, and removed afterwards.
+    Messages and classified rows of the batch are staged inside the store. So Spark knows how small
+    they are when it plans their joins with the store and the results, which then are only scanned,
+    and rows that several steps read are computed once.
     """
 
     def handle(batch, number):
@@ -134,18 +136,21 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         here = (F.col("run") == run) & (F.col("batch") == number)
         done = read_store(spark, store).filter(~here & (F.col("status") == "processed"))
 
-        messages = from_queue(batch)
-        ids = messages.withColumn("id", stable_id("container_name", "blob_path"))
-        known = done.select(F.struct("id").alias(KEY)).distinct()
-        fresh = join_values(ids, F.struct("id"), known, "left_anti").drop("id")
-        classified = extract_messages(fresh, results, classify, processed_at)
-
-        staging = f"{store}/_staging/{target}"
-        classified.write.mode("overwrite").parquet(staging)
-        staged = spark.read.schema(classified.schema).parquet(staging)
-        records = finish_records(staged, done, stored_chars)
+        def staged(df, name):
+            path = f"{store}/_staging/{target}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        messages = from_queue(batch).withColumn("id", stable_id("container_name", "blob_path"))
+        messages = staged(messages, "messages")
+        known = done.select("id").join(messages.select("id"), "id", "left_semi").distinct()
+        fresh = messages.join(known, "id", "left_anti").drop("id")
+        classified = staged(
+            extract_messages(fresh, results, classify, processed_at), "classified"
+        )
+        records = finish_records(classified, done, stored_chars)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
-        files, folder = _folder(spark, staging)
+        files, folder = _folder(spark, f"{store}/_staging/{target}")
         files.delete(folder, True)
 
     return handle
