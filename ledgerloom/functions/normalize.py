@@ -12,7 +12,8 @@ _WHITE_SPACE = (
 )
 
 _NUMBER = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
-_FLOAT_TEXT = rf"^({_NUMBER}|[+-]?(?i:inf|infinity|nan))$"
+_FLOAT_TEXT = rf"^({_NUMBER}|[+-]?(?i:inf|infinity))$"
+_NAN_TEXT = r"^[+-]?(?i:nan)$"
 
 
 def _col(c):
@@ -62,7 +63,9 @@ def parse_float(c):
     """Text to double by the rules of a Python `float`; null when it is not a number."""
     text = strip(c)
     digits = F.replace(text, F.lit("_"), F.lit(""))
-    return F.when(text.rlike(_FLOAT_TEXT), digits.try_cast("double"))
+    return F.when(text.rlike(_FLOAT_TEXT), digits.try_cast("double")).when(
+        text.rlike(_NAN_TEXT), F.lit(float("nan"))
+    )
 
 
 def document_id(*parts):

@@ -59,7 +59,8 @@ def by_replies(replies):
 def extract_messages(messages, results, classify=by_rules, processed_at=None):
     """Extracted and classified messages, one row per file; `extraction_failed` marks the rest.
 
-    `results` holds one JSON analysis result per `blob_path`.
+    `results` holds one JSON analysis result per `blob_path`. `processed_at` is a fixed ISO time for
+    the records instead of the current one.
     """
     message_columns = ["id", "user_id", "source", "blob_path", "correlation_id"]
     ids = messages.withColumn("id", stable_id("container_name", "blob_path"))
@@ -67,7 +68,7 @@ def extract_messages(messages, results, classify=by_rules, processed_at=None):
     # The results of other files fall away in the scan when the messages are few.
     wanted = results.join(once.select("blob_path"), "blob_path", "left_semi")
     extracted = extract_fields(once.join(wanted, "blob_path", "left"))
-    now = utc_now_text() if processed_at is None else processed_at
+    now = utc_now_text() if processed_at is None else F.lit(processed_at)
     return classify(extracted.withColumn("processed_at", now))
 
 

@@ -1,0 +1,171 @@
+"""Scalar rules on hand-written and generated values."""
+
+import math
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import display, intake, normalize
+from ledgerloom.functions.money import money_avg, money_sum
+
+
+def column(spark, values, dtype="string"):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {dtype}")
+
+
+def apply(spark, values, rule, dtype="string"):
+    rows = column(spark, values, dtype).select("i", rule(F.col("v")).alias("r")).collect()
+    return [row["r"] for row in sorted(rows, key=lambda row: row["i"])]
+
+
+def python_float(text):
+    try:
+        return None if text is None else float(text)
+    except ValueError:
+        return None
+
+
+def same(a, b):
+    if a is None or b is None:
+        return a is b
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
+NUMBERS = [
+    None, "", " ", "12", " 12.50\n", "1,234.56", "12d", "12f", "0x1F", "1e3", "-1.5E-3", "+7", ".5",
+    "5.", ".", "1_000", "1__0", "_1", "1_", "1_0.2_5e1_0", "inf", "-Infinity", "NaN", "+nan", "1 2",
+    "$5", "--5", "e5", " 12　", "1e400",
+]
+
+
+def test_parse_float_reads_what_python_reads(spark):
+    got = apply(spark, NUMBERS, normalize.parse_float)
+    for text, value in zip(NUMBERS, got, strict=True):
+        assert same(value, python_float(text)), text
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text("0123456789.eE+-_ dfx,", max_size=8), min_size=40, max_size=80))
+def test_parse_float_on_generated_text(spark, texts):
+    got = apply(spark, texts, normalize.parse_float)
+    assert all(same(v, python_float(t)) for t, v in zip(texts, got, strict=True))
+
+
+def test_float_text_prints_as_python_does(spark):
+    values = [
+        0.0, -0.0, 1.0, 1234.5, 1e7, 12345678.9, 999999999999.25, 1e15, 1.5e16, 1e16, 0.001, 0.0005,
+        0.0001, 0.00001, 1.5e-7, -2.5, 1e22, 1.25e300, float("inf"), float("-inf"), float("nan"),
+    ]
+    got = apply(spark, [*values, None], normalize.float_text, "double")
+    assert got == [repr(v) for v in values] + ["None"]
+
+
+def test_currency_rules(spark):
+    raw = [None, "", "usd", " eur\t", "GBP", "xyz", " jpy\n"]
+    assert apply(spark, raw, normalize.normalize_currency) == [
+        "USD", "USD", "USD", "EUR", "GBP", "USD", "JPY",
+    ]
+    # Bronze knows no list of codes and strips nothing.
+    assert apply(spark, raw[:6], normalize.currency_or_usd) == [
+        "USD", "", "USD", " EUR\t", "GBP", "XYZ",
+    ]
+
+
+def test_dates_and_vendors(spark):
+    dates = apply(spark, [None, "", "Jan 5", "2024-1-5", "2024-02-30", "2024-02-29"],
+                  lambda c: normalize.iso_date(c).cast("string"))
+    assert dates == [None, None, None, None, None, "2024-02-29"]
+    stamps = apply(spark, [None, "", "x", "2024-01-02T03:04:05+00:00"],
+                   lambda c: normalize.iso_timestamp(c).cast("string"))
+    assert stamps == [None, None, None, "2024-01-02 03:04:05"]
+    vendors = apply(spark, [None, "  acme ", "\tacme"], normalize.clean_vendor)
+    assert vendors == [None, "ACME", "\tACME"]
+
+
+def test_document_id(spark):
+    row = spark.sql("select 'a b' a, cast(null as string) b, 'c/d.e-f_g' c")
+    got = row.select(normalize.document_id("a", "b", "c")).first()[0]
+    assert got == "a_b|c_d.e-f_g"
+
+
+PREFIX = "/blobServices/default/containers/uploads/blobs/"
+
+
+def test_blob_names(spark):
+    rows = spark.createDataFrame(
+        [
+            (PREFIX + "u/1/a.pdf", None),
+            (PREFIX + "u/blobs/a.pdf", None),
+            ("/other", "https://x/blobs/u/1/b.pdf"),
+            (PREFIX, "https://x/blobs/u/1/b.pdf"),
+            ("/other", "https://x/y"),
+            (None, None),
+            (PREFIX + "u/1/a\nb.pdf", None),
+        ],
+        "subject string, url string",
+    )
+    names = [r[0] for r in rows.select(intake.blob_name("subject", "url")).collect()]
+    assert names == [
+        "u/1/a.pdf", "u/blobs/a.pdf", "u/1/b.pdf", "", None, None, "u/1/a\nb.pdf",
+    ]
+
+
+def test_blob_paths(spark):
+    paths = ["u1/up/a.pdf", "email/m1/a.pdf", "u1/a.pdf", "a.pdf", "u1/up/sub/a.pdf", "email/a", ""]
+    assert apply(spark, paths, intake.path_source) == [
+        "upload", "email", "unknown", "unknown", "upload", "unknown", "unknown",
+    ]
+    assert apply(spark, paths, intake.path_user) == [
+        "u1", "email", "unknown", "unknown", "u1", "unknown", "unknown",
+    ]
+    assert apply(spark, paths, intake.path_upload_id) == ["up", "m1", "", "", "up", "", ""]
+
+
+def test_supported_files(spark):
+    names = ["a.pdf", "a.PDF", "a.tar.TIF", "a.docx", "pdf", ".pdf", "a.", "", None, "a.jpeg"]
+    assert apply(spark, names, intake.is_supported_file) == [
+        True, True, True, False, False, True, False, False, False, True,
+    ]
+
+
+def test_uploads(spark):
+    rows = spark.createDataFrame(
+        [
+            ("application/pdf", 26214400),
+            ("application/pdf", 26214401),
+            ("text/plain", 1),
+            (None, 1),
+            ("image/png", None),
+        ],
+        "t string, n long",
+    )
+    got = [r[0] for r in rows.select(intake.is_accepted_upload("t", "n")).collect()]
+    assert got == [True, False, False, False, False]
+
+
+def test_display(spark):
+    amounts = [1234.5, 0.0, 1234.567, 1234.5678, -5.0, 1e6, None]
+    assert apply(spark, amounts, display.money_text, "double") == [
+        "$1,234.50", "$0.00", "$1,234.567", "$1,234.568", "$-5.00", "$1,000,000.00", "--",
+    ]
+    assert apply(spark, [0.0, 0.987, 1.0, None, 0.005], display.percent_text, "double") == [
+        "0%", "99%", "100%", "0%", "1%",
+    ]
+    flags = [None, [], ["a"], ["a", "b"]]
+    assert apply(spark, flags, display.flag_label, "array<string>") == [
+        "", "", "1 flag", "2 flags",
+    ]
+
+
+def test_money_sum_is_exact_and_keeps_odd_amounts(spark):
+    tenths = column(spark, [0.1] * 10, "double")
+    assert tenths.select(money_sum("v")).first()[0] == 1.0
+    assert tenths.select(money_avg("v")).first()[0] == 0.1
+    huge = column(spark, [1e300, 5.0, None], "double")
+    assert huge.select(money_sum("v")).first()[0] == 1e300 + 5.0
+    assert huge.select(money_avg("v")).first()[0] == (1e300 + 5.0) / 2
+    nothing = column(spark, [None, None], "double")
+    assert nothing.select(money_sum("v"), money_avg("v")).first() == (None, None)
+    odd = column(spark, [float("nan"), 1.0], "double")
+    assert math.isnan(odd.select(money_sum("v")).first()[0])
