@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import present
 from ledgerloom.operators.latest import first_n_per_key
-from ledgerloom.operators.lookup import KEY, join_values
+from ledgerloom.operators.lookup import GROUP, HASH, KEY, join_values, keyed
 
 POTENTIAL_DUPLICATE = "potential_duplicate"
 
@@ -30,7 +30,7 @@ def _pool(new, stored, columns):
     pool = new.select(*columns, F.lit(1).alias("_arrival"))
     if stored is None:
         return pool
-    vendors = new.select(F.struct("vendor_name").alias(KEY)).distinct()
+    vendors = keyed(new, F.struct("vendor_name")).select(*GROUP).distinct()
     same = join_values(stored.select(columns), F.struct("vendor_name"), vendors, "left_semi")
     return pool.unionByName(same.withColumn("_arrival", F.lit(0)))
 
@@ -69,8 +69,10 @@ def _filed(df, *carried):
             _key(False, False),
         )
     )
-    return df.filter(present("vendor_name")).select(
-        _order().alias("_order"), *carried, F.explode(keys).alias(KEY)
+    return (
+        df.filter(present("vendor_name"))
+        .select(_order().alias("_order"), *carried, F.explode(keys).alias(KEY))
+        .withColumn(HASH, F.xxhash64(KEY))
     )
 
 
@@ -80,7 +82,7 @@ def mark_duplicates(new, stored=None):
     They are compared with the stored invoices, if given, and with each other in order.
     """
     pool = _pool(new, stored, _MATCHED)
-    first = _filed(pool).groupBy(KEY).agg(F.min("_order").alias("_first"))
+    first = _filed(pool).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
     earlier = F.col("_first") < _order()
     return (
         join_values(new.withColumn("_arrival", F.lit(1)), _asked_key(), first)
@@ -119,8 +121,8 @@ def duplicate_matches(new, stored=None, limit=5):
         pool, F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
     )
     first = (
-        first_n_per_key(filed, [KEY], ["_order", "_shown"], limit)
-        .groupBy(KEY)
+        first_n_per_key(filed, GROUP, ["_order", "_shown"], limit)
+        .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_list(F.struct("_order", "_shown"))).alias("_first"))
     )
     asking = new.select(*_MATCHED, F.lit(1).alias("_arrival"))

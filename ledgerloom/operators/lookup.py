@@ -1,14 +1,17 @@
 """Joining rows to per-key values when one key may hold a large part of all rows.
 
 A window over the key would put a hot key's rows into one task. Here the per-key values come from a
-partially aggregated `groupBy`, and the rows are joined to them. Two details keep that join even:
+partially aggregated `groupBy`, and the rows are joined to them. Three details keep that even and
+cheap:
 
 * The key is a struct, so null keys meet null keys by plain equality.
-* A hash of the key is a second join column. The aggregated side is already partitioned by the key
-  alone, which would let Spark join without an exchange; the skew rule of adaptive execution only
-  splits partitions it reads straight from an exchange. With the extra column Spark plans its own
-  exchange on both sides, so a hot partition of the rows is split over many tasks (or the small side
-  is broadcast at run time, once its measured size allows it).
+* A hash of the key goes before it in groupings and joins. Rows then sort by a number, and structs
+  are compared only where it ties.
+* The join has one column more than the grouping. Values grouped by the same columns are already
+  partitioned for the join, and Spark would join them without an exchange; the skew rule of adaptive
+  execution only splits partitions it reads straight from an exchange. With the extra column Spark
+  plans its own exchange on both sides, so a hot partition of the rows is split over many tasks (or
+  the small side is broadcast at run time, once its measured size allows it).
 """
 
 from pyspark.sql import functions as F
@@ -16,28 +19,31 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.tables import materialize
 
 KEY = "_lookup_key"
-_SPREAD = "_lookup_spread"
+HASH = "_lookup_hash"
+GROUP = [HASH, KEY]
+_SPLIT = "_lookup_split"
+
+
+def keyed(rows, key):
+    """Add the columns of `GROUP` for a struct column over the rows."""
+    return rows.withColumn(KEY, key).withColumn(HASH, F.xxhash64(KEY))
 
 
 def join_values(rows, key, values, how="left"):
     """Join rows to a table with one row per key.
 
-    `key` is a struct column over the rows; `values` holds the same struct in column `KEY`, unique,
-    and any number of value columns.
+    `key` is a struct column over the rows; `values` holds the columns of `GROUP` for the same
+    struct, unique, and any number of value columns.
     """
-    left = rows.withColumn(KEY, key).withColumn(_SPREAD, F.xxhash64(KEY))
-    right = values.withColumn(_SPREAD, F.xxhash64(KEY))
-    # The hash comes first: rows then sort by a number and compare structs only where it ties.
-    return left.join(right, [_SPREAD, KEY], how).drop(KEY, _SPREAD)
+    left = keyed(rows, key).withColumn(_SPLIT, F.pmod(HASH, F.lit(1024)))
+    right = values.withColumn(_SPLIT, F.pmod(HASH, F.lit(1024)))
+    return left.join(right, [*GROUP, _SPLIT], how).drop(*GROUP, _SPLIT)
 
 
 def group_values(rows, keys, **aggregates):
     """The aggregates per key, as `join_values` takes them."""
-    return (
-        rows.withColumn(KEY, F.struct(*keys))
-        .groupBy(KEY)
-        .agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    )
+    aggregates = [agg.alias(name) for name, agg in aggregates.items()]
+    return keyed(rows, F.struct(*keys)).groupBy(*GROUP).agg(*aggregates)
 
 
 def with_group_values(rows, keys, settle=False, **aggregates):

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.latest import first_per_key, row_hash
-from ledgerloom.operators.lookup import KEY, join_values
+from ledgerloom.operators.lookup import GROUP, join_values, keyed
 
 KEYS = ["user_id", "id"]
 
@@ -45,7 +45,7 @@ def changes_per_key(changes, columns, sequence):
             F.max_by(F.struct(c), newest).alias(f"_{c}"),
             F.max(given[c]).alias(f"_{c}_given"),
         ]
-    return changes.withColumn(KEY, F.struct(*KEYS)).groupBy(KEY).agg(*folded)
+    return keyed(changes, F.struct(*KEYS)).groupBy(*GROUP).agg(*folded)
 
 
 def apply_updates(stored, changes, columns=None, sequence=None):
@@ -78,7 +78,7 @@ def apply_page_edits(stored, edits, sequence=None):
 
 def apply_deletes(stored, keys):
     """Invoices without those whose user and id are listed."""
-    listed = keys.select(F.struct(*KEYS).alias(KEY)).distinct()
+    listed = keyed(keys, F.struct(*KEYS)).select(*GROUP).distinct()
     return join_values(stored, F.struct(*KEYS), listed, "left_anti")
 
 

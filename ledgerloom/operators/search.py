@@ -133,7 +133,7 @@ def search_invoices(documents, query, top=TOP_HITS):
 
 
 def _count_of(word):
-    return F.size(F.filter("_words", lambda w: w == word))
+    return F.size("_words") - F.size(F.array_remove("_words", word))
 
 
 def _hit_columns():

@@ -38,6 +38,16 @@ def shared_dir(spark):
     return configured.rstrip("/")
 
 
+def _work_folder(spark):
+    return f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark, name):
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in the application's own sub-folder."""
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark):
+    """Delete what this application wrote to the shared folder. Results read from it are gone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.intake import content_type_of, is_accepted_upload, upload_path
+from ledgerloom.functions.intake import (
+    content_type_of,
+    extension,
+    is_accepted_upload,
+    upload_path,
+)
 
 
 def read_files(spark, path, glob="*"):
@@ -51,5 +56,5 @@ def filter_attachments(files, allowed_senders=(), blocked_senders=(), allowed_ty
         rows = rows.filter(~sender.isin([s.lower() for s in blocked_senders]))
     if allowed_types:
         kinds = [t.lower().lstrip(".") for t in allowed_types]
-        rows = rows.filter(F.lower(F.substring_index("filename", ".", -1)).isin(kinds))
+        rows = rows.filter(extension("filename").isin(kinds))
     return rows

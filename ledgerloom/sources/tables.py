@@ -102,7 +102,8 @@ def write_index(documents, path):
 
 
 def export_data(df, path, fmt="csv"):
-    """Rows as CSV (with header) or JSON lines files. Nested columns become JSON text in CSV."""
+    """Rows as CSV (with header, quotes doubled) or JSON lines files. Nested columns become JSON
+    text in CSV."""
     if fmt == "json":
         df.write.mode("overwrite").json(path)
         return
@@ -113,4 +114,4 @@ def export_data(df, path, fmt="csv"):
         F.to_json(f.name).alias(f.name) if f.dataType.typeName() in nested else F.col(f.name)
         for f in df.schema.fields
     ]
-    df.select(flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(flat).write.mode("overwrite").options(header=True, escape='"').csv(path)
