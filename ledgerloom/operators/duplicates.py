@@ -25,12 +25,17 @@ def _order():
     return F.struct(F.col("_arrival"), F.col("processed_at"), F.col("id"))
 
 
-def _pool(new, stored, columns):
+def vendor_keys(new):
+    """The vendors of the new invoices, by which stored ones are preselected."""
+    return keyed(new, F.struct("vendor_name")).select(*GROUP).distinct()
+
+
+def _pool(new, stored, vendors, columns):
     """New invoices and the stored ones of the same vendors, with the order of arrival."""
     pool = new.select(*columns, F.lit(1).alias("_arrival"))
     if stored is None:
         return pool
-    vendors = keyed(new, F.struct("vendor_name")).select(*GROUP).distinct()
+    vendors = vendor_keys(new) if vendors is None else vendors
     same = join_values(stored.select(columns), F.struct("vendor_name"), vendors, "left_semi")
     return pool.unionByName(same.withColumn("_arrival", F.lit(0)))
 
@@ -76,12 +81,14 @@ def _filed(df, *carried):
     )
 
 
-def mark_duplicates(new, stored=None):
+def mark_duplicates(new, stored=None, vendors=None):
     """Add `has_earlier_match` to the new invoices.
 
-    They are compared with the stored invoices, if given, and with each other in order.
+    They are compared with the stored invoices, if given, and with each other in order. `vendors`
+    may hold the result of `vendor_keys(new)`, written to a table: a few new invoices then only
+    scan the stored ones.
     """
-    pool = _pool(new, stored, _MATCHED)
+    pool = _pool(new, stored, vendors, _MATCHED)
     first = _filed(pool).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
     earlier = F.col("_first") < _order()
     return (
@@ -91,12 +98,12 @@ def mark_duplicates(new, stored=None):
     )
 
 
-def flag_duplicates(new, stored=None):
+def flag_duplicates(new, stored=None, vendors=None):
     """Set `is_likely_duplicate` and add the flag for invoices that repeat an earlier one.
 
     Invoices the classifier already called duplicates are left as they are.
     """
-    marked = mark_duplicates(new, stored)
+    marked = mark_duplicates(new, stored, vendors)
     hit = F.col("has_earlier_match") & ~F.coalesce("is_likely_duplicate", F.lit(False))
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     known = F.coalesce(F.array_contains(flags, POTENTIAL_DUPLICATE), F.lit(False))
@@ -110,13 +117,13 @@ def flag_duplicates(new, stored=None):
     ).drop("has_earlier_match")
 
 
-def duplicate_matches(new, stored=None, limit=5):
+def duplicate_matches(new, stored=None, limit=5, vendors=None):
     """The earlier invoices each invoice repeats, at most `limit` of them, earliest first.
 
     The earliest `limit` invoices of a key are enough for every invoice that asks with the key: a
     later one sees them all, one of them sees those before itself.
     """
-    pool = _pool(new, stored, [*_MATCHED, "invoice_number"])
+    pool = _pool(new, stored, vendors, [*_MATCHED, "invoice_number"])
     filed = _filed(
         pool, F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
     )

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerloom.functions.intake import stable_id, utc_now_text
 from ledgerloom.functions.normalize import normalize_currency
 from ledgerloom.operators.classification import classify_with_rules
-from ledgerloom.operators.duplicates import flag_duplicates
+from ledgerloom.operators.duplicates import flag_duplicates, vendor_keys
 from ledgerloom.operators.extraction import (
     EXTRACTION_MODEL,
     extract_fields,
@@ -47,11 +47,21 @@ def by_rules(extracted):
     )
 
 
+def _with_file_rows(files, table, value):
+    """Join files, unique by `blob_path`, to the row a table holds for them.
+
+    Rows of other files fall away first, in the scan when the files are few. Should a table hold
+    several rows for a file, the smallest value counts.
+    """
+    wanted = table.join(files.select("blob_path"), "blob_path", "left_semi")
+    return files.join(first_per_key(wanted, ["blob_path"], [value]), "blob_path", "left")
+
+
 def by_replies(replies):
-    """Classification by stored model replies, one per `blob_path`."""
+    """Classification by stored model replies: `blob_path` and `reply`."""
 
     def classify(extracted):
-        return parse_classification(extracted.join(replies, "blob_path", "left")).drop("is_valid")
+        return parse_classification(_with_file_rows(extracted, replies, "reply")).drop("is_valid")
 
     return classify
 
@@ -59,27 +69,25 @@ def by_replies(replies):
 def extract_messages(messages, results, classify=by_rules, processed_at=None):
     """Extracted and classified messages, one row per file; `extraction_failed` marks the rest.
 
-    `results` holds one JSON analysis result per `blob_path`. `processed_at` is a fixed ISO time for
-    the records instead of the current one.
+    `results` holds `blob_path` and the JSON analysis `result`. `processed_at` is a fixed ISO time
+    for the records instead of the current one.
     """
     message_columns = ["id", "user_id", "source", "blob_path", "correlation_id"]
     ids = messages.withColumn("id", stable_id("container_name", "blob_path"))
     once = first_per_key(ids, ["id"], [row_hash(ids)]).select(message_columns)
-    # The results of other files fall away in the scan when the messages are few.
-    wanted = results.join(once.select("blob_path"), "blob_path", "left_semi")
-    extracted = extract_fields(once.join(wanted, "blob_path", "left"))
+    extracted = extract_fields(_with_file_rows(once, results, "result"))
     now = utc_now_text() if processed_at is None else F.lit(processed_at)
     return classify(extracted.withColumn("processed_at", now))
 
 
-def finish_records(classified, stored=None, stored_chars=None):
-    """Invoice records of classified messages, after the duplicate check.
+def finish_records(classified, stored=None, stored_chars=None, vendors=None):
+    """Invoice records of classified messages, after the duplicate check (`vendors` as there).
 
     A message without a usable result gives a failure record. `stored_chars` cuts the stored text;
     by default it is kept whole.
     """
     failed = F.col("extraction_failed")
-    record = flag_duplicates(classified, stored).withColumns(
+    record = flag_duplicates(classified, stored, vendors).withColumns(
         {
             "status": F.when(failed, "failed").otherwise("processed"),
             "currency": normalize_currency("currency"),
@@ -125,9 +133,9 @@ def current_invoices(spark, store):
 def process_into(store, results, classify=by_rules, processed_at=None, stored_chars=None):
     """A `foreachBatch` function that processes queue rows into the store.
 
-    Messages and classified rows of the batch are staged inside the store. So Spark knows how small
-    they are when it plans their joins with the store and the results, which then are only scanned,
-    and rows that several steps read are computed once.
+    Messages, classified rows and vendors of the batch are staged inside the store. So Spark knows
+    how small they are when it plans their joins with the store and the results, which then are only
+    scanned, and rows that several steps read are computed once.
     """
 
     def handle(batch, number):
@@ -149,7 +157,8 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         classified = staged(
             extract_messages(fresh, results, classify, processed_at), "classified"
         )
-        records = finish_records(classified, done, stored_chars)
+        vendors = staged(vendor_keys(classified), "vendors")
+        records = finish_records(classified, done, stored_chars, vendors)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
         files, folder = _folder(spark, f"{store}/_staging/{target}")
         files.delete(folder, True)
