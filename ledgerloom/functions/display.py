@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalize import text_or  # noqa: F401  (used by reports)
-
 
 def _col(c):
     return F.col(c) if isinstance(c, str) else c

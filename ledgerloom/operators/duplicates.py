@@ -13,33 +13,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import present
 from ledgerloom.operators.latest import first_n_per_key
-from ledgerloom.operators.lookup import GROUP, HASH, KEY, join_values, keyed
+from ledgerloom.operators.lookup import GROUP, HASH, KEY, join_keyed, join_values, keyed
 
 POTENTIAL_DUPLICATE = "potential_duplicate"
 
 
-_MATCHED = ["id", "processed_at", "vendor_name", "total_amount", "invoice_date"]
-
-
 def _order():
     return F.struct(F.col("_arrival"), F.col("processed_at"), F.col("id"))
 
 
-def vendor_keys(new):
-    """The vendors of the new invoices, by which stored ones are preselected."""
-    return keyed(new, F.struct("vendor_name")).select(*GROUP).distinct()
-
-
-def _pool(new, stored, vendors, columns):
-    """New invoices and the stored ones of the same vendors, with the order of arrival."""
-    pool = new.select(*columns, F.lit(1).alias("_arrival"))
-    if stored is None:
-        return pool
-    vendors = vendor_keys(new) if vendors is None else vendors
-    same = join_values(stored.select(columns), F.struct("vendor_name"), vendors, "left_semi")
-    return pool.unionByName(same.withColumn("_arrival", F.lit(0)))
-
-
 def _key(with_amount, with_date):
     def keep(column, dtype, wanted):
         return (F.col(column) if wanted else F.lit(None).cast(dtype)).alias(column)
@@ -63,7 +45,12 @@ def _asked_key():
     )
 
 
-def _filed(df, *carried):
+def asked_keys(new):
+    """The keys the new invoices ask with."""
+    return keyed(new, _asked_key()).filter(F.col(KEY).isNotNull()).select(*GROUP).distinct()
+
+
+def _filed(df, arrival, *carried):
     """One row per key an invoice can be found under."""
     amount, date = F.col("total_amount").isNotNull(), present("invoice_date")
     keys = F.array_compact(
@@ -76,20 +63,29 @@ def _filed(df, *carried):
     )
     return (
         df.filter(present("vendor_name"))
+        .withColumn("_arrival", F.lit(arrival))
         .select(_order().alias("_order"), *carried, F.explode(keys).alias(KEY))
         .withColumn(HASH, F.xxhash64(KEY))
     )
 
 
-def mark_duplicates(new, stored=None, vendors=None):
+def _all_filed(new, stored, asked, *carried):
+    """New invoices, and the stored ones somebody asks for, under their keys."""
+    rows = _filed(new, 1, *carried)
+    if stored is None:
+        return rows
+    asked = asked_keys(new) if asked is None else asked
+    return rows.unionByName(join_keyed(_filed(stored, 0, *carried), asked, "left_semi"))
+
+
+def mark_duplicates(new, stored=None, asked=None):
     """Add `has_earlier_match` to the new invoices.
 
-    They are compared with the stored invoices, if given, and with each other in order. `vendors`
-    may hold the result of `vendor_keys(new)`, written to a table: a few new invoices then only
-    scan the stored ones.
+    They are compared with the stored invoices, if given, and with each other in order. `asked`
+    may hold the result of `asked_keys(new)`, written to a table: then Spark knows how few keys a
+    small batch asks with, and only scans the stored invoices.
     """
-    pool = _pool(new, stored, vendors, _MATCHED)
-    first = _filed(pool).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
+    first = _all_filed(new, stored, asked).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
     earlier = F.col("_first") < _order()
     return (
         join_values(new.withColumn("_arrival", F.lit(1)), _asked_key(), first)
@@ -98,12 +94,12 @@ def mark_duplicates(new, stored=None, vendors=None):
     )
 
 
-def flag_duplicates(new, stored=None, vendors=None):
+def flag_duplicates(new, stored=None, asked=None):
     """Set `is_likely_duplicate` and add the flag for invoices that repeat an earlier one.
 
     Invoices the classifier already called duplicates are left as they are.
     """
-    marked = mark_duplicates(new, stored, vendors)
+    marked = mark_duplicates(new, stored, asked)
     hit = F.col("has_earlier_match") & ~F.coalesce("is_likely_duplicate", F.lit(False))
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     known = F.coalesce(F.array_contains(flags, POTENTIAL_DUPLICATE), F.lit(False))
@@ -117,22 +113,23 @@ def flag_duplicates(new, stored=None, vendors=None):
     ).drop("has_earlier_match")
 
 
-def duplicate_matches(new, stored=None, limit=5, vendors=None):
+def duplicate_matches(new, stored=None, limit=5, asked=None):
     """The earlier invoices each invoice repeats, at most `limit` of them, earliest first.
 
     The earliest `limit` invoices of a key are enough for every invoice that asks with the key: a
     later one sees them all, one of them sees those before itself.
     """
-    pool = _pool(new, stored, vendors, [*_MATCHED, "invoice_number"])
-    filed = _filed(
-        pool, F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
-    )
+    shown = F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
+    filed = _all_filed(new, stored, asked, shown)
     first = (
         first_n_per_key(filed, GROUP, ["_order", "_shown"], limit)
         .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_list(F.struct("_order", "_shown"))).alias("_first"))
     )
-    asking = new.select(*_MATCHED, F.lit(1).alias("_arrival"))
+    asking = new.select(
+        "id", "processed_at", "vendor_name", "total_amount", "invoice_date",
+        F.lit(1).alias("_arrival"),
+    )
     found = join_values(asking, _asked_key(), first, "inner").withColumn(
         "_earlier", F.filter("_first", lambda m: m["_order"] < _order())
     )

@@ -29,15 +29,19 @@ def keyed(rows, key):
     return rows.withColumn(KEY, key).withColumn(HASH, F.xxhash64(KEY))
 
 
-def join_values(rows, key, values, how="left"):
-    """Join rows to a table with one row per key.
+def join_keyed(rows, values, how="left"):
+    """Join rows that have the columns of `GROUP` to a table with one row per key.
 
-    `key` is a struct column over the rows; `values` holds the columns of `GROUP` for the same
-    struct, unique, and any number of value columns.
+    `values` holds the columns of `GROUP`, unique, and any number of value columns.
     """
-    left = keyed(rows, key).withColumn(_SPLIT, F.pmod(HASH, F.lit(1024)))
-    right = values.withColumn(_SPLIT, F.pmod(HASH, F.lit(1024)))
-    return left.join(right, [*GROUP, _SPLIT], how).drop(*GROUP, _SPLIT)
+    split = F.pmod(HASH, F.lit(1024))
+    left, right = rows.withColumn(_SPLIT, split), values.withColumn(_SPLIT, split)
+    return left.join(right, [*GROUP, _SPLIT], how).drop(_SPLIT)
+
+
+def join_values(rows, key, values, how="left"):
+    """The same for rows without these columns; `key` is a struct column over them."""
+    return join_keyed(keyed(rows, key), values, how).drop(*GROUP)
 
 
 def group_values(rows, keys, **aggregates):

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.display import flag_label, money_text, percent_text, text_or
+from ledgerloom.functions.display import flag_label, money_text, percent_text
 from ledgerloom.functions.money import money_sum
-from ledgerloom.functions.normalize import present
+from ledgerloom.functions.normalize import present, text_or
 from ledgerloom.operators.medallion import anomaly_count
 
 # Thresholds, page sizes and the fields an invoice must have.

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerloom.functions.intake import stable_id, utc_now_text
 from ledgerloom.functions.normalize import normalize_currency
 from ledgerloom.operators.classification import classify_with_rules
-from ledgerloom.operators.duplicates import flag_duplicates, vendor_keys
+from ledgerloom.operators.duplicates import flag_duplicates, asked_keys
 from ledgerloom.operators.extraction import (
     EXTRACTION_MODEL,
     extract_fields,
@@ -80,14 +80,14 @@ def extract_messages(messages, results, classify=by_rules, processed_at=None):
     return classify(extracted.withColumn("processed_at", now))
 
 
-def finish_records(classified, stored=None, stored_chars=None, vendors=None):
-    """Invoice records of classified messages, after the duplicate check (`vendors` as there).
+def finish_records(classified, stored=None, stored_chars=None, asked=None):
+    """Invoice records of classified messages, after the duplicate check (`asked` as there).
 
     A message without a usable result gives a failure record. `stored_chars` cuts the stored text;
     by default it is kept whole.
     """
     failed = F.col("extraction_failed")
-    record = flag_duplicates(classified, stored, vendors).withColumns(
+    record = flag_duplicates(classified, stored, asked).withColumns(
         {
             "status": F.when(failed, "failed").otherwise("processed"),
             "currency": normalize_currency("currency"),
@@ -123,6 +123,11 @@ def read_store(spark, store):
     return spark.read.schema(schema).parquet(store)
 
 
+def compact_store(spark, store, target):
+    """Write the current records of a store as a new store, to read and extend instead."""
+    current_invoices(spark, store).write.parquet(f"{target}/run=compacted/batch=0")
+
+
 def current_invoices(spark, store):
     """One record per id: processed before failed, then the one processed first."""
     rows = read_store(spark, store).drop("run", "batch")
@@ -133,9 +138,9 @@ def current_invoices(spark, store):
 def process_into(store, results, classify=by_rules, processed_at=None, stored_chars=None):
     """A `foreachBatch` function that processes queue rows into the store.
 
-    Messages, classified rows and vendors of the batch are staged inside the store. So Spark knows
-    how small they are when it plans their joins with the store and the results, which then are only
-    scanned, and rows that several steps read are computed once.
+    Messages, classified rows and duplicate keys of the batch are staged inside the store. So Spark
+    knows how small they are when it plans their joins with the store and the results, which then
+    are only scanned, and rows that several steps read are computed once.
     """
 
     def handle(batch, number):
@@ -157,8 +162,8 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         classified = staged(
             extract_messages(fresh, results, classify, processed_at), "classified"
         )
-        vendors = staged(vendor_keys(classified), "vendors")
-        records = finish_records(classified, done, stored_chars, vendors)
+        asked = staged(asked_keys(classified), "asked")
+        records = finish_records(classified, done, stored_chars, asked)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
         files, folder = _folder(spark, f"{store}/_staging/{target}")
         files.delete(folder, True)

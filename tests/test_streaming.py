@@ -182,6 +182,10 @@ def test_later_batches_see_stored_invoices_and_redelivery_changes_nothing(spark,
     assert done == {k: v for k, v in second.items() if v["status"] == "processed"}
     assert {k: v["status"] for k, v in third.items()} == {k: v["status"] for k, v in second.items()}
 
+    processing.compact_store(spark, f"{base}/store", f"{base}/new/store")
+    assert current(spark, f"{base}/new") == third
+    assert processing.read_store(spark, f"{base}/new/store").count() == 6
+
 
 def test_classification_by_replies(spark, results):
     replies = spark.createDataFrame(
