@@ -12,6 +12,10 @@ from ledgerloom.functions.normalize import (
 )
 from ledgerloom.operators.latest import first_per_key, row_hash
 from ledgerloom.operators.lookup import with_group_values
+from ledgerloom.sources.tables import materialize
+
+# Ids sent to every executor at most; beyond that de-duplication moves all rows.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def with_audit_columns(df):
@@ -43,16 +47,30 @@ def cleanse(df):
     )
 
 
-def deduplicate(df):
-    """One row per id: the latest by `processed_at_ts`, ties settled by a hash of the row."""
+def deduplicate(df, settle=False):
+    """One row per id: the latest by `processed_at_ts`, ties settled by a hash of the row.
+
+    In one plan every row moves to the task of its id. With `settle`, for stored tables, the ids
+    that occur more than once are found from the id column alone and written. When they are at most
+    `MAX_BROADCAST_IDS`, only their rows move and all others pass straight through.
+    """
     order = [F.col("processed_at_ts").desc_nulls_last(), row_hash(df)]
+    if settle:
+        repeated = materialize(
+            df.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_id")),
+            "repeated-ids",
+        )
+        if repeated.count() <= MAX_BROADCAST_IDS:
+            ids, same = F.broadcast(repeated), F.col("id").eqNullSafe(F.col("_id"))
+            copies = first_per_key(df.join(ids, same, "left_semi"), ["id"], order)
+            return df.join(ids, same, "left_anti").unionByName(copies)
     return first_per_key(df, ["id"], order)
 
 
-def bronze(df):
-    """Cleansed rows, one per id. Works on any subset of the invoice columns that has
-    `id`, `status` and `processed_at`."""
-    return deduplicate(cleanse(df))
+def bronze(df, settle=False):
+    """Cleansed rows, one per id (`settle` as in `deduplicate`). Works on any subset of the invoice
+    columns that has `id`, `status` and `processed_at`."""
+    return deduplicate(cleanse(df), settle)
 
 
 def with_fiscal_period(df):

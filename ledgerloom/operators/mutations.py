@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.latest import first_per_key, row_hash
-from ledgerloom.operators.lookup import GROUP, join_values, keyed
+from ledgerloom.operators.lookup import GROUP, join_keyed, join_values, keyed
+from ledgerloom.sources.tables import materialize
 
 KEYS = ["user_id", "id"]
 
@@ -14,16 +15,42 @@ PROTECTED = ["id", "user_id", "blob_path", "correlation_id"]
 EDITABLE = ["notes", "tags", "spend_category", "subcategory"]
 
 
-def upsert_latest(stored, incoming, keys=("id", "user_id"), sequence="processed_at"):
-    """Stored and incoming rows together, the latest of each key by `sequence`.
+def _aligned(df, fields):
+    """The columns of `fields`, null where the rows lack one."""
+    return df.select(
+        *[
+            F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in fields
+        ]
+    )
+
 
-    At equal sequence the incoming row wins; two incoming rows that tie are told apart by a hash.
+def upsert_latest(stored, incoming, keys=("id", "user_id"), sequence="processed_at", settle=False):
+    """Merge incoming rows into a table with one row per key; the later one by `sequence` stays.
+
+    At equal sequence the incoming row wins; incoming rows that tie are told apart by a hash. With
+    `settle` the incoming rows are written first and the joins are planned from their real size: a
+    small batch is broadcast and the stored rows stay where they are.
     """
-    both = stored.withColumn("_incoming", F.lit(0)).unionByName(
-        incoming.withColumn("_incoming", F.lit(1)), allowMissingColumns=True
+    fields = [*stored.schema, *[f for f in incoming.schema if f.name not in stored.columns]]
+    stored, incoming = _aligned(stored, fields), _aligned(incoming, fields)
+    order = [F.col(sequence).desc_nulls_last(), row_hash(incoming)]
+    newest = first_per_key(incoming, list(keys), order)
+    new = keyed(newest, F.struct(*keys)).select(*GROUP, F.struct(*stored.columns).alias("_new"))
+    if settle:
+        new = materialize(new, "incoming")
+
+    later = F.col("_new").isNotNull() & (
+        F.col(sequence).isNull() | F.coalesce(F.col("_new")[sequence] >= F.col(sequence), F.lit(False))
+    )
+    replaced = join_values(stored, F.struct(*keys), new).select(
+        *[F.when(later, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in stored.columns]
     )
-    order = [F.col(sequence).desc_nulls_last(), F.desc("_incoming"), row_hash(both)]
-    return first_per_key(both, list(keys), order).drop("_incoming")
+    listed = new.select(*GROUP)
+    known = keyed(stored.select(*keys), F.struct(*keys)).select(*GROUP)
+    known = join_keyed(known, listed, "left_semi").distinct()
+    added = join_keyed(new, known, "left_anti").select("_new.*")
+    return replaced.unionByName(added)
 
 
 def changes_per_key(changes, columns, sequence):
@@ -48,11 +75,12 @@ def changes_per_key(changes, columns, sequence):
     return keyed(changes, F.struct(*KEYS)).groupBy(*GROUP).agg(*folded)
 
 
-def apply_updates(stored, changes, columns=None, sequence=None):
+def apply_updates(stored, changes, columns=None, sequence=None, settle=False):
     """Merge changes into the invoices they name; changes to unknown invoices have no effect.
 
     Without `columns` every column the changes carry is taken, except the protected ones. A change
-    set without a single usable column is an error.
+    set without a single usable column is an error. `settle` writes the changes first, as in
+    `upsert_latest`.
     """
     offered = [c for c in changes.columns if c not in [*PROTECTED, "fields", sequence]]
     columns = offered if columns is None else [c for c in columns if c in offered]
@@ -63,6 +91,8 @@ def apply_updates(stored, changes, columns=None, sequence=None):
     if "fields" not in changes.columns:
         changes = changes.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns]))
     folded = changes_per_key(changes, columns, sequence)
+    if settle:
+        folded = materialize(folded, "changes")
     merged = join_values(stored, F.struct(*KEYS), folded)
     for c in columns:
         given = F.coalesce(f"_{c}_given", F.lit(False))
@@ -70,15 +100,17 @@ def apply_updates(stored, changes, columns=None, sequence=None):
     return merged.select(stored.columns)
 
 
-def apply_page_edits(stored, edits, sequence=None):
+def apply_page_edits(stored, edits, sequence=None, settle=False):
     """Updates as the detail page sends them: four editable columns, null means not given."""
     given = [c for c in edits.columns if c != "fields"]
-    return apply_updates(stored, edits.select(given), EDITABLE, sequence)
+    return apply_updates(stored, edits.select(given), EDITABLE, sequence, settle)
 
 
-def apply_deletes(stored, keys):
-    """Invoices without those whose user and id are listed."""
+def apply_deletes(stored, keys, settle=False):
+    """Invoices without those whose user and id are listed (`settle` as in `upsert_latest`)."""
     listed = keyed(keys, F.struct(*KEYS)).select(*GROUP).distinct()
+    if settle:
+        listed = materialize(listed, "deletes")
     return join_values(stored, F.struct(*KEYS), listed, "left_anti")
 
 

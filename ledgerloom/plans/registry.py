@@ -336,13 +336,13 @@ def duplicate_matches(spark, sf_dir):
 
 @query
 def upsert_latest(spark, sf_dir):
-    """Invoices stored as processing first, then their final records arrive."""
+    """Invoices above 100,000 are stored as processing, then all final records arrive."""
     columns = ["id", "user_id", "processed_at", "status", "total_amount"]
-    final = invoices(spark, sf_dir, *columns)
-    first = final.filter("total_amount > 100000").withColumns(
+    first = invoices(spark, sf_dir, *columns, copies=False)
+    first = first.filter("total_amount > 100000").withColumns(
         {"status": F.lit("processing"), "total_amount": F.lit(None).cast("double")}
     )
-    return mutations.upsert_latest(first, final).select(columns)
+    return mutations.upsert_latest(first, invoices(spark, sf_dir, *columns))
 
 
 @query

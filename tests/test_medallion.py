@@ -10,7 +10,7 @@ from ledgerloom.plans.medallion_job import run_medallion
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import work_path
 from ledgerloom.sources.tables import read_table
-from tests.conftest import DATA
+from tests.conftest import DATA, first_plan
 
 
 def invoice_rows(spark, *rows):
@@ -61,10 +61,23 @@ def test_deduplication_keeps_the_latest_whatever_the_order(spark):
         row("2", notes="a"),
         row("2", notes="b"),
     ]
-    one = by_id(medallion.bronze(invoice_rows(spark, *rows)))
-    other = by_id(medallion.bronze(invoice_rows(spark, *reversed(rows)).repartition(3)))
-    assert one["1"]["notes"] == "new"
-    assert {k: v["notes"] for k, v in one.items()} == {k: v["notes"] for k, v in other.items()}
+    rows.append(row("3", notes="single"))
+    one = medallion.bronze(invoice_rows(spark, *rows))
+    assert by_id(one)["1"]["notes"] == "new"
+    for settle in (False, True):
+        other = medallion.bronze(invoice_rows(spark, *reversed(rows)).repartition(3), settle)
+        assert other.count() == 3
+        assert by_id(other) == by_id(one)
+
+
+def test_many_repeated_ids_take_the_other_way(spark, monkeypatch):
+    rows = invoice_rows(spark, *[row(str(n // 2), notes=str(n)) for n in range(40)])
+    few = medallion.bronze(rows, settle=True)
+    monkeypatch.setattr(medallion, "MAX_BROADCAST_IDS", 19)
+    many = medallion.bronze(rows, settle=True)
+    assert "LeftAnti" in first_plan(few) and "LeftAnti" not in first_plan(many)
+    assert few.count() == many.count() == 20
+    assert by_id(few) == by_id(many)
 
 
 @pytest.mark.parametrize("settle", [False, True])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import mutations
 
-COLUMNS = "id string, user_id string, processed_at string, notes string, spend_category string, tags array<string>"
+COLUMNS = """id string, user_id string, processed_at string, notes string, spend_category string,
+  tags array<string>"""
 
 
 def table(spark, rows, columns=COLUMNS):
@@ -22,16 +23,43 @@ row = st.tuples(st.sampled_from("abc"), st.just("u"), st.sampled_from(["1", "2",
                 st.sampled_from(["x", "y"]), st.none(), st.none())
 
 
+def newest_first(r):
+    return (r[2] is not None, r[2] or "")
+
+
+def one_per_id(rows):
+    return list({r[0]: r for r in rows}.values())
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(row, max_size=8), st.lists(row, min_size=1, max_size=8), st.randoms())
 def test_upsert_is_idempotent_and_ignores_row_order(spark, stored, incoming, random):
+    stored = one_per_id(stored)
     once = mutations.upsert_latest(table(spark, stored), table(spark, incoming))
     shuffled = list(incoming)
     random.shuffle(shuffled)
-    other = mutations.upsert_latest(table(spark, stored[::-1]), table(spark, shuffled))
+    other = mutations.upsert_latest(table(spark, stored[::-1]), table(spark, shuffled), settle=True)
     again = mutations.upsert_latest(once, table(spark, incoming))
-    assert as_dict(once) == as_dict(other) == as_dict(again)
-    assert set(as_dict(once)) == {r[0] for r in [*stored, *incoming]}
+    got = as_dict(once)
+    assert got == as_dict(other) == as_dict(again)
+    assert once.count() == len(got)
+    assert set(got) == {r[0] for r in [*stored, *incoming]}
+    for id, kept in got.items():
+        rows = [r for r in [*stored, *incoming] if r[0] == id]
+        best = max(newest_first(r) for r in rows)
+        assert newest_first((0, 0, kept["processed_at"])) == best
+        sent = [r[3] for r in incoming if r[0] == id and newest_first(r) == best]
+        assert kept["notes"] in (sent or [r[3] for r in rows])
+
+
+def test_upsert_replaces_whole_records(spark):
+    stored = table(spark, [("a", "u", "1", "n", "IT", ["t"])])
+    reduced = table(spark, [("a", "u", "2", 5)], "id string, user_id string, processed_at string, extra int")
+    (got,) = mutations.upsert_latest(stored, reduced).collect()
+    assert got.asDict() == {
+        "id": "a", "user_id": "u", "processed_at": "2", "notes": None, "spend_category": None,
+        "tags": None, "extra": 5,
+    }
 
 
 def test_upsert_takes_the_incoming_row_at_equal_time(spark):
@@ -48,14 +76,15 @@ STORED = [
 ]
 
 
-def test_page_edits_ignore_what_is_not_given(spark):
+@pytest.mark.parametrize("settle", [False, True])
+def test_page_edits_ignore_what_is_not_given(spark, settle):
     edits = table(
         spark,
         [("a", "u", None, "HR", ["x", "y"]), ("b", "u", "seen", None, None),
          ("c", "u", "other user", None, None), ("z", "u", "unknown", None, None)],
         "id string, user_id string, notes string, spend_category string, tags array<string>",
     )
-    got = as_dict(mutations.apply_page_edits(table(spark, STORED), edits))
+    got = as_dict(mutations.apply_page_edits(table(spark, STORED), edits, settle=settle))
     assert (got["a"]["notes"], got["a"]["spend_category"], got["a"]["tags"]) == ("n", "HR", ["x", "y"])
     assert (got["b"]["notes"], got["b"]["spend_category"]) == ("seen", "IT")
     assert got["c"]["notes"] == "n"
@@ -87,9 +116,10 @@ def test_update_guards(spark):
         mutations.apply_page_edits(stored, not_editable)
 
 
-def test_deletes_need_user_and_id(spark):
+@pytest.mark.parametrize("settle", [False, True])
+def test_deletes_need_user_and_id(spark, settle):
     keys = table(spark, [("a", "u"), ("a", "u"), ("c", "u")], "id string, user_id string")
-    got = mutations.apply_deletes(table(spark, STORED), keys)
+    got = mutations.apply_deletes(table(spark, STORED), keys, settle)
     assert set(as_dict(got)) == {"b", "c"}
 
 

@@ -32,6 +32,15 @@ def test_copies_are_dropped_before_the_shuffle(spark):
     assert final < plan.index("Exchange hashpartitioning(id", final) < partial
 
 
+def test_few_repeated_ids_move_few_rows(spark):
+    rows = given.invoices(spark, DATA, "id", "status", "processed_at", "total_amount")
+    plan = first_plan(medallion.bronze(materialize(rows, "raw"), settle=True))
+    assert "LeftAnti, BuildRight" in plan
+    # The one exchange by id is below the semi-join that keeps the repeated ids' rows.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") < plan.index("LeftSemi, BuildRight")
+
+
 def silver(spark):
     columns = ["id", "status", "vendor_name", "invoice_date", "due_date", "processed_at",
                "total_amount", "spend_category", "is_likely_duplicate", "anomaly_flags"]
