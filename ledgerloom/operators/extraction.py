@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.normalize import float_text, parse_float, present, text_or
 from ledgerloom.schemas import CLASSIFICATION, EXTRACTION, LINE_ITEM, SPEND_CATEGORIES
 
-# What the classification context shows.
+# What the classification context shows. Its labels below are fixed as well.
 CONTEXT_ITEMS = 20
 CONTEXT_CHARS = 3000
 EXTRACTION_MODEL = "prebuilt-invoice"
