@@ -93,10 +93,11 @@ def apply_updates(stored, changes, columns=None, sequence=None, settle=False):
     folded = changes_per_key(changes, columns, sequence)
     if settle:
         folded = materialize(folded, "changes")
-    merged = join_values(stored, F.struct(*KEYS), folded)
-    for c in columns:
-        given = F.coalesce(f"_{c}_given", F.lit(False))
-        merged = merged.withColumn(c, F.when(given, F.col(f"_{c}.{c}")).otherwise(F.col(c)))
+    changed = {
+        c: F.when(F.coalesce(f"_{c}_given", F.lit(False)), F.col(f"_{c}.{c}")).otherwise(F.col(c))
+        for c in columns
+    }
+    merged = join_values(stored, F.struct(*KEYS), folded).withColumns(changed)
     return merged.select(stored.columns)
 
 

@@ -175,8 +175,12 @@ def _nearest(vectors, block, k, id_column, vector_column):
             usable = lengths > 0
             ids = ids[usable]
             scores = np.round((values[usable] / lengths[usable, None]) @ matrix.T, 6)
+            # Only scores from the k-th best on, ties included, need sorting.
+            low = max(len(scores) - k, 0)
+            limits = np.partition(scores, low, axis=0)[low] if low else np.full(len(matrix), -2.0)
             for query in range(len(matrix)):
-                scored = pd.DataFrame({"id": ids, "score": scores[:, query]})
+                near = scores[:, query] >= limits[query]
+                scored = pd.DataFrame({"id": ids[near], "score": scores[near, query]})
                 best = scored.sort_values(["score", "id"], ascending=[False, True]).head(k)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -15,6 +15,7 @@ from ledgerloom.functions.intake import (
 )
 from ledgerloom.functions.normalize import present
 from ledgerloom.schemas import EVENT, MESSAGE
+from ledgerloom.streaming import with_trigger
 
 
 def parse_events(lines):
@@ -23,6 +24,11 @@ def parse_events(lines):
     return lines.select(F.explode(events).alias("_event")).select("_event.*")
 
 
+def malformed_events(lines):
+    """Lines `parse_events` gets nothing from because they are not JSON, as they came."""
+    return lines.filter(F.from_json("value", ArrayType(EVENT)).isNull())
+
+
 def subscribed(events, container):
     """Events the subscription delivers: files created in the container."""
     return events.filter(
@@ -86,17 +92,16 @@ def malformed(lines):
     return lines.filter(m["blob_path"].isNull() | m["container_name"].isNull())
 
 
-def start_intake(spark, events_path, queue_path, checkpoint, container, max_files=None):
-    """Turn all event files not seen before into messages, then stop."""
+def start_intake(spark, events_path, queue_path, checkpoint, container, max_files=None, every=None):
+    """Turn event files not seen before into messages; a message file is written once."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     events = subscribed(parse_events(reader.load(events_path)), container)
-    return (
+    writer = (
         to_queue(accept_events(events, container))
         .writeStream.format("parquet")
         .option("path", queue_path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    return with_trigger(writer, every).start()

@@ -2,16 +2,16 @@
 
 from ledgerloom.operators.medallion import with_audit_columns
 from ledgerloom.schemas import INVOICE
+from ledgerloom.streaming import with_trigger
 
 
-def start_landing(spark, source_path, landing_path, checkpoint, fmt="parquet"):
-    """Append all invoice files not seen before to landing, then stop."""
+def start_landing(spark, source_path, landing_path, checkpoint, fmt="parquet", every=None):
+    """Append invoice files not seen before to landing."""
     new = spark.readStream.schema(INVOICE).format(fmt).load(source_path)
-    return (
+    writer = (
         with_audit_columns(new)
         .writeStream.format("parquet")
         .option("path", landing_path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    return with_trigger(writer, every).start()

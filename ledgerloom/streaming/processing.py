@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerloom.functions.intake import stable_id, utc_now_text
 from ledgerloom.functions.normalize import normalize_currency
 from ledgerloom.operators.classification import classify_with_rules
-from ledgerloom.operators.duplicates import flag_duplicates, asked_keys
+from ledgerloom.operators.duplicates import asked_keys, flag_duplicates
 from ledgerloom.operators.extraction import (
     EXTRACTION_MODEL,
     extract_fields,
@@ -21,7 +21,8 @@ from ledgerloom.operators.extraction import (
 from ledgerloom.operators.latest import first_per_key, row_hash
 from ledgerloom.operators.search import cut_stored_text
 from ledgerloom.schemas import INVOICE
-from ledgerloom.streaming.intake import from_queue
+from ledgerloom.streaming import with_trigger
+from ledgerloom.streaming.intake import from_queue, malformed
 
 # What a failure record keeps.
 FAILURE_COLUMNS = [
@@ -140,7 +141,10 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
 
     Messages, classified rows and duplicate keys of the batch are staged inside the store. So Spark
     knows how small they are when it plans their joins with the store and the results, which then
-    are only scanned, and rows that several steps read are computed once.
+    are only scanned, and rows that several steps read are computed once. Queue rows that are no
+    messages are kept in `_malformed` below the store.
+
+    `results` may be a function that returns the table, to be read anew for every batch.
     """
 
     def handle(batch, number):
@@ -155,13 +159,13 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
+        malformed(batch).write.mode("overwrite").parquet(f"{store}/_malformed/{target}")
         messages = from_queue(batch).withColumn("id", stable_id("container_name", "blob_path"))
         messages = staged(messages, "messages")
         known = done.select("id").join(messages.select("id"), "id", "left_semi").distinct()
         fresh = messages.join(known, "id", "left_anti").drop("id")
-        classified = staged(
-            extract_messages(fresh, results, classify, processed_at), "classified"
-        )
+        table = results() if callable(results) else results
+        classified = staged(extract_messages(fresh, table, classify, processed_at), "classified")
         asked = staged(asked_keys(classified), "asked")
         records = finish_records(classified, done, stored_chars, asked)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
@@ -171,15 +175,16 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
     return handle
 
 
-def start_processing(spark, queue_path, store, checkpoint, results, max_files=None, **options):
-    """Process all queue files not seen before into the store, then stop."""
+def start_processing(
+    spark, queue_path, store, checkpoint, results, max_files=None, every=None, **options
+):
+    """Process queue files not seen before into the store; `options` as for `process_into`."""
     reader = spark.readStream.schema("value string").format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
+    writer = (
         reader.load(queue_path)
         .writeStream.foreachBatch(process_into(store, results, **options))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    return with_trigger(writer, every).start()

@@ -39,6 +39,12 @@ def test_events_come_alone_or_in_lists(spark):
     assert intake.subscribed(other, "up").count() == 0
 
 
+def test_lines_that_are_no_json_are_kept_apart(spark):
+    rows = lines(spark, json.dumps(event("u/1/a.pdf")), "{broken", "[]", "")
+    assert intake.parse_events(rows).count() == 1
+    assert sorted(r["value"] for r in intake.malformed_events(rows).collect()) == ["", "{broken"]
+
+
 def test_messages_take_defaults(spark):
     rows = lines(spark, json.dumps({"blob_path": "p", "container_name": "c"}), "{}", "broken")
     (got,) = intake.from_queue(rows).collect()
@@ -187,6 +193,31 @@ def test_later_batches_see_stored_invoices_and_redelivery_changes_nothing(spark,
     assert processing.read_store(spark, f"{base}/new/store").count() == 6
 
 
+def test_malformed_messages_are_kept(spark, results):
+    base = work_path(spark, "t")
+    queue(spark, f"{base}/q", ALL[0])
+    lines(spark, "{broken", '{"blob_path": "p"}').write.mode("append").parquet(f"{base}/q")
+    run(processing.start_processing(
+        spark, f"{base}/q", f"{base}/store", f"{base}/c", lambda: results))
+    assert set(current(spark, base)) == {ALL[0]}
+    kept = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/store/_malformed")
+    assert sorted(r["value"] for r in kept.collect()) == ['{"blob_path": "p"}', "{broken"]
+
+
+def test_a_stream_can_keep_running(spark):
+    base = work_path(spark, "t")
+    lines(spark, json.dumps(event("u/1/a.pdf"))).write.text(f"{base}/e")
+    query = intake.start_intake(
+        spark, f"{base}/e", f"{base}/q", f"{base}/c", "up", every="1 second"
+    )
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert spark.read.schema("value string").parquet(f"{base}/q").count() == 1
+
+
 def test_classification_by_replies(spark, results):
     replies = spark.createDataFrame(
         [("u/1/a.pdf", '{"spend_category": "HR", "confidence": 0.5}')],
