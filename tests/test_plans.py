@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ledgerloom.operators import gold, medallion, reports
+from ledgerloom.operators import gold, medallion, mutations, reports
 from ledgerloom.operators.duplicates import asked_keys, duplicate_matches, mark_duplicates
 from ledgerloom.plans import given
 from ledgerloom.sources.tables import materialize
@@ -110,6 +110,22 @@ def test_hot_duplicate_keys_are_split(skewed):
     assert "skew=true" in final_plan(marked)
 
 
+def test_changes_to_a_hot_key_are_split(skewed, spark):
+    # Copies of one invoice are a third of the table.
+    stored = skewed.select(
+        F.when(F.col("vendor_name") == "HOT", "HOT").otherwise(F.col("id")).alias("id"),
+        F.lit("u").alias("user_id"),
+        F.sha2("id", 256).alias("notes"),
+    )
+    edits = spark.createDataFrame([("HOT", "u", "seen")], "id string, user_id string, notes string")
+    updated = mutations.apply_page_edits(stored, edits)
+    assert "skew=true" in final_plan(updated)
+    assert updated.filter("notes = 'seen'").count() == 20000
+    kept = mutations.apply_deletes(stored, edits.select("id", "user_id"))
+    assert "skew=true" in final_plan(kept)
+    assert kept.count() == 40000
+
+
 def test_matches_keep_few_rows_per_key(skewed):
     matches = duplicate_matches(skewed, limit=5)
     plan = first_plan(matches)
