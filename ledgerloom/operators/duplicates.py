@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.normalize import present
 from ledgerloom.operators.latest import first_n_per_key
 from ledgerloom.operators.lookup import GROUP, HASH, KEY, join_keyed, join_values, keyed
+from ledgerloom.sources.tables import settled
 
 POTENTIAL_DUPLICATE = "potential_duplicate"
 
+# The columns a match and its order depend on.
+_MATCHED = ["id", "processed_at", "vendor_name", "total_amount", "invoice_date"]
+
 
 def _order():
     return F.struct(F.col("_arrival"), F.col("processed_at"), F.col("id"))
@@ -69,23 +73,23 @@ def _filed(df, arrival, *carried):
     )
 
 
-def _all_filed(new, stored, asked, *carried):
+def _all_filed(new, stored, settle, *carried):
     """New invoices, and the stored ones somebody asks for, under their keys."""
     rows = _filed(new, 1, *carried)
     if stored is None:
         return rows
-    asked = asked_keys(new) if asked is None else asked
+    asked = settled(asked_keys(new), settle, "asked-keys")
     return rows.unionByName(join_keyed(_filed(stored, 0, *carried), asked, "left_semi"))
 
 
-def mark_duplicates(new, stored=None, asked=None):
+def mark_duplicates(new, stored=None, settle=False):
     """Add `has_earlier_match` to the new invoices.
 
-    They are compared with the stored invoices, if given, and with each other in order. `asked`
-    may hold the result of `asked_keys(new)`, written to a table: then Spark knows how few keys a
-    small batch asks with, and only scans the stored invoices.
+    They are compared with the stored invoices, if given, and with each other in order. With
+    `settle` the keys a small batch asks with are written first, and the stored invoices are only
+    scanned for them.
     """
-    first = _all_filed(new, stored, asked).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
+    first = _all_filed(new, stored, settle).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
     earlier = F.col("_first") < _order()
     return (
         join_values(new.withColumn("_arrival", F.lit(1)), _asked_key(), first)
@@ -94,12 +98,22 @@ def mark_duplicates(new, stored=None, asked=None):
     )
 
 
-def flag_duplicates(new, stored=None, asked=None):
+def _marked_by_hits(new, stored, settle):
+    """The same with the search on the matched columns alone: what it finds is written, and whole
+    rows are only joined to that, usually short, list."""
+    hits = mark_duplicates(new.select(_MATCHED), stored, settle).filter("has_earlier_match")
+    hits = keyed(hits, F.struct(*_MATCHED)).groupBy(*GROUP).agg(F.lit(True).alias("_hit"))
+    marked = join_values(new, F.struct(*_MATCHED), settled(hits, settle, "duplicates"))
+    return marked.withColumn("has_earlier_match", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def flag_duplicates(new, stored=None, settle=False):
     """Set `is_likely_duplicate` and add the flag for invoices that repeat an earlier one.
 
-    Invoices the classifier already called duplicates are left as they are.
+    Invoices the classifier already called duplicates are left as they are. With `settle` whole
+    rows move only when very many are duplicates.
     """
-    marked = mark_duplicates(new, stored, asked)
+    marked = _marked_by_hits(new, stored, settle) if settle else mark_duplicates(new, stored)
     hit = F.col("has_earlier_match") & ~F.coalesce("is_likely_duplicate", F.lit(False))
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     known = F.coalesce(F.array_contains(flags, POTENTIAL_DUPLICATE), F.lit(False))
@@ -113,23 +127,20 @@ def flag_duplicates(new, stored=None, asked=None):
     ).drop("has_earlier_match")
 
 
-def duplicate_matches(new, stored=None, limit=5, asked=None):
+def duplicate_matches(new, stored=None, limit=5, settle=False):
     """The earlier invoices each invoice repeats, at most `limit` of them, earliest first.
 
     The earliest `limit` invoices of a key are enough for every invoice that asks with the key: a
     later one sees them all, one of them sees those before itself.
     """
     shown = F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
-    filed = _all_filed(new, stored, asked, shown)
+    filed = _all_filed(new, stored, settle, shown)
     first = (
         first_n_per_key(filed, GROUP, ["_order", "_shown"], limit)
         .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_list(F.struct("_order", "_shown"))).alias("_first"))
     )
-    asking = new.select(
-        "id", "processed_at", "vendor_name", "total_amount", "invoice_date",
-        F.lit(1).alias("_arrival"),
-    )
+    asking = new.select(*_MATCHED, F.lit(1).alias("_arrival"))
     found = join_values(asking, _asked_key(), first, "inner").withColumn(
         "_earlier", F.filter("_first", lambda m: m["_order"] < _order())
     )

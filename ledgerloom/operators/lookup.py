@@ -16,7 +16,7 @@ cheap:
 
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.tables import materialize
+from ledgerloom.sources.tables import settled
 
 KEY = "_lookup_key"
 HASH = "_lookup_hash"
@@ -58,7 +58,5 @@ def with_group_values(rows, keys, settle=False, **aggregates):
     shared folder first and the join is planned from their real size: with few keys they are
     broadcast and the rows stay where they are.
     """
-    values = group_values(rows, keys, **aggregates)
-    if settle:
-        values = materialize(values, "group-values")
+    values = settled(group_values(rows, keys, **aggregates), settle, "group-values")
     return join_values(rows, F.struct(*keys), values)

@@ -12,7 +12,7 @@ from ledgerloom.functions.normalize import (
 )
 from ledgerloom.operators.latest import first_per_key, row_hash
 from ledgerloom.operators.lookup import with_group_values
-from ledgerloom.sources.tables import materialize
+from ledgerloom.sources.tables import settled
 
 # Ids sent to every executor at most; beyond that de-duplication moves all rows.
 MAX_BROADCAST_IDS = 1_000_000
@@ -56,10 +56,8 @@ def deduplicate(df, settle=False):
     """
     order = [F.col("processed_at_ts").desc_nulls_last(), row_hash(df)]
     if settle:
-        repeated = materialize(
-            df.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_id")),
-            "repeated-ids",
-        )
+        repeated = df.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_id"))
+        repeated = settled(repeated, settle, "repeated-ids")
         if repeated.count() <= MAX_BROADCAST_IDS:
             ids, same = F.broadcast(repeated), F.col("id").eqNullSafe(F.col("_id"))
             copies = first_per_key(df.join(ids, same, "left_semi"), ["id"], order)

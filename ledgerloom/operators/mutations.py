@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.latest import first_per_key, row_hash
 from ledgerloom.operators.lookup import GROUP, join_keyed, join_values, keyed
-from ledgerloom.sources.tables import materialize
+from ledgerloom.sources.tables import settled
 
 KEYS = ["user_id", "id"]
 
@@ -37,8 +37,7 @@ def upsert_latest(stored, incoming, keys=("id", "user_id"), sequence="processed_
     order = [F.col(sequence).desc_nulls_last(), row_hash(incoming)]
     newest = first_per_key(incoming, list(keys), order)
     new = keyed(newest, F.struct(*keys)).select(*GROUP, F.struct(*stored.columns).alias("_new"))
-    if settle:
-        new = materialize(new, "incoming")
+    new = settled(new, settle, "incoming")
 
     later = F.col("_new").isNotNull() & (
         F.col(sequence).isNull() | F.coalesce(F.col("_new")[sequence] >= F.col(sequence), F.lit(False))
@@ -90,9 +89,7 @@ def apply_updates(stored, changes, columns=None, sequence=None, settle=False):
     # Only changes that carry something take part.
     if "fields" not in changes.columns:
         changes = changes.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns]))
-    folded = changes_per_key(changes, columns, sequence)
-    if settle:
-        folded = materialize(folded, "changes")
+    folded = settled(changes_per_key(changes, columns, sequence), settle, "changes")
     changed = {
         c: F.when(F.coalesce(f"_{c}_given", F.lit(False)), F.col(f"_{c}.{c}")).otherwise(F.col(c))
         for c in columns
@@ -110,8 +107,7 @@ def apply_page_edits(stored, edits, sequence=None, settle=False):
 def apply_deletes(stored, keys, settle=False):
     """Invoices without those whose user and id are listed (`settle` as in `upsert_latest`)."""
     listed = keyed(keys, F.struct(*KEYS)).select(*GROUP).distinct()
-    if settle:
-        listed = materialize(listed, "deletes")
+    listed = settled(listed, settle, "deletes")
     return join_values(stored, F.struct(*KEYS), listed, "left_anti")
 
 

@@ -85,6 +85,17 @@ def materialize(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df, settle, name):
+    """The side of a join whose real size Spark should know when it plans the join.
+
+    `settle` is an option of the operators: false leaves their plan in one piece, true writes this
+    part to the shared folder first, a function of the part and its name writes it elsewhere.
+    """
+    if callable(settle):
+        return settle(df, name)
+    return materialize(df, name) if settle else df
+
+
 def spread(df, *keys):
     """Spread a small scan over all cores before work that is heavy per row.
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerloom.functions.intake import stable_id, utc_now_text
 from ledgerloom.functions.normalize import normalize_currency
 from ledgerloom.operators.classification import classify_with_rules
-from ledgerloom.operators.duplicates import asked_keys, flag_duplicates
+from ledgerloom.operators.duplicates import flag_duplicates
 from ledgerloom.operators.extraction import (
     EXTRACTION_MODEL,
     extract_fields,
@@ -81,14 +81,14 @@ def extract_messages(messages, results, classify=by_rules, processed_at=None):
     return classify(extracted.withColumn("processed_at", now))
 
 
-def finish_records(classified, stored=None, stored_chars=None, asked=None):
-    """Invoice records of classified messages, after the duplicate check (`asked` as there).
+def finish_records(classified, stored=None, stored_chars=None, settle=False):
+    """Invoice records of classified messages, after the duplicate check (`settle` as there).
 
     A message without a usable result gives a failure record. `stored_chars` cuts the stored text;
     by default it is kept whole.
     """
     failed = F.col("extraction_failed")
-    record = flag_duplicates(classified, stored, asked).withColumns(
+    record = flag_duplicates(classified, stored, settle).withColumns(
         {
             "status": F.when(failed, "failed").otherwise("processed"),
             "currency": normalize_currency("currency"),
@@ -139,7 +139,7 @@ def current_invoices(spark, store):
 def process_into(store, results, classify=by_rules, processed_at=None, stored_chars=None):
     """A `foreachBatch` function that processes queue rows into the store.
 
-    Messages, classified rows and duplicate keys of the batch are staged inside the store. So Spark
+    Messages, classified rows and duplicates of the batch are staged inside the store. So Spark
     knows how small they are when it plans their joins with the store and the results, which then
     are only scanned, and rows that several steps read are computed once. Queue rows that are no
     messages are kept in `_malformed` below the store.
@@ -166,8 +166,7 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         fresh = messages.join(known, "id", "left_anti").drop("id")
         table = results() if callable(results) else results
         classified = staged(extract_messages(fresh, table, classify, processed_at), "classified")
-        asked = staged(asked_keys(classified), "asked")
-        records = finish_records(classified, done, stored_chars, asked)
+        records = finish_records(classified, done, stored_chars, settle=staged)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
         files, folder = _folder(spark, f"{store}/_staging/{target}")
         files.delete(folder, True)

@@ -61,8 +61,11 @@ def test_marks_and_matches_equal_all_pairs(spark, seed, with_stored):
     old = spark.createDataFrame(stored, SCHEMA) if stored else None
     expected = earlier_matches(rows, stored)
 
-    marked = {r["id"]: r["has_earlier_match"] for r in mark_duplicates(new, old).collect()}
-    assert marked == {k: bool(v) for k, v in expected.items()}
+    for settle in (False, True):
+        marked = mark_duplicates(new, old, settle)
+        assert {r["id"]: r["has_earlier_match"] for r in marked.collect()} == {
+            k: bool(v) for k, v in expected.items()
+        }
 
     for limit in (1, 5):
         got = {}
@@ -71,10 +74,13 @@ def test_marks_and_matches_equal_all_pairs(spark, seed, with_stored):
         assert got == {k: v[:limit] for k, v in expected.items() if v}
 
 
-def test_flags(spark):
+@pytest.mark.parametrize("settle", [False, True])
+def test_flags(spark, settle):
     rows = random_rows(5, 80)
     expected = earlier_matches(rows)
-    got = {r["id"]: r for r in flag_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    new = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r for r in flag_duplicates(new, settle=settle).collect()}
+    assert len(got) == len(rows)
     for r in rows:
         flagged, flags = r[6], r[7]
         if expected[r[0]] and not flagged:

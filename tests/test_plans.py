@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.operators import gold, medallion, mutations, reports
-from ledgerloom.operators.duplicates import asked_keys, duplicate_matches, mark_duplicates
+from ledgerloom.operators.duplicates import duplicate_matches, flag_duplicates, mark_duplicates
 from ledgerloom.plans import given
 from ledgerloom.sources.tables import materialize
 from tests.conftest import DATA, final_plan, first_plan
@@ -148,9 +148,17 @@ def test_a_small_batch_only_scans_the_stored_invoices(spark, conf):
     columns = ["id", "vendor_name", "total_amount", "invoice_date", "processed_at"]
     stored = materialize(given.invoices(spark, DATA, *columns), "stored")
     batch = materialize(stored.filter("total_amount > 450000"), "batch")
-    asked = materialize(asked_keys(batch), "asked")
-    plan = first_plan(mark_duplicates(batch, stored, asked))
+    plan = first_plan(mark_duplicates(batch, stored, settle=True))
     semi = plan[plan.index("LeftSemi"):]
     assert "BroadcastHashJoin" in plan[: plan.index("LeftSemi")].splitlines()[-1]
     # The first side of the semi-join, the stored rows, reaches it without an exchange.
     assert semi.index("FileScan") < semi.index("Exchange")
+
+
+def test_few_duplicates_leave_whole_rows_in_place(spark):
+    columns = ["id", "vendor_name", "total_amount", "invoice_date", "processed_at", "raw_text",
+               "is_likely_duplicate", "anomaly_flags"]
+    rows = materialize(given.invoices(spark, DATA, *columns), "rows")
+    plan = first_plan(flag_duplicates(rows, settle=True))
+    assert "BroadcastHashJoin" in plan
+    assert "Exchange hashpartitioning" not in plan
