@@ -25,6 +25,12 @@ def strip(c):
     return F.btrim(_col(c), F.lit(_WHITE_SPACE))
 
 
+def has_text(c):
+    """True when a text holds anything but white space; reads no further than the first such
+    character, so it suits long texts."""
+    return F.coalesce(_col(c).rlike(f"[^{_WHITE_SPACE}]"), F.lit(False))
+
+
 def present(c):
     """True when a text value is neither null nor empty."""
     return F.coalesce(_col(c) != "", F.lit(False))

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalize import present, strip
+from ledgerloom.functions.normalize import has_text
 from ledgerloom.operators.latest import first_n_per_key
 from ledgerloom.sources.tables import materialize
 
@@ -43,7 +43,7 @@ def chunks_of(c, max_chars=CHUNK_CHARS):
 
 def chunk_text(df, text="raw_text", max_chars=CHUNK_CHARS):
     """One row per chunk with `chunk_id` from 0 and `content`. Blank texts give none."""
-    return df.filter(present(strip(text))).select(
+    return df.filter(has_text(text)).select(
         *[c for c in df.columns if c != text],
         F.posexplode(chunks_of(F.col(text), max_chars)).alias("chunk_id", "content"),
     )

@@ -38,10 +38,18 @@ def _versions(spark, path):
     return sorted(found)
 
 
-def write_table(df, path, fmt="parquet", partition_by=()):
+def write_table(df, path, fmt="parquet", partition_by=(), cluster_by=()):
     """Replace a table's content; the schema may change. Returns the number of rows written,
-    counted by the write itself."""
+    counted by the write itself.
+
+    `partition_by` makes a folder per value, for columns of few values. `cluster_by` sorts the rows
+    into files by ranges of the columns, so that readers skip files and row groups by their
+    statistics; end it with a column of many values, such as `("user_id", "id")`, and the rows of one
+    large user spread over many files.
+    """
     spark = df.sparkSession
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     counter = Observation()
     counted = df.observe(counter, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.format(fmt).partitionBy(*partition_by)

@@ -52,6 +52,12 @@ def test_parse_float_on_generated_text(spark, texts):
     assert all(same(v, python_float(t)) for t, v in zip(texts, got, strict=True))
 
 
+def test_has_text_follows_python_strip(spark):
+    texts = [None, "", " ", "\t\n", "\u3000\xa0", "\x1c", "\u200b", " a", "\n" * 5000 + "x", "]", "^"]
+    got = apply(spark, texts, normalize.has_text)
+    assert got == [bool((t or "").strip()) for t in texts]
+
+
 def test_float_text_prints_as_python_does(spark):
     values = [
         0.0, -0.0, 1.0, 1234.5, 1e7, 12345678.9, 999999999999.25, 1e15, 1.5e16, 1e16, 0.001, 0.0005,

@@ -5,6 +5,7 @@ import pathlib
 from csv import DictReader
 
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from ledgerloom import session
@@ -48,6 +49,27 @@ def test_partitioned_tables_prune(spark, tmp_path):
     assert one.count() == rows.filter("user_id = 'user3'").count()
 
 
+def test_clustered_tables_keep_ranges_apart(spark, conf, tmp_path):
+    # Small enough pieces that this small table gets several files.
+    conf(adaptive__coalescePartitions__enabled="false")
+    path = str(tmp_path / "t")
+    rows = given.invoices(spark, DATA, "id", "user_id", "total_amount")
+    one_user = rows.withColumn("user_id", F.when(F.col("id") < "5", "big").otherwise(F.col("user_id")))
+    tables.write_table(one_user, path, cluster_by=("user_id", "id"))
+    ranges, users = [], []
+    for part in (tmp_path / "t" / "v=1").glob("*.parquet"):
+        got = parquet.read_table(part).select(["user_id", "id"]).to_pylist()
+        keys = [(r["user_id"], r["id"]) for r in got]
+        assert keys == sorted(keys)
+        ranges.append((keys[0], keys[-1]))
+        users.append({u for u, _ in keys})
+    ranges.sort()
+    assert len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert sum("big" in u for u in users) > 1
+    assert tables.read_table(spark, path).count() == rows.count()
+
+
 def test_scan_takes_the_declared_schema(spark, tmp_path):
     path = str(tmp_path / "store")
     given.invoices(spark, DATA).drop("notes").write.json(path)
