@@ -92,9 +92,12 @@ def query_words(query):
     return list(dict.fromkeys(words))
 
 
-def search_invoices(documents, query, top=TOP_HITS):
+def search_invoices(documents, query, top=TOP_HITS, filters=None):
     """The best documents for a keyword query by BM25, score in `score`.
 
+    `filters` is an SQL condition on the documents' columns, such as `user_id = 'u1'`. It decides
+    which documents may be shown; scores stay those of the whole collection.
+
     Each text is split into words once, in a pass that keeps the document's length and, for
     documents with a word of the query, the counts and the columns to show. The collection figures
     (one row) and the scores are both read from what that pass wrote.
@@ -102,12 +105,17 @@ def search_invoices(documents, query, top=TOP_HITS):
     words = query_words(query)
     if not words:
         return documents.select(*_hit_columns(), F.lit(0.0).alias("score")).limit(0)
-    split = documents.select(*_hit_columns(), words_of(F.col("content")).alias("_words"))
-    is_hit = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in words]))
+    allowed = F.lit(True) if filters is None else F.coalesce(F.expr(filters), F.lit(False))
+    split = documents.select(
+        *_hit_columns(), words_of(F.col("content")).alias("_words"), allowed.alias("_allowed")
+    )
+    found = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in words]))
+    is_hit = F.col("_allowed") & found
     counts = [_count_of(word).alias(f"_tf{i}") for i, word in enumerate(words)]
     shown = [F.when(is_hit, F.col(c)).alias(c) for c in HIT_COLUMNS]
     counted = materialize(
-        split.select(*shown, F.size("_words").alias("_length"), *counts), "search-counts"
+        split.select(*shown, is_hit.alias("_hit"), F.size("_words").alias("_length"), *counts),
+        "search-counts",
     )
     tf = [F.col(f"_tf{i}") for i in range(len(words))]
     figures = counted.agg(
@@ -124,9 +132,9 @@ def search_invoices(documents, query, top=TOP_HITS):
         return idf * tf[i] * (BM25_K1 + 1) / (tf[i] + BM25_K1 * norm)
 
     score = reduce(lambda a, b: a + b, [part(i) for i in range(len(words))])
-    hits = counted.filter(reduce(lambda a, b: a | b, [t > 0 for t in tf]))
     return (
-        hits.select(*HIT_COLUMNS, F.round(score, 6).alias("score"))
+        counted.filter("_hit")
+        .select(*HIT_COLUMNS, F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), "id")
         .limit(top)
     )

@@ -128,6 +128,27 @@ def test_blob_paths(spark):
     assert apply(spark, paths, intake.path_upload_id) == ["up", "m1", "", "", "up", "", ""]
 
 
+def test_now_is_utc_whatever_the_session_zone(spark):
+    from datetime import UTC, datetime
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        text = spark.range(1).select(intake.utc_now_text()).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    now = datetime.fromisoformat(text)
+    assert len(text) == len("2024-01-01T00:00:00.000000+00:00")
+    assert abs((datetime.now(UTC) - now).total_seconds()) < 60
+
+
+def test_stable_ids(spark):
+    row = spark.sql("select 'c' a, 'u/1/a.pdf' b")
+    one, two = row.select(intake.stable_id("a", "b"), intake.stable_id("b", "a")).first()
+    assert len(one) == 64 and one != two
+    assert row.select(intake.stable_id("a", "b")).first()[0] == one
+
+
 def test_supported_files(spark):
     names = ["a.pdf", "a.PDF", "a.tar.TIF", "a.docx", "pdf", ".pdf", "a.", "", None, "a.jpeg"]
     assert apply(spark, names, intake.is_supported_file) == [

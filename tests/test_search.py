@@ -119,6 +119,15 @@ def test_keyword_search_scores_by_bm25(spark, query):
     assert [(r["score"], r["id"]) for r in got] == bm25(TEXTS, query)[:7]
 
 
+def test_search_filters_keep_the_scores(spark):
+    docs = search.search_documents(invoices(spark, TEXTS))
+    kept = search.search_invoices(docs, "paper", filters="invoice_number in ('n2', 'n3')").collect()
+    assert [(r["score"], r["id"]) for r in kept] == [
+        hit for hit in bm25(TEXTS, "paper") if hit[1] == "i2:0"
+    ]
+    assert search.search_invoices(docs, "paper", filters="user_id is null").count() == 0
+
+
 def test_keyword_search_shows_a_snippet_but_reads_the_whole_text(spark):
     docs = search.search_documents(invoices(spark, ["x " * 900 + "needle"]))
     (hit,) = search.search_invoices(docs, "needle").collect()
