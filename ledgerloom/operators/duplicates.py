@@ -4,9 +4,9 @@ An invoice repeats an earlier one when the vendor is equal, the amount is equal
 invoice has none, and the date is equal unless the new invoice has none. "Earlier" is the order of
 `(processed_at, id)`; invoices stored before count as earlier than all new ones.
 
-Which columns must agree thus depends on the new invoice alone. Each earlier invoice is filed under
-every key a later one could ask with (at most four), the first ones are kept per key, and each new
-invoice joins the single key it asks with. No pair of invoices is ever formed.
+Which columns must agree thus depends on the new invoice alone. Each invoice is filed under every key
+a later one could ask with (at most four), the first ones are kept per key, and each new invoice joins
+the single key it asks with. No pair of invoices is ever formed.
 """
 
 from pyspark.sql import functions as F
@@ -54,42 +54,56 @@ def asked_keys(new):
     return keyed(new, _asked_key()).filter(F.col(KEY).isNotNull()).select(*GROUP).distinct()
 
 
-def _filed(df, arrival, *carried):
-    """One row per key an invoice can be found under."""
+def _filed(df, new, *carried):
+    """One row per key an invoice can be found under; `_asks` marks the one a new invoice asks with."""
     amount, date = F.col("total_amount").isNotNull(), present("invoice_date")
-    keys = F.array_compact(
-        F.array(
-            F.when(amount & date, _key(True, True)),
-            F.when(amount, _key(True, False)),
-            F.when(date, _key(False, True)),
-            _key(False, False),
-        )
+
+    def entry(with_amount, with_date):
+        has = (amount if with_amount else F.lit(True)) & (date if with_date else F.lit(True))
+        lacks = (F.lit(True) if with_amount else ~amount) & (F.lit(True) if with_date else ~date)
+        asks = lacks if new else F.lit(False)
+        return F.when(has, F.struct(_key(with_amount, with_date).alias(KEY), asks.alias("_asks")))
+
+    entries = F.array(
+        entry(True, True), entry(True, False), entry(False, True), entry(False, False)
     )
     return (
         df.filter(present("vendor_name"))
-        .withColumn("_arrival", F.lit(arrival))
-        .select(_order().alias("_order"), *carried, F.explode(keys).alias(KEY))
+        .withColumn("_arrival", F.lit(int(new)))
+        .select(_order().alias("_order"), *carried, F.inline(F.array_compact(entries)))
         .withColumn(HASH, F.xxhash64(KEY))
     )
 
 
 def _all_filed(new, stored, settle, *carried):
     """New invoices, and the stored ones somebody asks for, under their keys."""
-    rows = _filed(new, 1, *carried)
+    rows = _filed(new, True, *carried)
     if stored is None:
         return rows
     asked = settled(asked_keys(new), settle, "asked-keys")
-    return rows.unionByName(join_keyed(_filed(stored, 0, *carried), asked, "left_semi"))
+    return rows.unionByName(join_keyed(_filed(stored, False, *carried), asked, "left_semi"))
 
 
 def mark_duplicates(new, stored=None, settle=False):
     """Add `has_earlier_match` to the new invoices.
 
-    They are compared with the stored invoices, if given, and with each other in order. With
-    `settle` the keys a small batch asks with are written first, and the stored invoices are only
-    scanned for them.
+    They are compared with the stored invoices, if given, and with each other in order. Only keys
+    that somebody asks with and that hold two invoices or more take part in the join; with few
+    duplicates these are few. With `settle` they are written first, as are the keys a batch asks
+    with, so that neither the new nor the stored rows move.
     """
-    first = _all_filed(new, stored, settle).groupBy(*GROUP).agg(F.min("_order").alias("_first"))
+    first = (
+        _all_filed(new, stored, settle)
+        .groupBy(*GROUP)
+        .agg(
+            F.min("_order").alias("_first"),
+            F.count(F.lit(1)).alias("_n"),
+            F.bool_or("_asks").alias("_asked"),
+        )
+        .filter("_asked and _n > 1")
+        .select(*GROUP, "_first")
+    )
+    first = settled(first, settle, "first-of-key")
     earlier = F.col("_first") < _order()
     return (
         join_values(new.withColumn("_arrival", F.lit(1)), _asked_key(), first)
@@ -98,22 +112,12 @@ def mark_duplicates(new, stored=None, settle=False):
     )
 
 
-def _marked_by_hits(new, stored, settle):
-    """The same with the search on the matched columns alone: what it finds is written, and whole
-    rows are only joined to that, usually short, list."""
-    hits = mark_duplicates(new.select(_MATCHED), stored, settle).filter("has_earlier_match")
-    hits = keyed(hits, F.struct(*_MATCHED)).groupBy(*GROUP).agg(F.lit(True).alias("_hit"))
-    marked = join_values(new, F.struct(*_MATCHED), settled(hits, settle, "duplicates"))
-    return marked.withColumn("has_earlier_match", F.coalesce("_hit", F.lit(False))).drop("_hit")
-
-
 def flag_duplicates(new, stored=None, settle=False):
     """Set `is_likely_duplicate` and add the flag for invoices that repeat an earlier one.
 
-    Invoices the classifier already called duplicates are left as they are. With `settle` whole
-    rows move only when very many are duplicates.
+    Invoices the classifier already called duplicates are left as they are.
     """
-    marked = _marked_by_hits(new, stored, settle) if settle else mark_duplicates(new, stored)
+    marked = mark_duplicates(new, stored, settle)
     hit = F.col("has_earlier_match") & ~F.coalesce("is_likely_duplicate", F.lit(False))
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     known = F.coalesce(F.array_contains(flags, POTENTIAL_DUPLICATE), F.lit(False))
@@ -135,11 +139,14 @@ def duplicate_matches(new, stored=None, limit=5, settle=False):
     """
     shown = F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
     filed = _all_filed(new, stored, settle, shown)
+    # A key with a single invoice matches nobody, so two are needed to tell.
     first = (
-        first_n_per_key(filed, GROUP, ["_order", "_shown"], limit)
+        first_n_per_key(filed, GROUP, ["_order", "_shown"], max(limit, 2))
         .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_list(F.struct("_order", "_shown"))).alias("_first"))
+        .filter(F.size("_first") > 1)
     )
+    first = settled(first.withColumn("_first", F.slice("_first", 1, limit)), settle, "first-of-key")
     asking = new.select(*_MATCHED, F.lit(1).alias("_arrival"))
     found = join_values(asking, _asked_key(), first, "inner").withColumn(
         "_earlier", F.filter("_first", lambda m: m["_order"] < _order())

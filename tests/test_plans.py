@@ -148,11 +148,19 @@ def test_a_small_batch_only_scans_the_stored_invoices(spark, conf):
     columns = ["id", "vendor_name", "total_amount", "invoice_date", "processed_at"]
     stored = materialize(given.invoices(spark, DATA, *columns), "stored")
     batch = materialize(stored.filter("total_amount > 450000"), "batch")
-    plan = first_plan(mark_duplicates(batch, stored, settle=True))
-    semi = plan[plan.index("LeftSemi"):]
-    assert "BroadcastHashJoin" in plan[: plan.index("LeftSemi")].splitlines()[-1]
+    plans = {}
+
+    def settle(df, name):
+        plans[name] = first_plan(df)
+        return materialize(df, name)
+
+    marked = mark_duplicates(batch, stored, settle)
+    filed = plans["first-of-key"]
+    semi = filed[filed.index("LeftSemi"):]
+    assert "BroadcastHashJoin" in filed[: filed.index("LeftSemi")].splitlines()[-1]
     # The first side of the semi-join, the stored rows, reaches it without an exchange.
     assert semi.index("FileScan") < semi.index("Exchange")
+    assert "Exchange hashpartitioning" not in first_plan(marked)
 
 
 def test_few_duplicates_leave_whole_rows_in_place(spark):
