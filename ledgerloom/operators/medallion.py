@@ -1,6 +1,5 @@
 """Landing, bronze and silver steps."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import money_avg, money_sum
@@ -18,13 +17,13 @@ from ledgerloom.sources.tables import settled
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def with_audit_columns(df):
-    """Add the time of ingestion and the file each row came from (null if it came from none)."""
-    try:
-        audited = df.withColumn("_source_file", F.col("_metadata.file_path"))
-    except AnalysisException:
-        audited = df.withColumn("_source_file", F.lit(None).cast("string"))
-    return audited.withColumn("_ingested_at", F.current_timestamp())
+def with_audit_columns(df, from_files=True):
+    """Add the time of ingestion and the file each row came from.
+
+    Rows have a file only straight from a file scan; it is null with `from_files` off.
+    """
+    file = F.col("_metadata.file_path") if from_files else F.lit(None).cast("string")
+    return df.withColumns({"_source_file": file, "_ingested_at": F.current_timestamp()})
 
 
 def cleanse(df):

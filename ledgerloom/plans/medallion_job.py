@@ -5,8 +5,9 @@ from ledgerloom.operators.medallion import bronze, silver, with_audit_columns
 from ledgerloom.sources.tables import read_table, write_table, zone_path
 
 
-def run_medallion(spark, invoices, base, fmt="parquet"):
-    """Rebuild every zone below `base` from the invoice records.
+def run_medallion(spark, invoices, base, fmt="parquet", from_files=True):
+    """Rebuild every zone below `base` from the invoice records; turn `from_files` off when these
+    are not a plain file scan.
 
     Returns path and row count of every table. Each zone is written once and read back by the next
     one, so a lost executor costs at most the running stage's work and the gold tables read only the
@@ -19,7 +20,7 @@ def run_medallion(spark, invoices, base, fmt="parquet"):
         done[name] = (path, write_table(df, path, fmt))
         return read_table(spark, path, fmt)
 
-    raw = store("landing", "raw_invoices", with_audit_columns(invoices))
+    raw = store("landing", "raw_invoices", with_audit_columns(invoices, from_files))
     clean = store("bronze", "invoices_bronze", bronze(raw, settle=True))
     enriched = store("silver", "invoices_silver", silver(clean, settle=True))
     for name, build in GOLD_TABLES.items():

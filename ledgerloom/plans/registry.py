@@ -194,7 +194,8 @@ def anomaly_summary(spark, sf_dir):
 @query
 def medallion_batch(spark, sf_dir):
     """The whole batch job, written zone by zone; one row per table with the rows it holds."""
-    done = run_medallion(spark, invoices(spark, sf_dir), work_path(spark, "zones"))
+    rows = invoices(spark, sf_dir)
+    done = run_medallion(spark, rows, work_path(spark, "zones"), from_files=False)
     counts = [
         tables.read_table(spark, path).agg(
             F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")

@@ -9,7 +9,7 @@ from ledgerloom.plans import given
 from ledgerloom.plans.medallion_job import run_medallion
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import work_path
-from ledgerloom.sources.tables import read_table
+from ledgerloom.sources.tables import materialize, read_table
 from tests.conftest import DATA, first_plan
 
 
@@ -142,17 +142,20 @@ def test_audit_columns(spark, tmp_path):
     spark.range(3).write.parquet(path)
     from_file = medallion.with_audit_columns(spark.read.parquet(path)).collect()
     assert all(path in r["_source_file"] and r["_ingested_at"] for r in from_file)
-    no_file = medallion.with_audit_columns(spark.createDataFrame([(1,)], "a int")).first()
+    rows = spark.createDataFrame([(1,)], "a int")
+    no_file = medallion.with_audit_columns(rows, from_files=False).first()
     assert no_file["_source_file"] is None
 
 
 def test_batch_job_counts_what_it_writes_and_can_run_again(spark):
     base = work_path(spark, "job")
-    rows = given.invoices(spark, DATA)
+    rows = materialize(given.invoices(spark, DATA), "store")
     done = run_medallion(spark, rows, base)
     assert list(done) == ["raw_invoices", "invoices_bronze", "invoices_silver", *gold.GOLD_TABLES]
     for path, count in done.values():
         assert read_table(spark, path).count() == count
+    landed = read_table(spark, done["raw_invoices"][0])
+    assert landed.filter("_source_file is null").count() == 0
     again = run_medallion(spark, rows.filter("user_id = 'user3'"), base)
     assert 0 < again["raw_invoices"][1] < done["raw_invoices"][1]
     assert read_table(spark, again["raw_invoices"][0]).count() == again["raw_invoices"][1]
