@@ -11,6 +11,7 @@ KEY = "corpus-key-1"
 TOKENIZER = "word_bpe_49k.json"
 
 QUERIES = {}
+ORACLE = {}
 
 
 def query(function):
