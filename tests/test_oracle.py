@@ -34,10 +34,10 @@ def _sorted(rows):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.TABLE_QUERIES) == set(entry.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.TABLE_QUERIES))
 def test_query_equals_sql(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)
