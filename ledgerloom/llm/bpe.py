@@ -292,11 +292,11 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", into: str =
     return encoded.withColumn(into, decoded(ids_col, tokenizer))
 
 
-def with_digests(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 (of the decimal ids, joined by a space) and decoded_sha256."""
-    return decode(encoded, tokenizer).select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+def digests(ids_col: str = "ids", decoded_col: str = "decoded"):
+    """Columns n_tokens, ids_sha256 (of the decimal ids, joined by a space) and decoded_sha256."""
+    decimal = F.array_join(F.col(ids_col).cast("array<string>"), " ")
+    return [
+        F.size(ids_col).cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col(decoded_col).cast("binary"), 256).alias("decoded_sha256"),
+    ]

@@ -5,7 +5,19 @@ Each applies one operator, with the parameters it would run with, to its whole t
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, pii, quality_rules, sharding, simhash, toxicity
+from ledgerloom.llm import (
+    bpe,
+    decontaminate,
+    pii,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    training_order,
+)
+from ledgerloom.session import work_path
 
 KEY = "corpus-key-1"
 TOKENIZER = "word_bpe_49k.json"
@@ -72,4 +84,37 @@ def op6_sharding(spark, sf_dir):
 @query
 def op7_bpe(spark, sf_dir):
     path = tokenizer_path()
-    return bpe.with_digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.decode(encoded, path).select("doc_id", *bpe.digests())
+
+
+@query
+def op4_training_order(spark, sf_dir):
+    path = work_path(spark, "training-order")
+    return training_order.materialise(table(spark, sf_dir, "documents"), path, KEY)
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    size = F.octet_length("text").cast("long")
+    return left.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    path = tokenizer_path("piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
