@@ -1,0 +1,43 @@
+import pytest
+
+ODD_TEXTS = [
+    (1, "the quick brown fox jumps over the lazy dog"),
+    (1, "the quick brown fox jumps over the lazy dog"),  # a repeated row
+    (2, "the quick brown fox jumps over the lazy dog"),  # a copy
+    (3, ""),
+    (4, None),
+    (5, " \t\n "),
+    (None, "a row without an id"),
+    (None, None),
+    (6, "ünïcödé ΣΑΣ 漢字 🙂 " * 40),
+    (7, "x" * 5000),
+    (8, "word " * 30000),  # a very long text
+]
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns whose names the operators use too."""
+    rows = [
+        (i, t, n, "u", "v", 1.5) for n, (i, t) in enumerate(ODD_TEXTS)
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, row int, fingerprint string, kept string, score double"
+    )
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, slot string")
+
+
+@pytest.fixture
+def on_files(spark, tmp_path):
+    """A DataFrame as it comes back from files, over several partitions."""
+
+    def write(df, parts=3):
+        path = str(tmp_path / f"table-{id(df)}")
+        df.repartition(parts).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return write

@@ -1,0 +1,93 @@
+import zlib
+
+import numpy as np
+
+from ledgerloom.llm import toxicity
+from ledgerloom.llm.queries import QUERIES
+from tests.conftest import DATA
+
+
+def _texts(n=1500, seed=1):
+    """Toxic only if an insult and a group are there together: neither word tells by itself."""
+    rng = np.random.default_rng(seed)
+    texts, toxic = [], []
+    for _ in range(n):
+        words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in rng.integers(0, 300, 20)]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words += ["vermin"] * insult + ["martians"] * group
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(insult and group)
+    return texts, np.array(toxic)
+
+
+def test_interactions_are_learned():
+    texts, toxic = _texts()
+    model = toxicity.train([np.array(sorted(toxicity.terms_of(t))) for t in texts], toxic)
+    held, truth = _texts(seed=2)
+    predicted = np.array([model.score(t) for t in held]) >= 0.7
+    assert (predicted == truth).mean() > 0.97
+    # The pair scores more than its parts add up to.
+    logit = lambda t: np.log(model.score(t) / (1 - model.score(t)))
+    alone = logit("vermin") + logit("martians") - logit("")
+    assert logit("vermin martians") > alone + 1
+
+
+def test_score_equals_the_sum_over_pairs():
+    texts, toxic = _texts(400)
+    model = toxicity.train([np.array(sorted(toxicity.terms_of(t))) for t in texts], toxic)
+    for text in texts[:20]:
+        found = [model.place[t] for t in toxicity.terms_of(text) if t in model.place]
+        logit = model.bias + sum(model.weights[i] for i in found)
+        logit += sum(
+            float(model.factors[i] @ model.factors[j]) for n, i in enumerate(found) for j in found[:n]
+        )
+        assert abs(model.score(text) - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_no_labels_or_one_kind():
+    model = toxicity.train([], np.array([]))
+    assert model.score("any text") == model.score(None) == 0.5
+    model = toxicity.train([np.array([1, 2])] * 30, np.ones(30))
+    assert model.score("any text") > 0.9
+
+
+def test_query_holds_out_a_third(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op3_toxicity"](spark, DATA).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_held_out_labels_do_not_matter(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    flipped = labels.toPandas()
+    out = [zlib.crc32(str(i).encode()) % 3 == 1 for i in flipped.doc_id]
+    flipped.loc[out, "toxic"] = 1 - flipped.loc[out, "toxic"]
+    a, b = toxicity.learn(docs, labels), toxicity.learn(docs, spark.createDataFrame(flipped))
+    assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
+def test_held_out_accuracy(spark):
+    """Trained on the rest of the labels, scored on the held-out third of a larger table."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = QUERIES["op3_toxicity"](spark, sf_dir).filter("held_out").join(labels, "doc_id").toPandas()
+    toxic = rows[rows.toxic == 1]
+    assert (toxic.predicted == 1).mean() > 0.85
+    assert (rows[rows.toxic == 0].predicted == 1).mean() < 0.005
+
+
+def test_odd_rows(odd, empty):
+    texts, toxic = _texts(300)
+    model = toxicity.train([np.array(sorted(toxicity.terms_of(t))) for t in texts], toxic)
+    rows = toxicity.score_documents(odd, model).collect()
+    assert len(rows) == odd.count()
+    assert {r.score for r in rows if r.doc_id in (3, 4, 5)} == {model.score("")}
+    assert not any(r.held_out for r in rows if r.doc_id is None)
+    kept = toxicity.without_toxic(odd, model)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert toxicity.score_documents(empty, model).count() == 0

@@ -1,0 +1,81 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import training_order as order
+from tests.conftest import DATA
+
+
+def _texts(index, path):
+    """The documents put together from the files."""
+    tokens, found = dict(order.read_sequences(path)), {}
+    for r in index.collect():
+        sequence = tokens[r.slot]
+        assert zlib.crc32(sequence.tobytes()) == r.crc32
+        part = sequence[r.position : r.position + r.n_tokens].tobytes()
+        found.setdefault(r.doc_id, []).append((r.doc_begin, part))
+    return {i: b"".join(p for _, p in sorted(parts)) for i, parts in found.items()}, tokens
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_files_hold_every_document_in_keyed_order(spark, tmp_path, on_files, scheme):
+    docs = on_files(spark.read.parquet(f"{DATA}/documents.parquet"), 4)
+    path = f"{scheme}{tmp_path}/out"
+    index = order.materialise(docs, path, "k", length=512, shard_sequences=100)
+    texts, tokens = _texts(index, path)
+    assert texts == {r.doc_id: r.text.encode() + b"\xff" for r in docs.collect()}
+    manifest = order.read_manifest(path)
+    assert sorted(tokens) == list(range(manifest["sequences"]))
+    sizes = sorted((tmp_path / "out" / "shards").iterdir())
+    assert [p.name for p in sizes] == [order.shard_name(i) for i in range(manifest["shards"])]
+    assert [p.stat().st_size for p in sizes[:-1]] == [512 * 100] * (manifest["shards"] - 1)
+    # Sequences of a document lie far apart.
+    slots = [r.slot for r in index.orderBy("doc_id", "doc_begin").collect()]
+    assert np.mean(np.abs(np.diff(slots)) <= 1) < 0.4
+
+
+def test_reading_goes_on_at_any_slot(spark, tmp_path, on_files):
+    path = str(tmp_path / "out")
+    order.materialise(on_files(spark.read.parquet(f"{DATA}/documents.parquet")), path, "k", shard_sequences=16)
+    whole = list(order.read_sequences(path))
+    for first in (0, 15, 16, 33, len(whole)):
+        rest = list(order.read_sequences(path, first))
+        assert [s for s, _ in rest] == list(range(first, len(whole)))
+        assert all((a == b).all() for (_, a), (_, b) in zip(rest, whole[first:]))
+    assert [s for s, _ in order.read_sequences(path, 14, 4)] == [14, 15, 16, 17]
+
+
+def test_order_follows_the_key_and_repeats(spark, tmp_path, on_files):
+    docs = on_files(spark.read.parquet(f"{DATA}/documents.parquet"))
+    read = lambda key, name: {
+        (r.doc_id, r.doc_begin): r.slot
+        for r in order.materialise(docs, str(tmp_path / name), key).collect()
+    }
+    first = read("k", "a")
+    assert first == read("k", "b") and first != read("other", "c")
+
+
+def test_another_reading_fails_rather_than_write(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="read the same way"):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        TaskContext._taskContext = type("T", (), {"partitionId": lambda self: 0})()
+        try:
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"abc"])], ["doc_id", "text"])
+            list(order._pack(iter([batch]), 8, {0: (0, 5)}, 5, "k"))
+        finally:
+            TaskContext._taskContext = None
+
+
+def test_odd_rows(odd, empty, tmp_path, on_files):
+    docs = on_files(odd)
+    index = order.materialise(docs, str(tmp_path / "odd"), "k", length=64)
+    _, tokens = _texts(index, str(tmp_path / "odd"))
+    data = sum((x[x != order.PAD]).size for x in tokens.values())
+    assert data == sum(len((r.text or "").encode()) + 1 for r in docs.collect())
+    marks = sum((x == order.END).sum() for x in tokens.values())
+    assert marks == odd.count()
+    assert order.materialise(empty, str(tmp_path / "empty"), "k").count() == 0
+    assert list(order.read_sequences(str(tmp_path / "empty"))) == []
