@@ -154,7 +154,9 @@ def _grow(table, bad, rows, names):
         best = (1e-9, None)
         for name in names:
             values = table[name][here]
-            cuts = np.unique(np.quantile(values, np.linspace(0, 1, THRESHOLDS + 2)[1:-1]))
+            # Bad texts may be rare, so their own quantiles are tried too.
+            steps = np.linspace(0, 1, THRESHOLDS + 2)[1:-1]
+            cuts = np.unique(np.quantile(values, steps).tolist() + np.quantile(values[y], steps).tolist())
             order = np.argsort(values, kind="stable")
             ranked = np.concatenate([[0], np.cumsum(y[order])])
             at = np.searchsorted(values[order], cuts)

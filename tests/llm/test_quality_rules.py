@@ -83,8 +83,8 @@ def test_pruning_drops_conditions_that_do_not_help():
 
 def test_expression_equals_the_rules(spark):
     """The Spark expression decides as the rules do on the same numbers."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rules = q.learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = q.learn(docs, labels)
     assert rules
     measured = q._with_statistics(docs, "text").select(
         *[c.alias(n) for n, c in q.features().items()], q.verdict(rules).alias("keep")
@@ -99,11 +99,11 @@ def test_expression_equals_the_rules(spark):
 
 def test_verdicts_agree_with_held_out_labels(spark):
     """Learned on one half of the labels, right on the other."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     rules = q.learn(docs, labels.filter(half))
     rows = q.apply_rules(docs, rules).join(labels.filter(~half), "doc_id").filter("NOT base_failed").toPandas()
-    assert len(rows) > 100
+    assert len(rows) > 1000
     assert (rows["kept"] == (rows["quality"] > 0)).mean() > 0.93
 
 

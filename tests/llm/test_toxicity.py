@@ -77,7 +77,7 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = QUERIES["op3_toxicity"](spark, sf_dir).filter("held_out").join(labels, "doc_id").toPandas()
     toxic = rows[rows.toxic == 1]
-    assert (toxic.predicted == 1).mean() > 0.85
+    assert (toxic.predicted == 1).mean() > 0.8
     assert (rows[rows.toxic == 0].predicted == 1).mean() < 0.005
 
 
