@@ -75,7 +75,7 @@ def parse_float(c):
 
 
 def document_id(*parts):
-    """Parts joined by `|`, every other special character replaced by `_`."""
+    """Parts joined by `|`, every other special character replaced by `_`. Fixed value: the pattern."""
     joined = F.concat_ws("|", *[_col(p) for p in parts])
     return F.regexp_replace(joined, r"[^a-zA-Z0-9_\-|.]", "_")
 

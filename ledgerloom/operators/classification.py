@@ -84,8 +84,9 @@ def anomaly_flags(amount, purchase_order, date, vendor_average):
     )
 
 
-def anomaly_rules(df, settle=True):
-    """Add `rule_flags`; the vendor's average is over all invoices given."""
+def anomaly_rules(df, settle=False):
+    """Add `rule_flags`; the vendor's average is over all invoices given (`settle` as in
+    `with_group_values`)."""
     return (
         with_group_values(df, ["vendor_name"], settle, _average=money_avg("total_amount"))
         .withColumn(

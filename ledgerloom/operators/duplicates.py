@@ -4,9 +4,10 @@ An invoice repeats an earlier one when the vendor is equal, the amount is equal
 invoice has none, and the date is equal unless the new invoice has none. "Earlier" is the order of
 `(processed_at, id)`; invoices stored before count as earlier than all new ones.
 
-Which columns must agree thus depends on the new invoice alone. Each invoice is filed under every key
-a later one could ask with (at most four), the first ones are kept per key, and each new invoice joins
-the single key it asks with. No pair of invoices is ever formed.
+Which columns must agree thus depends on the new invoice alone. Each invoice is filed under the full
+key, and under the wider ones (without amount, date or both) that somebody asks with, the first ones
+are kept per key, and each new invoice joins the single key it asks with. No pair of invoices is ever
+formed.
 """
 
 from pyspark.sql import functions as F
@@ -49,14 +50,26 @@ def _asked_key():
     )
 
 
+def _asked(new, which):
+    asking = keyed(new.filter(which), _asked_key()).filter(F.col(KEY).isNotNull())
+    return asking.select(*GROUP).distinct()
+
+
 def asked_keys(new):
     """The keys the new invoices ask with."""
-    return keyed(new, _asked_key()).filter(F.col(KEY).isNotNull()).select(*GROUP).distinct()
+    return _asked(new, F.lit(True))
+
+
+def _wide_keys(new):
+    """Those of them that leave out the amount or the date; few invoices lack these."""
+    return _asked(new, F.col("total_amount").isNull() | ~present("invoice_date"))
 
 
-def _filed(df, new, *carried):
-    """One row per key an invoice can be found under; `_asks` marks the one a new invoice asks with."""
+def _entries(df, new, *carried):
+    """The keys each invoice can be found under, the full key and the wider ones, as two tables;
+    `_asks` marks the key a new invoice asks with."""
     amount, date = F.col("total_amount").isNotNull(), present("invoice_date")
+    rows = df.filter(present("vendor_name")).withColumn("_arrival", F.lit(int(new)))
 
     def entry(with_amount, with_date):
         has = (amount if with_amount else F.lit(True)) & (date if with_date else F.lit(True))
@@ -64,36 +77,49 @@ def _filed(df, new, *carried):
         asks = lacks if new else F.lit(False)
         return F.when(has, F.struct(_key(with_amount, with_date).alias(KEY), asks.alias("_asks")))
 
-    entries = F.array(
-        entry(True, True), entry(True, False), entry(False, True), entry(False, False)
-    )
-    return (
-        df.filter(present("vendor_name"))
-        .withColumn("_arrival", F.lit(int(new)))
-        .select(_order().alias("_order"), *carried, F.inline(F.array_compact(entries)))
-        .withColumn(HASH, F.xxhash64(KEY))
-    )
+    def under(*entries):
+        keys = F.inline(F.array_compact(F.array(*entries)))
+        return rows.select(_order().alias("_order"), *carried, keys).withColumn(HASH, F.xxhash64(KEY))
 
+    return under(entry(True, True)), under(entry(True, False), entry(False, True), entry(False, False))
 
-def _all_filed(new, stored, settle, *carried):
+
+def key_table(records):
+    """Every key a stored record can be found under, with its place in the order: what a store keeps
+    beside its records so that later invoices are compared with narrow rows."""
+    full, wide = _entries(records, False)
+    return full.unionByName(wide).select(*GROUP, "_order")
+
+
+def _all_filed(new, stored, settle, filed, *carried):
     """New invoices, and the stored ones somebody asks for, under their keys."""
-    rows = _filed(new, True, *carried)
-    if stored is None:
+    wide_keys = settled(_wide_keys(new), settle, "asked-wide-keys")
+
+    def of(df, is_new):
+        full, wide = _entries(df, is_new, *carried)
+        return full.unionByName(join_keyed(wide, wide_keys, "left_semi"))
+
+    rows = of(new, True)
+    if stored is None and filed is None:
         return rows
     asked = settled(asked_keys(new), settle, "asked-keys")
-    return rows.unionByName(join_keyed(_filed(stored, False, *carried), asked, "left_semi"))
+    old = filed(asked).withColumn("_asks", F.lit(False)) if filed else of(stored, False)
+    return rows.unionByName(join_keyed(old, asked, "left_semi"))
 
 
-def mark_duplicates(new, stored=None, settle=False):
+def mark_duplicates(new, stored=None, settle=False, filed=None):
     """Add `has_earlier_match` to the new invoices.
 
     They are compared with the stored invoices, if given, and with each other in order. Only keys
     that somebody asks with and that hold two invoices or more take part in the join; with few
     duplicates these are few. With `settle` they are written first, as are the keys a batch asks
     with, so that neither the new nor the stored rows move.
+
+    A store that keeps a `key_table` gives `filed` in place of its invoices: a function from the
+    asked keys to the part of the table that can hold them.
     """
     first = (
-        _all_filed(new, stored, settle)
+        _all_filed(new, stored, settle, filed)
         .groupBy(*GROUP)
         .agg(
             F.min("_order").alias("_first"),
@@ -112,12 +138,13 @@ def mark_duplicates(new, stored=None, settle=False):
     )
 
 
-def flag_duplicates(new, stored=None, settle=False):
+def flag_duplicates(new, stored=None, settle=False, filed=None):
     """Set `is_likely_duplicate` and add the flag for invoices that repeat an earlier one.
 
-    Invoices the classifier already called duplicates are left as they are.
+    Invoices the classifier already called duplicates are left as they are. The arguments are those
+    of `mark_duplicates`.
     """
-    marked = mark_duplicates(new, stored, settle)
+    marked = mark_duplicates(new, stored, settle, filed)
     hit = F.col("has_earlier_match") & ~F.coalesce("is_likely_duplicate", F.lit(False))
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     known = F.coalesce(F.array_contains(flags, POTENTIAL_DUPLICATE), F.lit(False))
@@ -138,7 +165,7 @@ def duplicate_matches(new, stored=None, limit=5, settle=False):
     later one sees them all, one of them sees those before itself.
     """
     shown = F.struct("invoice_number", "total_amount", "invoice_date").alias("_shown")
-    filed = _all_filed(new, stored, settle, shown)
+    filed = _all_filed(new, stored, settle, None, shown)
     # A key with a single invoice matches nobody, so two are needed to tell.
     first = (
         first_n_per_key(filed, GROUP, ["_order", "_shown"], max(limit, 2))

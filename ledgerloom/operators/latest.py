@@ -3,6 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.lookup import GROUP, group_values, join_values
+from ledgerloom.sources.tables import settled
+
 
 def row_hash(df, exclude=()):
     """Hash over all columns, the last tie-break between rows of one key."""
@@ -23,3 +26,17 @@ def first_n_per_key(df, keys, order, n):
     """The first `n` rows of each key, with their rank from 1 in `rank`."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+
+
+def first_per_repeated_key(df, keys, order, settle):
+    """The same as `first_per_key`, for stored tables in which few keys have several rows.
+
+    Keys with several rows are found from the key columns alone and written (`settle`). Only rows of
+    these keys move; all others pass straight through as long as Spark finds the written keys small
+    enough to broadcast, and meet them in a sort-merge join otherwise.
+    """
+    repeated = group_values(df, keys, _n=F.count(F.lit(1))).filter("_n > 1").select(*GROUP)
+    repeated = settled(repeated, settle, "repeated-keys")
+    key = F.struct(*keys)
+    copies = first_per_key(join_values(df, key, repeated, "left_semi"), keys, order)
+    return join_values(df, key, repeated, "left_anti").unionByName(copies)

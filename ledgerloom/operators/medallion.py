@@ -9,12 +9,8 @@ from ledgerloom.functions.normalize import (
     iso_date,
     iso_timestamp,
 )
-from ledgerloom.operators.latest import first_per_key, row_hash
+from ledgerloom.operators.latest import first_per_key, first_per_repeated_key, row_hash
 from ledgerloom.operators.lookup import with_group_values
-from ledgerloom.sources.tables import settled
-
-# Ids sent to every executor at most; beyond that de-duplication moves all rows.
-MAX_BROADCAST_IDS = 1_000_000
 
 
 def with_audit_columns(df, from_files=True):
@@ -50,17 +46,12 @@ def deduplicate(df, settle=False):
     """One row per id: the latest by `processed_at_ts`, ties settled by a hash of the row.
 
     In one plan every row moves to the task of its id. With `settle`, for stored tables, the ids
-    that occur more than once are found from the id column alone and written. When they are at most
-    `MAX_BROADCAST_IDS`, only their rows move and all others pass straight through.
+    that occur more than once are found from the id column alone and written, and only their rows
+    move.
     """
     order = [F.col("processed_at_ts").desc_nulls_last(), row_hash(df)]
     if settle:
-        repeated = df.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_id"))
-        repeated = settled(repeated, settle, "repeated-ids")
-        if repeated.count() <= MAX_BROADCAST_IDS:
-            ids, same = F.broadcast(repeated), F.col("id").eqNullSafe(F.col("_id"))
-            copies = first_per_key(df.join(ids, same, "left_semi"), ["id"], order)
-            return df.join(ids, same, "left_anti").unionByName(copies)
+        return first_per_repeated_key(df, ["id"], order, settle)
     return first_per_key(df, ["id"], order)
 
 

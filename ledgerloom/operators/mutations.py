@@ -26,11 +26,12 @@ def _aligned(df, fields):
 
 
 def upsert_latest(stored, incoming, keys=("id", "user_id"), sequence="processed_at", settle=False):
-    """Merge incoming rows into a table with one row per key; the later one by `sequence` stays.
+    """Merge incoming rows into a table; of each key they name one row stays, the later by `sequence`.
 
-    At equal sequence the incoming row wins; incoming rows that tie are told apart by a hash. With
-    `settle` the incoming rows are written first and the joins are planned from their real size: a
-    small batch is broadcast and the stored rows stay where they are.
+    At equal sequence the incoming row wins; rows that tie are told apart by a hash. Stored rows of
+    other keys are left as they are. With `settle` the incoming rows are written first and the joins
+    are planned from their real size: a small batch is broadcast and the stored rows stay where they
+    are, but for those of the keys named.
     """
     fields = [*stored.schema, *[f for f in incoming.schema if f.name not in stored.columns]]
     stored, incoming = _aligned(stored, fields), _aligned(incoming, fields)
@@ -39,17 +40,18 @@ def upsert_latest(stored, incoming, keys=("id", "user_id"), sequence="processed_
     new = keyed(newest, F.struct(*keys)).select(*GROUP, F.struct(*stored.columns).alias("_new"))
     new = settled(new, settle, "incoming")
 
-    later = F.col("_new").isNotNull() & (
-        F.col(sequence).isNull() | F.coalesce(F.col("_new")[sequence] >= F.col(sequence), F.lit(False))
-    )
-    replaced = join_values(stored, F.struct(*keys), new).select(
-        *[F.when(later, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in stored.columns]
-    )
     listed = new.select(*GROUP)
-    known = keyed(stored.select(*keys), F.struct(*keys)).select(*GROUP)
-    known = join_keyed(known, listed, "left_semi").distinct()
-    added = join_keyed(new, known, "left_anti").select("_new.*")
-    return replaced.unionByName(added)
+    named = join_values(stored, F.struct(*keys), listed, "left_semi")
+    order = [F.col(sequence).desc_nulls_last(), row_hash(stored)]
+    current = keyed(first_per_key(named, list(keys), order), F.struct(*keys))
+    current = current.select(*GROUP, F.struct(*stored.columns).alias("_old"))
+    old, fresh = F.col("_old")[sequence], F.col("_new")[sequence]
+    stays = F.col("_old").isNotNull() & old.isNotNull() & (fresh.isNull() | (fresh < old))
+    merged = join_keyed(new, current).select(
+        F.when(stays, F.col("_old")).otherwise(F.col("_new")).alias("_row")
+    )
+    others = join_values(stored, F.struct(*keys), listed, "left_anti")
+    return others.unionByName(merged.select("_row.*"))
 
 
 def changes_per_key(changes, columns, sequence):

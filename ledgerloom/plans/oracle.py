@@ -4,10 +4,53 @@ They restate the rules on their own: duplicates by `EXISTS`, per-vendor figures
 a recursive query, search scores by a join of words.
 """
 
-from ledgerloom.operators.classification import KEYWORD_RULES
-from ledgerloom.plans.given import ITEM_WORDS
-from ledgerloom.plans.registry import SEARCH_QUERY, USER
-from ledgerloom.schemas import SPEND_CATEGORIES
+USER = "user3"
+SEARCH_QUERY = "theron ouan sharon: eneux"
+
+SPEND_CATEGORIES = [
+    "IT",
+    "Marketing",
+    "Facilities",
+    "Travel",
+    "HR",
+    "Legal",
+    "Consulting",
+    "Supplies",
+    "Utilities",
+    "Other",
+]
+ITEM_WORDS = [
+    "laptop",
+    "advertising",
+    "cleaning",
+    "flight",
+    "recruiting",
+    "contract review",
+    "advisory",
+    "paper",
+    "electricity",
+    "sundry",
+]
+KEYWORD_RULES = [
+    ("software", "IT", 3),
+    ("laptop", "IT", 2),
+    ("advertising", "Marketing", 3),
+    ("campaign", "Marketing", 2),
+    ("cleaning", "Facilities", 3),
+    ("rent", "Facilities", 1),
+    ("flight", "Travel", 3),
+    ("hotel", "Travel", 2),
+    ("recruiting", "HR", 3),
+    ("training", "HR", 1),
+    ("contract review", "Legal", 3),
+    ("attorney", "Legal", 3),
+    ("advisory", "Consulting", 3),
+    ("consulting", "Consulting", 2),
+    ("paper", "Supplies", 2),
+    ("toner", "Supplies", 3),
+    ("electricity", "Utilities", 3),
+    ("water", "Utilities", 1),
+]
 
 
 def _list(values):
@@ -239,13 +282,16 @@ chunks AS (SELECT {key}, chunk_id, content FROM cut WHERE chunk_id >= 0)"""
 
 _DOCUMENTS = (
     """
-texts AS (SELECT id, raw_text AS text, row_number() OVER () AS row_id FROM inv),"""
-    + _chunks("texts", "row_id, id")
+once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY processed_at DESC) AS rn
+                 FROM inv) WHERE rn = 1),
+texts AS (SELECT id, raw_text AS text FROM once),"""
+    + _chunks("texts", "id")
     + """,
 search_docs AS (
   SELECT c.id || ':' || chunk_id AS id, c.id AS invoice_id, CAST(chunk_id AS VARCHAR) AS chunk_id,
          content, vendor_name, invoice_number, spend_category, invoice_date, total_amount, user_id
-  FROM chunks c JOIN (SELECT DISTINCT ON (id) * FROM inv) i ON i.id = c.id)"""
+  FROM chunks c JOIN once i ON i.id = c.id)"""
 )
 
 _QUERY_WORDS = "".join(c if c.isalnum() else " " for c in SEARCH_QUERY.lower()).split()
@@ -332,6 +378,18 @@ _CONTEXT_ITEM = (
     "|| {unit_price} || ' | amount=' || {amount}"
 ).format(**{name: f"({sql})" for name, sql in _I.items()})
 
+_RECORDS = f"""
+described AS (
+  SELECT sha256('uploads|' || a.blob_path) AS id, 0 AS copy_number, a.user_id, a.source,
+    a.blob_path, CASE WHEN x.id IS NULL THEN 'failed' ELSE 'processed' END AS status,
+    x.vendor_name, x.invoice_date, x.total_amount, x.currency, x.page_count, x.purchase_order,
+    x.raw_text, a.e % 2 AS delivery,
+    lower(concat_ws(' ', x.vendor_name, {_item_list(_I["description"], " ")})) AS txt
+  FROM accepted a LEFT JOIN (SELECT DISTINCT * FROM extracted) x
+    ON x.id = CAST(a.e AS VARCHAR) AND a.e % 13 <> 0
+  WHERE NOT a.url_only),
+records AS (SELECT * FROM {_rules("described")} WHERE best = 1)"""
+
 ORACLE = {
     "scan_invoices": _inv(f"""
 SELECT {_INVOICE_FLAT}, tags, notes, CAST({_ITEMS} AS INTEGER) AS item_count,
@@ -382,17 +440,30 @@ SELECT id, vendor_name_clean, total_amount, spend_category,
   CAST(invoice_date_parsed AS VARCHAR) AS invoice_date_parsed, anomaly_flags, anomaly_count,
   is_likely_duplicate, coalesce(above, FALSE) AS is_high_value
 FROM silver WHERE anomaly_count > 0"""),
-    "medallion_batch": _silver("""
-SELECT 'raw_invoices' AS table_name, count(*) AS row_count FROM inv
-UNION ALL SELECT 'invoices_bronze', count(*) FROM bronze
-UNION ALL SELECT 'invoices_silver', count(*) FROM silver
-UNION ALL SELECT 'spend_by_category', count(*) FROM
-  (SELECT DISTINCT fiscal_year, fiscal_month, spend_category FROM silver)
-UNION ALL SELECT 'vendor_analysis', count(*) FROM
-  (SELECT DISTINCT vendor_name_clean, spend_category FROM silver)
-UNION ALL SELECT 'monthly_trend', count(*) FROM
-  (SELECT DISTINCT fiscal_year, fiscal_month FROM silver)
-UNION ALL SELECT 'anomaly_summary', count(*) FROM silver WHERE anomaly_count > 0"""),
+    "medallion_batch": _silver(f"""
+SELECT 'raw_invoices' AS table_name, user_id AS key, count(*) AS number,
+  {_sum("total_amount")} AS amount, TRUE AS counted FROM inv GROUP BY user_id
+UNION ALL SELECT 'invoices_bronze', user_id, count(*), {_sum("total_amount")}, TRUE
+  FROM bronze GROUP BY user_id
+UNION ALL SELECT 'invoices_silver', concat_ws('|', vendor_name_clean), count(*),
+  {_sum("total_amount")}, TRUE FROM silver GROUP BY 2
+UNION ALL SELECT 'spend_by_category', concat_ws('|', fiscal_year, fiscal_month, spend_category),
+  count(id), {_sum("total_amount")}, TRUE FROM silver GROUP BY fiscal_year, fiscal_month, spend_category
+UNION ALL SELECT 'vendor_analysis', concat_ws('|', vendor_name_clean, spend_category), count(id),
+  {_sum("total_amount")}, TRUE FROM silver GROUP BY vendor_name_clean, spend_category
+UNION ALL SELECT 'monthly_trend', concat_ws('|', fiscal_year, fiscal_month), count(id),
+  {_sum("total_amount")}, TRUE FROM silver GROUP BY fiscal_year, fiscal_month
+UNION ALL SELECT 'anomaly_summary', id, CAST(anomaly_count AS BIGINT), total_amount, TRUE
+  FROM silver WHERE anomaly_count > 0"""),
+    "gold_ordered": _silver("""
+SELECT row_number() OVER (ORDER BY fiscal_year NULLS FIRST, fiscal_month NULLS FIRST,
+                          spend_category NULLS FIRST) AS place, *
+FROM (SELECT fiscal_year, fiscal_month, spend_category, count(id) AS invoice_count
+      FROM silver GROUP BY fiscal_year, fiscal_month, spend_category)"""),
+    "gold_ordered_by_spend": _silver(f"""
+SELECT row_number() OVER (ORDER BY total_spend DESC NULLS LAST) AS place, total_spend
+FROM (SELECT {_sum("total_amount")} AS total_spend
+      FROM silver GROUP BY vendor_name_clean, spend_category)"""),
     "spend_summary_category": _summary("spend_category"),
     "spend_summary_vendor": _summary("vendor_name"),
     "spend_summary_month": _summary("substring(invoice_date, 1, 7)"),
@@ -415,6 +486,13 @@ FROM (SELECT *, total / CAST(sum(CAST(total AS DECIMAL(18,2))) OVER () AS DOUBLE
 SELECT id, vendor_name AS vendor, total_amount AS amount, spend_category AS category,
   invoice_date AS date, status
 FROM inv WHERE user_id = '{USER}' ORDER BY processed_at DESC, id LIMIT 20 OFFSET 40"""),
+    "list_invoices_after": _inv(f""",
+last AS (SELECT processed_at AS t, id AS i FROM inv WHERE user_id = '{USER}'
+         ORDER BY processed_at DESC, id LIMIT 1 OFFSET 14)
+SELECT id, vendor_name AS vendor, total_amount AS amount, spend_category AS category,
+  invoice_date AS date, status
+FROM inv, last WHERE user_id = '{USER}' AND (processed_at < t OR (processed_at = t AND id > i))
+ORDER BY processed_at DESC, id LIMIT 20"""),
     "recent_invoices": _inv(f"""
 SELECT id, coalesce(nullif(vendor_name, ''), 'Unknown') AS vendor_name, total_amount,
   coalesce(nullif(spend_category, ''), 'N/A') AS spend_category,
@@ -478,7 +556,7 @@ SELECT DISTINCT id, user_id, processed_at, status, total_amount FROM inv"""),
     "failed_records": f"""
 WITH {_EVENTS}
 SELECT sha256('uploads|' || blob_path) AS id, user_id, source, blob_path, 'failed' AS status,
-  correlation_id FROM accepted
+  correlation_id, TRUE AS has_time FROM accepted
 WHERE e % 13 = 0 OR e NOT IN (SELECT o_orderkey FROM orders)""",
     "apply_updates": _inv("""
 SELECT id, user_id, status,
@@ -496,6 +574,17 @@ SELECT doc_id, chunk_id, length(content) AS chars, md5(content) AS content_md5 F
         "SELECT * REPLACE (md5(content) AS content) FROM search_docs", _DOCUMENTS
     ),
     "search_invoices": _inv(_bm25(), _DOCUMENTS),
+    "index_write": _inv(
+        "SELECT * REPLACE (md5(content) AS content) FROM search_docs",
+        _DOCUMENTS.replace(
+            "SELECT id, raw_text AS text FROM once",
+            "SELECT id, CASE WHEN k % 5 = 0 THEN substring(raw_text, 1, 100) ELSE raw_text END AS text "
+            "FROM once",
+        ),
+    ),
+    "stored_text_cut": _inv("""
+SELECT id, md5(substring(raw_text, 1, 10000)) AS text_md5,
+  length(substring(raw_text, 1, 10000)) AS chars FROM inv"""),
     "vector_topk": """
 WITH parts AS (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -605,24 +694,60 @@ SELECT id, user_id, source, blob_path, status, vendor_name, invoice_date, total_
        THEN upper(trim(currency)) ELSE 'USD' END AS currency,
   CASE WHEN status = 'processed' THEN rule_category END AS spend_category,
   CASE WHEN status = 'processed' THEN hit END AS is_likely_duplicate,
-  CASE WHEN status = 'failed' THEN NULL WHEN hit THEN 'potential_duplicate' ELSE '' END
-    AS anomaly_flags, page_count
-FROM (SELECT *, EXISTS (SELECT 1 FROM records e WHERE e.id < n.id
+  CASE WHEN status = 'processed' THEN concat_ws(',',
+    CASE WHEN total_amount > 3 * a THEN 'unusually_high_amount' END,
+    CASE WHEN total_amount <> 0 AND total_amount % 100 = 0 THEN 'round_number' END,
+    CASE WHEN dayofweek(TRY_CAST(invoice_date AS DATE)) IN (0, 6) THEN 'weekend_date' END,
+    CASE WHEN coalesce(purchase_order, '') = '' THEN 'missing_po' END,
+    CASE WHEN hit THEN 'potential_duplicate' END) END AS anomaly_flags, page_count
+FROM (SELECT *,
+        (SELECT {_sum("v.total_amount")} / count(v.total_amount) FROM records v
+         WHERE v.status = 'processed' AND v.delivery <= n.delivery
+           AND v.vendor_name = n.vendor_name) AS a,
+        EXISTS (SELECT 1 FROM records e WHERE (e.delivery, e.id) < (n.delivery, n.id)
         AND n.vendor_name = e.vendor_name AND n.vendor_name <> ''
         AND (n.total_amount IS NULL OR n.total_amount = e.total_amount)
         AND (n.invoice_date = '' OR n.invoice_date = e.invoice_date)) AS hit
       FROM records n)""",
         _EXTRACTED,
         _EVENTS,
-        f"""
-described AS (
-  SELECT sha256('uploads|' || a.blob_path) AS id, 0 AS copy_number, a.user_id, a.source,
-    a.blob_path, CASE WHEN x.id IS NULL THEN 'failed' ELSE 'processed' END AS status,
-    x.vendor_name, x.invoice_date, x.total_amount, x.currency, x.page_count,
-    lower(concat_ws(' ', x.vendor_name, {_item_list(_I["description"], " ")})) AS txt
-  FROM accepted a LEFT JOIN (SELECT DISTINCT * FROM extracted) x
-    ON x.id = CAST(a.e AS VARCHAR) AND a.e % 13 <> 0
-  WHERE NOT a.url_only),
-records AS (SELECT * FROM {_rules("described")} WHERE best = 1)""",
+        _RECORDS,
     ),
+    "stream_index": _inv(
+        """
+SELECT r.id || ':' || chunk_id AS id, r.id AS invoice_id, CAST(chunk_id AS VARCHAR) AS chunk_id,
+  md5(content) AS content, vendor_name, user_id
+FROM chunks JOIN described r USING (id)""",
+        _EXTRACTED,
+        _EVENTS,
+        _RECORDS,
+        "texts AS (SELECT id, raw_text AS text FROM described WHERE status = 'processed')",
+        _chunks("texts", "id"),
+    ),
+    "stream_retry": _inv(
+        "SELECT id, user_id, blob_path, status, vendor_name, total_amount FROM described",
+        _EXTRACTED,
+        _EVENTS,
+        _RECORDS,
+    ),
+    "intake_malformed": """
+SELECT '{broken ' || event_id AS value FROM events WHERE event_id % 50 = 3""",
+    "file_listing": """
+SELECT CAST(s_nationkey AS INTEGER) AS nation,
+  md5(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS content_md5,
+  CAST(sum(strlen(s_name) + 1) AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS content_type,
+  TRUE AS has_etag
+FROM supplier GROUP BY s_nationkey""",
+    "export_csv": _inv("""
+SELECT id, customer_name, total_amount,
+  CASE WHEN k % 11 = 0 THEN NULL WHEN k % 8 = 0 THEN '["round_number","missing_po"]'
+       WHEN k % 4 = 0 THEN '["round_number"]' ELSE '[]' END AS anomaly_flags
+FROM inv"""),
+    "export_json": _inv("SELECT id, customer_name, total_amount, anomaly_flags FROM inv"),
+    "mailbox_filter": """
+SELECT event_id, 'User' || (user_id % 7) || '@x.example' AS sender,
+  CASE event_id % 8 WHEN 1 THEN 'file.PDF' WHEN 2 THEN 'file.png' ELSE 'file.pdf' END AS filename,
+  CAST(round(value * 100000) AS BIGINT) AS size_bytes
+FROM events
+WHERE event_id % 8 IN (0, 1, 2, 6, 7) AND user_id % 7 <> 3 AND round(value * 100000) <= 5242880""",
 }

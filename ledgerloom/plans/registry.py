@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import intake as intake_rules
+from ledgerloom.functions.money import money_sum
 from ledgerloom.functions.normalize import (
     document_id,
     normalize_currency,
@@ -131,15 +132,9 @@ def _silver(spark, sf_dir):
     return medallion.silver(medallion.bronze(invoices(spark, sf_dir, *SILVER_INPUT)))
 
 
-def _stored_silver(spark, sf_dir):
-    """Silver from stored bronze, for queries that show vendor totals."""
-    clean = medallion.bronze(invoices(spark, sf_dir, *SILVER_INPUT))
-    return medallion.silver(tables.materialize(clean, "bronze"), settle=True)
-
-
 @query
 def silver(spark, sf_dir):
-    return _stored_silver(spark, sf_dir).select(
+    return _silver(spark, sf_dir).select(
         "id",
         "vendor_name_clean",
         "fiscal_year",
@@ -154,7 +149,7 @@ def silver(spark, sf_dir):
 
 @query
 def silver_vendor_window(spark, sf_dir):
-    return _stored_silver(spark, sf_dir).select(
+    return _silver(spark, sf_dir).select(
         "id",
         "vendor_name_clean",
         "vendor_invoice_count",
@@ -182,7 +177,7 @@ def monthly_trend(spark, sf_dir):
 
 @query
 def anomaly_summary(spark, sf_dir):
-    result = gold.anomaly_summary(_stored_silver(spark, sf_dir))
+    result = gold.anomaly_summary(_silver(spark, sf_dir))
     return result.withColumns(
         {
             "invoice_date_parsed": F.col("invoice_date_parsed").cast("string"),
@@ -193,16 +188,60 @@ def anomaly_summary(spark, sf_dir):
 
 @query
 def medallion_batch(spark, sf_dir):
-    """The whole batch job, written zone by zone; one row per table with the rows it holds."""
+    """The whole batch job, written zone by zone: what the written tables hold. Zone tables show count
+    and amount per user or vendor, gold tables each of their rows; `counted` says whether the write
+    counted the rows that a reader finds."""
     rows = invoices(spark, sf_dir)
     done = run_medallion(spark, rows, work_path(spark, "zones"), from_files=False)
-    counts = [
-        tables.read_table(spark, path).agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")
+    shown = {
+        "raw_invoices": ("total_amount", None, ["user_id"]),
+        "invoices_bronze": ("total_amount", None, ["user_id"]),
+        "invoices_silver": ("total_amount", None, ["vendor_name_clean"]),
+        "spend_by_category": (
+            "total_spend", "invoice_count", ["fiscal_year", "fiscal_month", "spend_category"],
+        ),
+        "vendor_analysis": ("total_spend", "invoice_count", ["vendor_name_clean", "spend_category"]),
+        "monthly_trend": ("total_spend", "invoice_count", ["fiscal_year", "fiscal_month"]),
+        "anomaly_summary": ("total_amount", "anomaly_count", ["id"]),
+    }
+    parts = []
+    for name, (path, counted) in done.items():
+        amount, number, keys = shown[name]
+        table = tables.read_table(spark, path)
+        key = F.concat_ws("|", *keys).alias("key")
+        if number is None:
+            held = table.groupBy(key).agg(
+                F.count(F.lit(1)).alias("number"), money_sum(amount).alias("amount")
+            )
+        else:
+            number = F.col(number).cast("bigint").alias("number")
+            held = table.select(key, number, F.col(amount).alias("amount"))
+        found = table.agg(F.count(F.lit(1))).scalar()
+        parts.append(
+            held.select(F.lit(name).alias("table_name"), "*", (found == counted).alias("counted"))
         )
-        for name, (path, _) in done.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def gold_ordered(spark, sf_dir):
+    """Spend by category in report order, with the place of each row."""
+    rows = gold.ordered(gold.spend_by_category(_silver(spark, sf_dir)), "spend_by_category")
+    return _placed(rows).select(
+        "place", "fiscal_year", "fiscal_month", "spend_category", "invoice_count"
+    )
+
+
+@query
+def gold_ordered_by_spend(spark, sf_dir):
+    """The vendors' totals from the largest down."""
+    rows = gold.ordered(gold.vendor_analysis(_silver(spark, sf_dir)), "vendor_analysis")
+    return _placed(rows).select("place", "total_spend")
+
+
+def _placed(rows):
+    """Number the rows of a sorted report, in the order they come."""
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 # Reports ------------------------------------------------------------------------------------------
@@ -265,6 +304,15 @@ def list_invoices(spark, sf_dir):
     return reports.invoice_lines(reports.list_invoices(rows, USER, offset=40, limit=20))
 
 
+@query
+def list_invoices_after(spark, sf_dir):
+    """The page behind the fifteenth invoice, named by its time and id."""
+    rows = invoices(spark, sf_dir, *REPORT_INPUT)
+    last = reports.list_invoices(rows, USER, offset=14, limit=1).first()
+    page = reports.list_invoices(rows, USER, limit=20, after=(last["processed_at"], last["id"]))
+    return reports.invoice_lines(page)
+
+
 @query
 def recent_invoices(spark, sf_dir):
     rows = invoices(spark, sf_dir, *REPORT_INPUT)
@@ -337,9 +385,10 @@ def duplicate_matches(spark, sf_dir):
 
 @query
 def upsert_latest(spark, sf_dir):
-    """Invoices above 100,000 are stored as processing, then all final records arrive."""
+    """Invoices above 100,000 are stored as processing, some of them twice, then all final records
+    arrive."""
     columns = ["id", "user_id", "processed_at", "status", "total_amount"]
-    first = invoices(spark, sf_dir, *columns, copies=False)
+    first = invoices(spark, sf_dir, *columns)
     first = first.filter("total_amount > 100000").withColumns(
         {"status": F.lit("processing"), "total_amount": F.lit(None).cast("double")}
     )
@@ -357,7 +406,8 @@ def failed_records(spark, sf_dir):
         intake_rules.stable_id("container_name", "blob_path"),
         intake_rules.utc_now_text(),
     )
-    return records.drop("processed_at")
+    iso = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$"
+    return records.withColumn("has_time", F.col("processed_at").rlike(iso)).drop("processed_at")
 
 
 @query
@@ -378,9 +428,7 @@ def apply_deletes(spark, sf_dir):
 
 @query
 def chunk_text(spark, sf_dir):
-    texts = tables.spread(
-        given.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
-    )
+    texts = given.table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.chunk_text(texts, "text").select(
         "doc_id",
         F.col("chunk_id").cast("bigint").alias("chunk_id"),
@@ -391,37 +439,57 @@ def chunk_text(spark, sf_dir):
 
 SEARCH_INPUT = [
     "id", "raw_text", "vendor_name", "invoice_number", "spend_category", "invoice_date",
-    "total_amount", "user_id",
+    "total_amount", "user_id", "processed_at",
 ]
 
 
+def _documents(spark, sf_dir):
+    rows = invoices(spark, sf_dir, *SEARCH_INPUT)
+    return search.search_documents(rows, sequence="processed_at")
+
+
 @query
 def search_documents(spark, sf_dir):
-    documents = search.search_documents(invoices(spark, sf_dir, *SEARCH_INPUT))
-    return documents.withColumn("content", F.md5("content"))
+    return _documents(spark, sf_dir).withColumn("content", F.md5("content"))
 
 
 @query
 def search_invoices(spark, sf_dir):
-    documents = search.search_documents(invoices(spark, sf_dir, *SEARCH_INPUT))
-    return search.search_invoices(documents, SEARCH_QUERY)
+    return search.search_invoices(_documents(spark, sf_dir), SEARCH_QUERY)
+
+
+@query
+def index_write(spark, sf_dir):
+    """All documents are indexed, then every fifth order again with a text cut short."""
+    path = work_path(spark, "index")
+    tables.write_index(_documents(spark, sf_dir), path)
+    rows = invoices(spark, sf_dir, *SEARCH_INPUT)
+    fifth = F.substring_index("id", "-", 1).cast("bigint") % 5 == 0
+    again = search.cut_stored_text(rows.filter(fifth), 100)
+    tables.write_index(search.search_documents(again, sequence="processed_at"), path)
+    return tables.read_index(spark, path).withColumn("content", F.md5("content"))
+
+
+@query
+def stored_text_cut(spark, sf_dir):
+    rows = search.cut_stored_text(invoices(spark, sf_dir, "id", "raw_text"))
+    return rows.select(
+        "id", F.md5("raw_text").alias("text_md5"), F.char_length("raw_text").cast("bigint").alias("chars")
+    )
 
 
 def _label_centres(vectors):
-    """Mean vector per label, as query vectors. There are as many as labels, a handful."""
+    """Mean vector per label, as query vectors."""
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("decimal(18,9)")).alias("m"))
-    rows = means.groupBy("label").agg(
-        F.sort_array(F.collect_list(F.struct("i", F.col("m").cast("double").alias("m")))).alias("v")
-    )
-    return {row["label"]: [part["m"] for part in row["v"]] for row in rows.toLocalIterator()}
+    ordered = F.sort_array(F.collect_list(F.struct("i", F.col("m").cast("double").alias("m"))))
+    return means.groupBy(F.col("label").alias("query_id")).agg(ordered["m"].alias("vector"))
 
 
 @query
 def vector_topk(spark, sf_dir):
     vectors = given.table(spark, sf_dir, "embeddings")
-    centres = _label_centres(vectors)
-    found = search.vector_topk(vectors, centres, 10, "vec_id", "embedding")
+    found = search.vector_topk(vectors, _label_centres(vectors), 10, "vec_id", "embedding")
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -546,22 +614,43 @@ def _run(stream):
     return stream
 
 
-def _write_events(spark, sf_dir, path):
-    events = given.file_events(spark, sf_dir)
-    events.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+def _write_events(events, path):
+    events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+
+def _start_intake(spark, base):
+    return intake.start_intake(
+        spark, f"{base}/events", f"{base}/queue", f"{base}/checkpoint", CONTAINER
+    )
 
 
 def _intake_queue(spark, sf_dir):
     base = work_path(spark, "intake")
-    _write_events(spark, sf_dir, f"{base}/events")
-    _run(
-        intake.start_intake(
-            spark, f"{base}/events", f"{base}/queue", f"{base}/checkpoint", CONTAINER
-        )
-    )
+    _write_events(given.file_events(spark, sf_dir), f"{base}/events")
+    _run(_start_intake(spark, base))
     return base
 
 
+def _processed(spark, sf_dir, results=None):
+    """Events to queue to records in two deliveries, the even event ids and then the odd ones, each a
+    micro-batch of its own."""
+    base = work_path(spark, "intake")
+    events = given.file_events(spark, sf_dir)
+    if results is None:
+        results = tables.materialize(given.stored_results(spark, sf_dir), "results")
+    for rest in (0, 1):
+        _write_events(events.filter(F.col("id").cast("bigint") % 2 == rest), f"{base}/events")
+        _run(_start_intake(spark, base))
+        _run(_start_processing(spark, base, results))
+    return base
+
+
+def _start_processing(spark, base, results):
+    return processing.start_processing(
+        spark, f"{base}/queue", f"{base}/store", f"{base}/process", results
+    )
+
+
 @query
 def intake_stream(spark, sf_dir):
     base = _intake_queue(spark, sf_dir)
@@ -594,14 +683,8 @@ def landing_incremental(spark, sf_dir):
 
 @query
 def process_stream(spark, sf_dir):
-    """File events to queue to invoice records, every step as a stream."""
-    base = _intake_queue(spark, sf_dir)
-    results = tables.materialize(given.stored_results(spark, sf_dir), "results")
-    _run(
-        processing.start_processing(
-            spark, f"{base}/queue", f"{base}/store", f"{base}/process", results
-        )
-    )
+    """File events to queue to invoice records, every step as a stream, in two deliveries."""
+    base = _processed(spark, sf_dir)
     return processing.current_invoices(spark, f"{base}/store").select(
         "id",
         "user_id",
@@ -617,3 +700,105 @@ def process_stream(spark, sf_dir):
         joined("anomaly_flags"),
         "page_count",
     )
+
+
+@query
+def stream_index(spark, sf_dir):
+    """The search documents that the stream wrote."""
+    base = _processed(spark, sf_dir)
+    documents = processing.read_documents(spark, f"{base}/store")
+    return documents.select(
+        "id", "invoice_id", "chunk_id", F.md5("content").alias("content"), "vendor_name", "user_id"
+    )
+
+
+@query
+def stream_retry(spark, sf_dir):
+    """At first every third file has no result and fails; when all results are there, the failed
+    files are queued again and processed."""
+    results = tables.materialize(given.stored_results(spark, sf_dir), "results")
+    early = results.filter(F.crc32(F.col("blob_path").cast("binary")) % 3 != 0)
+    base = _processed(spark, sf_dir, early)
+    processing.retry_failed(spark, f"{base}/store", results, f"{base}/retries", CONTAINER)
+    _run(
+        processing.start_processing(
+            spark, f"{base}/retries", f"{base}/store", f"{base}/retry-checkpoint", results
+        )
+    )
+    return processing.current_invoices(spark, f"{base}/store").select(
+        "id", "user_id", "blob_path", "status", "vendor_name", "total_amount"
+    )
+
+
+@query
+def intake_malformed(spark, sf_dir):
+    """Event files in which every 50th line is broken: what the second sink keeps."""
+    base = work_path(spark, "intake")
+    events = given.file_events(spark, sf_dir)
+    _write_events(events, f"{base}/events")
+    broken = events.filter(F.col("id").cast("bigint") % 50 == 3)
+    broken.select(F.concat(F.lit("{broken "), "id")).write.mode("append").text(f"{base}/events")
+    _run(_start_intake(spark, base))
+    _run(intake.start_malformed(spark, f"{base}/events", f"{base}/kept", f"{base}/kept-checkpoint"))
+    return spark.read.schema("value string").parquet(f"{base}/kept")
+
+
+# Files --------------------------------------------------------------------------------------------
+
+
+@query
+def file_listing(spark, sf_dir):
+    """A file of supplier names per nation: contents as bytes, and properties."""
+    path = work_path(spark, "files")
+    suppliers = given.table(spark, sf_dir, "supplier")
+    sorted_names = suppliers.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    sorted_names.select("s_name", "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    folder = F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("int")
+    contents = files.read_files(spark, path, "*.txt").select(
+        folder.alias("nation"), F.md5("content").alias("content_md5")
+    )
+    properties = files.file_properties(spark, path, "*.txt").select(
+        F.regexp_extract("name", "s_nationkey=([0-9]+)", 1).cast("int").alias("nation"),
+        "size",
+        "content_type",
+        (F.length("etag") == 32).alias("has_etag"),
+    )
+    return contents.join(properties, "nation")
+
+
+EXPORT_INPUT = ["id", "customer_name", "total_amount", "anomaly_flags"]
+
+
+@query
+def export_csv(spark, sf_dir):
+    path = work_path(spark, "csv")
+    tables.export_data(invoices(spark, sf_dir, *EXPORT_INPUT), path)
+    schema = "id string, customer_name string, total_amount double, anomaly_flags string"
+    return spark.read.schema(schema).options(header=True, escape='"').csv(path)
+
+
+@query
+def export_json(spark, sf_dir):
+    path = work_path(spark, "json")
+    tables.export_data(invoices(spark, sf_dir, *EXPORT_INPUT), path, "json")
+    schema = "id string, customer_name string, total_amount double, anomaly_flags array<string>"
+    return spark.read.schema(schema).json(path).withColumn("anomaly_flags", joined("anomaly_flags"))
+
+
+@query
+def mailbox_filter(spark, sf_dir):
+    """Attachments of up to 5 MiB from all senders but one, of two types."""
+    events = given.table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("User"), F.col("user_id") % 7, F.lit("@x.example")).alias("sender")
+    )
+    paths = given.file_events(spark, sf_dir).select(
+        F.col("id").cast("bigint").alias("event_id"),
+        F.substring_index("data.url", "/", -1).alias("filename"),
+        F.col("data.contentLength").alias("size_bytes"),
+    )
+    return files.filter_attachments(
+        events.join(paths, "event_id"),
+        blocked_senders=["user3@x.example"],
+        allowed_types=[".pdf", "png"],
+        max_mb=5,
+    )

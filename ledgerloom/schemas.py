@@ -4,7 +4,6 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DoubleType,
-    FloatType,
     IntegerType,
     LongType,
     StringType,
@@ -43,7 +42,8 @@ LINE_ITEM = _struct(
     tax=_DBL,
 )
 
-# The master invoice record: the declared columns plus the six the record carries besides.
+# The master invoice record: the declared columns plus the six the record carries besides. Fixed
+# values: names, order and types.
 INVOICE = _struct(
     id=_STR,
     user_id=_STR,
@@ -78,7 +78,7 @@ INVOICE = _struct(
     notes=_STR,
 )
 
-# Queue message, one per accepted file.
+# Queue message, one per accepted file. Names, order and types.
 MESSAGE = _struct(
     blob_path=_STR,
     container_name=_STR,
@@ -90,12 +90,13 @@ MESSAGE = _struct(
     file_size_bytes=LongType(),
 )
 
-# File event as delivered by the storage notification.
+# File event as delivered by the storage notification. Names. The length is read as
+# text and parsed with the library's own rule.
 EVENT = _struct(
     id=_STR,
     subject=_STR,
     eventType=_STR,
-    data=_struct(url=_STR, contentType=_STR, contentLength=LongType()),
+    data=_struct(url=_STR, contentType=_STR, contentLength=_STR),
 )
 
 # Model reply arguments.
@@ -153,18 +154,3 @@ EXTRACTION = _struct(
     ),
     _corrupt=_STR,
 )
-
-# One chunk of an invoice's text as written to the search index.
-SEARCH_CHUNK = _struct(
-    id=_STR,
-    invoice_id=_STR,
-    chunk_id=_STR,
-    content=_STR,
-    vendor_name=_STR,
-    invoice_number=_STR,
-    spend_category=_STR,
-    invoice_date=_STR,
-    total_amount=_DBL,
-    user_id=_STR,
-    content_vector=ArrayType(FloatType()),
-)

@@ -1,6 +1,5 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,18 +22,12 @@ def build_session(app_name="ledgerloom", master=None, **conf):
 
 
 def shared_dir(spark):
-    """The folder all executors can reach, as named by `spark.checkpoint.dir`.
-
-    Only a local session may go without the setting; it then gets a temporary folder.
-    """
+    """The folder all executors can reach: `spark.checkpoint.dir`, or what `setCheckpointDir` named."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(configured)
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return configured.rstrip("/")
 
 
@@ -47,7 +40,12 @@ def work_path(spark, name):
     return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark, path):
+    """Delete a folder written before, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_work(spark):
     """Delete what this application wrote to the shared folder. Results read from it are gone."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete(spark, _work_folder(spark))

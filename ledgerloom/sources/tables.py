@@ -104,21 +104,36 @@ def settled(df, settle, name):
     return materialize(df, name) if settle else df
 
 
-def spread(df, *keys):
-    """Spread a small scan over all cores before work that is heavy per row.
+INDEX_BUCKETS = 64
 
-    Only a scan that would leave three quarters of the cores idle is moved; any large table has more
-    tasks than that.
+
+def write_index(documents, path, buckets=INDEX_BUCKETS):
+    """Put search documents into the index folder; an invoice written again replaces its documents.
+
+    The index lies in folders by a hash of the invoice's id. Only the folders that the documents
+    belong to are read and replaced, so a small batch leaves most of the index alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 4 > cores:
-        return df
-    return df.repartition(cores, *keys)
+    spark = documents.sparkSession
+    bucket = F.pmod(F.xxhash64("invoice_id"), F.lit(buckets)).cast("int")
+    new = materialize(documents.withColumn("bucket", bucket), "index-new")
+    touched = [row["bucket"] for row in new.select("bucket").distinct().collect()]  # `buckets` at most
+    rows = new
+    if touched and _exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        rows = new.unionByName(old.join(new.select("invoice_id").distinct(), "invoice_id", "left_anti"))
+        # Staged, as the folders read are the ones replaced.
+        rows = materialize(rows, "index-merged")
+    writer = rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
 
+def read_index(spark, path):
+    return spark.read.parquet(path).drop("bucket")
 
-def write_index(documents, path):
-    """Add search documents to the index folder, one sub-folder per spend category."""
-    documents.write.mode("append").partitionBy("spend_category").parquet(path)
+
+def _exists(spark, path):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def export_data(df, path, fmt="csv"):

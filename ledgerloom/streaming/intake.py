@@ -13,7 +13,7 @@ from ledgerloom.functions.intake import (
     stable_id,
     subject_prefix,
 )
-from ledgerloom.functions.normalize import present
+from ledgerloom.functions.normalize import parse_float, present
 from ledgerloom.schemas import EVENT, MESSAGE
 from ledgerloom.streaming import with_trigger
 
@@ -54,7 +54,9 @@ def accept_events(events, container):
         path_upload_id("blob_path").alias("upload_id"),
         stable_id(F.lit("message"), F.lit(container), "blob_path").alias("correlation_id"),
         F.coalesce("data.contentType", F.lit("")).alias("content_type"),
-        F.coalesce("data.contentLength", F.lit(0)).cast("bigint").alias("file_size_bytes"),
+        F.coalesce(
+            parse_float(F.col("data.contentLength").cast("string")).try_cast("bigint"), F.lit(0)
+        ).alias("file_size_bytes"),
     )
 
 
@@ -105,3 +107,21 @@ def start_intake(spark, events_path, queue_path, checkpoint, container, max_file
         .option("checkpointLocation", checkpoint)
     )
     return with_trigger(writer, every).start()
+
+
+def start_malformed(spark, events_path, kept_path, checkpoint, max_files=None, every=None):
+    """The second sink of the intake: lines of event files that are no JSON, kept as they came.
+
+    It reads the same files as `start_intake` under a checkpoint of its own, so neither sink can hold
+    the other up or lose a line of it.
+    """
+    reader = spark.readStream.format("text")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    writer = (
+        malformed_events(reader.load(events_path))
+        .writeStream.format("parquet")
+        .option("path", kept_path)
+        .option("checkpointLocation", checkpoint)
+    )
+    return with_trigger(writer, every).start()

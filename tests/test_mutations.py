@@ -62,6 +62,16 @@ def test_upsert_replaces_whole_records(spark):
     }
 
 
+@pytest.mark.parametrize("settle", [False, True])
+def test_upsert_leaves_one_row_of_a_key_stored_twice(spark, settle):
+    stored = table(spark, [("1", "u", "2024", "a", None, None), ("1", "u", "2024", "b", None, None),
+                           ("2", "u", "2026", "c", None, None), ("2", "u", "2025", "d", None, None),
+                           ("3", "u", "1", "e", None, None), ("3", "u", "1", "e", None, None)])
+    incoming = table(spark, [("1", "u", "2025", "new", None, None), ("2", "u", "2024", "old", None, None)])
+    got = mutations.upsert_latest(stored, incoming, settle=settle).collect()
+    assert sorted((r["id"], r["notes"]) for r in got) == [("1", "new"), ("2", "c"), ("3", "e"), ("3", "e")]
+
+
 def test_upsert_takes_the_incoming_row_at_equal_time(spark):
     stored = table(spark, [("a", "u", "1", "old", None, None), ("b", "u", "5", "kept", None, None)])
     incoming = table(spark, [("a", "u", "1", "new", None, None), ("b", "u", "4", "late", None, None)])

@@ -170,3 +170,22 @@ def test_few_duplicates_leave_whole_rows_in_place(spark):
     plan = first_plan(flag_duplicates(rows, settle=True))
     assert "BroadcastHashJoin" in plan
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_wider_keys_pass_a_semi_join_before_they_are_grouped(spark):
+    """Every invoice is filed under its full key; the others only where somebody asks with them."""
+    columns = ["id", "vendor_name", "total_amount", "invoice_date", "processed_at"]
+    rows = materialize(given.invoices(spark, DATA, *columns), "rows")
+    plans = {}
+
+    def settle(df, name):
+        plans[name] = first_plan(df)
+        return materialize(df, name)
+
+    mark_duplicates(rows, settle=settle)
+    filed = plans["first-of-key"]
+    # Of the two branches of the union, one explodes the full key only, the other meets the semi-join.
+    wide = filed[filed.index("LeftSemi"):]
+    assert "LeftSemi" in filed and "Union" in filed[: filed.index("LeftSemi")]
+    assert "Generate" in filed[filed.index("Union"): filed.index("LeftSemi")]
+    assert "Generate" in wide

@@ -1,6 +1,7 @@
 """Chunks, search documents, keyword search and vector search."""
 
 import math
+import pathlib
 import re
 
 import numpy as np
@@ -10,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import search
-from ledgerloom.sources.tables import read_table, write_index
+from ledgerloom.session import work_path
+from ledgerloom.sources.tables import read_index, read_table, write_index
 
 
 def cut_by_hand(text, size):
@@ -76,9 +78,32 @@ def test_search_documents(spark, tmp_path):
     assert got["i0:0"]["content_vector"] is None
     assert got["i4:0"]["invoice_id"] == "i4"
     path = str(tmp_path / "index")
-    write_index(docs, path)
-    write_index(docs.limit(0), path)
-    assert spark.read.parquet(path).count() == 3
+    for part in (docs, docs.limit(0), docs):
+        write_index(part, path)
+        assert read_index(spark, path).count() == 3
+    # A shorter text leaves no chunk of the longer one behind, and other invoices alone.
+    again = search.search_documents(invoices(spark, ["short"]), vectors)
+    write_index(again, path)
+    assert {r["id"]: r["content"] for r in read_index(spark, path).collect()} == {
+        "i0:0": "short", "i4:0": "b",
+    }
+
+
+@pytest.mark.parametrize("settle", [False, True])
+def test_an_invoice_given_twice_is_one_document(spark, settle):
+    rows = invoices(spark, ["old", "other"]).unionByName(
+        invoices(spark, ["new"]).withColumn("invoice_date", F.lit("2024-02-01"))
+    )
+    docs = search.search_documents(rows, sequence="invoice_date", settle=settle)
+    assert {r["id"]: r["content"] for r in docs.collect()} == {"i0:0": "new", "i1:0": "other"}
+    assert docs.count() == 2
+
+
+def test_search_leaves_nothing_behind(spark):
+    before = set(pathlib.Path(work_path(spark, "x")).parent.glob("search-*"))
+    docs = search.search_documents(invoices(spark, TEXTS))
+    assert search.search_invoices(docs, "paper").count() > 0
+    assert set(pathlib.Path(work_path(spark, "x")).parent.glob("search-*")) == before
 
 
 def test_stored_text_cut(spark):
@@ -142,20 +167,33 @@ def test_vector_search_is_exact(spark):
     rows = [(f"c{i:03d}", v) for i, v in enumerate(stored)]
     rows += [("none", None), ("short", [1.0]), ("zero", [0.0] * 5), ("hole", [None] + [1.0] * 4)]
     df = spark.createDataFrame(rows, "id string, content_vector array<float>").repartition(3)
-    queries = {f"q{i}": [float(x) for x in v] for i, v in enumerate(rng.normal(size=(4, 5)))}
+    queries = {f"q{i}": [float(x) for x in v] for i, v in enumerate(rng.normal(size=(600, 5)))}
     queries["same"] = stored[5]
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, vector array<double>")
 
     vectors = np.array(stored, dtype="float32").astype("float64")
-    for block in (search.MAX_QUERY_VECTORS, 2):
-        search.MAX_QUERY_VECTORS, before = block, search.MAX_QUERY_VECTORS
-        found = search.vector_topk(df, queries, 6).collect()
-        search.MAX_QUERY_VECTORS = before
-        for name, q in queries.items():
-            cos = vectors @ np.array(q) / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(q))
-            best = sorted(zip(-np.round(cos, 6), [r[0] for r in rows], strict=False))[:6]
-            got = sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == name)
-            assert [g[1] for g in got] == [b[1] for b in best]
-            assert [g[2] for g in got] == pytest.approx([-b[0] for b in best])
+    found = {}
+    for r in search.vector_topk(df, asked, 6).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    for name, q in queries.items():
+        cos = vectors @ np.array(q) / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(q))
+        best = sorted(zip(-np.round(cos, 6), [r[0] for r in rows], strict=False))[:6]
+        got = sorted(found[name])
+        assert [g[1] for g in got] == [b[1] for b in best]
+        assert [g[2] for g in got] == pytest.approx([-b[0] for b in best])
+
+
+def test_vector_search_is_one_scan_of_a_bounded_query_set(spark, monkeypatch):
+    df = spark.createDataFrame([("a", [1.0, 0.0])], "id string, content_vector array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, vector array<double>")
+    plan = search.vector_topk(df, asked, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    uneven = asked.unionByName(spark.createDataFrame([("r", [1.0])], asked.schema))
+    with pytest.raises(ValueError, match="one width"):
+        search.vector_topk(df, uneven, 1)
+    monkeypatch.setattr(search, "MAX_QUERY_BYTES", 8)
+    with pytest.raises(ValueError, match="several calls"):
+        search.vector_topk(df, asked, 1)
 
 
 def test_read_table_needs_a_version(spark, tmp_path):

@@ -140,7 +140,8 @@ def test_processing_in_batches_equals_one_batch(spark, results):
     assert {r["spend_category"] for r in trio} == {"Travel"}
     trio.sort(key=lambda r: r["id"])
     assert [r["is_likely_duplicate"] for r in trio] == [False, True, True]
-    assert trio[1]["anomaly_flags"] == ["potential_duplicate"]
+    assert trio[0]["anomaly_flags"] == ["missing_po"]
+    assert trio[1]["anomaly_flags"] == ["missing_po", "potential_duplicate"]
     # No result, and a broken one: reduced records.
     for name in ("u/5/a.pdf", "u/6/a.pdf"):
         kept = {c for c, v in batch[name].asDict().items() if v is not None}
@@ -188,11 +189,85 @@ def test_later_batches_see_stored_invoices_and_redelivery_changes_nothing(spark,
     assert done == {k: v for k, v in second.items() if v["status"] == "processed"}
     assert {k: v["status"] for k, v in third.items()} == {k: v["status"] for k, v in second.items()}
 
+    documents = sorted(r["id"] for r in processing.read_documents(spark, f"{base}/store").collect())
+    assert len(documents) == len(set(documents)) and len(documents) >= len(done)
     processing.compact_store(spark, f"{base}/store", f"{base}/new/store")
     assert current(spark, f"{base}/new") == third
     assert processing.read_store(spark, f"{base}/new/store").count() == 6
 
 
+def test_a_compacted_store_goes_on(spark, results):
+    base = work_path(spark, "t")
+    queue(spark, f"{base}/q", *ALL[:2])
+    run(processing.start_processing(
+        spark, f"{base}/q", f"{base}/old", f"{base}/c", results, processed_at="2024-06-01"))
+    processing.compact_store(spark, f"{base}/old", f"{base}/store")
+    queue(spark, f"{base}/q", *ALL[1:3])
+    run(processing.start_processing(
+        spark, f"{base}/q", f"{base}/store", f"{base}/c", results, processed_at="2024-06-02"))
+    got = current(spark, base)
+    assert len(got) == 3 and got["u/2/a.pdf"]["processed_at"] == "2024-06-01"
+    assert got["u/3/a.pdf"]["is_likely_duplicate"] is True
+    assert processing.read_documents(spark, f"{base}/store").count() == 3
+
+
+def test_a_batch_reads_only_the_folders_it_asks_for(spark, results):
+    base = work_path(spark, "t")
+    queue(spark, f"{base}/q", *ALL)
+    run(processing.start_processing(
+        spark, f"{base}/q", f"{base}/store", f"{base}/c", results, processed_at=NOW))
+    for name in processing.SIDE_TABLES:
+        every = processing.read_side(spark, f"{base}/store", name)
+        buckets = sorted(r["bucket"] for r in every.select("bucket").distinct().collect())
+        assert buckets
+        some = processing.read_side(spark, f"{base}/store", name, buckets[:1])
+        assert all(f"bucket={buckets[0]}/" in f for f in some.inputFiles())
+        assert some.count() == every.filter(F.col("bucket") == buckets[0]).count()
+        assert processing.read_side(spark, f"{base}/store", name, [999]).count() == 0
+
+
+def test_high_amounts_are_flagged_against_earlier_batches(spark):
+    base = work_path(spark, "t")
+    names = [f"u/{n}/a.pdf" for n in range(5)]
+    rows = [(n, result("Shop", 10.0 + i)) for i, n in enumerate(names[:4])]
+    rows.append((names[4], result("Shop", 999.0)))
+    results = spark.createDataFrame(rows, "blob_path string, result string")
+    for part in (names[:4], names[4:]):
+        queue(spark, f"{base}/q", *part)
+        run(processing.start_processing(
+            spark, f"{base}/q", f"{base}/store", f"{base}/c", results, processed_at=NOW))
+    got = current(spark, base)
+    assert got[names[4]]["anomaly_flags"] == ["unusually_high_amount", "missing_po"]
+    assert got[names[0]]["anomaly_flags"] == ["missing_po"]
+
+
+def test_failed_files_are_queued_again_when_their_result_exists(spark, results):
+    base = work_path(spark, "t")
+    queue(spark, f"{base}/q", *ALL[:3])
+    none = results.filter("blob_path = 'u/2/a.pdf'")
+    run(processing.start_processing(spark, f"{base}/q", f"{base}/store", f"{base}/c", none))
+    usable = results.filter("blob_path <> 'u/3/a.pdf'")
+    for expected in (1, 0):
+        assert processing.retry_failed(spark, f"{base}/store", usable, f"{base}/r", "up") == expected
+        run(processing.start_processing(spark, f"{base}/r", f"{base}/store", f"{base}/rc", usable))
+    got = current(spark, base)
+    assert {n: r["status"] for n, r in got.items()} == {
+        ALL[0]: "processed", ALL[1]: "processed", ALL[2]: "failed",
+    }
+
+
+def test_broken_event_lines_go_to_a_sink_of_their_own(spark):
+    base = work_path(spark, "t")
+    lines(spark, json.dumps(event("u/1/a.pdf", contentLength=1.5)), "{broken").write.text(f"{base}/e")
+    for _ in range(2):
+        run(intake.start_intake(spark, f"{base}/e", f"{base}/q", f"{base}/c", "up"))
+        run(intake.start_malformed(spark, f"{base}/e", f"{base}/m", f"{base}/mc"))
+    kept = spark.read.schema("value string").parquet(f"{base}/m").collect()
+    assert [r["value"] for r in kept] == ["{broken"]
+    (message,) = intake.from_queue(spark.read.schema("value string").parquet(f"{base}/q")).collect()
+    assert message["file_size_bytes"] == 1
+
+
 def test_malformed_messages_are_kept(spark, results):
     base = work_path(spark, "t")
     queue(spark, f"{base}/q", ALL[0])

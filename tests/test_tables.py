@@ -141,11 +141,3 @@ def test_work_can_be_cleared(spark):
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert session.work_path(spark, "x") != session.work_path(spark, "x")
-
-
-def test_small_scans_are_spread(spark, tmp_path):
-    path = str(tmp_path / "one")
-    spark.range(100).coalesce(1).write.parquet(path)
-    assert tables.spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == 4
-    wide = spark.range(100).repartition(9)
-    assert tables.spread(wide) is wide
