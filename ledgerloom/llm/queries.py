@@ -17,13 +17,15 @@ from ledgerloom.llm import (
     toxicity,
     training_order,
 )
+from ledgerloom.llm.oracle import ORACLE
 from ledgerloom.session import work_path
 
+__all__ = ["ORACLE", "QUERIES"]
+
 KEY = "corpus-key-1"
 TOKENIZER = "word_bpe_49k.json"
 
 QUERIES = {}
-ORACLE = {}
 
 
 def query(function):

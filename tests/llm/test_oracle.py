@@ -1,0 +1,26 @@
+"""The queries that SQL can express, against their statements in DuckDB."""
+
+import pytest
+
+import __spark_entry__ as entry
+from ledgerloom.llm.queries import ORACLE
+from tests.conftest import DATA
+from tests.test_oracle import TYPES, _sorted, duck  # noqa: F401
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, duck, name):  # noqa: F811
+    result = entry.queries()[name](spark, DATA)
+    columns = sorted(result.columns)
+    got = [tuple(row[c] for c in columns) for row in result.collect()]
+    cursor = duck.execute(entry.oracle_sql()[name])
+    described = {d[0]: str(d[1]) for d in cursor.description}
+    names = [d[0] for d in cursor.description]
+    expected = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()]
+    assert sorted(names) == columns
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in result.schema} == described
+    assert _sorted(got) == _sorted(expected) and got
+
+
+def test_statements_belong_to_registered_queries():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
