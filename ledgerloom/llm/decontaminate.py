@@ -4,12 +4,12 @@ The random walk of Chakraborty, Goldenberg and Koucky reads a string with a shar
 each step it writes the character it stands on and moves on or stays, as the table says for the step
 and the character. Strings a few edits apart fall into step again, so that edit distance becomes
 Hamming distance of the written strings. A key is the characters written at a few sampled steps;
-several walks with other tables give several keys, as many as the target recall needs. Windows of an
-item's size that share a key with an item of that size class are verified by the exact edit distance.
+several walks with other tables give several keys, as many as the target recall needs. A window of an
+item's size that shares a key with the item is verified by the exact edit distance.
 
-Which windows are embedded: an item of L bytes is cut in pieces of 8 bytes. A passage at most t edits
-away holds all but t of them unchanged, on offsets at most 2t apart. Places without that many pieces
-cannot be such a passage and are left out; nothing else is.
+Which windows are embedded, and for which item: an item of L bytes is cut in pieces of 8 bytes. A
+passage at most t edits away holds all but t of them unchanged, on offsets at most 2t apart. Places
+without that many pieces of an item cannot be such a passage and are left out; nothing else is.
 
 The benchmark is the query set and travels to the tasks in blocks of bounded size; documents are read
 where they lie, once for each block, and nothing is shuffled.
@@ -47,7 +47,8 @@ def _size_class(length):
 
 
 def _steps(size_class):
-    return min(2 << size_class, MAX_STEPS)
+    """Steps of a walk: about half of them move on, so it sees the first quarter or half of an item."""
+    return min(1 << size_class, MAX_STEPS)
 
 
 class Walks:
@@ -138,7 +139,8 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._slot(self.keys)] = True
         self.walks = Walks(self._walks_needed())
-        self.buckets = self._bucketed()
+        self.classes = np.array([_size_class(max(n, 1)) for n in sizes], np.int64)
+        self.item_keys = self._keys_of_items()
 
     @staticmethod
     def _slot(keys):
@@ -173,17 +175,15 @@ class Index:
                 return n
         return MAX_WALKS
 
-    def _bucketed(self):
-        buckets = defaultdict(list)
-        for size_class in sorted({_size_class(n) for n in self.sizes if n >= PIECE}):
-            own = [i for i, n in enumerate(self.sizes) if n >= PIECE and _size_class(n) == size_class]
-            data = np.frombuffer(b"".join(self.items[i] for i in own), np.uint8)
-            length = self.sizes[own]
-            keys = self.walks.keys(data, np.cumsum(length) - length, length, size_class)
-            for i, row in zip(own, keys.tolist()):
-                for walk, key in enumerate(row):
-                    buckets[size_class, walk, key].append(i)
-        return dict(buckets)
+    def _keys_of_items(self):
+        out = np.zeros((len(self.items), self.walks.n), np.int64)
+        for size_class in np.unique(self.classes).tolist():
+            own = np.flatnonzero((self.classes == size_class) & (self.sizes >= PIECE))
+            if len(own):
+                data = np.frombuffer(b"".join(self.items[i] for i in own), np.uint8)
+                length = self.sizes[own]
+                out[own] = self.walks.keys(data, np.cumsum(length) - length, length, size_class)
+        return out
 
     def _hits(self, data):
         """(position, item, offset) of all pieces in the bytes."""
@@ -209,7 +209,7 @@ class Index:
         text = np.searchsorted(starts, position, "right") - 1
         begin = position - offset
         order = np.lexsort((begin, item, text))
-        text, item, begin = text[order], item[order], begin[order]
+        text, item, begin, offset = text[order], item[order], begin[order], offset[order]
         # As many pieces as needed lie between a hit and the one `needed - 1` further on.
         reach = np.arange(len(begin)) + self.needed[item] - 1
         inside = reach < len(begin)
@@ -218,13 +218,20 @@ class Index:
         dense &= begin[end] - begin <= 2 * self.edits[item]
         if not dense.any():
             return None
-        # Every hit of a dense stretch proposes its own beginning.
+        # A dense stretch proposes the beginning that its first piece has, for each width of it.
         cover = np.zeros(len(begin) + 1, np.int64)
         np.add.at(cover, np.flatnonzero(dense), 1)
         np.add.at(cover, reach[dense] + 1, -1)
-        chosen = np.cumsum(cover[:-1]) > 0
-        rows = np.stack([text[chosen], item[chosen], begin[chosen]])
-        return np.unique(rows, axis=1)
+        chosen = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        text, item, begin, offset = text[chosen], item[chosen], begin[chosen], offset[chosen]
+        part = begin // (2 * self.edits[item] + 1)
+        order = np.lexsort((offset, part, item, text))
+        first = np.ones(len(order), bool)
+        for column in (text[order], item[order], part[order]):
+            first[1:] &= column[1:] == column[:-1]
+        first[1:] = ~first[1:]
+        order = order[first]
+        return text[order], item[order], begin[order]
 
     def search(self, texts: list[bytes]):
         """For each text its matches (item, edits, begin, end), the best one of each item."""
@@ -237,30 +244,21 @@ class Index:
         text, item, begin = windows
         begin = np.maximum(begin, starts[text])
         length = np.minimum(self.sizes[item], starts[text + 1] - 1 - begin)
-        classes = np.array([_size_class(n) for n in self.sizes])[item]
-        best, seen = {}, set()
+        classes, collide = self.classes[item], np.zeros(len(item), bool)
         for size_class in np.unique(classes).tolist():
             rows = np.flatnonzero(classes == size_class)
             for first in range(0, len(rows), 2048):
                 part = rows[first : first + 2048]
                 keys = self.walks.keys(data, begin[part], length[part], size_class)
-                for row, found in zip(part.tolist(), keys.tolist()):
-                    collided = set()
-                    for walk, key in enumerate(found):
-                        collided.update(self.buckets.get((size_class, walk, key), ()))
-                    for i in collided:
-                        where = int(text[row]), i
-                        pad = 2 * int(self.edits[i]) + 1
-                        a = max(int(starts[where[0]]), int(begin[row]) - pad)
-                        pair = (*where, a // max(1, pad))
-                        if pair in seen:  # a window next to it was compared already
-                            continue
-                        seen.add(pair)
-                        b = min(int(starts[where[0] + 1]) - 1, int(begin[row]) + int(self.sizes[i]) + 2 * pad)
-                        a = max(int(starts[where[0]]), a - pad)
-                        edits, end = best_match(self.items[i], data[a:b].tobytes())
-                        if edits <= self.edits[i] and (edits, a + end) < best.get(where, (1 << 60, 0)):
-                            best[where] = (edits, a + end)
+                collide[part] = (keys == self.item_keys[item[part]]).any(axis=1)
+        best = {}
+        for t, i, at in zip(*(x[collide].tolist() for x in (text, item, begin))):
+            pad = 2 * int(self.edits[i]) + 1
+            a = max(int(starts[t]), at - pad)
+            b = min(int(starts[t + 1]) - 1, at + int(self.sizes[i]) + pad)
+            edits, end = best_match(self.items[i], data[a:b].tobytes())
+            if edits <= self.edits[i] and (edits, a + end) < best.get((t, i), (1 << 60, 0)):
+                best[t, i] = (edits, a + end)
         for (t, i), (edits, end) in sorted(best.items()):
             # The same search backwards from the end gives the beginning.
             a = max(int(starts[t]), end - int(self.sizes[i]) - edits)
@@ -287,7 +285,7 @@ def _searched(text: Column, index) -> Column:
         kind = pa.struct(
             [("item", pa.int32()), ("edits", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())]
         )
-        names = kind.names if hasattr(kind, "names") else [f.name for f in kind]
+        names = ["item", "edits", "begin", "end"]
         return pa.array([[dict(zip(names, m)) for m in found] for found in out], pa.list_(kind))
 
     return of(text)
