@@ -366,6 +366,22 @@ def budgets(spark, sf_dir):
     )
 
 
+def quarter_budgets(spark, sf_dir):
+    """A budget per quarter with processed spend, for every category in it and for all together:
+    100,000, 200,000 or 300,000 by the length of the department's name."""
+    dated = invoices(spark, sf_dir, "status", "invoice_date", "spend_category").filter(
+        "status = 'processed' and invoice_date rlike '^[0-9]{4}-'"
+    )
+    day = F.to_date("invoice_date")
+    period = F.concat(F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string"))
+    departments = F.array_compact(F.array(F.lit("all"), F.col("spend_category")))
+    return (
+        dated.select(period.alias("period"), F.explode(departments).alias("department"))
+        .distinct()
+        .withColumn("amount", 100000.0 * (1 + F.length("department") % 3))
+    )
+
+
 def stored_results(spark, sf_dir):
     """Analysis results per file path for the events' files: order `k` is the document of event
     `k`. Every 13th file has no result."""

@@ -525,6 +525,19 @@ budget AS (
 SELECT period, 'all' AS department, budget, actual,
   CASE WHEN budget <> 0 THEN (actual - budget) / budget * 100 ELSE 0.0 END AS variance_pct
 FROM budget"""),
+    "budget_variance_quarter": _inv(f"""
+, dated AS (
+  SELECT year(CAST(invoice_date AS DATE)) || '-Q' || quarter(CAST(invoice_date AS DATE)) AS period,
+    spend_category, total_amount
+  FROM inv WHERE status = 'processed' AND regexp_matches(invoice_date, '^[0-9]{{4}}-')),
+spent AS (
+  SELECT period, 'all' AS department, {_sum("total_amount")} AS actual FROM dated GROUP BY 1
+  UNION ALL
+  SELECT period, spend_category, {_sum("total_amount")} FROM dated
+  WHERE spend_category IS NOT NULL GROUP BY 1, 2)
+SELECT period, department, budget, coalesce(actual, 0.0) AS actual,
+  (coalesce(actual, 0.0) - budget) / budget * 100 AS variance_pct
+FROM (SELECT *, CAST(100000 * (1 + length(department) % 3) AS DOUBLE) AS budget FROM spent)"""),
     "display_format": _inv(f"""
 SELECT id, coalesce(nullif(vendor_name, ''), 'Unknown') AS vendor_name, invoice_number,
   {_money_text("total_amount", "--")} AS amount,

@@ -356,6 +356,12 @@ def budget_variance(spark, sf_dir):
     return reports.budget_variance(rows, given.budgets(spark, sf_dir))
 
 
+@query
+def budget_variance_quarter(spark, sf_dir):
+    rows = invoices(spark, sf_dir, "status", "invoice_date", "spend_category", "total_amount")
+    return reports.budget_variance(rows, given.quarter_budgets(spark, sf_dir), period="quarter")
+
+
 @query
 def display_format(spark, sf_dir):
     columns = [*REPORT_INPUT, "invoice_number", "classification_confidence"]
@@ -392,7 +398,7 @@ def upsert_latest(spark, sf_dir):
     first = first.filter("total_amount > 100000").withColumns(
         {"status": F.lit("processing"), "total_amount": F.lit(None).cast("double")}
     )
-    return mutations.upsert_latest(first, invoices(spark, sf_dir, *columns))
+    return mutations.upsert_latest(first, invoices(spark, sf_dir, *columns), settle=True)
 
 
 @query
