@@ -15,7 +15,6 @@ The benchmark is the query set and travels to the tasks in blocks of bounded siz
 where they lie, once for each block, and nothing is shuffled.
 """
 
-import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -129,7 +128,11 @@ class Index:
         sizes = np.array([len(x) for x in items], np.int64)
         self.sizes = sizes
         self.edits = np.array([max_edits(n, self.share) for n in sizes], np.int64)
-        pieces = [(x[o : o + PIECE], i, o) for i, x in enumerate(items) for o in range(0, len(x) - PIECE + 1, PIECE)]
+        pieces = [
+            (x[o : o + PIECE], i, o)
+            for i, x in enumerate(items)
+            for o in range(0, len(x) - PIECE + 1, PIECE)
+        ]
         keys = np.frombuffer(b"".join(p[0] for p in pieces), np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]

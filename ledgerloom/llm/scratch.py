@@ -1,4 +1,5 @@
-"""Intermediate tables of one operator call, in the shared folder, removed once they are read."""
+"""Intermediate tables of one operator call, in the shared folder. `session.clear_work` removes what
+results still depend on."""
 
 from pyspark.sql import DataFrame, SparkSession
 

@@ -222,7 +222,8 @@ def _fetch(length, hot):
             for block in blocks:
                 first, count = block["first"], block["count"]
                 if not hot:
-                    found.append((block["anchor"], None, first, count, data[first : first + count + length - 1]))
+                    end = first + count + length - 1
+                    found.append((block["anchor"], None, first, count, data[first:end]))
                     continue
                 for i in range(first, first + count):
                     value = xxhash.xxh3_128_intdigest(data[i : i + length])
