@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import Scratch
+
 MAX_LABELLED = 16_000  # labelled texts to train on; the first by the hash of their id
 BUCKETS = 1 << 24
 PREFIXES = (4, 5, 6)
@@ -81,49 +83,51 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -30.0, 30.0))))
 
 
-def _likelihood_ratio(a, b, n_a, n_b):
-    """2 log(likelihood ratio) of a term in a of n_a and b of n_b texts."""
-
-    def part(observed, expected):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(observed > 0, observed * np.log(observed / expected), 0.0)
+def _part(observed, expected):
+    return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
-    n = n_a + n_b
-    share = (a + b) / n
-    return 2 * (
-        part(a, n_a * share) + part(b, n_b * share)
-        + part(n_a - a, n_a * (1 - share)) + part(n_b - b, n_b * (1 - share))
-    )
 
+def choose_terms(rows: DataFrame) -> DataFrame:
+    """The terms that tell the classes apart: column `term`, at most `MAX_TERMS` rows.
 
-def _choose(indices, owner, toxic):
-    """Buckets that tell the classes apart, sorted; the most significant ones if they are many."""
-    n_toxic = toxic.sum()
-    buckets, at = np.unique(indices, return_inverse=True)
-    all_texts = np.bincount(at, minlength=len(buckets))
-    bad = np.bincount(at, weights=toxic[owner], minlength=len(buckets))
-    value = _likelihood_ratio(bad, all_texts - bad, n_toxic, len(toxic) - n_toxic)
-    value[all_texts < MIN_TEXTS] = 0
-    order = np.lexsort((buckets, -value))[:MAX_TERMS]
-    return np.sort(buckets[order[value[order] >= MIN_SIGNIFICANCE]])
+    `rows` has the columns `label` (0 or 1) and `terms`. A term's weight is the likelihood ratio of
+    its being in a texts of one class and b of the other against its being in both alike.
+    """
+    classes = rows.groupBy().agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("n_toxic")
+    )
+    n, n_toxic = classes.select("n").scalar(), classes.select("n_toxic").scalar()
+    counts = (
+        rows.select("label", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).cast("double").alias("texts"), F.sum("label").cast("double").alias("toxic"))
+        .filter(F.col("texts") >= MIN_TEXTS)
+        .withColumns({"n": n, "n_toxic": n_toxic})
+    )
+    a, all_a, all_b = F.col("toxic"), F.col("n_toxic"), F.col("n") - F.col("n_toxic")
+    b, share = F.col("texts") - a, F.col("texts") / F.col("n")
+    ratio = 2 * (
+        _part(a, all_a * share) + _part(b, all_b * share)
+        + _part(all_a - a, all_a * (1 - share)) + _part(all_b - b, all_b * (1 - share))
+    )
+    chosen = counts.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= MIN_SIGNIFICANCE)
+    return chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term")
 
 
 def train(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
-    """Train on the terms of each text and its label."""
+    """Train on the terms of each text, as chosen, and its label."""
     toxic = np.asarray(toxic, np.float64)
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     bias = float(np.log(rate / (1 - rate)))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     indices = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(lists)), sizes)
-    chosen = _choose(indices, owner, toxic) if len(indices) else np.empty(0, np.int64)
+    chosen = np.unique(indices)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
     if not len(chosen):
         return Model(bias, chosen, w, v)
-    at = np.minimum(np.searchsorted(chosen, indices), len(chosen) - 1)
-    known = chosen[at] == indices
-    at, owner = at[known], owner[known]
+    at = np.searchsorted(chosen, indices)
     starts = np.searchsorted(owner, np.arange(len(lists) + 1))
     sum_b, sum_w, sum_v = 1e-8, np.full(len(w), 1e-8), np.full(v.shape, 1e-8)
     for _ in range(EPOCHS):
@@ -172,7 +176,8 @@ def learn(
 ) -> Model:
     """Train on at most `max_labelled` labelled texts, none of them held out.
 
-    Null labels and ids are left out. Without labels the score is that of the bias, one half.
+    Null labels and ids are left out. Without labels the score is that of the bias, one half. The terms
+    are chosen and counted in Spark; of a text only its chosen terms reach the driver.
     """
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
@@ -182,20 +187,38 @@ def learn(
         .limit(max_labelled)
     )
     # The sample is bounded by `max_labelled` rows of two numbers.
-    rows = (
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", F.xxhash64("text").alias("hash"), terms(F.col("text")).alias("terms"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hash")
+        .select(
+            "doc_id",
+            F.when(F.col("label") > 0, 1).otherwise(0).alias("label"),
+            F.xxhash64("text").alias("hash"),
+            terms(F.col("text")).alias("terms"),
+        )
+    )
+    rows = scratch.store(texts, "texts")
+    telling = F.broadcast(choose_terms(rows))  # `MAX_TERMS` rows
+    found = (
+        rows.select("doc_id", "hash", "label", F.explode("terms").alias("term"))
+        .join(telling, "term")
+        .distinct()
+        .groupBy("doc_id", "hash", "label")
+        .agg(F.sort_array(F.collect_list("term")).alias("found"))
+    )
+    lists = (
+        rows.select("doc_id", "hash", "label")
+        .distinct()  # a repeated row counts once
+        .join(found, ["doc_id", "hash", "label"], "left")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "hash", "label")
         .limit(max_labelled)
-        .toArrow()
+        .select("label", "found")
+        .collect()
     )
-    lists = rows["terms"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
-    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    parts = [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
-    return train(parts, np.asarray(rows["label"].to_pylist(), np.float64) > 0)
+    scratch.drop(rows)
+    parts = [np.array(row["found"] or [], np.int64) for row in lists]
+    return train(parts, np.array([row["label"] for row in lists], np.float64))
 
 
 def scores(text: Column, model: Model) -> Column:
