@@ -4,7 +4,7 @@ Two fingerprints at most `2t` bits apart have a common variant within `t` bits o
 distinct fingerprint emits its ball of radius `t`, equal variants meet in a shuffle, and all that meet
 are linked. For an odd distance `2t + 1` one differing bit is set aside: the 64 bits are cut into
 blocks, each block is masked in turn, and the ball is built on the other bits. Of two fingerprints
-that meet, the masked blocks are compared exactly. With a distance of 3 and four blocks that is 196
+that meet, the masked blocks are compared exactly. With a distance of 3 and three blocks that is 131
 variants for each fingerprint instead of the 2,081 of a ball of radius 2.
 
 Documents are collapsed to distinct fingerprints first, so a group of copies costs one fingerprint.
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.scratch import Scratch
-from ledgerloom.operators.lookup import join_values
+from ledgerloom.operators.lookup import HASH, KEY, join_keyed, join_values, keyed
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
-BLOCKS = 4
+BLOCKS = 3
 HASH_SEED = 42
+_FEW = 16  # fingerprints in a run that are compared one by one
 _SLICE = 1 << 16  # shingles whose bits are counted at once
 _ROWS = 1 << 18  # variants that are compared at once
 
@@ -72,39 +73,39 @@ def _signed(value):
 
 
 def _plan(max_distance, blocks):
-    """(bits kept, tag, bits flipped) of every variant, as three parallel lists of signed longs.
-
-    The tag is the number of the masked block, written into the block itself.
-    """
+    """For each block to mask, or once for none: the bits kept, and the bits that variants flip."""
     if not 0 <= max_distance <= 3:
         raise ValueError("max_distance must be 0 to 3")
+    if not 3 <= blocks <= 8:
+        raise ValueError("blocks must be 3 to 8")
     radius, odd = divmod(max_distance, 2)
-    width = 64 // blocks
-    masked = [((1 << width) - 1) << (width * b) for b in range(blocks)] if odd else [0]
-    keep, flip = [], []
-    for b, block in enumerate(masked):
+    balls = []
+    for low, high in _bounds(blocks) if odd else [(0, 0)]:
+        block = ((1 << (high - low)) - 1) << low
         free = [i for i in range(64) if not block >> i & 1]
-        tag = b << (width * b)
-        for r in range(radius + 1):
-            for bits in combinations(free, r):
-                keep.append(_signed(((1 << 64) - 1) ^ block))
-                flip.append(_signed(tag | sum(1 << i for i in bits)))
-    return keep, flip
+        flips = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(free, r)]
+        balls.append((_signed(((1 << 64) - 1) ^ block), [_signed(x) for x in flips]))
+    return balls
+
+
+def _bounds(blocks):
+    """The first bit of each block and the one behind it."""
+    cuts = [64 * b // blocks for b in range(blocks + 1)]
+    return list(zip(cuts, cuts[1:]))
 
 
 def _variants(prints, max_distance, blocks):
-    keep, flip = _plan(max_distance, blocks)
-    per_block = len(keep) // blocks if max_distance % 2 else len(keep)
-    def ball(first):
-        masked = F.col("fp").bitwiseAND(F.lit(keep[first]))
-        flips = F.array(*[F.lit(x).cast("long") for x in flip[first : first + per_block]])
+    def ball(block, keep, flips):
+        masked = F.col("fp").bitwiseAND(F.lit(keep).cast("long"))
+        flips = F.array(*[F.lit(x).cast("long") for x in flips])
         return prints.select(
             F.explode(F.transform(flips, lambda x: masked.bitwiseXOR(x))).alias("variant"),
-            F.lit(first // per_block).alias("block"),
+            F.lit(block).cast("byte").alias("block"),
             "fp",
         )
 
-    return reduce(DataFrame.unionByName, map(ball, range(0, len(keep), per_block)))
+    balls = [ball(i, *one) for i, one in enumerate(_plan(max_distance, blocks))]
+    return reduce(DataFrame.unionByName, balls)
 
 
 def _search(values, wanted):
@@ -127,31 +128,36 @@ def _links(variant, block, fp, max_distance, blocks):
     if not len(fp):
         return none, none
     odd = max_distance % 2
-    width = 64 // blocks if odd else 0
-    shift = (block * width).astype(np.uint64)
-    ones = np.uint64((1 << width) - 1)
-    cut = ((fp.view(np.uint64) >> shift) & ones).astype(np.int64) if odd else np.zeros_like(run)
+    low, high = np.array(_bounds(blocks) if odd else [(0, 0)], np.uint64).T
+    width = int((high - low).max())
+    shift = low[block]
+    ones = (np.uint64(1) << (high - low)[block]) - np.uint64(1)
+    cut = ((fp.view(np.uint64) >> shift) & ones).astype(np.int64)
     key = (run << width) | cut
     order = np.lexsort((fp, key))
-    key, fp, variant, shift, run = key[order], fp[order], variant[order], shift[order], run[order]
+    key, fp, variant, run = key[order], fp[order], variant[order], run[order]
+    shift, ones = shift[order], ones[order]
     first = np.ones(len(fp), bool)
     first[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     a, b = [fp[~first]], [fp[head[~first]]]
-    if odd:
-        heads, head_fp = key[first], fp[first]
-        for i in range(width):
-            at, found = _search(heads, heads ^ (1 << i))
-            found &= heads < heads ^ (1 << i)
-            a.append(head_fp[found])
-            b.append(head_fp[at[found]])
+    heads, head_fp = key[first], fp[first]
+    for i in range(width):
+        at, found = _search(heads, heads ^ (1 << i))
+        found &= heads < heads ^ (1 << i)
+        a.append(head_fp[found])
+        b.append(head_fp[at[found]])
     if max_distance == 3:
         # All three bits in the masked block: the other bits are equal, so both are their own variant.
-        outside = ~(ones << shift)
-        same = (variant.view(np.uint64) ^ fp.view(np.uint64)) & outside == 0
-        run = run[same]
-        many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
-        own, own_fp = key[same][many], fp[same][many]
+        same = (variant.view(np.uint64) ^ fp.view(np.uint64)) & ~(ones << shift) == 0
+        own, own_fp, own_run = key[same], fp[same], run[same]
+        size = np.bincount(own_run)[own_run] if len(own) else own
+        few = size <= _FEW
+        for lag in range(1, _FEW):
+            pair = np.flatnonzero((own_run[lag:] == own_run[:-lag]) & few[lag:])
+            a.append(own_fp[pair])
+            b.append(own_fp[pair + lag])
+        own, own_fp = own[~few], own_fp[~few]
         if len(own):
             for bits in combinations(range(width), 3):
                 other = own ^ sum(1 << i for i in bits)
@@ -210,6 +216,28 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLO
     )
 
 
+def _components(docs, id_col, text_col, shingle_words, max_distance, blocks, scratch):
+    """(rows, named): doc_id, text_hash and fp of every row of `docs`, and the component of every
+    fingerprint, named by one of its fingerprints. Both are written to the shared folder."""
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        fingerprints(text_col, shingle_words).alias("fp"),
+    )
+    rows = scratch.store(rows, "fingerprints")
+    prints = rows.select("fp").distinct()
+    components = connected_components(links(prints, max_distance, blocks), scratch)
+    named = prints.join(components.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component")
+    )
+    return rows, scratch.store(named, "components")
+
+
+def _with_component(rows, named):
+    """A fingerprint that very many rows have is split over many tasks."""
+    return join_values(rows, F.struct("fp"), named.select(*_keyed("fp"), "component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -226,23 +254,12 @@ def near_duplicates(
     and a component of null ids only has the id null. Other columns of `docs` play no part.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), fingerprints(text_col, shingle_words).alias("fp")
-    )
-    rows = scratch.store(rows, "fingerprints")
+    rows, named = _components(docs, id_col, text_col, shingle_words, max_distance, blocks, scratch)
     smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    components = connected_components(
-        links(smallest.select("fp"), max_distance, blocks), scratch
-    )
-    # A component is named by a fingerprint so far; the smallest document id replaces it.
-    named = smallest.join(components.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
+    named = named.join(smallest, "fp")
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = scratch.store(named.join(ids, "component").select("fp", "component_id"), "names")
-    joined = join_values(
-        rows, F.struct("fp"), named.select(*_keyed("fp"), "component_id"), how="left"
-    )
+    joined = join_values(rows, F.struct("fp"), named.select(*_keyed("fp"), "component_id"))
     return joined.select(
         F.col("doc_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -250,24 +267,33 @@ def near_duplicates(
     )
 
 
-def _keyed(column):
+def _keyed(*columns):
     """The grouping columns that `join_values` expects, for a table with one row per key."""
-    key = F.struct(column)
-    return F.xxhash64(key).alias("_lookup_hash"), key.alias("_lookup_key")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options):
-    """The rows of `docs`, with their own columns, that stand for their near-duplicates: of each
-    component one row with the smallest id. Rows without an id cannot be named by another row and are
-    kept."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.filter(F.col(id_col).isNull() | F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col(id_col).alias("_kept_id")).filter("_kept_id IS NOT NULL").distinct()
-    ids = Scratch(docs.sparkSession, "kept").store(ids, "ids")
-    named = docs.filter(F.col(id_col).isNotNull())
-    unnamed = docs.filter(F.col(id_col).isNull())
-    return (
-        named.join(ids, F.col(id_col) == F.col("_kept_id"), "left_semi")
-        .dropDuplicates([id_col])
-        .unionByName(unnamed)
-    )
+    key = F.struct(*columns)
+    return F.xxhash64(key).alias(HASH), key.alias(KEY)
+
+
+def keep_representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    max_distance: int = MAX_DISTANCE,
+    blocks: int = BLOCKS,
+) -> DataFrame:
+    """The rows of `docs`, with their own columns, that stand for their near-duplicates: one of each
+    component, that with the smallest id, null last; of rows with that id the one with the smallest
+    hash of its text, and of rows equal in both any one."""
+    scratch = Scratch(docs.sparkSession, "simhash-kept")
+    rows, named = _components(docs, id_col, text_col, shingle_words, max_distance, blocks, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = _with_component(rows, named).groupBy("component").agg(F.min(order).alias("first"))
+    kept = kept.select("first.doc_id", "first.text_hash")
+    kept = scratch.store(kept.select(*_keyed("doc_id", "text_hash")).distinct(), "kept")
+    key = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    left = keyed(docs, key)
+    found = join_keyed(left, kept, "left_semi")
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.limit(1).count():
+        found = found.dropDuplicates([HASH, KEY])
+    return found.drop(HASH, KEY)

@@ -43,7 +43,7 @@ def test_fingerprint_equals_the_plain_one():
     assert simhash.fingerprint(None) == 0
 
 
-def _adversarial(seed=1):
+def _adversarial(blocks, seed=1):
     """Families of fingerprints a few bits apart, many of them inside one block."""
     rng = np.random.default_rng(seed)
     out = set()
@@ -54,18 +54,25 @@ def _adversarial(seed=1):
                 value ^= 1 << int(bit)
             out.add(value)
         for _ in range(50):
-            value, block = base, int(rng.integers(0, 4))
-            for bit in rng.integers(0, 16, 3):
-                value ^= 1 << int(16 * block + bit)
+            value, (low, high) = base, simhash._bounds(blocks)[int(rng.integers(0, blocks))]
+            for bit in rng.integers(low, high, 3):
+                value ^= 1 << int(bit)
             out.add(value)
     return np.array(sorted(out), np.uint64)
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3])
-def test_links_join_all_close_fingerprints(spark, distance):
-    prints = _adversarial()
+@pytest.mark.parametrize("distance,blocks,few", [(0, 3, 16), (1, 3, 16), (2, 3, 16), (3, 3, 16), (3, 4, 2)])
+def test_links_join_all_close_fingerprints(spark, monkeypatch, distance, blocks, few):
+    prints = _adversarial(blocks)
     df = spark.createDataFrame([(int(p.astype(np.int64)),) for p in prints], "fp long")
-    found = simhash.links(df, distance).collect()
+    meet = simhash._links
+
+    def links(*args):  # in the task, as the tasks do not see the patch
+        simhash._FEW = few
+        return meet(*args)
+
+    monkeypatch.setattr(simhash, "_links", links)
+    found = simhash.links(df, distance, blocks).collect()
     for a, b in found:
         assert (((a ^ b) & (1 << 64) - 1)).bit_count() <= distance
     got = {r.node: r.component for r in connected_components(
@@ -85,7 +92,7 @@ def test_links_across_batches():
     )
     rows, simhash._ROWS = simhash._ROWS, 3
     try:
-        out = list(simhash._meet(iter([batch(0, 4), batch(4, 8)]), 3, 4))
+        out = list(simhash._meet(iter([batch(0, 4), batch(4, 8)]), 3, 3))
     finally:
         simhash._ROWS = rows
     nodes = {x for b in out for c in b.columns for x in c.to_pylist()}
@@ -125,11 +132,18 @@ def test_odd_rows(odd, empty):
 def test_representatives_keep_their_columns(odd, empty):
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == [1, 3, 6, 7, 8, None, None]
+    rows = sorted(((r.doc_id, (r.text or "")[:5]) for r in kept.collect()), key=str)
+    # 3 stands for all texts without words, that of a row without an id too.
+    assert rows == [(1, "the q"), (3, ""), (6, "ünïcö"), (7, "xxxxx"), (8, "word "), (None, "a row")]
     assert simhash.keep_representatives(empty).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_both_stay(spark):
+    rows = [(1, "one two three four"), (1, "five six seven eight"), (1, "five six seven eight"), (2, "one two three four")]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "five six seven eight"), (1, "one two three four")]
+
+
 def test_distance_is_bounded(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
