@@ -205,9 +205,13 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLO
 
     Not every close pair is listed, but any two close fingerprints are joined by a path of links, and
     every link is a verified pair. More blocks make rarer accidental meetings and more variants.
+
+    A fingerprint of 8 bytes becomes some hundred rows, so the fingerprints are dealt out evenly first:
+    partitions cut by their present size would be far too large afterwards.
     """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        _variants(prints, max_distance, blocks)
+        _variants(prints.repartition(parts), max_distance, blocks)
         .repartition("variant", "block")
         .sortWithinPartitions("block", "variant")
         .select("variant", "block", "fp")
