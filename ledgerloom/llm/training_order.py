@@ -12,16 +12,20 @@ import json
 import re
 import zlib
 from functools import partial
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.feistel import ArrayPermutation
+from ledgerloom.llm.scratch import small_batches
 
 SEQUENCE = 2048  # tokens
 SHARD_SEQUENCES = 8192
+_TOGETHER = 4096  # sequences that are placed at once
 END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never uses
 
 
@@ -34,8 +38,9 @@ def _files(path):
     return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
 
 
-def _pack(batches, length, offsets, n, key):
-    """Sequences with their slots, and the parts of documents that they are made of."""
+def _pack(batches, length, shard_sequences, offsets, n, key):
+    """Sequences with their slots, and the parts of documents that they are made of; those of one shard
+    travel together."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
@@ -46,17 +51,24 @@ def _pack(batches, length, offsets, n, key):
     rows, types = [], None
 
     def batch():
+        """A row for each shard that some of the sequences go to."""
         slots = place(np.arange(number - len(rows), number))
+        shard = slots // shard_sequences
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        groups = [order[a:b] for a, b in zip(cuts, cuts[1:])]
         part = pa.struct(
             [("doc_id", types), ("doc_begin", pa.int64()), ("position", pa.int32()), ("n_tokens", pa.int32())]
         )
+        tokens = [zstandard.compress(b"".join(rows[i][0] for i in g), 3) for g in groups]
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array(slots),
-                pa.array([r[0] for r in rows], pa.binary()),
-                pa.array([r[1] for r in rows], pa.list_(part)),
+                pa.array([int(shard[g[0]]) for g in groups], pa.int32()),
+                pa.array([slots[g] for g in groups], pa.list_(pa.int64())),
+                pa.array(tokens, pa.binary()),
+                pa.array([[rows[i][1] for i in g] for g in groups], pa.list_(pa.list_(part))),
             ],
-            ["slot", "tokens", "parts"],
+            ["shard", "slots", "tokens", "parts"],
         )
         rows.clear()
         return out
@@ -74,7 +86,7 @@ def _pack(batches, length, offsets, n, key):
                 if filled == length:
                     rows.append((bytes(buffer), parts))
                     buffer, parts, filled, number = bytearray(), [], 0, number + 1
-                    if len(rows) >= 1024:
+                    if len(rows) >= _TOGETHER:
                         yield batch()
     if filled:
         rows.append((bytes(buffer).ljust(length, bytes([PAD])), parts))
@@ -92,38 +104,38 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(batches, path, length):
-    """Write the shards of a partition sorted by slot; yields what lies where.
+def _write(batches, path, length, shard_sequences, n):
+    """Put the shards of a partition together and write them; yields what lies where.
 
-    A shard is written beside its place and moved there when it is complete, so a repeated or a
-    second attempt of a task leaves the same file.
+    A task holds one shard at a time. It is written beside its place and moved there when it is
+    complete, so a repeated or a second attempt of a task leaves the same file.
     """
-    from uuid import uuid4
-
     files, root = _files(path)
     files.create_dir(root, recursive=True)
-    shard, stream, temporary = None, None, None
-
-    def close():
-        if stream is not None:
-            stream.close()
-            files.move(temporary, f"{root}/{shard_name(shard)}")
-
+    shards = {}
     for batch in batches:
-        columns = [batch.column(c) for c in ("shard", "slot", "tokens", "offset")]
-        checks = []
-        for own, _, tokens, _ in zip(*(c.to_pylist() for c in columns)):
-            if own != shard:
-                close()
-                shard, temporary = own, f"{root}/_{uuid4().hex}"
-                stream = files.open_output_stream(temporary)
-            stream.write(tokens)
-            checks.append(zlib.crc32(tokens))
+        columns = [batch.column(c).to_pylist() for c in ("shard", "slots", "tokens")]
+        index = []
+        for shard, slots, tokens in zip(*columns):
+            first = shard * shard_sequences
+            if shard not in shards:
+                shards[shard] = bytearray(min(shard_sequences, n - first) * length)
+            tokens = zstandard.decompress(tokens)
+            for i, slot in enumerate(slots):
+                one, offset = tokens[i * length : (i + 1) * length], (slot - first) * length
+                shards[shard][offset : offset + length] = one
+                index.append((shard, slot, offset, zlib.crc32(one)))
+        columns = list(zip(*index)) or [[]] * 4
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
-            [columns[0], columns[1], columns[3], pa.array(checks, pa.int64()), batch.column("parts")],
+            [*(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column("parts").flatten()],
             ["shard", "slot", "offset", "crc32", "parts"],
         )
-    close()
+    for shard, data in shards.items():
+        temporary = f"{root}/_{uuid4().hex}"
+        with files.open_output_stream(temporary) as stream:
+            stream.write(bytes(data))
+        files.move(temporary, f"{root}/{shard_name(shard)}")
 
 
 def materialise(
@@ -148,6 +160,7 @@ def materialise(
     fails rather than write. One number for each partition goes through the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     sizes = given.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(size).alias("bytes")).collect()
@@ -159,24 +172,15 @@ def materialise(
     id_type = given.schema["doc_id"].dataType.simpleString()
     parts = f"array<struct<doc_id: {id_type}, doc_begin: bigint, position: int, n_tokens: int>>"
     packed = given.mapInArrow(
-        partial(_pack, length=length, offsets=offsets, n=n, key=key),
-        f"slot long, tokens binary, parts {parts}",
+        partial(
+            _pack, length=length, shard_sequences=shard_sequences, offsets=offsets, n=n, key=key
+        ),
+        f"shard int, slots array<long>, tokens binary, parts array<{parts}>",
     )
     shards = -(-n // shard_sequences)
-    placed = packed.select(
-        F.floor(F.col("slot") / shard_sequences).cast("int").alias("shard"),
-        "slot",
-        (F.col("slot") % shard_sequences * length).alias("offset"),
-        "tokens",
-        "parts",
-    )
-    written = (
-        placed.repartitionById(max(1, shards), "shard")
-        .sortWithinPartitions("slot")
-        .mapInArrow(
-            partial(_write, path=f"{path}/shards", length=length),
-            f"shard int, slot long, offset long, crc32 long, parts {parts}",
-        )
+    written = packed.repartitionById(max(1, shards), "shard").mapInArrow(
+        partial(_write, path=f"{path}/shards", length=length, shard_sequences=shard_sequences, n=n),
+        f"shard int, slot long, offset long, crc32 long, parts {parts}",
     )
     written.select("shard", "slot", "offset", "crc32", F.explode("parts").alias("p")).select(
         F.col("p.doc_id").alias("doc_id"), "p.doc_begin", "p.position", "p.n_tokens", "slot", "shard",

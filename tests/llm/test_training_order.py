@@ -64,7 +64,7 @@ def test_another_reading_fails_rather_than_write(spark, tmp_path):
         TaskContext._taskContext = type("T", (), {"partitionId": lambda self: 0})()
         try:
             batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"abc"])], ["doc_id", "text"])
-            list(order._pack(iter([batch]), 8, {0: (0, 5)}, 5, "k"))
+            list(order._pack(iter([batch]), 8, 4, {0: (0, 5)}, 5, "k"))
         finally:
             TaskContext._taskContext = None
 
