@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.session import work_path
 
 
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession):
+    """Let Spark hand texts to Python in batches of `BATCH_BYTES`, where the session allows larger
+    ones. A batch is held several times, on both sides, in every task."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Writes DataFrames below one new folder and reads them back.
 
