@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import small_batches
+
 MAX_EDITS = 0.1  # of an item's bytes
 TARGET_RECALL = 0.97
 SAMPLED = 3  # characters in a key
@@ -299,6 +301,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, share: float, blo
 
     Items that are null, empty or shorter than a piece are left out.
     """
+    small_batches(benchmark.sparkSession)
     context = benchmark.sparkSession.sparkContext
     ids, items, size = [], [], 0
     rows = benchmark.select(F.col(item_col), F.col(text_col)).orderBy(item_col, text_col)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.feistel import Permutation
+from ledgerloom.llm.scratch import small_batches
 
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -246,6 +247,7 @@ def pseudonymise(
     one-digit days and months, which are written with two digits.
     """
     key = _key_bytes(key)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<text string, counts map<string,int>>")
     def replaced(texts: pa.Array) -> pa.Array:

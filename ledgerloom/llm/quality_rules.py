@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import small_batches
+
 MAX_LABELLED = 20_000  # labelled texts that the list is learned from; taken by the hash of the id
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -238,6 +240,7 @@ def learn(
 
     Labels that are null are left out. Without labels, or with labels of one kind, there are no rules.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
         .dropna()
@@ -273,6 +276,7 @@ def apply_rules(
     of their words in repeated windows; null and empty texts have no words and fail. `kept` is false
     for them, else the verdict of the list. Repeated rows stay; other columns play no part.
     """
+    small_batches(docs.sparkSession)
     rows = _with_statistics(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.scratch import Scratch
+from ledgerloom.llm.scratch import Scratch, small_batches
 from ledgerloom.operators.lookup import HASH, KEY, join_keyed, join_values, keyed
 
 SHINGLE_WORDS = 3
@@ -223,6 +223,7 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLO
 def _components(docs, id_col, text_col, shingle_words, max_distance, blocks, scratch):
     """(rows, named): doc_id, text_hash and fp of every row of `docs`, and the component of every
     fingerprint, named by one of its fingerprints. Both are written to the shared folder."""
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),

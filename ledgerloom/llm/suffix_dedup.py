@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import Scratch
+from ledgerloom.llm.scratch import Scratch, small_batches
 from ledgerloom.llm.suffix_array import equal_classes
 from ledgerloom.operators.lookup import with_group_values
 
@@ -380,6 +380,7 @@ def remove_repeats(
     """
     if length < GRAM + 16:
         raise ValueError(f"length must be at least {GRAM + 16}")
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     given = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"),

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import small_batches
+
 SPACE = "▁"  # fixed: how the vocabulary writes a space
 UNKNOWN_PENALTY = 10.0  # fixed: the library's
 REMEMBERED = 1 << 18  # words whose counts a task remembers
@@ -149,6 +151,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     unigram vocabulary, with one space added before the text. Null and empty texts have 0 tokens and
     the score 0. Repeated rows stay; other columns of `docs` play no part.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), counted(F.col(text_col), path).alias("_found")).select(
         id_col, "_found.n_tokens", "_found.score"
     )
