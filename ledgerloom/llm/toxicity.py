@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import Scratch
+from ledgerloom.llm.scratch import Scratch, small_batches
 
 MAX_LABELLED = 16_000  # labelled texts to train on; the first by the hash of their id
 BUCKETS = 1 << 24
@@ -28,7 +28,7 @@ MIN_TEXTS = 4  # that a term must occur in
 MIN_SIGNIFICANCE = 15.0  # likelihood ratio of a term between the classes
 MAX_TERMS = 8192
 FACTORS = 8
-EPOCHS = 40
+EPOCHS = 30
 BATCH = 256
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,7 +38,7 @@ def _hashed(term):
     return crc32(term.encode("utf-8", "replace")) & (BUCKETS - 1)
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def _of_word(word):
     """The buckets of a word and of its beginnings; a beginning is marked as one."""
     return (_hashed(word), *[_hashed(f"{word[:n]}*") for n in PREFIXES if len(word) >= n])
@@ -114,6 +114,11 @@ def choose_terms(rows: DataFrame) -> DataFrame:
     return chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term")
 
 
+def _sums(groups, values, n):
+    """Sums of the rows of `values` by group."""
+    return np.stack([np.bincount(groups, weights=c, minlength=n) for c in values.T], axis=1)
+
+
 def train(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
     """Train on the terms of each text, as chosen, and its label."""
     toxic = np.asarray(toxic, np.float64)
@@ -139,9 +144,9 @@ def train(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
             count = starts[batch + 1] - starts[batch]
             text = np.repeat(np.arange(len(batch)), count)
             f = at[rows]
-            total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, text, v[f])
-            square = np.bincount(text, weights=(v[f] ** 2).sum(axis=1), minlength=len(batch))
+            vf = v[f]
+            total = _sums(text, vf, len(batch))
+            square = np.bincount(text, weights=(vf**2).sum(axis=1), minlength=len(batch))
             logit = bias + np.bincount(text, weights=w[f], minlength=len(batch))
             logit += 0.5 * ((total**2).sum(axis=1) - square)
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[batch]) / len(batch)
@@ -149,8 +154,7 @@ def train(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
             sum_b += g * g
             bias -= 0.1 * g / np.sqrt(sum_b)
             g_w = np.bincount(f, weights=error[text], minlength=len(w))
-            g_v = np.zeros_like(v)
-            np.add.at(g_v, f, error[text][:, None] * (total[text] - v[f]))
+            g_v = _sums(f, error[text][:, None] * (total[text] - vf), len(w))
             used = np.unique(f)
             g_w, g_v = g_w[used] + 1e-6 * w[used], g_v[used] + 1e-5 * v[used]
             sum_w[used] += g_w**2
@@ -179,6 +183,7 @@ def learn(
     Null labels and ids are left out. Without labels the score is that of the bias, one half. The terms
     are chosen and counted in Spark; of a text only its chosen terms reach the driver.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
         .dropna()
@@ -236,6 +241,7 @@ def score_documents(
 ) -> DataFrame:
     """One row for each row of `docs`: id, held_out, score, predicted. Repeated rows stay, null ids
     are not held out, other columns play no part."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col), held_out(id_col).alias("held_out"), scores(F.col(text_col), model).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -245,4 +251,5 @@ def without_toxic(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows of `docs`, with their own columns, whose score is below the threshold."""
+    small_batches(docs.sparkSession)
     return docs.filter(scores(F.col(text_col), model) < threshold)
