@@ -43,7 +43,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the whole text, their number, and digests of ids and decoded text."""
     path = tokenizer_path()
-    encoded = bpe.decode(bpe.encode(docs, path), path)
+    encoded = bpe.encode(docs, path, decode_into="decoded")
     return encoded.select("doc_id", "ids", *bpe.digests())
 
 

@@ -5,14 +5,16 @@ Three steps use that:
 
 1. Texts are cut into words, in chunks of bounded size. A chunk keeps each of its words once; its
    texts become lists of positions in that word list.
-2. The words of all chunks are shuffled by word, and every distinct word is encoded once.
+2. The word lists are shuffled by the words' hash, in parts, and every distinct word of a part is
+   encoded once.
 3. The ids return to their chunk and are joined back by position.
 
-Only word lists, ids of words and lists of positions are moved, never the ids of whole texts. A word
-that every text holds comes once for each chunk, so no word is hot.
+Only word lists, ids of words and lists of positions are moved, compressed, never the ids of whole
+texts. A word that every text holds comes once for each chunk, so no word is hot.
 """
 
 from functools import lru_cache, partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20  # of text in a chunk; a longer text is a chunk of its own
-_FLUSH_WORDS = 1 << 19  # encoded words that a task holds before it sends them on
-_PLANES = 4  # bytes of a position
-_JOINED_IDS = 1 << 23  # ids that are decoded at once
+from ledgerloom.llm.scratch import small_batches
+
+CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer text is a chunk of its own
+LEAST_PARTS = 64  # of a chunk's word list
+REMEMBERED = 1 << 19  # words whose ids a task holds
+_JOINED_IDS = 1 << 20  # ids that are decoded at once
+# Numbers below _ONE take one byte, those below _TWO two, those below _THREE three, others five.
+_ONE, _TWO = 160, 160 + 64 * 256
+_THREE = _TWO + 31 * 65536
 
 
 @lru_cache(maxsize=4)
@@ -38,175 +45,162 @@ def _tokenizer(path):
 
 
 def _pack(values):
-    """Positions as bytes: the lowest bytes of all, then the next ones, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, _PLANES).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    """Numbers as bytes, small ones short. First bytes and further bytes are compressed apart."""
+    if not isinstance(values, np.ndarray):
+        values = np.array(values, np.int64)
+    one, two, three = values < _ONE, values < _TWO, values < _THREE
+    second, third, last = values[~one & two] - _ONE, values[~two & three] - _TWO, values[~three]
+    first = values.astype(np.uint8)  # right below _ONE, the others are set next
+    first[~one & two] = 160 + (second >> 8)
+    first[~two & three] = 224 + (third >> 16)
+    first[~three] = 255
+    streams = [first, second, third, third >> 8]
+    streams = [zstandard.compress(x.astype(np.uint8).tobytes(), 3) for x in streams]
+    streams.append(last.astype("<u4").tobytes())
+    return b"".join([np.array([len(x) for x in streams], "<u4").tobytes(), *streams])
 
 
 def _unpack(data):
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(_PLANES, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
-_MOVED = pa.schema(
-    [
-        ("chunk", pa.int64()),
-        ("key", pa.binary()),  # where the row is sent: a word, or the name of its chunk
-        ("word", pa.binary()),
-        ("place", pa.int32()),  # of a word in its chunk, of a text in its chunk
-        ("payload", pa.binary()),
-    ]
-)
+    ends = 20 + np.cumsum(np.frombuffer(data, "<u4", 5, 0), dtype=np.int64)
+    streams = [data[a:b] for a, b in zip([20, *ends.tolist()], ends.tolist())]
+    first, second, low, high = (
+        np.frombuffer(zstandard.decompress(x), np.uint8) for x in streams[:4]
+    )
+    out = first.astype(np.int64 if streams[4] else np.int32)
+    two, three = (first >= 160) & (first < 224), (first >= 224) & (first < 255)
+    out[two] = _ONE + ((out[two] - 160) << 8) + second
+    out[three] = _TWO + ((out[three] - 224) << 16) + (high.astype(np.int32) << 8) + low
+    if streams[4]:
+        out[first == 255] = np.frombuffer(streams[4], "<u4")
+    return out
+
+
+def _moved(id_type):
+    """Rows of a chunk: its texts (ids of the documents; sizes and positions), or a part of its words
+    (their positions and, before they are encoded, the words)."""
+    return f"key long, chunk long, docs array<{id_type}>, payload binary, words binary"
+
+
+def _batch(rows, id_type):
+    kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.binary(), pa.binary()]
+    columns = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["key", "chunk", "docs", "payload", "words"]
+    )
 
 
-def _cut(batches, chunk_bytes):
-    """Rows of texts (their positions) and rows of words, chunk by chunk.
+def _chunk_rows(chunk, words, texts, docs, parts):
+    """A row of all texts, and for each part a row of words.
 
-    The number of a chunk is made of the task's and its place in the task, so a repeated task gives
-    the same chunks.
+    Frequent words get small numbers. The others are numbered by part and alphabet, so that a part's
+    words compress well and their positions are mostly consecutive.
     """
+    names = list(words)
+    sizes = [len(t) for t in texts]
+    flat = np.concatenate(texts) if texts else np.empty(0, np.int32)
+    part = np.fromiter((crc32(w) % parts for w in names), np.int64, len(names))
+    by_count = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+    rest = by_count[_TWO:].tolist()
+    rest.sort(key=names.__getitem__)
+    rest = np.array(rest, np.int64)
+    rest = rest[np.argsort(part[rest], kind="stable")]
+    order = np.concatenate([by_count[:_TWO], rest])
+    number = np.empty(len(names), np.int32)
+    number[order] = np.arange(len(names))
+    payload = _pack(np.concatenate([np.array([len(sizes), *sizes], np.int32), number[flat]]))
+    rows = [(chunk, chunk, docs, payload, None)]
+    by_part = order[np.argsort(part[order], kind="stable")]
+    cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
+    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            own = by_part[a:b]
+            text = zstandard.compress(b" ".join([names[i] for i in own.tolist()]), 3)
+            rows.append((p, chunk, None, _pack(np.diff(number[own], prepend=0)), text))
+    return rows
+
+
+def _cut(batches, chunk_bytes, parts):
+    """The rows of all chunks. The number of a chunk is made of the task's and its place in the task,
+    so a repeated task gives the same chunks."""
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId() << 32
-    chunk, size, words, texts, ids = task, 0, {}, [], []
-
-    def rows(id_type):
-        name = b"\x00%d" % chunk  # spreads the texts; it need not differ from all words
-        n, m = len(texts), len(words)
-        moved = [
-            pa.array([chunk] * (n + m), pa.int64()),
-            pa.array([name] * n + list(words), pa.binary()),
-            pa.array([None] * n + list(words), pa.binary()),
-            pa.array([*range(n), *range(m)], pa.int32()),
-            pa.array(texts + [None] * m, pa.binary()),
-            pa.array(ids + [None] * m, id_type),
-        ]
-        return pa.RecordBatch.from_arrays(moved, [*_MOVED.names, "doc_id"])
-
+    chunk = TaskContext.get().partitionId() << 32
+    size, words, texts, docs, id_type = 0, {}, [], [], None
     for batch in batches:
         id_type = batch.schema.field("doc_id").type
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             text = text.as_py() or b""
-            if texts and size + len(text) > chunk_bytes:
-                yield rows(id_type)
-                chunk, size, words, texts, ids = chunk + 1, 0, {}, [], []
+            if docs and size + len(text) > chunk_bytes:
+                yield _batch(_chunk_rows(chunk, words, texts, docs, parts), id_type)
+                chunk, size, words, texts, docs = chunk + 1, 0, {}, [], []
             size += len(text)
             found = text.split()
-            places = np.fromiter(
-                (words.setdefault(w, len(words)) for w in found), np.uint32, len(found)
+            texts.append(
+                np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found))
             )
-            texts.append(_pack(places))
-            ids.append(doc_id)
-    if texts:
-        yield rows(id_type)
+            docs.append(doc_id)
+    if docs:
+        yield _batch(_chunk_rows(chunk, words, texts, docs, parts), id_type)
 
 
 def _encode(batches, path):
-    """Encode each distinct word once (rows are sorted by word); pack the result for each chunk.
-
-    Rows of texts pass through. Packed rows hold, for many words of one chunk, their places and ids.
-    """
-    tokenizer = _tokenizer(path)
-    chunks, places, codes, table, last, held = [], [], [], [], None, 0
-
-    def packed(id_type):
-        nonlocal chunks, places, codes, table, held
-        chunk, place, code = (np.concatenate(x) for x in (chunks, places, codes))
-        order = np.lexsort((place, chunk))
-        chunk, place, code = chunk[order], place[order], code[order]
-        lengths = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.fromiter((i for ids in table for i in ids), np.uint32, lengths.sum())
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
-        out = []
-        for a, b in zip(cuts, cuts[1:]):
-            size = lengths[code[a:b]]
-            at = np.repeat(starts[code[a:b]] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-            ids = flat[at + np.arange(size.sum())]
-            # The gaps between places, the numbers of ids and the ids: small numbers, one after another.
-            gaps = np.diff(place[a:b], prepend=0)
-            out.append((int(chunk[a]), b - a, _pack(np.concatenate([gaps, size, ids]))))
-        # The last word's ids may be needed again.
-        table, held = table[-1:], 0
-        chunks, places, codes = [], [], []
-        n = len(out)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.nulls(n, pa.binary()),
-                pa.nulls(n, pa.binary()),
-                pa.array([x[1] for x in out], pa.int32()),
-                pa.array([x[2] for x in out], pa.binary()),
-                pa.nulls(n, id_type),
-            ],
-            [*_MOVED.names, "doc_id"],
-        )
-
-    id_type = pa.null()
+    """Encode each distinct word of the task's parts once; rows of texts pass through."""
+    tokenizer, known = _tokenizer(path), {}
     for batch in batches:
-        id_type = batch.schema.field("doc_id").type
-        word = batch.column("word")
-        is_word = word.is_valid()
-        texts = batch.filter(pc.invert(is_word))
-        if texts.num_rows:
-            key = texts.schema.get_field_index("key")
-            yield texts.set_column(key, "key", pa.array([b"text"] * texts.num_rows, pa.binary()))
-        rows = batch.filter(is_word)
-        if not rows.num_rows:
-            continue
-        runs = pc.run_end_encode(rows.column("word"))
-        values, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
-        new = values[1:] if values[0] == last else values
-        found = tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-        )
-        first = len(table) - (values[0] == last)
-        table.extend(e.ids for e in found)
-        last = values[-1]
-        codes.append(np.repeat(np.arange(first, first + len(values)), np.diff(ends, prepend=0)))
-        chunks.append(rows.column("chunk").to_numpy())
-        places.append(rows.column("place").to_numpy())
-        held += rows.num_rows
-        if held >= _FLUSH_WORDS:
-            yield packed(id_type)
-    if held:
-        yield packed(id_type)
+        id_type = batch.schema.field("docs").type.value_type
+        rows = []
+        for key, chunk, docs, payload, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if words is None:
+                rows.append((key, chunk, docs, payload, None))
+                continue
+            words = zstandard.decompress(words).split(b" ")
+            if len(known) + len(words) > REMEMBERED:
+                known.clear()
+            new = [w for w in words if w not in known]
+            texts = [w.decode("utf-8", "replace") for w in new]
+            for word, found in zip(new, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                known[word] = found.ids
+            ids = [known[w] for w in words]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for one in ids for i in one), np.int64, sizes.sum())
+            data = np.concatenate([[len(ids)], _unpack(payload), sizes, flat])
+            rows.append((key, chunk, None, _pack(data), None))
+        yield _batch(rows, id_type)
 
 
 def _assemble(group: pa.Table, id_type):
     """The ids of every text of one chunk."""
-    group = group.combine_chunks()
-    is_text = pc.is_valid(group["key"])
-    lists, places = [], []
-    words = group.filter(pc.invert(is_text))
-    for count, data in zip(words["place"].to_pylist(), words["payload"].to_pylist()):
-        values = _unpack(data).astype(np.int64)
-        sizes = values[count : 2 * count]
-        places.append(np.cumsum(values[:count]))
-        lists.append((sizes, values[2 * count :]))
-    if places:
-        place = np.concatenate(places)
-        sizes = np.concatenate([x[0] for x in lists])
-        flat = np.concatenate([x[1] for x in lists]).astype(np.int32)
-    else:
-        place, sizes, flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    begin, length = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    begin[place] = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else 0
-    length[place] = sizes
-    texts = group.filter(is_text)
-    ids, ends = [], [0]
-    for data in texts["payload"].to_pylist():
-        at = _unpack(data)
-        size = length[at]
-        shift = np.repeat(begin[at] - (np.cumsum(size) - size), size)
+    places, sizes, flat = [], [], []
+    for docs, payload in zip(group["docs"].to_pylist(), group["payload"].to_pylist()):
+        values = _unpack(payload)
+        n = int(values[0])
+        if docs is not None:
+            doc_ids, lengths, numbers = docs, values[1 : n + 1], values[n + 1 :]
+            continue
+        places.append(np.cumsum(values[1 : n + 1]))
+        sizes.append(values[n + 1 : 2 * n + 1])
+        flat.append(values[2 * n + 1 :].astype(np.int32))
+    none = [np.empty(0, np.int64)]
+    place, size = np.concatenate(places or none), np.concatenate(sizes or none)
+    flat = np.concatenate(flat or [np.empty(0, np.int32)])
+    if len(place) != (numbers.max() + 1 if len(numbers) else 0):
+        raise RuntimeError("a chunk has not got all of its words back")
+    begin, count = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    begin[place], count[place] = np.cumsum(size) - size, size
+    ids, ends, at = [], [0], 0
+    for length in lengths.tolist():
+        own = numbers[at : at + length]
+        at += length
+        size = count[own]
+        shift = np.repeat(begin[own] - (np.cumsum(size) - size), size)
         ids.append(flat[shift + np.arange(len(shift))])
         ends.append(ends[-1] + len(shift))
-    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
     if ends[-1] < 1 << 31:
-        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        values = pa.array(np.concatenate(ids), pa.int32())
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
     else:
         column = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
-    return pa.table({"doc_id": texts["doc_id"].cast(id_type), "ids": column})
+    return pa.table({"doc_id": pa.array(doc_ids, id_type), "ids": column})
 
 
 def encode(
@@ -215,6 +209,8 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
+    parts: int | None = None,
+    decode_into: str | None = None,
 ) -> DataFrame:
     """One row (id, ids array<int>) for each row of `docs`: the ids of the whole text.
 
@@ -222,22 +218,33 @@ def encode(
     ASCII white space and drop it, and normalise each word by itself; the result is then equal to
     `encode(text, add_special_tokens=False).ids`. Null texts count as empty and give an empty list.
     Rows with equal or null ids are encoded each by itself. Other columns of `docs` play no part.
+
+    `parts` is the number of parts that word lists are cut in; by default that of shuffle partitions,
+    `LEAST_PARTS` at least. `decode_into` names a column for the text that `decode` gives for the ids;
+    it is made where the ids are, which saves a second pass of all ids through Python.
     """
+    small_batches(docs.sparkSession)
+    if parts is None:
+        parts = max(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    moved = f"chunk long, key binary, word binary, place int, payload binary, doc_id {id_type}"
-    rows = given.mapInArrow(partial(_cut, chunk_bytes=chunk_bytes), moved)
-    encoded = (
-        rows.repartition("key")
-        .sortWithinPartitions("word")
-        .mapInArrow(partial(_encode, path=tokenizer), moved)
-    )
+    rows = given.mapInArrow(partial(_cut, chunk_bytes=chunk_bytes, parts=parts), _moved(id_type))
+    placed = rows.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int"))
+    encoded = placed.mapInArrow(partial(_encode, path=tokenizer), _moved(id_type))
 
     def assemble(group: pa.Table) -> pa.Table:
-        return _assemble(group, group.schema.field("doc_id").type)
+        found = _assemble(group, group.schema.field("docs").type.value_type)
+        if decode_into:
+            texts = _decoded(found["ids"].combine_chunks(), _pieces(tokenizer))
+            found = found.append_column("decoded", texts)
+        return found
 
-    ids = encoded.groupBy("chunk").applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
-    return ids.withColumnRenamed("doc_id", id_col)
+    if decode_into:
+        _check_decoder(tokenizer)
+    schema = f"doc_id {id_type}, ids array<int>" + ", decoded string" * bool(decode_into)
+    ids = encoded.groupBy("chunk").applyInArrow(assemble, schema)
+    names = {"doc_id": id_col} | ({"decoded": decode_into} if decode_into else {})
+    return ids.withColumnsRenamed(names)
 
 
 @lru_cache(maxsize=4)
@@ -265,6 +272,23 @@ def _joined(lists, pieces):
     return pc.if_else(lists.is_valid(), texts, pa.scalar(None, texts.type))
 
 
+def _decoded(lists, pieces):
+    """The texts of a column of lists of ids, some lists at a time."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // _JOINED_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lists)]
+    return pa.chunked_array(
+        [_joined(lists.slice(a, b - a), pieces) for a, b in zip(cuts, cuts[1:])], pa.string()
+    )
+
+
+def _check_decoder(tokenizer):
+    if _tokenizer(tokenizer).decoder is not None:
+        raise ValueError("this tokenizer has a decoder of its own")
+
+
 def decoded(ids, tokenizer: str):
     """A column of texts for a column of ids, as the tokenizer's
     `decode(ids, skip_special_tokens=False)` without a decoder gives them.
@@ -275,20 +299,14 @@ def decoded(ids, tokenizer: str):
 
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
-        pieces = _pieces(tokenizer)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // _JOINED_IDS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lists)]
-        parts = [_joined(lists.slice(a, b - a), pieces) for a, b in zip(cuts, cuts[1:])]
-        return pa.concat_arrays(parts)
+        return _decoded(lists, _pieces(tokenizer)).combine_chunks()
 
     return of(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the decoded text of a column of ids; the file's own decoder must be unset."""
-    if _tokenizer(tokenizer).decoder is not None:
-        raise ValueError("this tokenizer has a decoder of its own")
+    _check_decoder(tokenizer)
     return encoded.withColumn(into, decoded(ids_col, tokenizer))
 
 

@@ -86,8 +86,8 @@ def op6_sharding(spark, sf_dir):
 @query
 def op7_bpe(spark, sf_dir):
     path = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.decode(encoded, path).select("doc_id", *bpe.digests())
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, decode_into="decoded")
+    return encoded.select("doc_id", *bpe.digests())
 
 
 @query

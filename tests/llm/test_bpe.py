@@ -1,5 +1,8 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,40 +59,42 @@ def test_odd_texts_equal_the_library(spark, odd, empty, path, tokenizer, chunk_b
         ids = _ids(tokenizer, text)
         expected.append((str(i), tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)))
     assert sorted((str(r.doc_id), tuple(r.ids), r.decoded) for r in got) == sorted(expected)
+    both = bpe.encode(docs, path, chunk_bytes=chunk_bytes, decode_into="again").collect()
+    assert sorted((str(r.doc_id), tuple(r.ids), r.again) for r in both) == sorted(expected)
     assert bpe.encode(odd, path).count() == odd.count()
     assert bpe.encode(empty, path).collect() == []
 
 
-def test_words_are_encoded_once_across_batches(path, tokenizer):
-    """Runs of a word over batches and flushes keep their ids."""
-    import pyarrow as pa
-
-    words = sorted([b"alpha"] * 3 + [b"beta"] * 4 + [b"gamma"] * 2)
-    table = pa.table(
-        {
-            "chunk": pa.array([i % 2 for i in range(9)], pa.int64()),
-            "key": pa.array(words, pa.binary()),
-            "word": pa.array(words, pa.binary()),
-            "place": pa.array(range(9), pa.int32()),
-            "payload": pa.nulls(9, pa.binary()),
-            "doc_id": pa.nulls(9, pa.int64()),
-        }
-    )
-    flush, bpe._FLUSH_WORDS = bpe._FLUSH_WORDS, 4
-    try:
-        out = list(bpe._encode(iter(table.to_batches(max_chunksize=2)), path))
-    finally:
-        bpe._FLUSH_WORDS = flush
-    found = {}
-    for batch in out:
-        for chunk, n, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "place", "payload"))):
-            values = bpe._unpack(data).tolist()
-            at, place = 2 * n, 0
-            for gap, size in zip(values[:n], values[n : 2 * n]):
-                place += gap
-                found[chunk, place] = values[at : at + size]
-                at += size
-    assert found == {(i % 2, i): _ids(tokenizer, w.decode()) for i, w in enumerate(words)}
+def test_packed_numbers_come_back():
+    edges = [0, 159, 160, 161, 16543, 16544, 16545, 65535, 65536, bpe._THREE - 1, bpe._THREE, (1 << 32) - 1]
+    for values in ([], [5], edges, edges[::-1], list(range(70000))):
+        assert bpe._unpack(bpe._pack(values)).tolist() == values
+
+
+def test_words_are_encoded_once(path, tokenizer, monkeypatch):
+    """Parts of several chunks ask the tokenizer once for a word, as long as it is remembered."""
+    rows = []
+    for chunk, text in enumerate([b"alpha beta beta gamma", b"beta gamma delta", b""]):
+        words = {}
+        numbers = [words.setdefault(w, len(words)) for w in text.split()]
+        rows += bpe._chunk_rows(chunk, words, [np.array(numbers, np.int32)], [chunk], 3)
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch(texts, **options)
+
+    monkeypatch.setattr(bpe, "_tokenizer", lambda _: Spy())
+    for remembered, times in ((bpe.REMEMBERED, 1), (1, 2)):
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        asked.clear()
+        batches = [bpe._batch([r], pa.int64()) for r in sorted(rows, key=lambda r: r[0])]
+        out = pa.Table.from_batches(list(bpe._encode(iter(batches), path)))
+        assert max(asked.count(w) for w in asked) <= times and set(asked) == {"alpha", "beta", "gamma", "delta"}
+        for chunk, text in enumerate(["alpha beta beta gamma", "beta gamma delta", ""]):
+            got = bpe._assemble(out.filter(pc.equal(out["chunk"], chunk)), pa.int64())
+            assert got["ids"].to_pylist() == [_ids(tokenizer, text)]
 
 
 def test_decoding_leaves_unknown_ids_out(spark, path, tokenizer):
