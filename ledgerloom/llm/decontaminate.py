@@ -28,12 +28,15 @@ from ledgerloom.llm.scratch import small_batches
 MAX_EDITS = 0.1  # of an item's bytes
 TARGET_RECALL = 0.97
 SAMPLED = 3  # characters in a key
-MAX_STEPS = 512
-MAX_WALKS = 192
+PERIOD = 512  # steps after which a walk's tables come again, turned by some characters
+MAX_WALKS = 512
 PIECE = 8
 BLOCK_BYTES = 8 << 20  # of benchmark text that a task holds at once
 _SLAB = 2 << 20  # bytes of documents that are looked at together
 _FILTER_BITS = 22
+_CELLS = 1 << 14  # strings times walks that are walked together
+_BYTES = 1 << 20  # of strings that are walked together
+_TIDIED = 16  # steps after which walks that have ended are put aside
 _END = 256  # what a walk writes behind the end
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,44 +46,64 @@ def normalised(text: str | None) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "replace") if text else b""
 
 
-def _size_class(length):
-    return int(length).bit_length() - 1
-
-
-def _steps(size_class):
-    """Steps of a walk: about half of them move on, so it sees the first quarter or half of an item."""
-    return min(1 << size_class, MAX_STEPS)
+def _steps(length):
+    """Steps of a walk: half of them move on, so that it reads the whole item."""
+    return 2 * length
 
 
 class Walks:
     """Random tables and sampled steps, the same in all tasks."""
 
     def __init__(self, n: int, seed: int = 5):
-        self.n, self.seed = n, seed
-        self.moves = np.random.default_rng(seed).integers(0, 2, (MAX_STEPS, n, _END + 1), np.uint8)
-
-    def sampled(self, size_class):
-        """Which of the walks write at which step, as a table of steps by walks."""
-        rng = np.random.default_rng([self.seed, size_class])
-        steps = _steps(size_class)
-        out = np.zeros((steps, self.n), bool)
-        for walk in range(self.n):
-            out[rng.choice(steps, min(SAMPLED, steps), replace=False), walk] = True
-        return out
-
-    def keys(self, data, begin, length, size_class):
-        """A key of every string (begin, length) in the bytes for every walk."""
-        sampled = self.sampled(size_class)
-        at = np.zeros((len(begin), self.n), np.int64)
-        out = np.zeros((len(begin), self.n), np.int64)
-        walks, last = np.arange(self.n), len(data) - 1
-        begin, length = begin[:, None], length[:, None]
-        for step in range(len(sampled)):
-            c = np.where(at < length, data[np.minimum(begin + at, last)], _END)
-            writes = sampled[step]
-            if writes.any():
-                out[:, writes] = out[:, writes] * (_END + 2) + c[:, writes] + 1
-            at += self.moves[step, walks, c]
+        self.n = n
+        rng = np.random.default_rng(seed)
+        self.moves = rng.integers(0, 2, (PERIOD, n, _END + 1), np.uint8)
+        self.sampled = np.sort(rng.random((n, SAMPLED)), axis=1)  # as shares of the walk
+
+    def _table(self, step, walks):
+        lap, step = divmod(step, PERIOD)
+        table = self.moves[step, walks]
+        return (np.roll(table, 31 * lap, axis=1) if lap else table).ravel()
+
+    def keys(self, data, begin, length, size, walks=slice(None), wanted=None):
+        """The characters that each walk of an item of `size` bytes writes on each string (begin, length)
+        at its sampled steps. With the `wanted` ones, a walk ends where it writes another one."""
+        sampled = (self.sampled[walks] * _steps(size)[:, None, None]).astype(np.int64)
+        rows, n = sampled.shape[:2]
+        out = np.full((rows, n, SAMPLED), -1, np.int16)
+        if not out.size:
+            return out
+        # The strings side by side, with as many ends behind them as a walk can read.
+        width = int(_steps(size.max())) + 1
+        place = np.arange(width)
+        strings = data[np.minimum(begin[:, None] + place, len(data) - 1)].astype(np.int16)
+        strings[place >= length[:, None]] = _END
+        strings, written = strings.ravel(), out.ravel()
+        expected = None if wanted is None else wanted.ravel()
+        events = np.argsort(sampled, axis=None, kind="stable")
+        writes = sampled.ravel()[events]
+        cuts = np.searchsorted(writes, np.arange(writes[-1] + 2)).tolist()
+        # One cell for each walk of each string, as long as it goes on.
+        at, base = np.repeat(np.arange(rows) * width, n), np.tile(np.arange(n) * (_END + 1), rows)
+        cell, due = np.arange(rows * n), sampled[..., -1].ravel()
+        where, goes = cell.copy(), np.ones(rows * n, bool)
+        for step in range(len(cuts) - 1):
+            if step % _TIDIED == _TIDIED - 1:
+                goes &= due[cell] >= step
+                at, base, cell = at[goes], base[goes], cell[goes]
+                where[:] = -1
+                where[cell], goes = np.arange(len(cell)), np.ones(len(cell), bool)
+                if not len(cell):
+                    break
+            c = strings.take(at)
+            if cuts[step] < cuts[step + 1]:
+                hit = events[cuts[step] : cuts[step + 1]]
+                now = where[hit // SAMPLED]
+                hit, now = hit[now >= 0], now[now >= 0]
+                written[hit] = c[now]
+                if expected is not None:
+                    goes[now[c[now] != expected[hit]]] = False
+            at += self._table(step, walks).take(c + base)
         return out
 
 
@@ -117,6 +140,29 @@ def max_edits(length: int, share: float = MAX_EDITS) -> int:
     return max(0, min(int(share * length), length // PIECE - 1))
 
 
+def _with_edits(item, n, where, rng):
+    """The item with n random edits, and where its window begins as seen from its edited beginning."""
+    text = bytearray(item)
+    if where == "cut":
+        return bytes(text[n:]), -n
+    low, high = {"spread": (0, len(item)), "front": (0, 2 * n), "end": (len(item) - 2 * n, len(item))}[where]
+    for _ in range(n):
+        at, kind = int(rng.integers(min(low, len(text) - 1), max(1, min(high, len(text))))), rng.integers(0, 3)
+        if kind == 0:
+            text[at] = int(rng.integers(97, 123))
+        elif kind == 1:
+            del text[at]
+        else:
+            text.insert(at, int(rng.integers(97, 123)))
+    return bytes(text), len(text) - len(item) if where == "front" else 0
+
+
+def _batches(rows, walks, longest):
+    """The rows, as many at a time as are walked together."""
+    together = max(1, min(_CELLS // max(1, walks), _BYTES // max(1, longest)))
+    return (rows[first : first + together] for first in range(0, len(rows), together))
+
+
 @dataclass
 class Index:
     """The items of one block, ready for search. Items of fewer bytes than a piece are not searched."""
@@ -130,6 +176,7 @@ class Index:
         sizes = np.array([len(x) for x in items], np.int64)
         self.sizes = sizes
         self.edits = np.array([max_edits(n, self.share) for n in sizes], np.int64)
+        self.long = sizes >= PIECE
         pieces = [
             (x[o : o + PIECE], i, o)
             for i, x in enumerate(items)
@@ -144,7 +191,6 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._slot(self.keys)] = True
         self.walks = Walks(self._walks_needed())
-        self.classes = np.array([_size_class(max(n, 1)) for n in sizes], np.int64)
         self.item_keys = self._keys_of_items()
 
     @staticmethod
@@ -152,42 +198,39 @@ class Index:
         return (keys * _MULTIPLIER) >> np.uint64(64 - _FILTER_BITS)
 
     def _walks_needed(self):
-        """Walks that reach the target recall for items with as many random edits as are allowed."""
+        """Walks that reach the target recall for items with as many random edits as are allowed, be they
+        spread, all at the front or all at the end: the most that one of these cases needs."""
         rng = np.random.default_rng(3)
-        trial = Walks(48, seed=4)
-        usable = [i for i, n in enumerate(self.sizes) if n >= PIECE]
-        rates = []
-        for i in [usable[j] for j in rng.permutation(len(usable))[:48]]:
-            item, text = self.items[i], bytearray(self.items[i])
-            for _ in range(int(self.edits[i])):
-                at, kind = int(rng.integers(0, len(text))), rng.integers(0, 3)
-                if kind == 0:
-                    text[at] = int(rng.integers(97, 123))
-                elif kind == 1:
-                    del text[at]
-                else:
-                    text.insert(at, int(rng.integers(97, 123)))
-            data = np.frombuffer(item + bytes(text), np.uint8)
-            keys = trial.keys(
-                data, np.array([0, len(item)]), np.array([len(item), len(item)]), _size_class(len(item))
-            )
-            rates.append(np.mean(keys[0] == keys[1]))
-        if not rates:
-            return 8
-        rates = np.array(rates)
-        for n in range(8, MAX_WALKS, 8):
-            if np.mean(1 - (1 - rates) ** n) >= self.recall:
-                return n
-        return MAX_WALKS
+        trial = Walks(96, seed=4)
+        usable = np.flatnonzero(self.long)
+        tried = usable[rng.permutation(len(usable))[:96]].tolist()
+        needed = 8
+        for where in ("spread", "front", "end", "cut") if tried else ():
+            data, begin, length, size = b"", [], [], []
+            for i in tried:
+                item = self.items[i]
+                text, shift = _with_edits(item, int(self.edits[i]), where, rng)
+                begin += [len(data), len(data) + len(item) + shift]
+                # An unchanged piece behind the front gives the window; what lies around it is foreign.
+                around = rng.integers(97, 123, 2 * len(item), np.uint8).tobytes()
+                data += item + around[: len(item)] + text + around[len(item) :]
+                begin[-1] += len(item)
+                length += [len(item)] * 2
+                size += [len(item)] * 2
+            keys = trial.keys(np.frombuffer(data, np.uint8), *map(np.array, (begin, length, size)))
+            rates = np.mean((keys[::2] == keys[1::2]).all(axis=2), axis=1)
+            rates = np.maximum(rates, 0.5 / trial.n)  # none of the walks tried does not mean none
+            while needed < MAX_WALKS and np.mean(1 - (1 - rates) ** needed) < self.recall:
+                needed += 8
+        return needed
 
     def _keys_of_items(self):
-        out = np.zeros((len(self.items), self.walks.n), np.int64)
-        for size_class in np.unique(self.classes).tolist():
-            own = np.flatnonzero((self.classes == size_class) & (self.sizes >= PIECE))
-            if len(own):
-                data = np.frombuffer(b"".join(self.items[i] for i in own), np.uint8)
-                length = self.sizes[own]
-                out[own] = self.walks.keys(data, np.cumsum(length) - length, length, size_class)
+        out = np.zeros((len(self.items), self.walks.n, SAMPLED), np.int16)
+        data = np.frombuffer(b"".join(self.items) + b"\0", np.uint8)
+        begin = np.cumsum(self.sizes) - self.sizes
+        for own in _batches(np.flatnonzero(self.long), self.walks.n, self.sizes.max(initial=0)):
+            size = self.sizes[own]
+            out[own] = self.walks.keys(data, begin[own], size, size)
         return out
 
     def _hits(self, data):
@@ -238,6 +281,25 @@ class Index:
         order = order[first]
         return text[order], item[order], begin[order]
 
+    def _collided(self, data, text, item, begin, starts, stretch, n):
+        """Which of the n stretches share a key with their item. A stretch is embedded at all of its
+        beginnings, with more and more walks until one of them collides."""
+        begin = np.maximum(begin, starts[text])
+        size = self.sizes[item]
+        length = np.minimum(size, starts[text + 1] - 1 - begin)
+        out, open_, first, more = np.zeros(n, bool), np.arange(len(item)), 0, 4
+        by_size = np.argsort(-size, kind="stable")
+        while first < self.walks.n and len(open_):
+            walks = slice(first, min(first + more, self.walks.n))
+            open_ = by_size[~out[stretch[by_size]]]
+            for part in _batches(open_, walks.stop - first, self.sizes.max()):
+                wanted = self.item_keys[item[part], walks]
+                keys = self.walks.keys(data, begin[part], length[part], size[part], walks, wanted)
+                same = (keys == wanted).all(axis=2).any(axis=1)
+                out[stretch[part[same]]] = True
+            first, more = walks.stop, 2 * more
+        return out
+
     def search(self, texts: list[bytes]):
         """For each text its matches (item, edits, begin, end), the best one of each item."""
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
@@ -247,20 +309,20 @@ class Index:
         if windows is None:
             return out
         text, item, begin = windows
-        begin = np.maximum(begin, starts[text])
-        length = np.minimum(self.sizes[item], starts[text + 1] - 1 - begin)
-        classes, collide = self.classes[item], np.zeros(len(item), bool)
-        for size_class in np.unique(classes).tolist():
-            rows = np.flatnonzero(classes == size_class)
-            for first in range(0, len(rows), 2048):
-                part = rows[first : first + 2048]
-                keys = self.walks.keys(data, begin[part], length[part], size_class)
-                collide[part] = (keys == self.item_keys[item[part]]).any(axis=1)
+        # Windows of one passage begin at most 2t apart; a stretch of them is verified as a whole.
+        pad = 2 * self.edits[item] + 1
+        new = np.ones(len(item), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(begin) > pad[1:])
+        stretch, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        tails = np.append(heads[1:], len(item)) - 1
+        collided = self._collided(data, text, item, begin, starts, stretch, len(heads))
         best = {}
-        for t, i, at in zip(*(x[collide].tolist() for x in (text, item, begin))):
+        for t, i, low, high in zip(
+            *(x[collided].tolist() for x in (text[heads], item[heads], begin[heads], begin[tails]))
+        ):
             pad = 2 * int(self.edits[i]) + 1
-            a = max(int(starts[t]), at - pad)
-            b = min(int(starts[t + 1]) - 1, at + int(self.sizes[i]) + pad)
+            a = max(int(starts[t]), low - pad)
+            b = min(int(starts[t + 1]) - 1, high + int(self.sizes[i]) + pad)
             edits, end = best_match(self.items[i], data[a:b].tobytes())
             if edits <= self.edits[i] and (edits, a + end) < best.get((t, i), (1 << 60, 0)):
                 best[t, i] = (edits, a + end)

@@ -121,3 +121,46 @@ def test_empty_tables(spark, odd, empty):
     assert dc.without_benchmark(odd, items).count() == odd.count()
     some = spark.createDataFrame([(1, "the quick brown fox jumps")], "item_id long, text string")
     assert dc.contaminated(empty, some).count() == 0
+
+
+def _edited_within(item, n, low, high, rng):
+    part = _edited(item[low:high], n, rng)
+    return item[:low] + part + item[high:]
+
+
+@pytest.mark.parametrize("where", ["front", "front 4t", "front half", "end", "end half", "cut"])
+def test_recall_of_passages_edited_in_one_place(given_texts, where):
+    """All edits allowed in one part of the passage, or its beginning cut off."""
+    items, texts = given_texts
+    rng, found, wanted = np.random.default_rng(7), 0, 0
+    index = dc.Index(items)
+    for repeat in range(3):
+        planted = []
+        for i, item in enumerate(items):
+            n, around = dc.max_edits(len(item)), texts[(i + 50 * repeat) % len(texts)]
+            size = len(item)
+            passage = {
+                "front": lambda: _edited_within(item, n, 0, 2 * n, rng),
+                "front 4t": lambda: _edited_within(item, n, 0, 4 * n, rng),
+                "front half": lambda: _edited_within(item, n, 0, size // 2, rng),
+                "end": lambda: _edited_within(item, n, size - 2 * n, size, rng),
+                "end half": lambda: _edited_within(item, n, size // 2, size, rng),
+                "cut": lambda: item[n:],
+            }[where]()
+            planted.append(around[:300] + b" " + passage + b" " + around[300:900])
+        for i, matches in enumerate(index.search(planted)):
+            assert dc.best_match(items[i], planted[i])[0] <= dc.max_edits(len(items[i]))
+            wanted += 1
+            found += any(m[0] == i for m in matches)
+    assert found / wanted >= 0.95
+
+
+def test_walks_read_the_whole_item():
+    """Strings that differ in their second half only have walks that write something else there."""
+    rng = np.random.default_rng(2)
+    for size in (100, 1000, 3000):
+        head, one, other = (bytes(rng.integers(97, 123, size // 2).astype(np.uint8)) for _ in range(3))
+        data = np.frombuffer(head + one + head + other, np.uint8)
+        sizes = np.array([size, size])
+        keys = dc.Walks(64).keys(data, np.array([0, size]), sizes, sizes)
+        assert 0.6 < np.mean((keys[0] != keys[1]).reshape(64, -1).any(axis=1)) < 1
