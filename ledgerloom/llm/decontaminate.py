@@ -266,20 +266,12 @@ class Index:
         dense &= begin[end] - begin <= 2 * self.edits[item]
         if not dense.any():
             return None
-        # A dense stretch proposes the beginning that its first piece has, for each width of it.
+        # Every hit of a dense stretch proposes its own beginning; equal ones are one.
         cover = np.zeros(len(begin) + 1, np.int64)
         np.add.at(cover, np.flatnonzero(dense), 1)
         np.add.at(cover, reach[dense] + 1, -1)
-        chosen = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        text, item, begin, offset = text[chosen], item[chosen], begin[chosen], offset[chosen]
-        part = begin // (2 * self.edits[item] + 1)
-        order = np.lexsort((offset, part, item, text))
-        first = np.ones(len(order), bool)
-        for column in (text[order], item[order], part[order]):
-            first[1:] &= column[1:] == column[:-1]
-        first[1:] = ~first[1:]
-        order = order[first]
-        return text[order], item[order], begin[order]
+        chosen = np.cumsum(cover[:-1]) > 0
+        return tuple(np.unique(np.stack([text[chosen], item[chosen], begin[chosen]]), axis=1))
 
     def _collided(self, data, text, item, begin, starts, stretch, n):
         """Which of the n stretches share a key with their item. A stretch is embedded at all of its

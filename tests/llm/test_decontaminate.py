@@ -164,3 +164,20 @@ def test_walks_read_the_whole_item():
         sizes = np.array([size, size])
         keys = dc.Walks(64).keys(data, np.array([0, size]), sizes, sizes)
         assert 0.6 < np.mean((keys[0] != keys[1]).reshape(64, -1).any(axis=1)) < 1
+
+
+def test_stray_openings_hide_no_exact_copy(given_texts):
+    """The first bytes of an item stand once more, some bytes before an exact copy of it."""
+    items, texts = given_texts
+    index = dc.Index(items)
+    for before in (12, 20, 30):
+        planted = []
+        for i, item in enumerate(items):
+            gap = min(before, max(9, dc.max_edits(len(item))))
+            planted.append(texts[i][:200] + b" " + item[:8].ljust(gap, b"~") + item + b" " + texts[i][200:500])
+        for i, matches in enumerate(index.search(planted)):
+            at = planted[i].index(items[i])
+            assert (i, 0, at, at + len(items[i])) in matches
+            data = np.frombuffer(planted[i] + b"\0", np.uint8)
+            _, own, begin = index._windows(data, np.array([0, len(planted[i]) + 1]))
+            assert at in begin[own == i].tolist()
