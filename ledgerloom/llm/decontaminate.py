@@ -9,12 +9,14 @@ item's size that shares a key with the item is verified by the exact edit distan
 
 Which windows are embedded, and for which item: an item of L bytes is cut in pieces of 8 bytes. A
 passage at most t edits away holds all but t of them unchanged, on offsets at most 2t apart. Places
-without that many pieces of an item cannot be such a passage and are left out; nothing else is.
+without that many pieces of an item cannot be such a passage and are left out; nothing else is. Items
+with no more than t pieces are cut in t + 1 shorter ones and verified wherever one of them stands.
 
 The benchmark is the query set and travels to the tasks in blocks of bounded size; documents are read
 where they lie, once for each block, and nothing is shuffled.
 """
 
+import sys
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -136,8 +138,8 @@ def best_match(item: bytes, text: bytes):
 
 
 def max_edits(length: int, share: float = MAX_EDITS) -> int:
-    """Edits allowed for an item: a share of its bytes, and fewer than it has pieces."""
-    return max(0, min(int(share * length), length // PIECE - 1))
+    """Edits allowed for an item: a share of its bytes, and fewer than all of them."""
+    return max(0, min(int(share * length), length - 1))
 
 
 def _with_edits(item, n, where, rng):
@@ -165,7 +167,8 @@ def _batches(rows, walks, longest):
 
 @dataclass
 class Index:
-    """The items of one block, ready for search. Items of fewer bytes than a piece are not searched."""
+    """The items of one block, ready for search. Items with no more pieces than edits are searched exactly,
+    by shorter pieces of their own; the others by windows and walks."""
 
     items: list[bytes]
     share: float = MAX_EDITS
@@ -176,13 +179,14 @@ class Index:
         sizes = np.array([len(x) for x in items], np.int64)
         self.sizes = sizes
         self.edits = np.array([max_edits(n, self.share) for n in sizes], np.int64)
-        self.long = sizes >= PIECE
+        self.long = sizes // PIECE > self.edits
         pieces = [
             (x[o : o + PIECE], i, o)
             for i, x in enumerate(items)
+            if self.long[i]
             for o in range(0, len(x) - PIECE + 1, PIECE)
         ]
-        keys = np.frombuffer(b"".join(p[0] for p in pieces), np.uint64)
+        keys = np.array([int.from_bytes(p[0], sys.byteorder) for p in pieces], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.piece_item = np.array([p[1] for p in pieces], np.int64)[order]
@@ -292,14 +296,11 @@ class Index:
             first, more = walks.stop, 2 * more
         return out
 
-    def search(self, texts: list[bytes]):
-        """For each text its matches (item, edits, begin, end), the best one of each item."""
-        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-        out = [[] for _ in texts]
+    def _stretches(self, data, starts):
+        """(text, item, first and last beginning) of the stretches that share a key with their item."""
         windows = self._windows(data, starts)
         if windows is None:
-            return out
+            return
         text, item, begin = windows
         # Windows of one passage begin at most 2t apart; a stretch of them is verified as a whole.
         pad = 2 * self.edits[item] + 1
@@ -308,10 +309,39 @@ class Index:
         stretch, heads = np.cumsum(new) - 1, np.flatnonzero(new)
         tails = np.append(heads[1:], len(item)) - 1
         collided = self._collided(data, text, item, begin, starts, stretch, len(heads))
+        yield from zip(*(x[collided].tolist() for x in (text[heads], item[heads], begin[heads], begin[tails])))
+
+    def _stretches_of_short(self, blob, starts):
+        """The same for the items that are searched exactly: wherever one of t + 1 pieces stands, as t
+        edits cannot touch all of them."""
+        for i in np.flatnonzero(~self.long & (self.sizes > 0)).tolist():
+            item, t = self.items[i], int(self.edits[i])
+            size, found = len(item) // (t + 1), set()
+            for offset in range(0, size * (t + 1), size):
+                piece = item[offset : offset + size] if t else item
+                at = blob.find(piece)
+                while at >= 0:
+                    text = int(np.searchsorted(starts, at, "right")) - 1
+                    found.add((text, at - offset))
+                    # Without edits the first place in a text is the best one.
+                    at = blob.find(piece, at + 1 if t else int(starts[text + 1]))
+            head = last = None
+            for text, begin in sorted(found):
+                if head and (head[0] != text or begin - last > 2 * t + 1):
+                    yield head[0], i, head[1], last
+                    head = None
+                head, last = head or (text, begin), begin
+            if head:
+                yield head[0], i, head[1], last
+
+    def search(self, texts: list[bytes]):
+        """For each text its matches (item, edits, begin, end), the best one of each item."""
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        blob = b"\0".join([*texts, b""])
+        data = np.frombuffer(blob, np.uint8)
+        out = [[] for _ in texts]
         best = {}
-        for t, i, low, high in zip(
-            *(x[collided].tolist() for x in (text[heads], item[heads], begin[heads], begin[tails]))
-        ):
+        for t, i, low, high in [*self._stretches(data, starts), *self._stretches_of_short(blob, starts)]:
             pad = 2 * int(self.edits[i]) + 1
             a = max(int(starts[t]), low - pad)
             b = min(int(starts[t + 1]) - 1, high + int(self.sizes[i]) + pad)
@@ -353,7 +383,7 @@ def _searched(text: Column, index) -> Column:
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, share: float, block_bytes: int = BLOCK_BYTES):
     """(ids, broadcast index) of the benchmark, block by block; the driver holds one block at a time.
 
-    Items that are null, empty or shorter than a piece are left out.
+    Items that are null or empty are left out.
     """
     small_batches(benchmark.sparkSession)
     context = benchmark.sparkSession.sparkContext
@@ -361,7 +391,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, share: float, blo
     rows = benchmark.select(F.col(item_col), F.col(text_col)).orderBy(item_col, text_col)
     for item_id, text in rows.toLocalIterator():
         data = normalised(text)
-        if len(data) < PIECE:
+        if not data:
             continue
         if items and size + len(data) > block_bytes:
             yield ids, context.broadcast(Index(items, share))

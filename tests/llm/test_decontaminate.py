@@ -181,3 +181,20 @@ def test_stray_openings_hide_no_exact_copy(given_texts):
             data = np.frombuffer(planted[i] + b"\0", np.uint8)
             _, own, begin = index._windows(data, np.array([0, len(planted[i]) + 1]))
             assert at in begin[own == i].tolist()
+
+
+def test_short_items_are_searched_exactly():
+    """Items of any length, with as many edits as the share allows, against the plain table."""
+    rng = np.random.default_rng(4)
+    letters = lambda n, high=123: bytes(rng.integers(97, high, n).astype(np.uint8))
+    items = [letters(n) for n in (1, 3, 7, 8, 10, 12, 15, 19, 20, 23, 30, 31)] + [letters(n, 99) for n in (2, 11)]
+    index = dc.Index(items)
+    texts = [letters(400), letters(300, 100), b"", letters(3)]
+    for item in items:
+        for _ in range(5):
+            texts.append(letters(50) + _edited(item, int(0.1 * len(item)), rng) + letters(50))
+    for text, matches in zip(texts, index.search(texts)):
+        best = {i: plain_edits(x, text) for i, x in enumerate(items)}
+        assert {m[0]: m[1] for m in matches} == {i: e for i, e in best.items() if e <= len(items[i]) // 10}
+        for i, edits, begin, end in matches:
+            assert plain_edits(items[i], text[begin:end]) == edits
