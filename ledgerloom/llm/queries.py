@@ -93,7 +93,8 @@ def op7_bpe(spark, sf_dir):
 @query
 def op4_training_order(spark, sf_dir):
     path = work_path(spark, "training-order")
-    return training_order.materialise(table(spark, sf_dir, "documents"), path, KEY)
+    docs = table(spark, sf_dir, "documents")
+    return training_order.materialise(docs, path, KEY, tokenizer=tokenizer_path())
 
 
 @query

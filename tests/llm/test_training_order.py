@@ -2,8 +2,10 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from ledgerloom.llm import training_order as order
+from ledgerloom.llm.queries import QUERIES, tokenizer_path
 from tests.conftest import DATA
 
 
@@ -79,3 +81,51 @@ def test_odd_rows(odd, empty, tmp_path, on_files):
     assert marks == odd.count()
     assert order.materialise(empty, str(tmp_path / "empty"), "k").count() == 0
     assert list(order.read_sequences(str(tmp_path / "empty"))) == []
+
+
+def _ids(index, path):
+    """The documents' ids put together from the files; a repeated row stands for itself."""
+    tokens, found = dict(order.read_sequences(path)), {}
+    for r in index.collect():
+        assert zlib.crc32(tokens[r.slot].tobytes()) == r.crc32
+        part = tokens[r.slot][r.position : r.position + r.n_tokens].tolist()
+        found.setdefault(r.doc_id, []).append((r.doc_begin, part))
+    return {i: [x for _, part in sorted(parts) for x in part] for i, parts in found.items()}, tokens
+
+
+def test_shards_hold_the_ids_of_the_tokenizer(spark, tmp_path, on_files):
+    path, tokenizer = str(tmp_path / "out"), tokenizer_path()
+    docs = on_files(spark.read.parquet(f"{DATA}/documents.parquet"), 4)
+    index = order.materialise(docs, path, "k", length=64, shard_sequences=100, tokenizer=tokenizer)
+    ids, tokens = _ids(index, path)
+    own, manifest = Tokenizer.from_file(tokenizer), order.read_manifest(path)
+    assert manifest["bytes_per_token"] == 2 and manifest["end"] == own.token_to_id("<|endoftext|>")
+    expected = {r.doc_id: own.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    assert ids == {i: x + [manifest["end"]] for i, x in expected.items()}
+    assert sorted(tokens) == list(range(manifest["sequences"]))
+    assert {x.size for x in tokens.values()} == {64} and {x.dtype for x in tokens.values()} == {np.dtype("<u2")}
+    sizes = [p.stat().st_size for p in sorted((tmp_path / "out" / "shards").iterdir())]
+    assert sizes[:-1] == [64 * 100 * 2] * (manifest["shards"] - 1) and sum(sizes) == 128 * len(tokens)
+    rest = list(order.read_sequences(path, 150, 3))
+    assert [s for s, _ in rest] == [150, 151, 152]
+    assert all((x == tokens[s]).all() for s, x in rest)
+
+
+def test_the_query_writes_ids(spark):
+    rows = QUERIES["op4_training_order"](spark, DATA).collect()
+    own = Tokenizer.from_file(tokenizer_path())
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()
+    assert sum(r.n_tokens for r in rows) == sum(len(own.encode(r.text).ids) + 1 for r in texts)
+
+
+def test_ids_of_odd_rows(odd, empty, tmp_path, on_files, monkeypatch):
+    monkeypatch.setattr(order, "REMEMBERED", 5)
+    path, tokenizer = str(tmp_path / "odd"), tokenizer_path()
+    docs = on_files(odd)
+    index = order.materialise(docs, path, "k", length=64, tokenizer=tokenizer)
+    own = Tokenizer.from_file(tokenizer)
+    wanted = [len(own.encode(r.text or "").ids) + 1 for r in docs.collect()]
+    assert sum(r.n_tokens for r in index.collect()) == sum(wanted)
+    assert sum(r.doc_begin == 0 for r in index.collect()) == odd.count()
+    nothing = order.materialise(empty, str(tmp_path / "empty"), "k", tokenizer=tokenizer)
+    assert nothing.count() == 0 and list(order.read_sequences(str(tmp_path / "empty"))) == []
