@@ -5,9 +5,14 @@ integer, moved by a keyed Feistel permutation of all valid values of its format,
 the layout it was found in. Equal values get equal pseudonyms in all documents and in every layout,
 different values get different ones, every pseudonym is valid again, and no value stays as it was.
 Whoever has the key can turn a pseudonym back.
+
+Phone numbers with +1 or an area in parentheses that miss the North American plan move among the numbers
+that miss it. Dates whose month and day stand the other way round than their sign tells move among the
+dates whose day is above 12, in the same order, so that a pseudonym is read the same way again.
 """
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from datetime import date
 from functools import lru_cache
@@ -33,8 +38,8 @@ _PATTERN = re.compile(
     r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<![\w-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
-    r"|(?P<iso>(?<![\w/.-])[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}(?![\w/-]|\.[0-9]))"
-    r"|(?P<day>(?<![\w/.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![\w/-]|\.[0-9]))"
+    r"|(?P<iso>(?<![\w/.-])[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}(?:(?=[Tt][0-9])|(?![\w/-]|\.[0-9])))"
+    r"|(?P<day>(?<![\w/.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?:(?=[Tt][0-9])|(?![\w/-]|\.[0-9])))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9]{1,4}[ .-]?){1,4}[0-9]{2,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<s3>[ .-])[0-9]{3}(?P=s3)[0-9]{4})(?![\w]|-[0-9]))"
@@ -139,15 +144,37 @@ def _iso(found, key, back):
     return new and new.strftime(f"%Y{found[4]}%m{found[4]}%d")
 
 
+@lru_cache(maxsize=1)
+def _late_days():
+    """Ordinals of the days above 12 of all months, which no order of month and day but one can mean."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if date.fromordinal(n).day > 12]
+
+
+def _moved_late_day(year, month, day, key, back):
+    try:
+        number = date(year, month, day).toordinal()
+    except ValueError:
+        return None
+    days = _late_days()
+    at = bisect_left(days, number)
+    if day <= 12 or not FIRST_DAY <= number <= LAST_DAY:
+        return None
+    moved = _permutation(len(days), key, "date-late")
+    return date.fromordinal(days[moved.original(at) if back else moved.pseudonym(at)])
+
+
 def _day(found, key, back):
-    """Month first with slashes, day first otherwise; both parts are written with two digits."""
+    """Month first with slashes, day first otherwise, and the other way round where only that is a date;
+    both parts are written with two digits."""
     sign = next(c for c in found if c not in DIGITS)
     first, second, year = map(int, found.split(sign))
+    layouts = [f"%m{sign}%d{sign}%Y", f"%d{sign}%m{sign}%Y"]
     month, day = (first, second) if sign == "/" else (second, first)
     new = _moved_day(year, month, day, key, back)
-    if new is None:
-        return None
-    return new.strftime(f"%m{sign}%d{sign}%Y" if sign == "/" else f"%d{sign}%m{sign}%Y")
+    if new is not None:
+        return new.strftime(layouts[sign != "/"])
+    new = _moved_late_day(year, day, month, key, back)
+    return new and new.strftime(layouts[sign == "/"])
 
 
 def _ssn(found, key, back):
@@ -162,13 +189,28 @@ def _ssn(found, key, back):
     return f"{SSN_AREAS[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+# First digits of area and exchange that the North American plan does not have together.
+_OFF_PLAN = [a + b for a in DIGITS for b in DIGITS if a in "01" or b in "01"]
+
+
+def _off_plan(local, key, back):
+    """Move ten digits that miss the plan among those that do."""
+    rest = local[1:3] + local[4:]
+    moved = _mixed([local[0] + local[3], *rest], [_OFF_PLAN, *[DIGITS] * 8], key, "phone1-off-plan", back)
+    return moved[0] + moved[2:4] + moved[1] + moved[4:]
+
+
 def _phone(found, key, back):
     digits = "".join(c for c in found if c in DIGITS)
     if not found.startswith("+") or (digits.startswith("1") and len(digits) == 11):
         country, local = digits[:-10], digits[-10:]
         first = DIGITS[2:]
-        if len(local) < 10 or local[0] not in first or local[3] not in first:
+        if len(local) < 10:
             return None
+        if local[0] not in first or local[3] not in first:
+            if found[0] in DIGITS:  # without + or parentheses these may be other numbers
+                return None
+            return _lay_out(found, country + _off_plan(local, key, back))
         alphabets = [first, DIGITS, DIGITS, first, *[DIGITS] * 6]
         return _lay_out(found, country + _mixed(local, alphabets, key, "phone1", back))
     if not 8 <= len(digits) <= 15:

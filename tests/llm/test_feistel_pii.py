@@ -140,3 +140,43 @@ def test_query_changes_no_clean_text(spark):
 def test_a_key_is_needed(odd):
     with pytest.raises(ValueError):
         pii.pseudonymise(odd, "")
+
+
+OFF_PLAN = ["+1 (132) 555-1352", "+1 (017) 555-7713", "+1 988 055 2485", "(132) 555-1352", "(988) 155-2485"]
+OTHER_ORDER = ["25/12/2020", "31/01/1999", "12-25-2020", "12.31.2099"]
+
+
+@pytest.mark.parametrize("value", OFF_PLAN + OTHER_ORDER + ["2024-02-29T10:00:00Z", "29.02.2024T10:00"])
+def test_values_off_the_plan_or_in_the_other_order_move_too(value):
+    for text in (value, f"see {value}, or ({value})."):
+        moved, found = pii.replace_values(text, KEY)
+        kind = "phone" if value in OFF_PLAN else "date"
+        assert found == {kind: text.count(value)}
+        assert value not in moved and len(moved) == len(text)
+        assert pii.replace_values(moved, KEY, back=True) == (text, found)
+
+
+def test_off_plan_numbers_stay_linked_and_apart():
+    digits = lambda t: "".join(c for c in t if c.isdigit())[-10:]
+    move = lambda t: digits(pii.replace_values(t, KEY)[0])
+    assert move("+1 (132) 555-1352") == move("(132) 555-1352") == move("+11325551352")
+    rng, seen = random.Random(3), {}
+    for _ in range(2000):
+        local = rng.choice("01") + "".join(rng.choice("0123456789") for _ in range(9))
+        new = move(f"+1{local}")
+        assert (new[0] in "01" or new[3] in "01") and seen.setdefault(new, local) == local
+
+
+def test_no_phone_of_the_given_table_stays():
+    import re
+
+    import pyarrow.parquet as pq
+
+    shape, found = re.compile(r"(?<![\w.+])\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![\w-])"), 0
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist():
+        phones = [(m.start(), m[0]) for m in shape.finditer(text or "")]
+        if phones:
+            moved = pii.replace_values(text, KEY)[0]
+            found += len(phones)
+            assert not [p for _, p in phones if p in moved]
+    assert found > 100
