@@ -203,6 +203,13 @@ def _assemble(group: pa.Table, id_type):
     return pa.table({"doc_id": pa.array(doc_ids, id_type), "ids": column})
 
 
+def _part_of(parts):
+    """Words go to their own part; texts to any by the chunk's hash, as chunks of all tasks have the same
+    low digits."""
+    key = F.when(F.col("docs").isNotNull(), F.xxhash64("chunk")).otherwise(F.col("key"))
+    return F.pmod(key, F.lit(parts)).cast("int")
+
+
 def encode(
     docs: DataFrame,
     tokenizer: str,
@@ -229,7 +236,7 @@ def encode(
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
     rows = given.mapInArrow(partial(_cut, chunk_bytes=chunk_bytes, parts=parts), _moved(id_type))
-    placed = rows.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int"))
+    placed = rows.repartitionById(parts, _part_of(parts))
     encoded = placed.mapInArrow(partial(_encode, path=tokenizer), _moved(id_type))
 
     def assemble(group: pa.Table) -> pa.Table:

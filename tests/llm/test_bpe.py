@@ -102,3 +102,13 @@ def test_decoding_leaves_unknown_ids_out(spark, path, tokenizer):
     rows = spark.createDataFrame([(ids,), ([],), (None,)], "ids array<int>")
     got = [r.decoded for r in bpe.decode(rows, path).collect()]
     assert got == [tokenizer.decode([320, 1125, 49407], skip_special_tokens=False), "", None]
+
+
+def test_texts_of_all_tasks_spread_over_the_parts(spark):
+    rows = [(task << 32, task << 32, [task], None, None) for task in range(256)]
+    rows += [(p, 0, None, None, None) for p in range(64)]
+    moved = spark.createDataFrame(rows, bpe._moved("bigint"))
+    placed = moved.select("docs", "key", bpe._part_of(64).alias("part")).collect()
+    texts = [r.part for r in placed if r.docs is not None]
+    assert len(set(texts)) > 48 and max(map(texts.count, texts)) < 16
+    assert all(r.part == r.key for r in placed if r.docs is None)
