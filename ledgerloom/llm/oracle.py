@@ -74,4 +74,94 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
   sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
-ORACLE = {"op6_sharding": _SHARDS, "op8_suffix_dedup": _REPEATS}
+
+
+def _mixed(a, b, c):
+    """The generator of the mix: its prime and multipliers are fixed values."""
+    prime = 2147483647
+    t = f"((({a}) % {prime}) * 1597334677 + ({a}) // {prime}) % {prime}"
+    t = f"(({t}) * 812015047 + ({b}) % {prime} + 1) % {prime}"
+    t = f"(({t}) * 1103515245 + ({c}) % {prime} + 1) % {prime}"
+    return f"((({t}) * ({t}) + 69621) % {prime} * 1597334677 + 812015047) % {prime}"
+
+
+def _drawn(below, a, b, c):
+    return f"(({_mixed(a, b, 2 * c)}) * 2147483647 + {_mixed(a, b, 2 * c + 1)}) % {below}"
+
+
+_IMAGE = "((mirrors[r + 1] + blocks - x) % blocks)"
+
+# Blocks of 128 words, shares of 150 %, twice each source's size at most; 32 rounds a permutation.
+_MIX = f"""
+WITH sized AS (
+  SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) AS id,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+placed AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized),
+named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, ([3, 1, 2])[rank % 3 + 1] AS weight FROM named),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, rank) AS place FROM weighed),
+filled AS (
+  SELECT *, 1.5 * sum(source_size) OVER () - 2 * (sum(source_size) OVER (ORDER BY place) - source_size)
+      AS words_left,
+    CAST(sum(weight) OVER () - (sum(weight) OVER (ORDER BY place) - weight) AS DOUBLE) AS weight_left
+  FROM ordered),
+bounded AS (
+  SELECT *, min(CASE WHEN 2 * source_size * weight_left <= weight * words_left THEN 1 ELSE 0 END)
+    OVER (ORDER BY place) = 1 AS at_bound FROM filled),
+aimed AS (
+  SELECT rank, source, source_size, (source_size + 127) // 128 AS blocks,
+    CASE WHEN at_bound THEN CAST(2 * source_size AS DOUBLE) ELSE weight
+      * CAST(arg_min(words_left, place) FILTER (WHERE NOT at_bound) OVER () AS DOUBLE)
+      / arg_min(weight_left, place) FILTER (WHERE NOT at_bound) OVER () END AS target FROM bounded),
+quotas AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2 * blocks,
+    CAST(floor(target * blocks / source_size + 0.5) AS BIGINT)) END AS quota FROM aimed),
+sources AS (
+  SELECT *, CAST(sum(quota) OVER (ORDER BY rank) - quota AS BIGINT) AS first,
+    CAST(sum(quota) OVER (ORDER BY rank) AS BIGINT) AS last, CAST(sum(quota) OVER () AS BIGINT) AS n
+  FROM quotas),
+draws AS (
+  SELECT slot, {_drawn("n", "slot", 1, 0)} AS draw
+  FROM (SELECT unnest(range(n)) AS slot, n FROM (SELECT max(n) AS n FROM sources))),
+turns AS (
+  SELECT rank, quota, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
+  FROM draws JOIN sources ON draw >= first AND draw < last),
+spare AS (
+  SELECT row_number() OVER (ORDER BY rank, turn) AS j FROM turns WHERE turn >= quota),
+missing AS (
+  SELECT rank, turn, row_number() OVER (ORDER BY rank, turn) AS j
+  FROM (SELECT rank, unnest(range(quota)) AS turn FROM sources) WHERE (rank, turn) NOT IN
+    (SELECT (rank, turn) FROM turns)),
+final AS (
+  SELECT rank, turn FROM turns WHERE turn < quota UNION ALL
+  SELECT rank, turn FROM missing JOIN spare USING (j)),
+seeded AS (
+  SELECT source, blocks, turn % blocks AS i, rank * 2 + turn // blocks AS seed
+  FROM final JOIN sources USING (rank)),
+mirrored AS (
+  SELECT *, list_transform(range(32), lambda q: {_drawn("blocks", "q", "seed", 1)}) AS mirrors
+  FROM (SELECT DISTINCT seed, blocks FROM seeded)),
+taken AS (
+  SELECT source, list_reduce(list_prepend(i, range(32)), lambda x, r:
+    CASE WHEN {_mixed(f"greatest(x, {_IMAGE})", "seed", "r")} > 1073741823
+         THEN {_IMAGE} ELSE x END) AS block
+  FROM seeded JOIN mirrored USING (seed, blocks)),
+times AS (SELECT source, block, count(*) AS times FROM taken GROUP BY ALL),
+spans AS (
+  SELECT id, p.source, b.block,
+    least(start + size, b.block * 128 + 128) - greatest(start, b.block * 128) AS n_words
+  FROM (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block
+        FROM placed WHERE size > 0) AS b JOIN placed AS p USING (id, start, size)),
+words AS (
+  SELECT id, CAST(sum(n_words * times) AS BIGINT) AS taken
+  FROM spans s JOIN times t ON s.source IS NOT DISTINCT FROM t.source AND s.block = t.block GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
+FROM placed p JOIN sources s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN words USING (id)"""
+
+ORACLE = {"op6_sharding": _SHARDS, "op8_suffix_dedup": _REPEATS, "op11_mixing": _MIX}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import (
     bpe,
     decontaminate,
+    mixing,
     pii,
     quality_rules,
     sharding,
@@ -121,3 +122,8 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+@query
+def op11_mixing(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
