@@ -164,4 +164,36 @@ words AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
 FROM placed p JOIN sources s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN words USING (id)"""
 
-ORACLE = {"op6_sharding": _SHARDS, "op8_suffix_dedup": _REPEATS, "op11_mixing": _MIX}
+_SEARCH = """
+WITH terms AS (
+  SELECT doc_id, rowid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents)),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+lengths AS (SELECT rowid, doc_id, count(*) AS n FROM terms GROUP BY ALL),
+figures AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM lengths),
+postings AS (
+  SELECT rowid, term, count(*) AS tf FROM terms SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), figures),
+impacts AS (
+  SELECT rowid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // all_terms))) AS impact
+  FROM postings JOIN weights USING (term) JOIN lengths USING (rowid), figures),
+scores AS (
+  SELECT item_id, rowid, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+  FROM impacts JOIN wanted USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0) WHERE rank <= 20"""
+
+ORACLE = {
+    "op6_sharding": _SHARDS,
+    "op8_suffix_dedup": _REPEATS,
+    "op11_mixing": _MIX,
+    "op12_lexical_search": _SEARCH,
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import (
     bpe,
     decontaminate,
+    lexical_search,
     mixing,
     pii,
     quality_rules,
@@ -127,3 +128,8 @@ def op10_decontaminate(spark, sf_dir):
 @query
 def op11_mixing(spark, sf_dir):
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
