@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     lexical_search,
     mixing,
@@ -133,3 +134,10 @@ def op11_mixing(spark, sf_dir):
 @query
 def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damaged(turns))
+    return conversation_repair.with_all_conversations(repaired, turns)
