@@ -6,7 +6,10 @@ The score is the logistic function of
     bias + sum of w[i] + sum over pairs of <v[i], v[j]>
 
 so a pair of terms can count for more than the sum of both, as an insult next to the mention of a
-group does. Weights and factors are trained with Adagrad on the terms that tell the classes apart.
+group does. All terms of the labelled sample that occur in a few texts take part in learning. A term gets
+a weight and factors if it tells the classes apart by itself, or if it has a part in an interaction that
+labels dealt out at random would not show, also where neither term of a pair tells anything alone; these
+are trained with Adagrad, and all others are zero.
 """
 
 import re
@@ -26,7 +29,11 @@ BUCKETS = 1 << 24
 PREFIXES = (4, 5, 6)
 MIN_TEXTS = 4  # that a term must occur in
 MIN_SIGNIFICANCE = 15.0  # likelihood ratio of a term between the classes
-MAX_TERMS = 8192
+ABOVE_CHANCE = 1.5  # of an interaction, over the strongest under shuffled labels
+MIN_LOADING = 0.05  # of a term in an interaction, whose squares add up to 1
+SHUFFLES = 3
+POWER_STEPS = 12
+KNOWN_WORDS = 1 << 18  # whose terms a Python worker remembers
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -71,47 +78,120 @@ class Model:
 
     def __post_init__(self):
         self.place = {int(t): i for i, t in enumerate(self.terms)}
+        self.known = {}
+
+    def _of_word(self, word):
+        """Places of the word's terms that have a weight; most words have none."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            found = tuple(self.place[t] for t in _of_word(word) if t in self.place)
+            self.known[word] = found
+        return found
 
     def score(self, text: str | None) -> float:
-        found = [self.place[t] for t in terms_of(text) if t in self.place]
-        found.sort()  # sums in one order, so that equal texts score equally
+        found = set()
+        for places in map(self._of_word, set(_WORD.findall(text.lower()))) if text else ():
+            if places:
+                found.update(places)
         logit = self.bias
         if found:
+            found = sorted(found)  # sums in one order, so that equal texts score equally
             v = self.factors[found]
             total = v.sum(axis=0)
             logit += self.weights[found].sum() + 0.5 * float((total * total - (v * v).sum(axis=0)).sum())
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -30.0, 30.0))))
 
 
-def _part(observed, expected):
-    return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
+class _Sample:
+    """Term sets of texts as a sparse matrix of zeros and ones, columns centred in products."""
+
+    def __init__(self, lists):
+        self.n = len(lists)
+        self.sizes = np.fromiter(map(len, lists), np.int64, self.n)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if self.n else np.empty(0, np.int64)
+        self.terms, at, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
+        self.at = at.astype(np.int32)
+        self.filled = self.sizes > 0
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+        self.mean = self.counts / max(self.n, 1)
+
+    def by_text(self, values):
+        """Sums of the terms' values over the texts."""
+        out = np.zeros(self.n)
+        if len(self.at):
+            out[self.filled] = np.add.reduceat(values[self.at], self.starts)
+        return out
+
+    def by_term(self, values):
+        """Sums of the texts' values over the terms."""
+        return np.bincount(self.at, np.repeat(values, self.sizes), len(self.terms))
+
+    def having(self, chosen):
+        """The lists, cut down to the chosen terms, a mask over `terms`."""
+        left = chosen[self.at]
+        cuts = np.cumsum(self.by_text(chosen.astype(np.float64)))[:-1].astype(np.int64)
+        return np.split(self.terms[self.at[left]], cuts)
+
+
+def _tells(sample, toxic):
+    """Terms that tell the classes apart: by the likelihood ratio of a term's being in a texts of one
+    class and b of the other against its being in both alike."""
+    n, n_toxic = sample.n, toxic.sum()
+    a = sample.by_term(toxic)
+    b, share = sample.counts - a, sample.mean
+
+    def part(observed, expected):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(observed > 0, observed * np.log(observed / expected), 0.0)
+
+    ratio = part(a, n_toxic * share) + part(b, (n - n_toxic) * share)
+    ratio += part(n_toxic - a, n_toxic * (1 - share))
+    ratio += part(n - n_toxic - b, (n - n_toxic) * (1 - share))
+    return 2 * ratio >= MIN_SIGNIFICANCE
+
+
+def _strongest(sample, residual, vectors, rng):
+    """Largest eigenvalues and their vectors of the terms' products, weighed by the texts' residuals and
+    without the diagonal: what factors would have to stand for. A text weighs the less, the more terms
+    it has. By power iteration, without forming the matrix."""
+    mean, n = sample.mean, len(sample.terms)
+    length = sample.sizes - 2 * sample.by_text(mean) + (mean**2).sum()
+    weight = residual / np.maximum(length, 1.0)
+    diagonal = sample.by_term(weight) * (1 - 2 * mean) + mean**2 * weight.sum()
+
+    def product(v):
+        middle = weight * (sample.by_text(v) - mean @ v)
+        return sample.by_term(middle) - mean * middle.sum() - diagonal * v
+
+    found, _ = np.linalg.qr(rng.normal(size=(n, min(vectors, n))))
+    for _ in range(POWER_STEPS):
+        moved = np.stack([product(v) for v in found.T], axis=1)
+        found, _ = np.linalg.qr(moved)
+    vectors, strengths, _ = np.linalg.svd(moved, full_matrices=False)
+    return strengths, vectors
+
+
+def _interacts(sample, toxic, seed):
+    """Terms of interactions that are stronger than the strongest one under shuffled labels."""
+    if len(sample.terms) < 2 or not 0 < toxic.sum() < sample.n:
+        return np.zeros(len(sample.terms), bool)
+    rng = np.random.default_rng(seed)
+    residual = toxic - toxic.mean()
+    by_chance = max(_strongest(sample, rng.permutation(residual), 1, rng)[0][0] for _ in range(SHUFFLES))
+    strength, vectors = _strongest(sample, residual, FACTORS // 2, rng)
+    real = strength > ABOVE_CHANCE * by_chance
+    return (np.abs(vectors[:, real]) >= MIN_LOADING).any(axis=1)
 
-def choose_terms(rows: DataFrame) -> DataFrame:
-    """The terms that tell the classes apart: column `term`, at most `MAX_TERMS` rows.
 
-    `rows` has the columns `label` (0 or 1) and `terms`. A term's weight is the likelihood ratio of
-    its being in a texts of one class and b of the other against its being in both alike.
-    """
-    classes = rows.groupBy().agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("n_toxic")
-    )
-    n, n_toxic = classes.select("n").scalar(), classes.select("n_toxic").scalar()
-    counts = (
-        rows.select("label", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).cast("double").alias("texts"), F.sum("label").cast("double").alias("toxic"))
-        .filter(F.col("texts") >= MIN_TEXTS)
-        .withColumns({"n": n, "n_toxic": n_toxic})
-    )
-    a, all_a, all_b = F.col("toxic"), F.col("n_toxic"), F.col("n") - F.col("n_toxic")
-    b, share = F.col("texts") - a, F.col("texts") / F.col("n")
-    ratio = 2 * (
-        _part(a, all_a * share) + _part(b, all_b * share)
-        + _part(all_a - a, all_a * (1 - share)) + _part(all_b - b, all_b * (1 - share))
-    )
-    chosen = counts.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= MIN_SIGNIFICANCE)
-    return chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term")
+def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
+    """Choose among all terms of the texts that `MIN_TEXTS` of them have, and train on the choice."""
+    toxic = np.asarray(toxic, np.float64)
+    sample = _Sample(lists)
+    sample = _Sample(sample.having(sample.counts >= MIN_TEXTS)) if len(lists) else sample
+    chosen = _tells(sample, toxic) | _interacts(sample, toxic, seed)
+    return train(sample.having(chosen) if len(lists) else [], toxic, seed)
 
 
 def _sums(groups, values, n):
@@ -180,8 +260,8 @@ def learn(
 ) -> Model:
     """Train on at most `max_labelled` labelled texts, none of them held out.
 
-    Null labels and ids are left out. Without labels the score is that of the bias, one half. The terms
-    are chosen and counted in Spark; of a text only its chosen terms reach the driver.
+    Null labels and ids are left out, a repeated row counts once. Without labels the score is that of the
+    bias, one half. The sample, whose rows are bounded, is learned from in one task; the model comes back.
     """
     small_batches(docs.sparkSession)
     chosen = (
@@ -204,26 +284,38 @@ def learn(
         )
     )
     rows = scratch.store(texts, "texts")
-    telling = F.broadcast(choose_terms(rows))  # `MAX_TERMS` rows
     found = (
-        rows.select("doc_id", "hash", "label", F.explode("terms").alias("term"))
-        .join(telling, "term")
-        .distinct()
-        .groupBy("doc_id", "hash", "label")
-        .agg(F.sort_array(F.collect_list("term")).alias("found"))
-    )
-    lists = (
-        rows.select("doc_id", "hash", "label")
-        .distinct()  # a repeated row counts once
-        .join(found, ["doc_id", "hash", "label"], "left")
+        rows.dropDuplicates(["doc_id", "hash", "label"])
         .orderBy(F.xxhash64("doc_id"), "doc_id", "hash", "label")
         .limit(max_labelled)
-        .select("label", "found")
+        .select("label", "terms")
+        .coalesce(1)
+        .mapInArrow(_fit, "bias double, terms array<int>, weights array<double>, factors array<double>")
         .collect()
     )
     scratch.drop(rows)
-    parts = [np.array(row["found"] or [], np.int64) for row in lists]
-    return train(parts, np.array([row["label"] for row in lists], np.float64))
+    if not found:
+        return train([], np.array([]))
+    model = found[0]
+    factors = np.array(model["factors"], np.float64).reshape(-1, FACTORS)
+    return Model(model["bias"], np.array(model["terms"], np.int64), np.array(model["weights"], np.float64), factors)
+
+
+def _fit(batches):
+    """The model of the whole sample, as one row."""
+    lists, labels = [], []
+    for batch in batches:
+        labels.append(batch.column(0).to_numpy())
+        found = batch.column(1)
+        cuts = np.cumsum(found.value_lengths().to_numpy())[:-1]
+        lists += np.split(found.flatten().to_numpy(), cuts) if len(found) else []
+    model = fit(lists, np.concatenate([*labels, np.empty(0)]))
+    columns = [
+        pa.array([model.bias]),
+        *[pa.array([x.ravel()], pa.list_(kind)) for x, kind in (
+            (model.terms.astype(np.int32), pa.int32()), (model.weights, pa.float64()), (model.factors, pa.float64()))],
+    ]
+    yield pa.RecordBatch.from_arrays(columns, ["bias", "terms", "weights", "factors"])
 
 
 def scores(text: Column, model: Model) -> Column:

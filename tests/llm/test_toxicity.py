@@ -45,6 +45,65 @@ def test_score_equals_the_sum_over_pairs():
         assert abs(model.score(text) - 1 / (1 + np.exp(-logit))) < 1e-9
 
 
+def _neutral(n, seed):
+    """Toxic exactly if both words are there or both are not: neither tells anything, alone or in sum."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in rng.integers(0, 300, 20)]
+        first, second = rng.random() < 0.5, rng.random() < 0.5
+        words += ["vermin"] * first + ["martians"] * second
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(first == second)))
+    return rows
+
+
+def test_a_neutral_pair_is_learned(spark):
+    rows = spark.createDataFrame(_neutral(4000, 3), "doc_id long, text string, toxic int")
+    model = toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    held = _neutral(1500, 4)
+    predicted = [model.score(text) >= 0.7 for _, text, _ in held]
+    assert np.mean([p == bool(t) for p, (_, _, t) in zip(predicted, held)]) > 0.95
+
+
+def test_nothing_is_learned_from_labels_by_chance():
+    rng = np.random.default_rng(6)
+    lists = [np.array(sorted(toxicity.terms_of(text))) for _, text, _ in _neutral(2000, 5)]
+    model = toxicity.fit(lists, rng.random(2000) < 0.3)
+    assert len(model.terms) <= 5
+    assert abs(model.score("vermin martians") - 0.3) < 0.1
+
+
+def test_chosen_terms_equal_plain_counts():
+    texts, toxic = _texts(600)
+    sets = [toxicity.terms_of(t) for t in texts]
+    sample = toxicity._Sample([np.array(sorted(x)) for x in sets])
+    told = set(sample.terms[toxicity._tells(sample, toxic.astype(float))].tolist())
+    for term in sample.terms.tolist():
+        table = np.zeros((2, 2))
+        for found, label in zip(sets, toxic):
+            table[int(term in found), int(label)] += 1
+        expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / table.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * np.where(table > 0, table * np.log(table / expected), 0).sum()
+        assert (term in told) == (ratio >= toxicity.MIN_SIGNIFICANCE)
+
+
+def test_products_equal_the_whole_matrix():
+    rng = np.random.default_rng(7)
+    x = (rng.random((80, 12)) < 0.4).astype(float)
+    sample = toxicity._Sample([np.flatnonzero(row) for row in x])
+    residual = rng.normal(size=80)
+    centred = x - x.mean(axis=0)
+    weight = residual / np.maximum((centred**2).sum(axis=1), 1.0)
+    matrix = centred.T @ (weight[:, None] * centred)
+    np.fill_diagonal(matrix, 0)
+    strength, vectors = toxicity._strongest(sample, residual, 4, np.random.default_rng(1))
+    expected = np.sort(np.abs(np.linalg.eigvalsh(matrix)))[::-1]
+    assert strength[0] <= expected[0] * 1.001 and strength[0] > expected[0] * 0.9
+    assert np.allclose(vectors.T @ vectors, np.eye(4))
+
+
 def test_no_labels_or_one_kind():
     model = toxicity.train([], np.array([]))
     assert model.score("any text") == model.score(None) == 0.5
