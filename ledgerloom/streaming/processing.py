@@ -5,12 +5,12 @@ The invoice store is a folder that only grows: every micro-batch writes its own
 first processed record of each id, so a second delivery changes nothing and a success replaces an
 earlier failure.
 
-A batch never reads the records stored before. Beside them it keeps three narrow tables, each in
-folders by a hash, of which it reads those that its own messages, invoices and vendors hash to:
+A batch never reads the records stored before. Beside them it keeps three narrow tables of sorted runs
+(`sources/runs.py`), of which it reads the pages that its own messages, invoices and vendors hash to:
 
 * `_ids`: the ids processed so far,
 * `_keys`: the keys that stored invoices are filed under for the duplicate check,
-* `_vendors`: count and sum per vendor and batch, for the flag of unusually high amounts.
+* `_vendors`: count and sum per vendor, for the flag of unusually high amounts.
 
 The search documents of a batch's invoices go to `_index`, rows that are no messages to `_malformed`.
 """
@@ -34,17 +34,16 @@ from ledgerloom.operators.lookup import HASH, KEY, group_values, join_values
 from ledgerloom.operators.search import cut_stored_text, search_documents
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import delete
+from ledgerloom.sources.runs import RunTable
 from ledgerloom.streaming import with_trigger
 from ledgerloom.streaming.intake import from_queue, malformed, to_queue
 
-# Folders of each narrow table, and their columns.
-BUCKETS = 256
 _ORDER = "struct<_arrival:int,processed_at:string,id:string>"
 _FILED_KEY = "struct<vendor_name:string,total_amount:double,invoice_date:string>"
 SIDE_TABLES = {
-    "_ids": "id string",
+    "_ids": f"{HASH} long, id string",
     "_keys": f"{HASH} long, {KEY} {_FILED_KEY}, _order {_ORDER}",
-    "_vendors": "vendor_name string, total decimal(34,6), n long",
+    "_vendors": f"{HASH} long, vendor_name string, total decimal(34,6), n long",
 }
 
 # What a failure record keeps.
@@ -174,14 +173,8 @@ def compact_store(spark, store, target):
     read and extend instead: one folder in place of one per batch."""
     current_invoices(spark, store).write.parquet(f"{target}/run=compacted/batch=0")
     for name in SIDE_TABLES:
-        rows = read_side(spark, store, name).drop("run", "batch")
-        if name == "_vendors":
-            rows = rows.groupBy("bucket", "vendor_name").agg(
-                F.sum("total").cast("decimal(34,6)").alias("total"), F.sum("n").alias("n")
-            )
-        elif name == "_ids":
-            rows = rows.distinct()
-        _write_side(rows.repartition("bucket"), target, name, "compacted", 0)
+        rows = _COMBINE[name](side_table(spark, store, name).rows())
+        side_table(spark, target, name).put(rows, "compacted", 0)
     read_documents(spark, store).write.parquet(f"{target}/_index/run=compacted/batch=0")
 
 
@@ -195,38 +188,27 @@ def current_invoices(spark, store, settle=True):
     return first_per_repeated_key(rows, ["id"], order, settle)
 
 
-def bucket_of(*columns):
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+def _earliest(keys):
+    """Of the invoices under a key the first one is enough to tell later ones that they repeat it."""
+    return keys.groupBy(HASH, KEY).agg(F.min("_order").alias("_order"))
 
 
-def read_side(spark, store, name, buckets=None):
-    """A narrow table of the store with `bucket`, `run` and `batch`, or the given folders of it: no
-    other folder is even listed."""
-    schema = f"{SIDE_TABLES[name]}, bucket int, run string, batch long"
-    files, folder = _folder(spark, f"{store}/{name}")
-    paths = [f"{store}/{name}"] if buckets is None else [f"{store}/{name}/bucket={b}" for b in buckets]
-    paths = [p for p in paths if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{store}/{name}").parquet(*paths)
+def _added_up(totals):
+    return totals.groupBy(HASH, "vendor_name").agg(
+        F.sum("total").cast("decimal(34,6)").alias("total"), F.sum("n").alias("n")
+    )
+
+
+_COMBINE = {"_ids": lambda ids: ids.distinct(), "_keys": _earliest, "_vendors": _added_up}
 
 
-def _write_side(rows, store, name, run, batch):
-    """Add a batch's rows; what an earlier attempt of the batch left is removed first."""
-    spark = rows.sparkSession
-    files, _ = _folder(spark, store)
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/bucket=*/run={run}/batch={batch}")
-    for status in files.globStatus(old) or []:
-        files.delete(status.getPath(), True)
-    named = rows.withColumns({"run": F.lit(run), "batch": F.lit(batch)})
-    writer = named.write.partitionBy("bucket", "run", "batch").mode("append")
-    writer.parquet(f"{store}/{name}")
+def side_table(spark, store, name):
+    """A narrow table of the store."""
+    return RunTable(spark, f"{store}/{name}", SIDE_TABLES[name], HASH, _COMBINE[name])
 
 
-def _buckets(df, *columns):
-    """The folders that some rows' columns hash to, `BUCKETS` numbers at most."""
-    found = df.select(bucket_of(*columns).alias("b")).distinct().collect()
-    return sorted(row["b"] for row in found)
+def _hashed(rows, column):
+    return rows.withColumn(HASH, F.xxhash64(column))
 
 
 def read_documents(spark, store):
@@ -253,46 +235,42 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         target = f"run={run}/batch={number}"
-        earlier = ~((F.col("run") == run) & (F.col("batch") == number))
+        own = (run, number)  # what an earlier attempt of the batch left
 
         def staged(df, name):
             path = f"{store}/_staging/{target}/{name}"
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
-        def side(name, buckets):
-            return read_side(spark, store, name, buckets).filter(earlier).drop("bucket", "run", "batch")
+        side = {name: side_table(spark, store, name) for name in SIDE_TABLES}
 
         malformed(batch).write.mode("overwrite").parquet(f"{store}/_malformed/{target}")
         messages = from_queue(batch).withColumn("id", stable_id("container_name", "blob_path"))
-        messages = staged(messages, "messages")
-        done = side("_ids", _buckets(messages, "id"))
-        known = done.join(messages.select("id"), "id", "left_semi").distinct()
-        fresh = messages.join(known, "id", "left_anti").drop("id")
+        messages = staged(_hashed(messages, "id"), "messages")
+        done = side["_ids"].find(messages, own)
+        known = done.select("id").distinct()
+        fresh = messages.join(known, "id", "left_anti").drop("id", HASH)
         table = results() if callable(results) else results
 
         def classified_with_totals(extracted, totals=None):
             extracted = staged(extracted, "extracted")
-            totals = side("_vendors", _buckets(extracted, "vendor_name"))
-            wanted = extracted.select("vendor_name").distinct()
+            wanted = _hashed(extracted.select("vendor_name").distinct(), "vendor_name")
+            totals = side["_vendors"].find(wanted, own).drop(HASH)
             return classify(extracted, totals.join(wanted, "vendor_name", "left_semi"))
 
         extracted = extract_messages(fresh, table, classified_with_totals, processed_at)
         classified = staged(extracted, "classified")
 
         def filed(asked):
-            return side("_keys", _buckets(asked, HASH))
+            return side["_keys"].find(asked, own)
 
         records = finish_records(classified, None, stored_chars, settle=staged, filed=filed)
         records.write.mode("overwrite").parquet(f"{store}/{target}")
         written = spark.read.schema(records.schema).parquet(f"{store}/{target}")
         processed = written.filter("status = 'processed'")
-        ids = processed.select("id", bucket_of("id").alias("bucket"))
-        _write_side(ids, store, "_ids", run, number)
-        keys = key_table(processed).withColumn("bucket", bucket_of(HASH))
-        _write_side(keys.repartition("bucket"), store, "_keys", run, number)
-        totals = vendor_totals(processed).withColumn("bucket", bucket_of("vendor_name"))
-        _write_side(totals, store, "_vendors", run, number)
+        side["_ids"].put(_hashed(processed.select("id"), "id"), *own)
+        side["_keys"].put(key_table(processed), *own)
+        side["_vendors"].put(_hashed(vendor_totals(processed), "vendor_name"), *own)
         # An id is processed once, so a batch of its own folder replaces nothing but itself.
         documents = search_documents(processed)
         documents.write.mode("overwrite").parquet(f"{store}/_index/{target}")
@@ -311,7 +289,7 @@ def retry_failed(spark, store, results, queue_path, container):
     """
     columns = ["id", "user_id", "source", "blob_path", "correlation_id"]
     failed = read_store(spark, store).filter("status = 'failed'").select(columns).distinct()
-    done = read_side(spark, store, "_ids").select("id")
+    done = side_table(spark, store, "_ids").rows().select("id")
     waiting = failed.join(done, "id", "left_anti")
     usable = results.filter(F.col("result").isNotNull()).select("blob_path")
     waiting = first_per_key(waiting.join(usable, "blob_path", "left_semi"), ["id"], ["correlation_id"])

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -51,3 +52,21 @@ def final_plan(df):
 
 def first_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scanned_rows(df):
+    """The rows that the scans of a query read, behind pruned files, row groups and pages."""
+    counted = df.agg(F.count(F.lit(1)))
+    counted.collect()
+
+    def walk(plan):
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in kind:
+            return walk(plan.plan())
+        rows = plan.metrics().apply("numOutputRows").value() if kind.startswith("Scan") else 0
+        children = plan.children()
+        return rows + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(counted._jdf.queryExecution().executedPlan())

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.intake import subject_prefix
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import work_path
+from ledgerloom.sources import runs
 from ledgerloom.streaming import intake, landing, processing
+from tests.conftest import scanned_rows
 
 CREATED = "Microsoft.Storage.BlobCreated"
 
@@ -211,19 +213,32 @@ def test_a_compacted_store_goes_on(spark, results):
     assert processing.read_documents(spark, f"{base}/store").count() == 3
 
 
-def test_a_batch_reads_only_the_folders_it_asks_for(spark, results):
+def test_what_a_batch_reads_does_not_grow_with_the_store(spark, monkeypatch):
+    """Batches of two files over a store that grows twenty times as large."""
     base = work_path(spark, "t")
-    queue(spark, f"{base}/q", *ALL)
-    run(processing.start_processing(
-        spark, f"{base}/q", f"{base}/store", f"{base}/c", results, processed_at=NOW))
-    for name in processing.SIDE_TABLES:
-        every = processing.read_side(spark, f"{base}/store", name)
-        buckets = sorted(r["bucket"] for r in every.select("bucket").distinct().collect())
-        assert buckets
-        some = processing.read_side(spark, f"{base}/store", name, buckets[:1])
-        assert all(f"bucket={buckets[0]}/" in f for f in some.inputFiles())
-        assert some.count() == every.filter(F.col("bucket") == buckets[0]).count()
-        assert processing.read_side(spark, f"{base}/store", name, [999]).count() == 0
+    monkeypatch.setattr(runs, "FILE_ROWS", 64)
+    names = [f"u/{n}/a.pdf" for n in range(1900)]
+    rows = [(n, result(f"Shop {i % 500}", 10.0 + i)) for i, n in enumerate(names)]
+    results = spark.createDataFrame(rows, "blob_path string, result string").repartition(1)
+    read = []
+
+    def find(table, asked, without=None):
+        found = find_rows(table, asked, without)
+        read.append(scanned_rows(found))
+        return found
+
+    find_rows = runs.RunTable.find
+    monkeypatch.setattr(runs.RunTable, "find", find)
+    per_batch, at = [], 0
+    for size in (90, 2, 1710, 2):
+        queue(spark, f"{base}/q", *names[at : at + size])
+        at += size
+        read.clear()
+        run(processing.start_processing(
+            spark, f"{base}/q", f"{base}/store", f"{base}/c", results, processed_at=NOW))
+        per_batch.append(sum(read))
+    assert processing.side_table(spark, f"{base}/store", "_ids").rows().count() == 1804
+    assert per_batch[3] <= 3 * 64 * 2 * 6, per_batch  # a file for each key, run and table
 
 
 def test_high_amounts_are_flagged_against_earlier_batches(spark):
