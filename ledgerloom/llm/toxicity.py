@@ -33,7 +33,7 @@ ABOVE_CHANCE = 1.5  # of an interaction, over the strongest under shuffled label
 MIN_LOADING = 0.05  # of a term in an interaction, whose squares add up to 1
 SHUFFLES = 3
 POWER_STEPS = 12
-KNOWN_WORDS = 1 << 18  # whose terms a Python worker remembers
+KNOWN_WORDS = 1 << 19  # whose terms a Python worker remembers
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -80,19 +80,19 @@ class Model:
         self.place = {int(t): i for i, t in enumerate(self.terms)}
         self.known = {}
 
-    def _of_word(self, word):
+    def _learn_word(self, word):
         """Places of the word's terms that have a weight; most words have none."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            found = tuple(self.place[t] for t in _of_word(word) if t in self.place)
-            self.known[word] = found
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        found = tuple(self.place[t] for t in _of_word(word) if t in self.place)
+        self.known[word] = found
         return found
 
     def score(self, text: str | None) -> float:
-        found = set()
-        for places in map(self._of_word, set(_WORD.findall(text.lower()))) if text else ():
+        found, words = set(), set(_WORD.findall(text.lower())) if text else ()
+        for word, places in zip(words, [*map(self.known.get, words)]):
+            if places is None:
+                places = self._learn_word(word)
             if places:
                 found.update(places)
         logit = self.bias
