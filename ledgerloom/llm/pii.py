@@ -7,8 +7,10 @@ different values get different ones, every pseudonym is valid again, and no valu
 Whoever has the key can turn a pseudonym back.
 
 Phone numbers with +1 or an area in parentheses that miss the North American plan move among the numbers
-that miss it. Dates whose month and day stand the other way round than their sign tells move among the
-dates whose day is above 12, in the same order, so that a pseudonym is read the same way again.
+that miss it. Dates move within the years 1900 to 2099: those whose day is above 12 among themselves, and
+the others among themselves. So a date that can be read in one order only gets a pseudonym that can be
+read in that order only, and one permutation serves all layouts. Not moved are earlier and later dates,
+and months written as words.
 """
 
 import re
@@ -127,16 +129,25 @@ def _ip(found, key, back):
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+@lru_cache(maxsize=2)
+def _days(late):
+    """Ordinals of the days above 12 of all months, or of the others."""
+    every = range(FIRST_DAY, LAST_DAY + 1)
+    return [n for n in every if (date.fromordinal(n).day > 12) == late]
+
+
 def _moved_day(year, month, day, key, back):
     try:
-        number = date(year, month, day).toordinal() - FIRST_DAY
+        number = date(year, month, day).toordinal()
     except ValueError:
         return None
-    n = LAST_DAY - FIRST_DAY + 1
-    if not 0 <= number < n:
+    if not FIRST_DAY <= number <= LAST_DAY:
         return None
-    moved = _permutation(n, key, "date")
-    return date.fromordinal(FIRST_DAY + (moved.original(number) if back else moved.pseudonym(number)))
+    late = day > 12
+    days = _days(late)
+    moved = _permutation(len(days), key, "date-late" if late else "date-early")
+    at = bisect_left(days, number)
+    return date.fromordinal(days[moved.original(at) if back else moved.pseudonym(at)])
 
 
 def _iso(found, key, back):
@@ -144,25 +155,6 @@ def _iso(found, key, back):
     return new and new.strftime(f"%Y{found[4]}%m{found[4]}%d")
 
 
-@lru_cache(maxsize=1)
-def _late_days():
-    """Ordinals of the days above 12 of all months, which no order of month and day but one can mean."""
-    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if date.fromordinal(n).day > 12]
-
-
-def _moved_late_day(year, month, day, key, back):
-    try:
-        number = date(year, month, day).toordinal()
-    except ValueError:
-        return None
-    days = _late_days()
-    at = bisect_left(days, number)
-    if day <= 12 or not FIRST_DAY <= number <= LAST_DAY:
-        return None
-    moved = _permutation(len(days), key, "date-late")
-    return date.fromordinal(days[moved.original(at) if back else moved.pseudonym(at)])
-
-
 def _day(found, key, back):
     """Month first with slashes, day first otherwise, and the other way round where only that is a date;
     both parts are written with two digits."""
@@ -173,7 +165,7 @@ def _day(found, key, back):
     new = _moved_day(year, month, day, key, back)
     if new is not None:
         return new.strftime(layouts[sign != "/"])
-    new = _moved_late_day(year, day, month, key, back)
+    new = _moved_day(year, day, month, key, back)
     return new and new.strftime(layouts[sign == "/"])
 
 
@@ -304,10 +296,13 @@ def pseudonymise(
 
     order = docs.columns
     given = F.col(f"`{text_col}`")
-    made = docs.select(*[F.col(f"`{c}`") for c in order], replaced(given).alias("_replaced"))
+    new = "_replaced"
+    while new.lower() in {c.lower() for c in order}:
+        new += "_"
+    made = docs.select(*[F.col(f"`{c}`") for c in order], replaced(given).alias(new))
     columns = [
-        F.coalesce("_replaced.text", given).alias(c) if c == text_col else F.col(f"`{c}`") for c in order
+        F.coalesce(f"{new}.text", given).alias(c) if c == text_col else F.col(f"`{c}`") for c in order
     ]
     if counts_col:
-        columns.append(F.col("_replaced.counts").alias(counts_col))
+        columns.append(F.col(f"{new}.counts").alias(counts_col))
     return made.select(*columns)
