@@ -6,7 +6,7 @@ one more shard takes rows only into itself, about `1 / (n + 1)` of them.
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import Scratch
@@ -57,7 +57,7 @@ def assign_shards(
     """One row for each row of `docs`: id, size, text_crc32, law (`key`), shard, slot, grown_shard.
 
     `size` is the length of the text in UTF-8 and 8 bytes more, `text_crc32` its unsigned CRC-32; a
-    null text counts as empty. `grown_shard` is the shard with one shard more. `slot` numbers the rows
+    null text counts as empty. Ids that are not whole numbers go by their hash. `grown_shard` is the shard with one shard more. `slot` numbers the rows
     of a shard without gaps from 0, in the order of id (null first), size and checksum; equal rows
     take neighbouring slots. Ids that are null share the key 0. Other columns of `docs` play no part.
 
@@ -67,12 +67,14 @@ def assign_shards(
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
+    whole = docs.select(key).schema[0].dataType.typeName() in ("byte", "short", "integer", "long")
+    hashed = key if whole else F.when(key.isNotNull(), F.xxhash64(key))
     rows = docs.select(
         key.alias("doc_id"),
         (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        jump_shard(key, shards).alias("shard"),
-        jump_shard(key, shards + 1).alias("grown_shard"),
+        jump_shard(hashed, shards).alias("shard"),
+        jump_shard(hashed, shards + 1).alias("grown_shard"),
     )
     rows = scratch.store(rows, "rows")
     order = ["shard", "doc_id", "size", "text_crc32", "_salt"]
@@ -93,13 +95,9 @@ def assign_shards(
         F.count(F.lit(1)).alias("rows"), F.min("_local").alias("first")
     )
     # At most one part more than ranges for each shard, so this table has a bound.
-    earlier = parts.alias("p").join(
-        parts.alias("q"),
-        (F.col("p.shard") == F.col("q.shard")) & (F.col("q._range") < F.col("p._range")),
-        "left",
-    )
-    offsets = earlier.groupBy("p.shard", "p._range", "p.first").agg(
-        F.coalesce(F.sum("q.rows"), F.lit(0)).alias("before")
+    earlier = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        "shard", "_range", "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")
     )
     return ranged.join(F.broadcast(offsets), ["shard", "_range"]).select(
         F.col("doc_id").alias(id_col),

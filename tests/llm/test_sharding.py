@@ -77,3 +77,12 @@ def test_no_python_in_the_plan(spark):
     plan = sharding.assign_shards(spark.read.parquet(f"{DATA}/documents.parquet"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([(f"d{i % 40}", "text") for i in range(200)] + [(None, "x")], "doc_id string, text string")
+    rows = sharding.assign_shards(docs).collect()
+    assert len(rows) == 201 and len({r.shard for r in rows if r.doc_id == "d7"}) == 1
+    assert len({r.shard for r in rows}) > 10
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
