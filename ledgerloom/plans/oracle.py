@@ -297,6 +297,14 @@ search_docs AS (
 _QUERY_WORDS = "".join(c if c.isalnum() else " " for c in SEARCH_QUERY.lower()).split()
 
 
+# Every fifth order's text was cut when it was indexed again.
+_CUT_DOCUMENTS = _DOCUMENTS.replace(
+    "SELECT id, raw_text AS text FROM once",
+    "SELECT id, CASE WHEN k % 5 = 0 THEN substring(raw_text, 1, 100) ELSE raw_text END AS text "
+    "FROM once",
+)
+
+
 def _bm25():
     tf = ", ".join(
         f"len(list_filter(words, lambda w: w = '{word}')) AS tf{i}"
@@ -588,13 +596,12 @@ SELECT doc_id, chunk_id, length(content) AS chars, md5(content) AS content_md5 F
     ),
     "search_invoices": _inv(_bm25(), _DOCUMENTS),
     "index_write": _inv(
-        "SELECT * REPLACE (md5(content) AS content) FROM search_docs",
-        _DOCUMENTS.replace(
-            "SELECT id, raw_text AS text FROM once",
-            "SELECT id, CASE WHEN k % 5 = 0 THEN substring(raw_text, 1, 100) ELSE raw_text END AS text "
-            "FROM once",
-        ),
+        "SELECT * REPLACE (md5(content) AS content) FROM search_docs", _CUT_DOCUMENTS
+    ),
+    "search_index_documents": _inv(
+        "SELECT * REPLACE (md5(content) AS content) FROM search_docs", _CUT_DOCUMENTS
     ),
+    "search_indexed": _inv(_bm25(), _CUT_DOCUMENTS),
     "stored_text_cut": _inv("""
 SELECT id, md5(substring(raw_text, 1, 10000)) AS text_md5,
   length(substring(raw_text, 1, 10000)) AS chars FROM inv"""),

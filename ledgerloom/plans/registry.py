@@ -26,6 +26,7 @@ from ledgerloom.operators import (
     reports,
     search,
 )
+from ledgerloom.operators.text_index import TextIndex
 from ledgerloom.plans import given
 from ledgerloom.plans.given import CONTAINER, invoices
 from ledgerloom.plans.medallion_job import run_medallion
@@ -469,11 +470,34 @@ def index_write(spark, sf_dir):
     """All documents are indexed, then every fifth order again with a text cut short."""
     path = work_path(spark, "index")
     tables.write_index(_documents(spark, sf_dir), path)
+    tables.write_index(_cut_documents(spark, sf_dir), path)
+    return tables.read_index(spark, path).withColumn("content", F.md5("content"))
+
+
+def _cut_documents(spark, sf_dir):
     rows = invoices(spark, sf_dir, *SEARCH_INPUT)
     fifth = F.substring_index("id", "-", 1).cast("bigint") % 5 == 0
     again = search.cut_stored_text(rows.filter(fifth), 100)
-    tables.write_index(search.search_documents(again, sequence="processed_at"), path)
-    return tables.read_index(spark, path).withColumn("content", F.md5("content"))
+    return search.search_documents(again, sequence="processed_at")
+
+
+def _text_index(spark, sf_dir):
+    """All documents, then every fifth order again with a text cut short, as segments of an index."""
+    index = TextIndex(spark, work_path(spark, "text-index"))
+    index.put(_documents(spark, sf_dir))
+    index.put(_cut_documents(spark, sf_dir))
+    return index
+
+
+@query
+def search_indexed(spark, sf_dir):
+    return _text_index(spark, sf_dir).search(SEARCH_QUERY)
+
+
+@query
+def search_index_documents(spark, sf_dir):
+    """What the index holds after the second delivery."""
+    return _text_index(spark, sf_dir).rows().withColumn("content", F.md5("content"))
 
 
 @query

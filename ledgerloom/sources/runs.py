@@ -24,76 +24,93 @@ PAGE_ROWS = 1000
 GROUP_BYTES = 8 << 20  # of a row group; its pages are found through one index
 ASKED_AT_ONCE = 400  # hashes that one scan compares its pages with, one by one
 MAX_ASKED = 64 * ASKED_AT_ONCE  # hashes that go through the driver; more are joined
-KEPT_MANIFESTS = 8  # that readers may still use; older ones and their runs are removed
+KEPT_MANIFESTS = 16  # that readers may still use; older ones and their runs are removed
 IN_FILTER = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
-class RunTable:
-    """A table of rows with a hash column, below `path`.
+class Manifests:
+    """Numbered states of a folder, each a list of entries in a JSON file that is written once.
 
-    `schema` is in DDL and holds `hash_column`, a long. `combine` takes the rows of several runs to
-    fewer rows that mean the same, such as sums by key; it must not depend on how rows lie in runs.
+    A state is replaced by writing the next number. Of two writers one gets the number, and the other
+    starts again from what the first has written.
     """
 
-    def __init__(self, spark, path, schema, hash_column, combine=None):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.hash, self.combine = hash_column, combine or (lambda rows: rows)
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self._files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    # Manifests ----------------------------------------------------------------------------------------
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifest_path(self, number):
+    def _file(self, number):
         return self._path(f"{self.path}/manifests/{number}.json")
 
-    def _numbers(self):
+    def numbers(self):
         folder = self._path(f"{self.path}/manifests")
-        if not self._files.exists(folder):
+        if not self.files.exists(folder):
             return []
-        names = [s.getPath().getName() for s in self._files.listStatus(folder)]
+        names = [s.getPath().getName() for s in self.files.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def _read(self, number):
-        stream = self._files.open(self._manifest_path(number))
+    def entries(self, number=None):
+        """The entries of a state, by default the last one; none before the first."""
+        if number is None:
+            number = self.numbers()[-1:]
+            number = number[0] if number else 0
+        if number == 0:
+            return []
+        stream = self.files.open(self._file(number))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)["runs"]
-
-    def runs(self):
-        """The runs of the table now: name, writer, number, level, rows and files, of which each has its
-        name, least and largest hash and length in bytes."""
-        numbers = self._numbers()
-        return self._read(numbers[-1]) if numbers else []
+        return json.loads(text)
 
-    def _commit(self, change):
-        """Write the next manifest, made by `change` from the runs of the last one. Of two writers one
-        claims the number, the other starts again from what the first has written."""
+    def commit(self, change):
+        """Write the next state, made by `change` from the entries of the last one; returns its number."""
         while True:
-            numbers = self._numbers()
+            numbers = self.numbers()
             last = numbers[-1] if numbers else 0
-            runs = change(self._read(last) if numbers else [])
+            entries = change(self.entries(last))
             claim = self._path(f"{self.path}/manifests/{last + 1}.claim-{uuid.uuid4().hex}")
-            stream = self._files.create(claim, False)
-            stream.write(bytearray(json.dumps({"runs": runs}).encode()))
+            stream = self.files.create(claim, False)
+            stream.write(bytearray(json.dumps(entries).encode()))
             stream.close()
-            if last + 1 not in self._numbers() and self._files.rename(claim, self._manifest_path(last + 1)):
-                self._forget(numbers)
-                return
-            self._files.delete(claim, False)
+            if last + 1 not in self.numbers() and self.files.rename(claim, self._file(last + 1)):
+                self._forget([*numbers, last + 1])
+                return last + 1
+            self.files.delete(claim, False)
 
     def _forget(self, numbers):
-        """Remove old manifests, and the runs that only they name."""
+        """Remove old states, and the folders that only they name."""
         old, kept = numbers[:-KEPT_MANIFESTS], numbers[-KEPT_MANIFESTS:]
         if old:
-            named = {r["folder"] for n in [*kept, kept[-1] + 1] for r in self._read(n)}
-            gone = {r["folder"] for n in old for r in self._read(n)} - named
-            for folder in gone:
-                self._files.delete(self._path(f"{self.path}/{folder}"), True)
+            folders = lambda states: {e.get("folder") for n in states for e in self.entries(n)}
+            for folder in folders(old) - folders(kept) - {None}:
+                self.files.delete(self._path(f"{self.path}/{folder}"), True)
             for number in old:
-                self._files.delete(self._manifest_path(number), False)
+                self.files.delete(self._file(number), False)
+
+
+class RunTable:
+    """A table of rows with a hash column, below `path`.
+
+    `schema` is in DDL and holds `hash_column`, a long. `combine` takes the rows of several runs to
+    fewer rows that mean the same, such as sums by key; it must not depend on how rows lie in runs.
+    `state` opens the table as it was after a commit of that number.
+    """
+
+    def __init__(self, spark, path, schema, hash_column, combine=None, state=None):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.hash, self.combine = hash_column, combine or (lambda rows: rows)
+        self.manifests, self.state = Manifests(spark, path), state
+
+    def runs(self):
+        """The runs of the table: folder, writer, number, level, rows and files, of which each has its
+        name, least and largest hash and length in bytes."""
+        return self.manifests.entries(self.state)
+
+    def last(self):
+        """The number of the last commit, 0 before the first."""
+        return self.manifests.numbers()[-1] if self.manifests.numbers() else 0
 
     # Writing ------------------------------------------------------------------------------------------
 
@@ -128,7 +145,7 @@ class RunTable:
         def change(runs):
             return [r for r in runs if (r["writer"], r["number"]) != (writer, number)] + [entry]
 
-        self._commit(change)
+        self.manifests.commit(change)
         self._merge()
 
     def _full_level(self):
@@ -155,7 +172,7 @@ class RunTable:
                     return runs
                 return [r for r in runs if r["folder"] not in gone] + [entry]
 
-            self._commit(change)
+            self.manifests.commit(change)
 
     # Reading ------------------------------------------------------------------------------------------
 

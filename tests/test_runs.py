@@ -41,9 +41,9 @@ def test_runs_stay_few_and_rows_are_combined(spark, table):
     assert sum(r["rows"] for r in table.runs()) < 30 * 50
     # Old runs and manifests have gone.
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/runs")
-    kept = {s.getPath().getName() for s in table._files.listStatus(folder)}
+    kept = {s.getPath().getName() for s in table.manifests.files.listStatus(folder)}
     assert len(kept) < 30 and {r["folder"].split("/")[1] for r in table.runs()} <= kept
-    assert len(table._numbers()) <= runs.KEPT_MANIFESTS + 1
+    assert len(table.manifests.numbers()) <= runs.KEPT_MANIFESTS
 
 
 def test_a_repeated_batch_replaces_itself_and_does_not_see_itself(spark, table):
@@ -86,23 +86,23 @@ def test_many_keys_are_joined(spark, table, monkeypatch):
 
 def test_two_writers_lose_nothing(spark, table, monkeypatch):
     """Another writer adds a run between this one's reading of the manifest and its writing."""
-    first = RunTable._numbers
+    first = runs.Manifests.numbers
     other = RunTable(spark, table.path, "h long, k long", "h")
     state = {"calls": 0}
 
     def numbers(self):
         found = first(self)
-        if self is table:
+        if self is table.manifests:
             state["calls"] += 1
             if state["calls"] == 1:
-                monkeypatch.setattr(RunTable, "_numbers", first)
+                monkeypatch.setattr(runs.Manifests, "numbers", first)
                 other.put(keys(spark, 100, 10), "b", 0)
-                monkeypatch.setattr(RunTable, "_numbers", numbers)
+                monkeypatch.setattr(runs.Manifests, "numbers", numbers)
         return found
 
-    monkeypatch.setattr(RunTable, "_numbers", numbers)
+    monkeypatch.setattr(runs.Manifests, "numbers", numbers)
     table.put(keys(spark, 0, 10), "a", 0)
-    monkeypatch.setattr(RunTable, "_numbers", first)
+    monkeypatch.setattr(runs.Manifests, "numbers", first)
     assert sorted(r["k"] for r in table.rows().collect()) == [*range(10), *range(100, 110)]
 
 
