@@ -204,9 +204,7 @@ def vector_topk(
     matrix = np.array([row["vector"] for row in rows], dtype="float64").reshape(len(rows), width)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
     shared = spark.sparkContext.broadcast(matrix)
-    vector = F.col(vector_column)
-    whole = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    stored = vectors.filter(whole).select(F.col(id_column).alias("id"), vector.alias("vector"))
+    stored = usable_vectors(vectors, id_column, vector_column, width)
     id_type = stored.schema["id"].dataType.simpleString()
     best = stored.mapInArrow(
         partial(_nearest, shared=shared, k=k), f"query int, id {id_type}, score double"
@@ -219,6 +217,14 @@ def vector_topk(
     return ranked.join(F.broadcast(names), "query").select("query_id", "id", "score", "rank")
 
 
+def usable_vectors(vectors, id_column, vector_column, width):
+    """`id` and `vector` of the vectors of a width that have no null element and are not zero."""
+    vector = F.col(vector_column)
+    whole = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    some = F.exists(vector, lambda x: x != 0)
+    return vectors.filter(whole & some).select(F.col(id_column).alias("id"), vector.alias("vector"))
+
+
 def _nearest(batches, shared, k):
     """The best `k` stored vectors of a partition for each query, kept up to date batch by batch."""
     matrix, kept, id_type = shared.value, {}, None

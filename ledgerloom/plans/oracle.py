@@ -305,6 +305,21 @@ _CUT_DOCUMENTS = _DOCUMENTS.replace(
 )
 
 
+_VECTOR_TOPK = """
+WITH parts AS (
+  SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM parts GROUP BY label, i),
+centres AS (SELECT label AS query_id, list(m ORDER BY i) AS c FROM means GROUP BY label),
+scored AS (
+  SELECT query_id, vec_id AS id,
+    round(list_cosine_similarity(c, CAST(embedding AS DOUBLE[])), 6) AS score
+  FROM centres, embeddings)
+SELECT query_id, id, score, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+      FROM scored)
+WHERE rank <= 10"""
+
+
 def _bm25():
     tf = ", ".join(
         f"len(list_filter(words, lambda w: w = '{word}')) AS tf{i}"
@@ -605,19 +620,7 @@ SELECT doc_id, chunk_id, length(content) AS chars, md5(content) AS content_md5 F
     "stored_text_cut": _inv("""
 SELECT id, md5(substring(raw_text, 1, 10000)) AS text_md5,
   length(substring(raw_text, 1, 10000)) AS chars FROM inv"""),
-    "vector_topk": """
-WITH parts AS (
-  SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM parts GROUP BY label, i),
-centres AS (SELECT label AS query_id, list(m ORDER BY i) AS c FROM means GROUP BY label),
-scored AS (
-  SELECT query_id, vec_id AS id,
-    round(list_cosine_similarity(c, CAST(embedding AS DOUBLE[])), 6) AS score
-  FROM centres, embeddings)
-SELECT query_id, id, score, rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-      FROM scored)
-WHERE rank <= 10""",
+    "vector_topk": _VECTOR_TOPK,
     "extract_fields": _inv(
         f"""
 SELECT id, vendor_name, customer_name, invoice_number, invoice_date, due_date, purchase_order,

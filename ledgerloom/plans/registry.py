@@ -27,6 +27,7 @@ from ledgerloom.operators import (
     search,
 )
 from ledgerloom.operators.text_index import TextIndex
+from ledgerloom.operators.vector_index import VectorIndex
 from ledgerloom.plans import given
 from ledgerloom.plans.given import CONTAINER, invoices
 from ledgerloom.plans.medallion_job import run_medallion
@@ -523,6 +524,15 @@ def vector_topk(spark, sf_dir):
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def vector_topk_ivf(spark, sf_dir):
+    """The same queries as `vector_topk`, answered by an index of all vectors."""
+    vectors = given.table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, work_path(spark, "vector-index")).build(vectors, "vec_id", "embedding")
+    found = index.search(_label_centres(vectors), 10)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def extract_fields(spark, sf_dir):
     view = invoices(spark, sf_dir, *given.RESULT_COLUMNS)

@@ -33,11 +33,15 @@ def _sorted(rows):
     return sorted(rows, key=lambda row: [(v is not None, str(v)) for v in row])
 
 
+# Answers that may miss some rows; `tests/test_vector_index.py` measures how many.
+APPROXIMATE = {"vector_topk_ivf"}
+
+
 def test_every_query_has_a_statement():
-    assert set(entry.TABLE_QUERIES) == set(entry.ORACLE)
+    assert set(entry.TABLE_QUERIES) - APPROXIMATE == set(entry.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.TABLE_QUERIES))
+@pytest.mark.parametrize("name", sorted(entry.ORACLE))
 def test_query_equals_sql(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)
