@@ -187,6 +187,13 @@ def _silver(sql):
     return _inv(sql, _BRONZE, _SILVER)
 
 
+_ANOMALIES = """
+SELECT id, vendor_name_clean, total_amount, spend_category,
+  CAST(invoice_date_parsed AS VARCHAR) AS invoice_date_parsed, anomaly_flags, anomaly_count,
+  is_likely_duplicate, coalesce(above, FALSE) AS is_high_value
+FROM silver WHERE anomaly_count > 0"""
+
+
 # Extraction results -------------------------------------------------------------------------------
 
 
@@ -458,11 +465,33 @@ SELECT fiscal_year, fiscal_month, count(id) AS invoice_count, {_sum("total_amoun
   count(DISTINCT vendor_name_clean) AS unique_vendors,
   CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies
 FROM silver GROUP BY fiscal_year, fiscal_month"""),
-    "anomaly_summary": _silver("""
-SELECT id, vendor_name_clean, total_amount, spend_category,
-  CAST(invoice_date_parsed AS VARCHAR) AS invoice_date_parsed, anomaly_flags, anomaly_count,
-  is_likely_duplicate, coalesce(above, FALSE) AS is_high_value
-FROM silver WHERE anomaly_count > 0"""),
+    "anomaly_summary": _silver(_ANOMALIES),
+    "change_feed": _inv(
+        """
+SELECT id, CASE WHEN k % 7 = 0 THEN 'insert' ELSE 'update' END AS _change, total_amount, spend_category
+FROM once WHERE k % 7 = 0 OR (k % 5 = 1
+  AND (total_amount IS DISTINCT FROM total_amount * 3 + 50 OR spend_category IS DISTINCT FROM 'Other'))
+UNION ALL SELECT 'gone-' || id, 'delete', total_amount, spend_category FROM once WHERE k % 11 = 2""",
+        " once AS (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY id ORDER BY processed_at) = 1)",
+    ),
+    "gold_incremental": _silver(f"""
+SELECT 'spend_by_category' AS table_name, concat_ws('|', fiscal_year, fiscal_month, spend_category) AS key,
+  count(id) AS invoice_count, {_sum("total_amount")} AS total_spend, min(total_amount) AS low,
+  max(total_amount) AS high, {_avg("total_amount")} AS average,
+  CAST(sum(CASE WHEN is_likely_duplicate THEN 1 ELSE 0 END) AS BIGINT) AS duplicates,
+  CAST(sum(anomaly_count) AS BIGINT) AS flags, CAST(NULL AS DOUBLE) AS days,
+  CAST(NULL AS VARCHAR) AS first, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS BIGINT) AS vendors
+FROM silver GROUP BY fiscal_year, fiscal_quarter, fiscal_month, spend_category
+UNION ALL SELECT 'vendor_analysis', concat_ws('|', vendor_name_clean, spend_category), count(id),
+  {_sum("total_amount")}, NULL, NULL, {_avg("total_amount")},
+  CAST(sum(CASE WHEN is_likely_duplicate THEN 1 ELSE 0 END) AS BIGINT), NULL, avg(days_to_due),
+  CAST(min(invoice_date_parsed) AS VARCHAR), CAST(max(invoice_date_parsed) AS VARCHAR), NULL
+FROM silver GROUP BY vendor_name_clean, spend_category
+UNION ALL SELECT 'monthly_trend', concat_ws('|', fiscal_year, fiscal_month), count(id),
+  {_sum("total_amount")}, NULL, NULL, NULL, NULL, CAST(sum(anomaly_count) AS BIGINT), NULL, NULL, NULL,
+  count(DISTINCT vendor_name_clean)
+FROM silver GROUP BY fiscal_year, fiscal_month"""),
+    "gold_incremental_anomalies": _silver(_ANOMALIES),
     "medallion_batch": _silver(f"""
 SELECT 'raw_invoices' AS table_name, user_id AS key, count(*) AS number,
   {_sum("total_amount")} AS amount, TRUE AS counted FROM inv GROUP BY user_id

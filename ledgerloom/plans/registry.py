@@ -6,7 +6,7 @@ by value with the SQL statements in `oracle.py`.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import intake as intake_rules
@@ -17,6 +17,7 @@ from ledgerloom.functions.normalize import (
     parse_float,
 )
 from ledgerloom.operators import (
+    changes,
     classification,
     duplicates,
     extraction,
@@ -26,10 +27,12 @@ from ledgerloom.operators import (
     reports,
     search,
 )
+from ledgerloom.operators.latest import first_per_key
 from ledgerloom.operators.text_index import TextIndex
 from ledgerloom.operators.vector_index import VectorIndex
 from ledgerloom.plans import given
 from ledgerloom.plans.given import CONTAINER, invoices
+from ledgerloom.plans.incremental_gold import IncrementalGold, gold_between
 from ledgerloom.plans.medallion_job import run_medallion
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import work_path
@@ -242,8 +245,90 @@ def gold_ordered_by_spend(spark, sf_dir):
 
 
 def _placed(rows):
-    """Number the rows of a sorted report, in the order they come."""
-    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    """Number the rows of a sorted report, in the order they come: each sorted range starts where the
+    ranges before it end."""
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    rows = tables.materialize(rows, "placed")
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "_range").withColumn("place", F.col("start") + F.col("_row") + 1)
+
+
+def _versions(spark, sf_dir):
+    """Two versions of the invoice store. The first has other amounts and categories for every fifth
+    order, lacks every seventh, and has invoices that the second lacks."""
+    now = first_per_key(invoices(spark, sf_dir, *SILVER_INPUT), ["id"], ["processed_at"])
+    k = F.substring_index("id", "-", 1).cast("bigint")
+    was = now.filter(k % 7 != 0).withColumns(
+        {
+            "total_amount": F.when(k % 5 == 1, F.col("total_amount") * 3 + 50).otherwise(F.col("total_amount")),
+            "spend_category": F.when(k % 5 == 1, F.lit("Other")).otherwise(F.col("spend_category")),
+        }
+    )
+    gone = now.filter(k % 11 == 2).withColumn("id", F.concat(F.lit("gone-"), "id"))
+    return tables.materialize(was.unionByName(gone), "v1"), tables.materialize(now, "v2")
+
+
+def _incremental_gold(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    kept = IncrementalGold(spark, work_path(spark, "gold"))
+    kept.apply(old)
+    return gold_between(old, new, kept)
+
+
+@query
+def change_feed(spark, sf_dir):
+    """What changed between two versions of the store."""
+    feed = changes.change_feed(*_versions(spark, sf_dir))
+    return feed.select("id", "_change", "total_amount", "spend_category")
+
+
+@query
+def gold_incremental(spark, sf_dir):
+    """Gold tables built from one version of the store and brought to the next by its change feed."""
+    kept = _incremental_gold(spark, sf_dir)
+    shown = {
+        "spend_by_category": (
+            kept.spend_by_category(), ["fiscal_year", "fiscal_month", "spend_category"],
+            {"low": "min_invoice_amount", "high": "max_invoice_amount", "average": "avg_invoice_amount",
+             "duplicates": "duplicate_count", "flags": "total_anomaly_flags"},
+        ),
+        "vendor_analysis": (
+            kept.vendor_analysis(), ["vendor_name_clean", "spend_category"],
+            {"average": "avg_invoice_amount", "duplicates": "duplicate_count", "days": "avg_days_to_due",
+             "first": "first_invoice_date", "last": "last_invoice_date"},
+        ),
+        "monthly_trend": (
+            kept.monthly_trend(), ["fiscal_year", "fiscal_month"],
+            {"flags": "total_anomalies", "vendors": "unique_vendors"},
+        ),
+    }
+    kinds = {
+        "low": "double", "high": "double", "average": "double", "duplicates": "bigint", "flags": "bigint",
+        "days": "double", "first": "string", "last": "string", "vendors": "bigint",
+    }
+    parts = [
+        rows.select(
+            F.lit(name).alias("table_name"), F.concat_ws("|", *keys).alias("key"),
+            "invoice_count", "total_spend",
+            *[(F.col(own[c]) if c in own else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()],
+        )
+        for name, (rows, keys, own) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def gold_incremental_anomalies(spark, sf_dir):
+    result = _incremental_gold(spark, sf_dir).anomaly_summary()
+    return result.withColumns(
+        {
+            "invoice_date_parsed": F.col("invoice_date_parsed").cast("string"),
+            "anomaly_flags": F.array_join("anomaly_flags", ","),
+        }
+    )
 
 
 # Reports ------------------------------------------------------------------------------------------
