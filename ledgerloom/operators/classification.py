@@ -1,11 +1,12 @@
-"""Scoring stage for spend categories and rule-based anomaly flags."""
+"""Scoring stages for spend categories, by rules and learned, and rule-based anomaly flags."""
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import money_avg
 from ledgerloom.functions.normalize import iso_date, present
-from ledgerloom.operators.lookup import with_group_values
+from ledgerloom.operators.lookup import group_values, join_values, with_group_values
 from ledgerloom.schemas import SPEND_CATEGORIES
+from ledgerloom.sources.tables import settled
 
 # Our own keyword rules: term, category, weight.
 KEYWORD_RULES = [
@@ -66,6 +67,83 @@ def classify_with_rules(df, rules=None, text=None):
     )
 
 
+SMOOTHING = 1.0
+WEIGHT = "decimal(18,9)"  # exact, so that sums do not depend on the order of words
+
+
+def _words(df, text):
+    if text is None:
+        text = F.concat_ws(" ", "vendor_name", F.col("line_items.description"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def learn_categories(labelled, label="spend_category", text=None):
+    """A model of the words of labelled invoices: `word` and `weights`, one for each category.
+
+    Complement naive Bayes: a word weighs for a category by how rare it is in all others, so a category
+    with many invoices is not favoured. A word counts once for an invoice. Rows whose label is none of
+    the categories are left out. The counts are partially aggregated, and one row a word is left.
+    """
+    rank = F.array_position(F.array(*[F.lit(c) for c in SPEND_CATEGORIES]), F.col(label))
+    words = labelled.filter(rank > 0).select(rank.alias("rank"), F.explode(_words(labelled, text)).alias("word"))
+    counts = words.groupBy("word", "rank").agg(F.count(F.lit(1)).alias("n"))
+    places = range(1, len(SPEND_CATEGORIES) + 1)
+    by_word = counts.groupBy("word").agg(
+        F.sum("n").alias("all"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("rank") == i, F.col("n"))), F.lit(0)) for i in places]).alias("own"),
+    )
+    totals = counts.groupBy().agg(
+        F.sum("n").alias("sum"),
+        F.count_distinct("word").alias("words"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("rank") == i, F.col("n"))), F.lit(0)) for i in places]).alias("sums"),
+    )
+
+    def weight(own, i):
+        elsewhere = (F.col("all") - own + SMOOTHING) / (F.col("sum") - F.col("sums")[i] + SMOOTHING * F.col("words"))
+        return (-F.log(elsewhere)).cast(WEIGHT)
+
+    joined = by_word.join(F.broadcast(totals))  # one row
+    return joined.select("word", F.transform("own", weight).alias("weights"))
+
+
+def classify_learned(df, model, text=None, settle=False):
+    """Add `learned_category`, the category whose words' weights add up to most (the one named first on a
+    tie), its `learned_confidence` among all by these sums, and `known_words`. Invoices without a known
+    word get the category of the rules and confidence 0.
+
+    Words are joined to the model, which is one row a word; a word that a third of all invoices have is
+    split over tasks. With `settle` the model is written first and its real size decides the join.
+    """
+    model = group_values(model, ["word"], weights=F.first("weights"))
+    model = settled(model, settle, "category-model")
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()), settle, "to-classify")
+    words = rows.select("_row", F.explode(_words(df, text)).alias("word"))
+    found = join_values(words, F.struct("word"), model, "inner")
+    places = range(len(SPEND_CATEGORIES))
+    sums = found.groupBy("_row").agg(
+        F.array(*[F.sum(F.col("weights")[i]) for i in places]).alias("_sums"), F.count(F.lit(1)).alias("_known")
+    )
+    best = F.array_max("_sums")
+    apart = F.aggregate(
+        "_sums", F.lit(0.0), lambda total, s: total + F.exp((s - best).cast("double"))
+    )
+    named = F.array(*[F.lit(c) for c in SPEND_CATEGORIES])
+    ruled = classify_with_rules(rows, text=text)
+    return (
+        ruled.join(sums, "_row", "left")
+        .withColumns(
+            {
+                "learned_category": F.coalesce(
+                    F.get(named, (F.array_position("_sums", best) - 1).cast("int")), "rule_category"
+                ),
+                "learned_confidence": F.coalesce(F.round(1 / apart, 6), F.lit(0.0)),
+                "known_words": F.coalesce("_known", F.lit(0)),
+            }
+        )
+        .drop("_row", "_sums", "_known", "rule_category", "rule_weight")
+    )
+
+
 def classify_with(df, scorer, schema):
     """Run a scorer over batches of rows: a function from an iterator of pandas frames to one."""
     return df.mapInPandas(scorer, schema)

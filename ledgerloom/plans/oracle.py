@@ -708,6 +708,52 @@ described AS (
     lower(concat_ws(' ', vendor_name, array_to_string(list_transform(range(1, {_ITEMS} + 1),
       lambda i: {_I["description"]}), ' '))) AS txt
   FROM inv)""",
+    ),
+    "classify_learned": _inv(
+        f"""
+SELECT d.copy_id AS id, coalesce(learned, rule_category) AS learned_category,
+  coalesce(confidence, 0) AS learned_confidence, coalesce(known, 0) AS known_words
+FROM (SELECT copy_number, id AS copy_id FROM described) AS d
+JOIN (SELECT copy_number, rule_category FROM {_rules("described")} WHERE best = 1) USING (copy_number)
+LEFT JOIN picked USING (copy_number)""",
+        f"""
+described AS (
+  SELECT id, k, spend_category, row_number() OVER () AS copy_number,
+    lower(concat_ws(' ', vendor_name, array_to_string(list_transform(range(1, {_ITEMS} + 1),
+      lambda i: {_I["description"]}), ' '))) AS txt
+  FROM inv)""",
+        f"""
+said AS (
+  SELECT copy_number, k, list_position({_list(SPEND_CATEGORIES)}, spend_category) AS rank,
+    unnest(list_distinct(regexp_extract_all(txt, '[\\p{{L}}\\p{{N}}]+'))) AS word
+  FROM described)""",
+        """
+counted AS (SELECT word, rank, count(*) AS n FROM said WHERE (k // 7) % 3 <> 0 AND rank > 0 GROUP BY ALL)""",
+        """
+word_totals AS (SELECT word, sum(n) AS n_all FROM counted GROUP BY word)""",
+        """
+figures AS (SELECT sum(n) AS total, count(DISTINCT word) AS words FROM counted)""",
+        """
+ranks AS (SELECT unnest(range(1, 11)) AS rank)""",
+        """
+rank_totals AS (SELECT rank, coalesce(sum(n), 0) AS n_rank FROM ranks LEFT JOIN counted USING (rank) GROUP BY rank)""",
+        """
+weights AS (
+  SELECT word, rank, CAST(-ln((n_all - coalesce(n, 0) + 1.0::DOUBLE) / (total - n_rank + 1.0::DOUBLE * words))
+    AS DECIMAL(18,9)) AS w
+  FROM word_totals CROSS JOIN rank_totals LEFT JOIN counted USING (word, rank), figures)""",
+        """
+summed AS (
+  SELECT copy_number, r, CAST(sum(w) AS DECIMAL(38,9)) AS s, count(*) AS known
+  FROM (SELECT copy_number, word FROM said) JOIN (SELECT word, rank AS r, w FROM weights) USING (word)
+  GROUP BY copy_number, r)""",
+        f"""
+picked AS (
+  SELECT copy_number, known, {_list(SPEND_CATEGORIES)}[r] AS learned,
+    round(1 / sum(exp(CAST(s - top AS DOUBLE))) OVER (PARTITION BY copy_number ORDER BY r
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS confidence
+  FROM (SELECT *, max(s) OVER (PARTITION BY copy_number) AS top FROM summed)
+  QUALIFY row_number() OVER (PARTITION BY copy_number ORDER BY s DESC, r) = 1)""",
     ),
     "anomaly_rules": _inv(f"""
 SELECT id, concat_ws(',',
