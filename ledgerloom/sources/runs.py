@@ -200,11 +200,12 @@ class RunTable:
         number. Rows of other keys with the same hash are among them.
 
         Up to `MAX_ASKED` hashes go through the driver, and each `ASKED_AT_ONCE` of them, which are next
-        to each other in every run, make one scan. With more, the table is read whole and joined.
+        to each other in every run, make one scan. With more, and where the hashes' pages could make up
+        the table, it is read whole and joined.
         """
         runs = self._but(without)
         few = asked.select(self.hash).dropna().distinct().limit(MAX_ASKED + 1).collect() if runs else []
-        if len(few) > MAX_ASKED:
+        if len(few) > MAX_ASKED or sum(r["rows"] for r in runs) <= PAGE_ROWS * len(few):
             return self._of(runs).join(asked.select(self.hash).distinct(), self.hash, "left_semi")
         hashes = sorted(r[0] for r in few)
         # Up to this many values the scan compares pages with each value, beyond it with their range.

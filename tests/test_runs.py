@@ -70,7 +70,8 @@ def test_rows_read_stay_flat_while_the_table_grows(spark, table):
     assert read[1] <= 5 * runs.PAGE_ROWS + 10 and read[20] <= 2 * 5 * runs.PAGE_ROWS + 10
 
 
-def test_keys_of_several_scans(spark, table):
+def test_keys_of_several_scans(spark, table, monkeypatch):
+    monkeypatch.setattr(runs, "PAGE_ROWS", 1)
     for n in range(3):
         table.put(keys(spark, n * 3000, 3000), "w", n)
     got = sorted(r["k"] for r in table.find(keys(spark, 1000, 6000)).collect())

@@ -217,6 +217,7 @@ def test_what_a_batch_reads_does_not_grow_with_the_store(spark, monkeypatch):
     """Batches of two files over a store that grows twenty times as large."""
     base = work_path(spark, "t")
     monkeypatch.setattr(runs, "FILE_ROWS", 64)
+    monkeypatch.setattr(runs, "PAGE_ROWS", 16)
     names = [f"u/{n}/a.pdf" for n in range(1900)]
     rows = [(n, result(f"Shop {i % 500}", 10.0 + i)) for i, n in enumerate(names)]
     results = spark.createDataFrame(rows, "blob_path string, result string").repartition(1)
