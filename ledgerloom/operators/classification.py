@@ -178,3 +178,60 @@ def anomaly_rules(df, settle=False):
         )
         .drop("_average")
     )
+
+
+SKETCH_SIZE = 1024  # of a vendor's sketch; up to about as many amounts it is exact
+FAR_OUT = 3.0  # spreads between the quartiles beyond the upper one
+
+
+def amount_sketches(df, size=SKETCH_SIZE):
+    """A quantile sketch (KLL) of the amounts of each vendor: `vendor_name`, `sketch`, `n`.
+
+    Sketches are aggregated partially, so a large vendor is no large group, and those of several batches
+    or tables merge (`merged_sketches`). Amounts that are null or not finite play no part.
+    """
+    amount = F.col("total_amount")
+    usable = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) < float("inf"))
+    return df.filter(usable).groupBy("vendor_name").agg(
+        F.kll_sketch_agg_double(amount, F.lit(size)).alias("sketch"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def merged_sketches(sketches):
+    """One sketch for each vendor, of several tables of sketches put together."""
+    return sketches.groupBy("vendor_name").agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n")
+    )
+
+
+def anomaly_robust(df, sketches=None, far_out=FAR_OUT, settle=False):
+    """Add `median_amount`, `high_limit` and `is_far_out`: whether the amount lies more than `far_out`
+    times the spread between the quartiles above the upper quartile of its vendor's amounts.
+
+    One very large amount moves an average, and with it a limit of three times the average; it does not
+    move quartiles. `sketches` are those of the invoices to compare with, by default those given. A
+    vendor's quartiles are exact for up to about `SKETCH_SIZE` amounts, and within about 1 % of the ranks
+    beyond. Invoices without an amount, or whose vendor has no sketch, are not far out.
+    """
+    sketches = amount_sketches(df) if sketches is None else sketches
+
+    def quantile(q):
+        return F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+
+    values = group_values(
+        sketches, ["vendor_name"],
+        low=F.first(quantile(0.25)), middle=F.first(quantile(0.5)), high=F.first(quantile(0.75)),
+    )
+    values = settled(values, settle, "vendor-quartiles")
+    limit = F.col("high") + far_out * (F.col("high") - F.col("low"))
+    return (
+        join_values(df, F.struct("vendor_name"), values)
+        .withColumns(
+            {
+                "median_amount": F.col("middle"),
+                "high_limit": limit,
+                "is_far_out": F.coalesce(F.col("total_amount") > limit, F.lit(False)),
+            }
+        )
+        .drop("low", "middle", "high")
+    )

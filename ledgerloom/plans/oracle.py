@@ -763,6 +763,20 @@ SELECT id, concat_ws(',',
   CASE WHEN purchase_order = '' THEN 'missing_po' END) AS rule_flags
 FROM (SELECT *, {_over("total_amount", "vendor_name")}
         / count(total_amount) OVER (PARTITION BY vendor_name) AS a FROM inv)"""),
+    "anomaly_robust": _inv(
+        """
+SELECT id, median_amount, round(high + 3 * (high - low), 4) AS high_limit,
+  coalesce(total_amount > high + 3 * (high - low), FALSE) AS is_far_out
+FROM cleaned LEFT JOIN quartiles ON vendor IS NOT DISTINCT FROM of_vendor""",
+        """
+cleaned AS (
+  SELECT id, total_amount, upper(trim(vendor_name)) AS vendor FROM inv)""",
+        """
+quartiles AS (
+  SELECT vendor AS of_vendor, quantile_disc(total_amount, 0.25) AS low,
+    quantile_disc(total_amount, 0.5) AS median_amount, quantile_disc(total_amount, 0.75) AS high
+  FROM cleaned WHERE total_amount IS NOT NULL GROUP BY vendor)""",
+    ),
     "money_parse": _inv("""
 SELECT id, CASE k % 6 WHEN 0 THEN total_amount
     WHEN 2 THEN CASE WHEN total_amount < 1000 THEN total_amount END

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import intake as intake_rules
 from ledgerloom.functions.money import money_sum
 from ledgerloom.functions.normalize import (
+    clean_vendor,
     document_id,
     normalize_currency,
     parse_float,
@@ -692,6 +693,18 @@ def anomaly_rules(spark, sf_dir):
     return found.select("id", F.array_join("rule_flags", ",").alias("rule_flags"))
 
 
+@query
+def anomaly_robust(spark, sf_dir):
+    """Amounts far out of their vendors' quartiles, from sketches of two halves of the store merged."""
+    rows = invoices(spark, sf_dir, "id", "vendor_name", "total_amount")
+    rows = rows.withColumn("vendor_name", clean_vendor("vendor_name"))
+    half = F.crc32(F.col("id").cast("binary")) % 2 == 0
+    halves = [classification.amount_sketches(rows.filter(h)) for h in (half, ~half)]
+    sketches = classification.merged_sketches(halves[0].unionByName(halves[1]))
+    found = classification.anomaly_robust(rows, sketches)
+    return found.select("id", "median_amount", F.round("high_limit", 4).alias("high_limit"), "is_far_out")
+
+
 @query
 def money_parse(spark, sf_dir):
     """Amounts printed in several ways, and currency codes, through the parsing rules."""

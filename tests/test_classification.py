@@ -7,7 +7,14 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.classification import classify_learned, classify_with_rules, learn_categories
+from ledgerloom.operators.classification import (
+    amount_sketches,
+    anomaly_robust,
+    classify_learned,
+    classify_with_rules,
+    learn_categories,
+    merged_sketches,
+)
 from ledgerloom.plans import given
 from ledgerloom.schemas import SPEND_CATEGORIES
 from tests.conftest import DATA
@@ -78,3 +85,37 @@ def test_nothing_to_learn_from(spark):
     got = {r.t: r.learned_category for r in classify_learned(rows, model, F.col("t")).collect()}
     assert got == {"paper": "Supplies", "flight": "Travel"}
     assert classify_learned(rows.limit(0), model, F.col("t")).count() == 0
+
+
+def quartile(values, q):
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def test_quartiles_of_small_vendors_are_exact_and_one_outlier_moves_nothing(spark):
+    rng = random.Random(4)
+    amounts = {f"v{v}": [round(rng.uniform(10, 20), 2) for _ in range(rng.randint(1, 300))] for v in range(6)}
+    amounts["v0"][0] = 1e9
+    amounts[None] = [1.0, 2.0, 100.0]
+    rows = [(v, a) for v, x in amounts.items() for a in x] + [("v1", None), ("v1", float("nan")), ("new", None)]
+    df = spark.createDataFrame(rows, "vendor_name string, total_amount double")
+    parts = amount_sketches(df.filter("total_amount > 15")).unionByName(amount_sketches(df.filter("total_amount <= 15")))
+    for sketches in (None, merged_sketches(parts)):
+        got = anomaly_robust(df, sketches).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            known = amounts.get(r.vendor_name)
+            if known is None or r.total_amount is None or math.isnan(r.total_amount):
+                assert r.is_far_out == (r.total_amount is not None and r.high_limit is not None and math.isnan(r.total_amount))
+                continue
+            low, high = quartile(known, 0.25), quartile(known, 0.75)
+            assert r.median_amount == quartile(known, 0.5)
+            assert math.isclose(r.high_limit, high + 3 * (high - low))
+            assert r.is_far_out == (r.total_amount > high + 3 * (high - low))
+    assert [r.total_amount for r in got if r.is_far_out and r.vendor_name == "v0"] == [1e9]
+
+
+def test_ranks_of_a_large_vendor_are_near(spark):
+    df = spark.range(200_000).selectExpr("'big' as vendor_name", "cast(id as double) as total_amount")
+    (row,) = anomaly_robust(df).select("median_amount", "high_limit").distinct().collect()
+    assert abs(row.median_amount / 200_000 - 0.5) < 0.01
+    assert abs(row.high_limit / 200_000 - (0.75 + 3 * 0.5)) < 0.05
