@@ -33,7 +33,8 @@ ABOVE_CHANCE = 1.5  # of an interaction, over the strongest under shuffled label
 MIN_LOADING = 0.05  # of a term in an interaction, whose squares add up to 1
 SHUFFLES = 3
 POWER_STEPS = 12
-KNOWN_WORDS = 1 << 19  # whose terms a Python worker remembers
+PART_TERMS = 1 << 20  # of texts that are summed up at once
+KNOWN_WORDS = 1 << 18  # whose terms a Python worker remembers
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -107,26 +108,49 @@ class Model:
 class _Sample:
     """Term sets of texts as a sparse matrix of zeros and ones, columns centred in products."""
 
-    def __init__(self, lists):
+    def __init__(self, lists, least=1):
+        """`lists` holds the terms of each text; those that fewer than `least` texts have are left out."""
         self.n = len(lists)
-        self.sizes = np.fromiter(map(len, lists), np.int64, self.n)
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if self.n else np.empty(0, np.int64)
-        self.terms, at, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
-        self.at = at.astype(np.int32)
-        self.filled = self.sizes > 0
-        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+        sizes = np.fromiter(map(len, lists), np.int64, self.n)
+        flat = np.concatenate([*(np.asarray(x, np.int32) for x in lists), np.empty(0, np.int32)])
+        counts = np.bincount(flat)
+        self.terms = np.flatnonzero(counts >= max(least, 1))
+        self.counts = counts[self.terms]
+        place = np.full(len(counts), -1, np.int32)
+        place[self.terms] = np.arange(len(self.terms))
+        self.at = place[flat]
+        left = self.at >= 0
+        self.at = self.at[left]
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[left]
+        self.sizes = np.bincount(owner, minlength=self.n)
+        self.ends = np.cumsum(self.sizes)
         self.mean = self.counts / max(self.n, 1)
 
+    def _parts(self):
+        """Stretches of texts of about `PART_TERMS` terms: sums go part by part, in little memory."""
+        first = 0
+        while first < self.n:
+            begin = self.ends[first] - self.sizes[first]
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + PART_TERMS, "right")))
+            yield slice(first, last), self.at[begin : self.ends[last - 1]]
+            first = last
+
     def by_text(self, values):
         """Sums of the terms' values over the texts."""
         out = np.zeros(self.n)
-        if len(self.at):
-            out[self.filled] = np.add.reduceat(values[self.at], self.starts)
+        for texts, at in self._parts():
+            own = self.sizes[texts]
+            starts = (np.cumsum(own) - own)[own > 0]
+            if len(starts):
+                out[texts][own > 0] = np.add.reduceat(values[at], starts)
         return out
 
     def by_term(self, values):
         """Sums of the texts' values over the terms."""
-        return np.bincount(self.at, np.repeat(values, self.sizes), len(self.terms))
+        out = np.zeros(len(self.terms))
+        for texts, at in self._parts():
+            out += np.bincount(at, np.repeat(values[texts], self.sizes[texts]), len(self.terms))
+        return out
 
     def having(self, chosen):
         """The lists, cut down to the chosen terms, a mask over `terms`."""
@@ -188,8 +212,7 @@ def _interacts(sample, toxic, seed):
 def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
     """Choose among all terms of the texts that `MIN_TEXTS` of them have, and train on the choice."""
     toxic = np.asarray(toxic, np.float64)
-    sample = _Sample(lists)
-    sample = _Sample(sample.having(sample.counts >= MIN_TEXTS)) if len(lists) else sample
+    sample = _Sample(lists, MIN_TEXTS)
     chosen = _tells(sample, toxic) | _interacts(sample, toxic, seed)
     return train(sample.having(chosen) if len(lists) else [], toxic, seed)
 
