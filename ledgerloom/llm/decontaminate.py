@@ -31,7 +31,7 @@ MAX_EDITS = 0.1  # of an item's bytes
 TARGET_RECALL = 0.97
 SAMPLED = 3  # characters in a key
 PERIOD = 512  # steps after which a walk's tables come again, turned by some characters
-MAX_WALKS = 512
+MAX_WALKS = 512  # items for which more would be needed have all of their dense stretches verified
 PIECE = 8
 BLOCK_BYTES = 8 << 20  # of benchmark text that a task holds at once
 _SLAB = 2 << 20  # bytes of documents that are looked at together
@@ -203,12 +203,15 @@ class Index:
 
     def _walks_needed(self):
         """Walks that reach the target recall for items with as many random edits as are allowed, be they
-        spread, all at the front or all at the end: the most that one of these cases needs."""
+        spread, all at the front or all at the end: the most that one of these cases needs. Where
+        `MAX_WALKS` fall short of it, `unsure` marks the items of the lengths (by powers of two) that do;
+        no key is asked of their stretches."""
         rng = np.random.default_rng(3)
         trial = Walks(96, seed=4)
         usable = np.flatnonzero(self.long)
         tried = usable[rng.permutation(len(usable))[:96]].tolist()
-        needed = 8
+        self.unsure = np.zeros(len(self.items), bool)
+        needed, cases = 8, []
         for where in ("spread", "front", "end", "cut") if tried else ():
             data, begin, length, size = b"", [], [], []
             for i in tried:
@@ -224,8 +227,16 @@ class Index:
             keys = trial.keys(np.frombuffer(data, np.uint8), *map(np.array, (begin, length, size)))
             rates = np.mean((keys[::2] == keys[1::2]).all(axis=2), axis=1)
             rates = np.maximum(rates, 0.5 / trial.n)  # none of the walks tried does not mean none
+            cases.append(rates)
             while needed < MAX_WALKS and np.mean(1 - (1 - rates) ** needed) < self.recall:
                 needed += 8
+        reached = np.min([1 - (1 - rates) ** needed for rates in cases], axis=0) if cases else np.ones(0)
+        if len(reached) and reached.mean() < self.recall and needed >= MAX_WALKS:
+            kind = np.log2(np.maximum(self.sizes, 1)).astype(int)
+            for k in np.unique(kind[usable]):
+                own = reached[kind[tried] == k]
+                if not len(own) or own.mean() < self.recall:
+                    self.unsure |= self.long & (kind == k)
         return needed
 
     def _keys_of_items(self):
@@ -284,6 +295,7 @@ class Index:
         size = self.sizes[item]
         length = np.minimum(size, starts[text + 1] - 1 - begin)
         out, open_, first, more = np.zeros(n, bool), np.arange(len(item)), 0, 4
+        out[stretch[self.unsure[item]]] = True
         by_size = np.argsort(-size, kind="stable")
         while first < self.walks.n and len(open_):
             walks = slice(first, min(first + more, self.walks.n))
