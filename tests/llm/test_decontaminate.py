@@ -198,3 +198,34 @@ def test_short_items_are_searched_exactly():
         assert {m[0]: m[1] for m in matches} == {i: e for i, e in best.items() if e <= len(items[i]) // 10}
         for i, edits, begin, end in matches:
             assert plain_edits(items[i], text[begin:end]) == edits
+
+
+def test_items_beyond_the_walks_are_verified_without_keys(monkeypatch):
+    """Where the walks allowed fall short of the wanted recall, every dense stretch is verified."""
+    rng = np.random.default_rng(12)
+    items = [rng.integers(97, 123, 1500, np.uint8).tobytes() for _ in range(6)]
+    monkeypatch.setattr(dc, "MAX_WALKS", 8)
+    index = dc.Index(items)
+    assert index.unsure.all()
+    texts = []
+    for item in items:
+        edited = _edited(item, dc.max_edits(len(item)) // 2, rng)
+        around = [rng.integers(97, 123, 700, np.uint8).tobytes() for _ in range(2)]
+        texts.append(around[0] + edited + around[1])
+    found = index.search(texts)
+    assert [{i for i, *_ in matches} for matches in found] == [{n} for n in range(len(items))]
+    monkeypatch.setattr(dc, "MAX_WALKS", 512)
+    assert not dc.Index([b"a short sentence of a benchmark that many texts hold, word by word " * 2]).unsure.any()
+
+
+def test_documents_equal_all_pairs(spark):
+    """The query on the small tables against the edit distance of every second item to every document."""
+    docs = {r.doc_id: dc.normalised(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    items = {r.item_id: dc.normalised(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    items = {i: x for i, x in items.items() if i % 2 == 0}
+    pairs = {(d, i): dc.best_match(x, t)[0] for d, t in docs.items() for i, x in items.items()}
+    near = {pair: edits for pair, edits in pairs.items() if edits <= dc.max_edits(len(items[pair[1]]))}
+    rows = QUERIES["op10_decontaminate"](spark, DATA).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in rows if r.item_id in items}
+    assert near and set(got) <= set(near) and all(near[pair] == edits for pair, edits in got.items())
+    assert len(got) >= dc.TARGET_RECALL * len(near)
