@@ -191,7 +191,100 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
   FROM scores WHERE score > 0) WHERE rank <= 20"""
 
+# Fixed value: the polynomial of CRC-32.
+_CRC_TABLE = """
+bits(i, c, k) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+  FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS entries FROM bits WHERE k = 8)"""
+
+
+def _edit(state, cost, initial, line=None):
+    """The cheapest repair that ends in a state, with one more edit."""
+    text = f"{state}.t" + (f" || chr(10) || {line}" if line else "")
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{initial}', t := {text})"
+
+
+def _edited(states, cost, initial, line, allowed="TRUE"):
+    return [
+        f"CASE WHEN {x}.c IS NOT NULL AND {allowed} THEN {_edit(x, cost, initial, line)} END" for x in states
+    ]
+
+
+def _least(*ways):
+    return f"least({', '.join(ways)})"
+
+
+# A repair ends in nothing (n), a system (s), a user (u) or an assistant turn (a); user and assistant turns
+# may be put in before each turn and at the end (ui, ai).
+_PUT_IN = f"""
+    SELECT *, {_least("a", *_edited(["ui"], 3, "I", "'assistant:'"))} AS ai
+    FROM (SELECT *, {_least("u", *_edited(["n", "s", "a"], 3, "I", "'user:'"))} AS ui FROM walk)"""
+_SAYS = "role || ':' || said"
+_FREE = "fault NOT IN (1, 2)"
+_REPAIR = f"""
+WITH RECURSIVE {_CRC_TABLE},
+numbered AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS said,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(
+        regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+          || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(said, '[.!?]', '', 'g') ELSE said END AS said,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM numbered WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(said), copy) AS i,
+    regexp_extract(said, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final
+  FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS ch, CASE WHEN NOT regexp_matches(said, '[^\\x20\\x09-\\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, said ORDER BY i) > 1 THEN 2
+      WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM placed),
+walk(conv_id, i, n, s, u, a) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), struct_pack(c := CAST(0 AS BIGINT), a := '', t := ''),
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)),
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) FROM judged
+  UNION ALL
+  SELECT w.conv_id, w.i + 1,
+    {_edit("n", 4, "D")},
+    {_least(*_edited(["s"], 4, "D", None), *_edited(["n"], "extra", "K", _SAYS, f"{_FREE} AND ch = 's'"))},
+    {_least(*_edited(["ui"], 4, "D", None),
+            *_edited(["n", "s", "ai"], "extra", "K", _SAYS, f"{_FREE} AND ch = 'u'"),
+            *_edited(["n", "s", "ai"], "extra + 3", "R", "'user:' || said", _FREE))},
+    {_least(*_edited(["ai"], 4, "D", None),
+            *_edited(["ui"], "extra", "K", _SAYS, f"{_FREE} AND ch = 'a'"),
+            *_edited(["ui"], "extra + 3", "R", "'assistant:' || said", _FREE))}
+  FROM ({_PUT_IN}) AS w
+  JOIN (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM judged) AS j
+    ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1),
+ended AS (
+  SELECT conv_id, least(n, ai) AS best FROM ({_PUT_IN})
+  QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+followed AS (
+  SELECT *, lag(ch) OVER (PARTITION BY conv_id ORDER BY i) || ch AS pair FROM judged),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM followed GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(substring(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN figures f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 ORACLE = {
+    "op13_conversation_repair": _REPAIR,
     "op6_sharding": _SHARDS,
     "op8_suffix_dedup": _REPEATS,
     "op11_mixing": _MIX,
