@@ -102,8 +102,8 @@ def learn_categories(labelled, label="spend_category", text=None):
         elsewhere = (F.col("all") - own + SMOOTHING) / (F.col("sum") - F.col("sums")[i] + SMOOTHING * F.col("words"))
         return (-F.log(elsewhere)).cast(WEIGHT)
 
-    joined = by_word.join(F.broadcast(totals))  # one row
-    return joined.select("word", F.transform("own", weight).alias("weights"))
+    known = {c: totals.select(c).scalar() for c in ("sum", "words", "sums")}
+    return by_word.withColumns(known).select("word", F.transform("own", weight).alias("weights"))
 
 
 def classify_learned(df, model, text=None, settle=False):
