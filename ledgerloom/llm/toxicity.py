@@ -34,7 +34,7 @@ MIN_LOADING = 0.05  # of a term in an interaction, whose squares add up to 1
 SHUFFLES = 3
 POWER_STEPS = 12
 PART_TERMS = 1 << 20  # of texts that are summed up at once
-KNOWN_WORDS = 1 << 18  # whose terms a Python worker remembers
+KNOWN_WORDS = 1 << 17  # whose terms a Python worker remembers
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
