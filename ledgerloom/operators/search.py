@@ -62,19 +62,23 @@ def cut_stored_text(df, limit=STORED_TEXT_CHARS):
     return df.withColumn("raw_text", F.substring("raw_text", 1, limit))
 
 
-def search_documents(invoices, vectors=None, sequence=None, settle=False):
+def search_documents(invoices, vectors=None, sequence=None, settle=False, unique=False):
     """The documents of the search index: one per chunk, with the invoice's metadata.
 
     An invoice that is given several times counts once: the latest by the column `sequence`, if
     named, ties told apart by a hash (`settle` as in `first_per_repeated_key`, for stored tables).
+    With `unique` the caller says that each id comes once, and no rows move.
     `vectors` holds `id` (of the chunk) and `content_vector`; documents without one get null.
     """
     order = [F.col(sequence).desc_nulls_last()] if sequence else []
-    order.append(row_hash(invoices))
-    if settle:
-        once = first_per_repeated_key(invoices, ["id"], order, settle)
+    order.append("_row_hash")
+    hashed = invoices.withColumn("_row_hash", row_hash(invoices))
+    if unique:
+        once = invoices
+    elif settle:
+        once = first_per_repeated_key(hashed, ["id"], order, settle)
     else:
-        once = first_per_key(invoices, ["id"], order)
+        once = first_per_key(hashed, ["id"], order)
     chunks = chunk_text(once.withColumnRenamed("id", "invoice_id"))
     documents = chunks.select(
         F.concat_ws(":", "invoice_id", "chunk_id").alias("id"),

@@ -71,14 +71,19 @@ def _line_items(k, total):
     return F.slice(items, F.lit(1), n)
 
 
-def invoices(spark, sf_dir, *columns, copies=True):
+def invoices(spark, sf_dir, *columns, copies=True, files=None):
     """The invoice records with the given columns, all of them when none is given.
 
     Some records have an exact copy, some a near copy stored the next day, unless `copies` is off.
+    `files` holds order keys, `o_orderkey`, and further columns that are given as well: only these
+    orders' records, found before any other table is joined.
     """
     wanted = list(columns) or INVOICE.names
     k = F.col("o_orderkey")
     rows = _spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    carried = []
+    if files is not None:
+        rows, carried = rows.join(files, "o_orderkey"), [c for c in files.columns if c != "o_orderkey"]
 
     if {"vendor_name", "subtotal", "total_tax"} & set(wanted):
         lines = table(spark, sf_dir, "lineitem")
@@ -181,7 +186,7 @@ def invoices(spark, sf_dir, *columns, copies=True):
         "tags": lambda: F.array().cast("array<string>"),
         "notes": lambda: F.lit(""),
     }
-    return rows.select(*[rules[c]().alias(c) for c in wanted])
+    return rows.select(*[rules[c]().alias(c) for c in wanted], *carried)
 
 
 def file_events(spark, sf_dir):
@@ -399,6 +404,8 @@ def stored_results(spark, sf_dir):
     paths = file_events(spark, sf_dir).select(
         "id", blob_name("subject", F.col("data.url")).alias("blob_path")
     )
-    present = paths.filter(F.col("id").try_cast("bigint") % 13 != 0)
-    records = invoices(spark, sf_dir, *RESULT_COLUMNS, copies=False).join(present, "id")
-    return analysis_results(records).select("blob_path", "result")
+    key = F.col("id").try_cast("bigint")
+    present = paths.filter(key % 13 != 0).select(key.alias("o_orderkey"), "blob_path")
+    renamed = present.withColumnRenamed("blob_path", "file_path")
+    records = invoices(spark, sf_dir, *RESULT_COLUMNS, copies=False, files=renamed)
+    return analysis_results(records.withColumnRenamed("file_path", "blob_path")).select("blob_path", "result")

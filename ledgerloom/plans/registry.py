@@ -763,7 +763,8 @@ def _run(stream):
 
 
 def _write_events(events, path):
-    events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    lines = events.select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.mode("append").option("compression", "gzip").text(path)
 
 
 def _start_intake(spark, base):

@@ -35,6 +35,7 @@ from ledgerloom.operators.search import cut_stored_text, search_documents
 from ledgerloom.schemas import INVOICE
 from ledgerloom.session import delete
 from ledgerloom.sources.runs import RunTable
+from ledgerloom.sources.tables import COMPACT
 from ledgerloom.streaming import with_trigger
 from ledgerloom.streaming.intake import from_queue, malformed, to_queue
 
@@ -182,10 +183,12 @@ def current_invoices(spark, store, settle=True):
     """One record per id: processed before failed, then the one processed first. Only records of ids
     that have several are ranked (`settle` as in `first_per_repeated_key`)."""
     rows = read_store(spark, store).drop("run", "batch")
-    order = [F.col("status") != "processed", "processed_at", row_hash(rows)]
+    # Hashed before rows move, so that of those that do only the columns asked for come along.
+    rows = rows.withColumn("_row_hash", row_hash(rows))
+    order = [F.col("status") != "processed", "processed_at", "_row_hash"]
     if not settle:
-        return first_per_key(rows, ["id"], order)
-    return first_per_repeated_key(rows, ["id"], order, settle)
+        return first_per_key(rows, ["id"], order).drop("_row_hash")
+    return first_per_repeated_key(rows, ["id"], order, settle).drop("_row_hash")
 
 
 def _earliest(keys):
@@ -237,14 +240,17 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
         target = f"run={run}/batch={number}"
         own = (run, number)  # what an earlier attempt of the batch left
 
+        def write(df, path):
+            df.write.mode("overwrite").option("compression", COMPACT).parquet(path)
+
         def staged(df, name):
             path = f"{store}/_staging/{target}/{name}"
-            df.write.mode("overwrite").parquet(path)
+            write(df, path)
             return spark.read.schema(df.schema).parquet(path)
 
         side = {name: side_table(spark, store, name) for name in SIDE_TABLES}
 
-        malformed(batch).write.mode("overwrite").parquet(f"{store}/_malformed/{target}")
+        write(malformed(batch), f"{store}/_malformed/{target}")
         messages = from_queue(batch).withColumn("id", stable_id("container_name", "blob_path"))
         messages = staged(_hashed(messages, "id"), "messages")
         done = side["_ids"].find(messages, own)
@@ -265,15 +271,14 @@ def process_into(store, results, classify=by_rules, processed_at=None, stored_ch
             return side["_keys"].find(asked, own)
 
         records = finish_records(classified, None, stored_chars, settle=staged, filed=filed)
-        records.write.mode("overwrite").parquet(f"{store}/{target}")
+        write(records, f"{store}/{target}")
         written = spark.read.schema(records.schema).parquet(f"{store}/{target}")
         processed = written.filter("status = 'processed'")
         side["_ids"].put(_hashed(processed.select("id"), "id"), *own)
         side["_keys"].put(key_table(processed), *own)
         side["_vendors"].put(_hashed(vendor_totals(processed), "vendor_name"), *own)
         # An id is processed once, so a batch of its own folder replaces nothing but itself.
-        documents = search_documents(processed)
-        documents.write.mode("overwrite").parquet(f"{store}/_index/{target}")
+        write(search_documents(processed, unique=True), f"{store}/_index/{target}")
         delete(spark, f"{store}/_staging/{target}")
 
     return handle

@@ -321,3 +321,47 @@ def test_classification_by_replies(spark, results):
     got = {r["blob_path"]: r for r in processing.finish_records(classified).collect()}
     assert got["u/1/a.pdf"]["spend_category"] == "HR"
     assert got["u/2/a.pdf"]["spend_category"] == ""
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_documents_of_unique_ids_do_not_move(spark):
+    from ledgerloom.operators.search import search_documents
+    from ledgerloom.schemas import INVOICE
+
+    rows = spark.createDataFrame([{"id": "a", "raw_text": "one"}, {"id": "b", "raw_text": "two"}], INVOICE)
+    unique = search_documents(rows, unique=True)
+    assert _exchanges(unique) == 0 and _exchanges(search_documents(rows)) == 1
+    assert sorted(unique.collect()) == sorted(search_documents(rows).collect())
+
+
+def test_current_invoices_move_only_what_is_asked(spark, tmp_path, conf):
+    """Texts were hashed behind the join by id, so they went along with every row."""
+    from ledgerloom.schemas import INVOICE
+    from ledgerloom.streaming.processing import current_invoices
+
+    conf(autoBroadcastJoinThreshold="-1")
+    rows = [
+        {"id": "a", "status": "failed", "processed_at": "1", "raw_text": None},
+        {"id": "a", "status": "processed", "processed_at": "2", "raw_text": "long text"},
+        {"id": "b", "status": "processed", "processed_at": "1", "raw_text": "other"},
+    ]
+    spark.createDataFrame(rows, INVOICE).write.parquet(f"{tmp_path}/store/run=x/batch=0")
+    found = current_invoices(spark, f"{tmp_path}/store").select("id", "status")
+    plan = found._jdf.queryExecution().executedPlan()
+    moved = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName() == "Exchange":
+            moved.append(node.child().output().mkString(","))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert moved and not any("raw_text" in columns for columns in moved)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "processed"), ("b", "processed")]
