@@ -127,7 +127,7 @@ class TextIndex:
         written["postings"] = (POSTINGS, None, postings)
         for name, (schema, combine, rows) in written.items():
             table = self._table(name, schema, combine, state=None)
-            table.put(rows, *own)
+            table.put(rows, *own, ranged=name == "postings")
             state[name] = table.last()
         self._manifests.commit(lambda entries: [state])
         self._open()
@@ -209,10 +209,13 @@ class TextIndex:
 
 
 def _counted(documents):
-    """A row for each document and word of it, with its count."""
+    """A row for each document and word of it, with its count. Texts move to where their words are
+    counted, which takes less room than moving the words."""
     words = F.explode(words_of(F.coalesce("content", F.lit("")))).alias("term")
+    texts = documents.select("id", "invoice_id", F.col("_length").alias("length"), "content")
     return (
-        documents.select("id", "invoice_id", F.col("_length").alias("length"), words)
+        texts.repartition("id", "invoice_id")
+        .select("id", "invoice_id", "length", words)
         .groupBy("id", "invoice_id", "length", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
@@ -225,23 +228,27 @@ def _blocks(counted, segment, average):
     frequent = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > LIST_ROWS)
     lists = materialize(frequent.select("term", F.ceil(F.col("df") / LIST_ROWS).alias("lists")), "index-lists")
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("lists")), F.lit(0))
-    impact = _saturated(F.col("tf"), F.col("length"), average).alias("impact")
-    rows = counted.join(lists, "term", "left").select("term", part.alias("part"), impact, "id", "invoice_id", "tf", "length")
-    by_impact = Window.partitionBy("term", "part").orderBy(F.desc("impact"), "id")
+    rows = counted.join(lists, "term", "left").select("term", part.alias("part"), "id", "invoice_id", "tf", "length")
+    # Postings move once, to the range of hashes where their blocks are written.
+    rows = rows.repartitionByRange(F.xxhash64("term"), "part").withColumns(
+        {_HASH: F.xxhash64("term"), "impact": _saturated(F.col("tf"), F.col("length"), average)}
+    )
+    by_impact = Window.partitionBy(_HASH, "term", "part").orderBy(F.desc("impact"), "id")
     rows = rows.withColumn("_block", F.floor((F.row_number().over(by_impact) - 1) / BLOCK))
     entries = F.sort_array(F.collect_list(F.struct("impact", "id", "invoice_id", "tf", "length")), asc=False)
-    return rows.groupBy("term", "part", "_block").agg(
+    return rows.groupBy(_HASH, "term", "part", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"),
         entries.alias("entries"),
     ).select(
-        F.xxhash64("term").alias(_HASH), "term", F.lit(segment).cast("long").alias("segment"),
+        _HASH, "term", F.lit(segment).cast("long").alias("segment"),
         (F.col("part") * LIST_ROWS + F.col("_block")).alias("block"), "n", "most", "least", "entries",
     )
 
 
 def _taken_back(counted, segment):
     """Blocks without postings that lower the words' counts."""
-    return counted.groupBy("term").agg((-F.count(F.lit(1))).alias("n")).select(
+    lowered = counted.groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+    return lowered.repartitionByRange(F.xxhash64("term")).select(
         F.xxhash64("term").alias(_HASH), "term", F.lit(segment).cast("long").alias("segment"),
         F.lit(-1).cast("long").alias("block"), "n", F.lit(0).alias("most"), F.lit(0).alias("least"),
         F.array().cast(f"array<{_ENTRY}>").alias("entries"),

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import COMPACT
+
 FAN = 8
 FILE_ROWS = 1 << 20
 PAGE_ROWS = 1000
@@ -114,15 +116,16 @@ class RunTable:
 
     # Writing ------------------------------------------------------------------------------------------
 
-    def _write(self, rows, writer, number, level):
+    def _write(self, rows, writer, number, level, ranged=False):
         """Write a run that no manifest names yet; returns its entry."""
         folder = f"runs/{uuid.uuid4().hex}"
         target = f"{self.path}/{folder}"
         names = [f.name for f in self._empty().schema.fields]
-        sorted_rows = rows.select(*names).repartitionByRange(self.hash).sortWithinPartitions(self.hash)
+        rows = rows.select(*names) if ranged else rows.select(*names).repartitionByRange(self.hash)
+        sorted_rows = rows.sortWithinPartitions(self.hash)
         options = {
             "maxRecordsPerFile": FILE_ROWS, "parquet.page.row.count.limit": PAGE_ROWS,
-            "parquet.block.size": GROUP_BYTES,
+            "parquet.block.size": GROUP_BYTES, "compression": COMPACT,
         }
         sorted_rows.write.options(**options).parquet(target)
         meta = F.col("_metadata")
@@ -136,11 +139,12 @@ class RunTable:
         entry = {"folder": folder, "writer": writer, "number": number, "level": level, "rows": n}
         return entry | {"files": sorted(files, key=lambda f: f["low"])}
 
-    def put(self, rows, writer, number):
+    def put(self, rows, writer, number, ranged=False):
         """Add a writer's rows under a number, in place of those it gave under the same number before;
         then merge runs where there are enough. Writers count up, and only their last number may come
-        again: that run is not merged."""
-        entry = self._write(rows, writer, number, 0)
+        again: that run is not merged. `ranged` rows lie in partitions by ranges of the hash already and
+        stay there."""
+        entry = self._write(rows, writer, number, 0, ranged)
 
         def change(runs):
             return [r for r in runs if (r["writer"], r["number"]) != (writer, number)] + [entry]

@@ -122,3 +122,22 @@ def test_what_a_delta_writes_follows_its_size(spark, index):
     first = size()
     index.put(documents(spark, texts_of(5, 10), 100))
     assert size() - first < first / 10
+
+
+def test_postings_move_once(spark, monkeypatch):
+    """From the counts to the written run there is one exchange, by ranges of the words' hashes; before,
+    words went to the word's task, and finished blocks went on to the run."""
+    from ledgerloom.operators import text_index
+
+    documents = spark.createDataFrame(
+        [(f"{i}:0", f"{i}", 3, f"word{i % 5} common rare{i}") for i in range(40)],
+        "id string, invoice_id string, _length int, content string",
+    )
+    counted = text_index._counted(documents)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1
+    assert "Exchange hashpartitioning(id" in plan and "term" not in plan.split("Exchange", 1)[1].split(")")[0]
+    blocks = text_index._blocks(counted, 1, 3.0)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    assert {r["term"]: r["n"] for r in blocks.collect()}["common"] == 40
