@@ -261,6 +261,7 @@ def _versions(spark, sf_dir):
     """Two versions of the invoice store. The first has other amounts and categories for every fifth
     order, lacks every seventh, and has invoices that the second lacks."""
     now = first_per_key(invoices(spark, sf_dir, *SILVER_INPUT), ["id"], ["processed_at"])
+    now = tables.materialize(now, "v2")
     k = F.substring_index("id", "-", 1).cast("bigint")
     was = now.filter(k % 7 != 0).withColumns(
         {
@@ -269,7 +270,7 @@ def _versions(spark, sf_dir):
         }
     )
     gone = now.filter(k % 11 == 2).withColumn("id", F.concat(F.lit("gone-"), "id"))
-    return tables.materialize(was.unionByName(gone), "v1"), tables.materialize(now, "v2")
+    return tables.materialize(was.unionByName(gone), "v1"), now
 
 
 def _incremental_gold(spark, sf_dir):

@@ -125,3 +125,25 @@ def test_from_one_version_to_the_next(spark):
     gold_between(*frames, kept)
     assert_same(spark, kept, second)
     assert kept.monthly_trend().filter(F.col("unique_vendors") > 2).count() == 0
+
+
+def test_versions_read_the_input_once(spark, monkeypatch):
+    """The first version is made of the second as it is stored, not of the given tables again."""
+    from ledgerloom.plans import registry
+    from ledgerloom.schemas import INVOICE
+
+    rows = [{"id": str(k), "processed_at": "1", "total_amount": float(k), "spend_category": "IT"} for k in range(1, 30)]
+    given = spark.createDataFrame(rows, INVOICE).select(registry.SILVER_INPUT)
+    monkeypatch.setattr(registry, "invoices", lambda *a: given)
+    written, write = {}, registry.tables.materialize
+
+    def materialize(df, name):
+        written[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(registry.tables, "materialize", materialize)
+    old, new = registry._versions(spark, "unused")
+    assert "LogicalRDD" in written["v2"] and "LogicalRDD" not in written["v1"]
+    assert new.count() == 29
+    assert {r["id"]: r["total_amount"] for r in old.collect()}["6"] == 68.0
+    assert {"gone-2", "gone-13", "gone-24"} <= {r["id"] for r in old.collect()}
