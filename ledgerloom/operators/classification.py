@@ -77,16 +77,18 @@ def _words(df, text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def learn_categories(labelled, label="spend_category", text=None):
+def learn_categories(labelled, label="spend_category", text=None, settle=False):
     """A model of the words of labelled invoices: `word` and `weights`, one for each category.
 
     Complement naive Bayes: a word weighs for a category by how rare it is in all others, so a category
     with many invoices is not favoured. A word counts once for an invoice. Rows whose label is none of
-    the categories are left out. The counts are partially aggregated, and one row a word is left.
+    the categories are left out. The counts are partially aggregated, and one row a word is left. Four
+    aggregates read them: with `settle` they are written first, and the invoices are read once.
     """
     rank = F.array_position(F.array(*[F.lit(c) for c in SPEND_CATEGORIES]), F.col(label))
     words = labelled.filter(rank > 0).select(rank.alias("rank"), F.explode(_words(labelled, text)).alias("word"))
     counts = words.groupBy("word", "rank").agg(F.count(F.lit(1)).alias("n"))
+    counts = settled(counts, settle, "category-counts")
     places = range(1, len(SPEND_CATEGORIES) + 1)
     by_word = counts.groupBy("word").agg(
         F.sum("n").alias("all"),

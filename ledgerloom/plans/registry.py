@@ -680,7 +680,7 @@ def classify_learned(spark, sf_dir):
     """All invoices, by what the words of two thirds of them tell about their categories."""
     rows = invoices(spark, sf_dir, "id", "vendor_name", "line_items", "spend_category")
     k = F.substring_index("id", "-", 1).cast("bigint")
-    model = classification.learn_categories(rows.filter(F.floor(k / 7) % 3 != 0))
+    model = classification.learn_categories(rows.filter(F.floor(k / 7) % 3 != 0), settle=True)
     found = classification.classify_learned(rows, model, settle=True)
     return found.select("id", "learned_category", "learned_confidence", "known_words")
 

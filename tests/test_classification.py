@@ -119,3 +119,17 @@ def test_ranks_of_a_large_vendor_are_near(spark):
     (row,) = anomaly_robust(df).select("median_amount", "high_limit").distinct().collect()
     assert abs(row.median_amount / 200_000 - 0.5) < 0.01
     assert abs(row.high_limit / 200_000 - (0.75 + 3 * 0.5)) < 0.05
+
+
+def test_settled_counts_give_the_same_model(spark):
+    """With `settle` the words are split once, for all four aggregates of the counts."""
+    from ledgerloom.operators.classification import learn_categories
+
+    labelled = spark.createDataFrame(
+        [("red pen", "Supplies"), ("red car", "Travel"), ("blue car car", "Travel"), ("x", None), (None, "HR")],
+        "text string, spend_category string",
+    )
+    lazy = learn_categories(labelled, text="text")
+    model = learn_categories(labelled, text="text", settle=True)
+    assert "regexp_extract_all" not in model._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, model.collect())) == sorted(map(str, lazy.collect())) and model.count() == 4
