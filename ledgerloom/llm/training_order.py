@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import REMEMBERED, _tokenizer
 from ledgerloom.llm.feistel import ArrayPermutation
 from ledgerloom.llm.scratch import Scratch, small_batches
+from ledgerloom.llm.word_ids import text_ids
 
 SEQUENCE = 2048  # tokens
 SHARD_SEQUENCES = 8192
@@ -129,26 +130,17 @@ def _pack_ids(batches, path, length):
     """Sequences of ids in stored rows: the task, the place of the first, and the parts of documents."""
     from pyspark import TaskContext
 
-    task, tokenizer = TaskContext.get().partitionId(), _tokenizer(path)
+    task = TaskContext.get().partitionId()
     width, end = _marks(path)
-    mark, kind = end.to_bytes(width, "little"), f"<u{width}"
-    known, number, rows, types = {}, 0, [], None
+    mark, made = end.to_bytes(width, "little"), text_ids(path, width, REMEMBERED // 2)
+    number, rows, types = 0, [], None
 
     def documents():
         nonlocal types
         for given in batches:
             types = given.schema.field(0).type
-            texts = [(text.as_py() or b"").split() for text in given.column(1)]
-            new = {w for words in texts for w in words if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for words in texts for w in words}
-            new = list(new)
-            given_words = [w.decode("utf-8", "replace") for w in new]
-            for word, found in zip(new, tokenizer.encode_batch_fast(given_words, add_special_tokens=False)):
-                known[word] = np.array(found.ids, kind).tobytes()
-            for doc_id, words in zip(given.column(0).to_pylist(), texts):
-                yield doc_id, b"".join([known[w] for w in words]) + mark
+            for doc_id, ids in zip(given.column(0).to_pylist(), made.of(given.column(1))):
+                yield doc_id, ids + mark
 
     def stored():
         return pa.RecordBatch.from_arrays(
