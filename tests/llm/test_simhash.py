@@ -106,6 +106,39 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert rows == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
 
 
+def _plain_roots(edges):
+    root = {k: k for edge in edges for k in edge}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in root}
+
+
+def test_a_long_path_within_a_chunk_takes_two_rounds(spark):
+    """Rounds cost hundreds of tasks where shuffles have many partitions."""
+    order = np.random.default_rng(3).permutation(3000).tolist()
+    edges = list(zip(order, order[1:]))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), 2)
+    assert {r.node: r.component for r in got.collect()} == {i: 0 for i in range(3000)}
+
+
+@pytest.mark.parametrize("chunk", [1, 50])
+def test_components_over_many_chunks(spark, chunk):
+    rng = np.random.default_rng(4)
+    edges = [(int(a) - 300, int(b) - 300) for a, b in rng.integers(0, 600, (350, 2)) if a != b]
+    edges += [(-(1 << 63), i) for i in range(1000, 1200)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    got = connected_components(df, Scratch(spark, "t"), chunk=chunk).collect()
+    assert {r.node: r.component for r in got} == _plain_roots(edges)
+    assert len({r.node for r in got}) == len(got)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
