@@ -11,9 +11,12 @@ _WHITE_SPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-_NUMBER = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
-_FLOAT_TEXT = rf"^({_NUMBER}|[+-]?(?i:inf|infinity))$"
-_NAN_TEXT = r"^[+-]?(?i:nan)$"
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+# The number of a text between white space; a sign before `nan` is left out, as it has no meaning.
+_FLOAT_TEXT = (
+    rf"^[{_WHITE_SPACE}]*(?:[+-](?=(?i:nan)))?({_NUMBER}|[+-]?(?i:inf|infinity)|(?i:nan))[{_WHITE_SPACE}]*$"
+)
 
 
 def _col(c):
@@ -67,11 +70,8 @@ def normalize_currency(c):
 
 def parse_float(c):
     """Text to double by the rules of a Python `float`; null when it is not a number."""
-    text = strip(c)
-    digits = F.replace(text, F.lit("_"), F.lit(""))
-    return F.when(text.rlike(_FLOAT_TEXT), digits.try_cast("double")).when(
-        text.rlike(_NAN_TEXT), F.lit(float("nan"))
-    )
+    number = F.regexp_extract(_col(c), _FLOAT_TEXT, 1)
+    return F.replace(number, F.lit("_"), F.lit("")).try_cast("double")
 
 
 def document_id(*parts):

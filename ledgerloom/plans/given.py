@@ -48,9 +48,8 @@ def _line_items(k, total):
     """Up to five items (25 for every 30th order) that split the order's price exactly."""
     n = F.when(k % 30 == 0, 25).otherwise(k % 6).cast("int")
     parts = F.greatest(n, F.lit(1)).cast("bigint")
-    cents = F.round(total * 100).cast("bigint")
 
-    def item(i):
+    def item(i, cents):
         quantity = 1 + (k + i) % 9
         amount = F.floor(cents * i / parts) - F.floor(cents * (i - 1) / parts)
         word = _pick(ITEM_WORDS, (k + i) % 10)
@@ -67,8 +66,12 @@ def _line_items(k, total):
             F.when(i % 3 != 0, F.floor(amount * 8 / 100) / 100.0).alias("tax"),
         )
 
-    items = F.transform(F.sequence(F.lit(1).cast("bigint"), parts), item)
-    return F.slice(items, F.lit(1), n)
+    def items(cents):
+        return F.transform(F.sequence(F.lit(1).cast("bigint"), parts), lambda i: item(i, cents))
+
+    # The cents are rounded once for an order, not for each of its items.
+    cents = F.array(F.round(total * 100).cast("bigint"))
+    return F.slice(F.get(F.transform(cents, items), F.lit(0)), F.lit(1), n)
 
 
 def invoices(spark, sf_dir, *columns, copies=True, files=None):

@@ -45,6 +45,11 @@ def test_parse_float_reads_what_python_reads(spark):
         assert same(value, python_float(text)), text
 
 
+def test_parse_float_evaluates_its_text_once(spark):
+    """The text may be a long expression, and within `transform` nothing is shared."""
+    assert str(normalize.parse_float("printed")).count("printed") == 1
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text("0123456789.eE+-_ dfx,", max_size=8), min_size=40, max_size=80))
 def test_parse_float_on_generated_text(spark, texts):
