@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import small_batches
+from ledgerloom.llm.scratch import release_unused, small_batches
 
 CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer text is a chunk of its own
 LEAST_PARTS = 64  # of a chunk's word list
@@ -147,6 +147,7 @@ def _encode(batches, path):
     """Encode each distinct word of the task's parts once; rows of texts pass through."""
     tokenizer, known = _tokenizer(path), {}
     for batch in batches:
+        release_unused()
         id_type = batch.schema.field("docs").type.value_type
         rows = []
         for key, chunk, docs, payload, words in zip(*(c.to_pylist() for c in batch.columns)):
@@ -170,6 +171,7 @@ def _encode(batches, path):
 
 def _assemble(group: pa.Table, id_type):
     """The ids of every text of one chunk."""
+    release_unused()  # of the chunk before
     places, sizes, flat = [], [], []
     for docs, payload in zip(group["docs"].to_pylist(), group["payload"].to_pylist()):
         values = _unpack(payload)
@@ -244,6 +246,7 @@ def encode(
         if decode_into:
             texts = _decoded(found["ids"].combine_chunks(), _pieces(tokenizer))
             found = found.append_column("decoded", texts)
+        release_unused()
         return found
 
     if decode_into:

@@ -1,6 +1,7 @@
 """Intermediate tables of one operator call, in the shared folder. `session.clear_work` removes what
 results still depend on."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import work_path
@@ -20,6 +21,12 @@ def small_batches(spark: SparkSession):
             spark.conf.set(name, str(most))
 
 
+def release_unused():
+    """Give back what Arrow keeps of freed batches. A Python worker outlives its tasks, and what it keeps
+    counts as the executor's memory in every later step."""
+    pa.default_memory_pool().release_unused()
+
+
 class Scratch:
     """Writes DataFrames below one new folder and reads them back.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import Scratch, small_batches
+from ledgerloom.llm.scratch import Scratch, release_unused, small_batches
 
 MAX_LABELLED = 16_000  # labelled texts to train on; the first by the hash of their id
 BUCKETS = 1 << 24
@@ -63,6 +63,7 @@ def terms_of(text: str | None) -> set[int]:
 def terms(text: Column) -> Column:
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
+        release_unused()
         return pa.array([sorted(terms_of(t.as_py())) for t in texts], pa.list_(pa.int32()))
 
     return of(text)
@@ -110,20 +111,42 @@ class _Sample:
 
     def __init__(self, lists, least=1):
         """`lists` holds the terms of each text; those that fewer than `least` texts have are left out."""
-        self.n = len(lists)
-        sizes = np.fromiter(map(len, lists), np.int64, self.n)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate([*(np.asarray(x, np.int32) for x in lists), np.empty(0, np.int32)])
-        counts = np.bincount(flat)
-        self.terms = np.flatnonzero(counts >= max(least, 1))
-        self.counts = counts[self.terms]
-        place = np.full(len(counts), -1, np.int32)
-        place[self.terms] = np.arange(len(self.terms))
-        self.at = place[flat]
-        left = self.at >= 0
-        self.at = self.at[left]
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[left]
-        self.sizes = np.bincount(owner, minlength=self.n)
-        self.ends = np.cumsum(self.sizes)
+        self._index(sizes, flat, least)
+
+    @classmethod
+    def joined(cls, sizes, flat, least=1):
+        """The same from the terms of all texts in one int32 array, which is overwritten."""
+        sample = cls.__new__(cls)
+        sample._index(sizes, flat, least)
+        return sample
+
+    def _index(self, sizes, flat, least):
+        """Besides `flat`, which ends up as the places, this holds one sorted copy of it and no table of
+        all buckets."""
+        self.n = len(sizes)
+        ordered = np.sort(flat)
+        first = np.ones(len(ordered), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        starts = np.flatnonzero(first)
+        counts = np.diff(starts, append=len(ordered))
+        often = counts >= max(least, 1)
+        terms, self.counts = ordered[starts[often]], counts[often]
+        del ordered, first, starts, counts, often
+        self.terms = terms.astype(np.int64)
+        known = np.append(terms, np.int32(-1))
+        self.at, self.sizes, self.ends = flat, sizes, np.cumsum(sizes)
+        left, kept = np.zeros(self.n, np.int64), 0
+        for texts, found in self._parts():
+            place = np.searchsorted(terms, found)
+            here = known[place] == found
+            own = sizes[texts]
+            left[texts] = np.bincount(np.repeat(np.arange(len(own)), own)[here], minlength=len(own))
+            place = place[here]
+            flat[kept : kept + len(place)] = place
+            kept += len(place)
+        self.at, self.sizes, self.ends = flat[:kept], left, np.cumsum(left)
         self.mean = self.counts / max(self.n, 1)
 
     def _parts(self):
@@ -211,10 +234,13 @@ def _interacts(sample, toxic, seed):
 
 def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 11) -> Model:
     """Choose among all terms of the texts that `MIN_TEXTS` of them have, and train on the choice."""
+    return _fit_sample(_Sample(lists, MIN_TEXTS), toxic, seed)
+
+
+def _fit_sample(sample, toxic, seed=11):
     toxic = np.asarray(toxic, np.float64)
-    sample = _Sample(lists, MIN_TEXTS)
     chosen = _tells(sample, toxic) | _interacts(sample, toxic, seed)
-    return train(sample.having(chosen) if len(lists) else [], toxic, seed)
+    return train(sample.having(chosen) if sample.n else [], toxic, seed)
 
 
 def _sums(groups, values, n):
@@ -325,14 +351,21 @@ def learn(
 
 
 def _fit(batches):
-    """The model of the whole sample, as one row."""
-    lists, labels = [], []
+    """The model of the whole sample, as one row. At the most, its terms are held twice."""
+    sizes, parts, labels = [], [np.empty(0, np.int32)], []
     for batch in batches:
-        labels.append(batch.column(0).to_numpy())
-        found = batch.column(1)
-        cuts = np.cumsum(found.value_lengths().to_numpy())[:-1]
-        lists += np.split(found.flatten().to_numpy(), cuts) if len(found) else []
-    model = fit(lists, np.concatenate([*labels, np.empty(0)]))
+        # Copies, as a view of one column would hold the whole batch.
+        labels.append(np.array(batch.column(0)))
+        sizes.append(np.array(batch.column(1).value_lengths()))
+        parts.append(np.array(batch.column(1).flatten()))
+    flat = np.concatenate(parts)
+    del parts
+    release_unused()
+    none = np.empty(0, np.int64)
+    sample = _Sample.joined(np.concatenate([none, *sizes]), flat, MIN_TEXTS)
+    del flat
+    model = _fit_sample(sample, np.concatenate([none, *labels]))
+    del sample
     columns = [
         pa.array([model.bias]),
         *[pa.array([x.ravel()], pa.list_(kind)) for x, kind in (
@@ -346,6 +379,7 @@ def scores(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
+        release_unused()
         return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return of(text)

@@ -1,4 +1,6 @@
 import hashlib
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +114,38 @@ def test_texts_of_all_tasks_spread_over_the_parts(spark):
     texts = [r.part for r in placed if r.docs is not None]
     assert len(set(texts)) > 48 and max(map(texts.count, texts)) < 16
     assert all(r.part == r.key for r in placed if r.docs is None)
+
+
+_KEEPS = """
+import re
+import sys
+import numpy as np
+import pyarrow as pa
+from ledgerloom.llm import bpe
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon: +([0-9]+)", f.read())[1]) >> 10
+
+def chunk(n):
+    drawn = np.random.default_rng(1).integers(0, 30000, (n, 3000))
+    found, texts = np.unique(drawn, return_inverse=True)
+    words = {b"w%d" % word: place for place, word in enumerate(found)}
+    texts = list(texts.reshape(drawn.shape).astype(np.int32))
+    rows = bpe._chunk_rows(0, words, texts, list(range(n)), 64)
+    encoded = bpe._encode(iter([bpe._batch(rows, pa.int64())]), sys.argv[1])
+    return pa.Table.from_batches(list(encoded)).combine_chunks()
+
+large, small, pieces = chunk(1000), chunk(1), bpe._pieces(sys.argv[1])
+before = held()
+bpe._decoded(bpe._assemble(large, pa.int64())["ids"].combine_chunks(), pieces)
+bpe._assemble(small, pa.int64())
+print(held() - before)
+"""
+
+
+def test_a_worker_does_not_keep_the_memory_of_a_chunk(path):
+    found = subprocess.run(
+        [sys.executable, "-c", _KEEPS, path], capture_output=True, text=True, check=True, timeout=120
+    )
+    assert int(found.stdout) < 70, found.stdout  # MB

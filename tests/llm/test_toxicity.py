@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import toxicity
 from ledgerloom.llm.queries import QUERIES
@@ -89,6 +91,55 @@ def test_chosen_terms_equal_plain_counts():
         assert (term in told) == (ratio >= toxicity.MIN_SIGNIFICANCE)
 
 
+def _spread_lists(n=600, terms=400, seed=8):
+    """Terms from all buckets; some texts have none, and half of the terms are in few texts."""
+    rng = np.random.default_rng(seed)
+    often, seldom = rng.integers(0, toxicity.BUCKETS, 2000), rng.integers(0, toxicity.BUCKETS, 200_000)
+    half = terms // 2
+    return [
+        np.unique(np.concatenate([rng.choice(often, half), rng.choice(seldom, half)])).astype(np.int32)
+        if i % 7
+        else np.empty(0, np.int32)
+        for i in range(n)
+    ]
+
+
+def test_a_sample_equals_plain_counts_of_its_terms():
+    lists = _spread_lists()
+    sample = toxicity._Sample(lists, 4)
+    counts = {}
+    for one in lists:
+        for term in one.tolist():
+            counts[term] = counts.get(term, 0) + 1
+    kept = sorted(t for t, n in counts.items() if n >= 4)
+    assert sample.terms.tolist() == kept
+    assert sample.counts.tolist() == [counts[t] for t in kept]
+    found = sample.having(np.ones(len(kept), bool))
+    assert [x.tolist() for x in found] == [[t for t in one.tolist() if counts[t] >= 4] for one in lists]
+    assert sample.sizes.tolist() == [len(x) for x in found]
+    none = toxicity._Sample([np.empty(0, np.int32)] * 3, 4)
+    assert none.n == 3 and not len(none.terms) and none.sizes.tolist() == [0, 0, 0]
+
+
+def test_a_fit_holds_little_more_than_its_terms():
+    lists = _spread_lists(2000)
+    toxic = np.random.default_rng(9).integers(0, 2, len(lists)).astype(np.int32)
+    kind = pa.list_(pa.int32())
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(toxic[a : a + 500]), pa.array(lists[a : a + 500], kind)], ["label", "terms"])
+        for a in range(0, len(lists), 500)
+    ]
+    expected = toxicity.fit(lists, toxic)
+    tracemalloc.start()
+    row = next(toxicity._fit(iter(batches))).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["bias"] == expected.bias and row["terms"] == expected.terms.tolist()
+    assert row["weights"] == expected.weights.tolist() and row["factors"] == expected.factors.ravel().tolist()
+    # A table of all buckets alone takes 64 MB and more.
+    assert peak < 40 << 20
+
+
 def test_products_equal_the_whole_matrix():
     rng = np.random.default_rng(7)
     x = (rng.random((80, 12)) < 0.4).astype(float)
