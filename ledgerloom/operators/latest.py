@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.lookup import GROUP, group_values, join_values
+from ledgerloom.operators.lookup import GROUP, group_values, join_values, sent_out
 from ledgerloom.sources.tables import settled
 
 
@@ -32,11 +32,12 @@ def first_per_repeated_key(df, keys, order, settle):
     """The same as `first_per_key`, for stored tables in which few keys have several rows.
 
     Keys with several rows are found from the key columns alone and written (`settle`). Only rows of
-    these keys move; all others pass straight through as long as Spark finds the written keys small
-    enough to broadcast, and meet them in a sort-merge join otherwise.
+    these keys move; all others pass straight through as long as the written keys are small enough to
+    broadcast (`sent_out`), and meet them in a sort-merge join otherwise.
     """
     repeated = group_values(df, keys, _n=F.count(F.lit(1))).filter("_n > 1").select(*GROUP)
     repeated = settled(repeated, settle, "repeated-keys")
+    repeated = sent_out(repeated) if settle else repeated
     key = F.struct(*keys)
     copies = first_per_key(join_values(df, key, repeated, "left_semi"), keys, order)
     return join_values(df, key, repeated, "left_anti").unionByName(copies)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.tables import settled
 
+BROADCAST_BYTES = 32 << 20  # of a narrow written side that goes out whole, whatever Spark's own limit
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 KEY = "_lookup_key"
 HASH = "_lookup_hash"
 GROUP = [HASH, KEY]
@@ -50,13 +52,24 @@ def group_values(rows, keys, **aggregates):
     return keyed(rows, F.struct(*keys)).groupBy(*GROUP).agg(*aggregates)
 
 
+def sent_out(values, size=None):
+    """The settled side of a join, to be broadcast where what was written of it takes at most
+    `BROADCAST_BYTES`: the other side has whole rows, which would all move otherwise. Where broadcasts
+    are turned off it is left to Spark."""
+    if size is None:
+        size = int(str(values._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    off = values.sparkSession.conf.get(BROADCAST).startswith("-")
+    return values if off or size > BROADCAST_BYTES else F.broadcast(values)
+
+
 def with_group_values(rows, keys, settle=False, **aggregates):
     """Add aggregates over all rows with the same key to every row.
 
     Left lazy, the join disappears when nobody uses the added columns, but Spark moves all rows
     before it knows how many keys there are. With `settle` the per-key values are written to the
-    shared folder first and the join is planned from their real size: with few keys they are
-    broadcast and the rows stay where they are.
+    shared folder first and the join is planned from their real size: unless there are very many keys
+    they are broadcast (`sent_out`) and the rows stay where they are.
     """
     values = settled(group_values(rows, keys, **aggregates), settle, "group-values")
+    values = sent_out(values) if settle else values
     return join_values(rows, F.struct(*keys), values)

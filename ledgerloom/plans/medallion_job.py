@@ -2,7 +2,7 @@
 
 from ledgerloom.operators.gold import GOLD_TABLES
 from ledgerloom.operators.medallion import bronze, silver, with_audit_columns
-from ledgerloom.sources.tables import read_table, write_table, zone_path
+from ledgerloom.sources.tables import read_table, scratch, write_table, zone_path
 
 
 def run_medallion(spark, invoices, base, fmt="parquet", from_files=True):
@@ -11,7 +11,8 @@ def run_medallion(spark, invoices, base, fmt="parquet", from_files=True):
 
     Returns path and row count of every table. Each zone is written once and read back by the next
     one, so a lost executor costs at most the running stage's work and the gold tables read only the
-    silver columns they use. With few repeated ids and few vendors no zone moves whole rows.
+    silver columns they use. Unless very many ids are repeated or there are very many vendors no zone moves
+    whole rows. What the steps write beside the zones is removed.
     """
     done = {}
 
@@ -21,8 +22,9 @@ def run_medallion(spark, invoices, base, fmt="parquet", from_files=True):
         return read_table(spark, path, fmt)
 
     raw = store("landing", "raw_invoices", with_audit_columns(invoices, from_files))
-    clean = store("bronze", "invoices_bronze", bronze(raw, settle=True))
-    enriched = store("silver", "invoices_silver", silver(clean, settle=True))
+    with scratch(spark) as keep:
+        clean = store("bronze", "invoices_bronze", bronze(raw, settle=keep))
+        enriched = store("silver", "invoices_silver", silver(clean, settle=keep))
     for name, build in GOLD_TABLES.items():
         store("gold", name, build(enriched))
     return done

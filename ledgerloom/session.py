@@ -1,9 +1,12 @@
 """Session settings and the shared folder for intermediate tables."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name="ledgerloom", master=None, **conf):
     """A session with the settings the operators rely on; `conf` keys use `__` for dots."""
@@ -46,6 +49,18 @@ def delete(spark, path):
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def shuffles_removed(spark):
+    """Writes in here remove their shuffle files as soon as they end. Without it the files stay until the
+    driver happens to collect garbage, and add up over the steps of a job."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def clear_work(spark):
     """Delete what this application wrote to the shared folder. Results read from it are gone."""
     delete(spark, _work_folder(spark))

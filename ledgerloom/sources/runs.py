@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import shuffles_removed
 from ledgerloom.sources.tables import COMPACT
 
 FAN = 8
@@ -127,7 +128,8 @@ class RunTable:
             "maxRecordsPerFile": FILE_ROWS, "parquet.page.row.count.limit": PAGE_ROWS,
             "parquet.block.size": GROUP_BYTES, "compression": COMPACT,
         }
-        sorted_rows.write.options(**options).parquet(target)
+        with shuffles_removed(self.spark):
+            sorted_rows.write.options(**options).parquet(target)
         meta = F.col("_metadata")
         written = self.spark.read.schema(self.schema).parquet(target)
         found = written.groupBy(meta["file_name"].alias("name"), meta["file_size"].alias("bytes")).agg(
@@ -143,7 +145,7 @@ class RunTable:
         """Add a writer's rows under a number, in place of those it gave under the same number before;
         then merge runs where there are enough. Writers count up, and only their last number may come
         again: that run is not merged. `ranged` rows lie in partitions by ranges of the hash already and
-        stay there."""
+        stay there. Returns the rows as they were stored."""
         entry = self._write(rows, writer, number, 0, ranged)
 
         def change(runs):
@@ -151,6 +153,7 @@ class RunTable:
 
         self.manifests.commit(change)
         self._merge()
+        return self._of([entry])
 
     def _full_level(self):
         runs = self.runs()

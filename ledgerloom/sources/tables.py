@@ -5,13 +5,15 @@ once its `_SUCCESS` marker is there, so a failed write leaves the table as it wa
 own transactions (`delta`, `iceberg`) are passed through and overwritten in place.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import INVOICE
-from ledgerloom.session import work_path
+from ledgerloom.session import delete, shuffles_removed, work_path
 
-# Of what the library writes for itself to read: texts take about half the room that snappy leaves them.
+# Of the Parquet files that the library writes: texts take about half the room that snappy leaves them.
 COMPACT = "zstd"
 OWN_TRANSACTIONS = {"delta", "iceberg", "hudi"}
 
@@ -54,14 +56,17 @@ def write_table(df, path, fmt="parquet", partition_by=(), cluster_by=()):
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     counter = Observation()
     counted = df.observe(counter, F.count(F.lit(1)).alias("rows"))
-    writer = counted.write.format(fmt).partitionBy(*partition_by)
-    if fmt in OWN_TRANSACTIONS:
-        writer.mode("overwrite").option("overwriteSchema", "true").save(path)
-    else:
-        versions = _versions(spark, path)
-        version = versions[-1] + 1 if versions else 1
-        # A version without its marker is left from a failed write and may be replaced.
-        writer.mode("overwrite").save(f"{path}/v={version}")
+    writer = counted.write.format(fmt).partitionBy(*partition_by).mode("overwrite")
+    if fmt == "parquet":
+        writer = writer.option("compression", COMPACT)
+    with shuffles_removed(spark):
+        if fmt in OWN_TRANSACTIONS:
+            writer.option("overwriteSchema", "true").save(path)
+        else:
+            versions = _versions(spark, path)
+            version = versions[-1] + 1 if versions else 1
+            # A version without its marker is left from a failed write and may be replaced.
+            writer.save(f"{path}/v={version}")
     return counter.get["rows"]
 
 
@@ -90,11 +95,32 @@ def drop_old_versions(spark, path, keep=2):
 def materialize(df, name):
     """Write a result to the shared folder and read it back: a cut of the lineage that survives
     the loss of executors and keeps columns prunable."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", COMPACT).parquet(path)
+    return _written(df, work_path(df.sparkSession, name))
+
+
+def _written(df, path):
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", COMPACT).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark):
+    """Gives a function like `materialize`, fit for `settle`, whose tables are removed at the end: for
+    steps that have stored their result by then."""
+    paths = []
+
+    def keep(df, name):
+        paths.append(work_path(spark, name))
+        return _written(df, paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            delete(spark, path)
+
+
 def settled(df, settle, name):
     """The side of a join whose real size Spark should know when it plans the join.
 

@@ -160,3 +160,21 @@ def test_batch_job_counts_what_it_writes_and_can_run_again(spark):
     again = run_medallion(spark, rows.filter("user_id = 'user3'"), base)
     assert 0 < again["raw_invoices"][1] < done["raw_invoices"][1]
     assert read_table(spark, again["raw_invoices"][0]).count() == again["raw_invoices"][1]
+
+
+def test_batch_job_moves_no_whole_rows_and_leaves_only_its_zones(spark, conf):
+    """Vendors and repeated ids beyond Spark's own limit for broadcasts are sent out all the same."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark, "x")).getParent()
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    notes = [row(str(n // 2), vendor_name=f"v{n % 50}", notes=str(n)) for n in range(400)]
+    rows = materialize(invoice_rows(spark, *notes), "store")
+    conf(autoBroadcastJoinThreshold="100")
+    plan = first_plan(medallion.silver(medallion.bronze(rows, settle=True), settle=True))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+    before, kept = shuffles.size(), {s.getPath().getName() for s in files.listStatus(folder)}
+    done = run_medallion(spark, rows, work_path(spark, "zones"), from_files=False)
+    assert done["invoices_silver"][1] == 200
+    left = {s.getPath().getName().split("-")[0] for s in files.listStatus(folder) if s.getPath().getName() not in kept}
+    assert left == {"zones"} and shuffles.size() <= before
+    assert all(f.endswith(".zstd.parquet") for f in read_table(spark, done["raw_invoices"][0]).inputFiles())
