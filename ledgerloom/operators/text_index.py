@@ -24,10 +24,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import search
-from ledgerloom.operators.lookup import group_values, join_values
+from ledgerloom.operators.lookup import group_values, join_values, sent_out
 from ledgerloom.operators.search import BM25_B, BM25_K1, HIT_COLUMNS, TOP_HITS, query_words, words_of
 from ledgerloom.sources.runs import Manifests, RunTable
-from ledgerloom.sources.tables import materialize
+from ledgerloom.sources.tables import materialize, scratch
 
 BLOCK = 128
 FIRST_BLOCKS = 2  # of a word in a segment, for the lower bound
@@ -35,7 +35,7 @@ LIST_ROWS = 1 << 16  # postings of a word that one task puts into blocks
 TIE = 1e-5  # scores are compared after rounding to six decimals
 
 _HASH = "_hash"
-_ENTRY = "struct<impact:double,id:string,invoice_id:string,tf:int,length:int>"
+_ENTRY = "struct<id:string,invoice_id:string,tf:int,length:int>"
 POSTINGS = (
     f"{_HASH} long, term string, segment long, block long, n long, most int, least int, entries array<{_ENTRY}>"
 )
@@ -92,8 +92,14 @@ class TextIndex:
         that may be given again, as a stream's last one: it then takes the place of its first attempt.
         One writer at a time.
 
-        Reads and writes in proportion to the documents given, and to those that they replace.
+        Reads and writes in proportion to the documents given, and to those that they replace. The
+        documents are stored first, and their words are counted where they were stored.
         """
+        with scratch(self.spark) as keep:
+            self._put(documents, writer, number, keep)
+        self._open()
+
+    def _put(self, documents, writer, number, keep):
         self._open()
         segment = self.state["segment"] + 1
         own = (writer, segment if number is None else number)
@@ -103,13 +109,23 @@ class TextIndex:
             F.xxhash64("invoice_id").alias(_HASH), *kept,
             F.lit(segment).cast("long").alias("segment"), F.size(words).alias("_length"),
         )
-        new = materialize(new, "index-documents")
+        columns = new.columns
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+        state = {"segment": segment, "documents_schema": schema}
+
+        def store(name, schema, combine, rows):
+            table = self._table(name, schema, combine, state=None)
+            stored = table.put(rows, *own, ranged=name == "postings")
+            state[name] = table.last()
+            return stored
+
+        new = store("documents", schema, _latest, new)
         before, gone = self.documents, None
         if before is not None:
-            old = before.find(new.select(_HASH), own)
-            old = old.join(new.select("invoice_id").distinct(), "invoice_id", "left_semi")
-            gone = materialize(_latest(old).select(new.columns), "index-replaced")
+            asked = keep(new.select(_HASH, "invoice_id").distinct(), "index-asked")
+            old = before.find(sent_out(asked.select(_HASH)), own)
+            old = old.join(sent_out(asked.select("invoice_id")), "invoice_id", "left_semi")
+            gone = keep(self._current(old, own).select(columns), "index-replaced")
         one = F.count(F.lit(1)), F.coalesce(F.sum("_length"), F.lit(0))
         figures = new.agg(one[0].alias("documents"), one[1].alias("words"))
         if gone is not None:
@@ -117,20 +133,26 @@ class TextIndex:
             figures = figures.unionAll(less)
         figures = figures.withColumn(_HASH, F.lit(0).cast("long"))
         average = figures.agg(F.sum("words") / F.greatest(F.sum("documents"), F.lit(1))).first()[0]
-        postings = _blocks(_counted(new), segment, average)
-        state = {"segment": segment, "documents_schema": schema}
-        written = {"documents": (schema, _latest, new), "figures": (FIGURES, _sums, _sums(figures))}
+        store("figures", FIGURES, _sums, _sums(figures))
+        postings = _blocks(_counted_in_place(new, keep), segment, average, keep)
         if gone is not None:
-            postings = postings.unionByName(_taken_back(_counted(gone), segment))
+            postings = postings.unionByName(_taken_back(_counted_in_place(gone, keep), segment))
             dead = gone.select(_HASH, "invoice_id", F.lit(segment).cast("long").alias("segment")).distinct()
-            written["dead"] = (DEAD, self.dead.combine, dead)
-        written["postings"] = (POSTINGS, None, postings)
-        for name, (schema, combine, rows) in written.items():
-            table = self._table(name, schema, combine, state=None)
-            table.put(rows, *own, ranged=name == "postings")
-            state[name] = table.last()
+            store("dead", DEAD, self.dead.combine, dead)
+        store("postings", POSTINGS, None, postings)
         self._manifests.commit(lambda entries: [state])
-        self._open()
+
+    def _current(self, documents, without=None):
+        """Those of some documents that no later segment has replaced. Only the table of dead postings is
+        asked, which names the replaced invoices and no other; the texts stay where they are as long as it
+        can be sent out."""
+        runs = self.dead.runs()
+        if not runs:
+            return documents
+        size = sum(f["bytes"] for r in runs for f in r["files"])
+        dead = group_values(self.dead.rows(without), ["invoice_id"], _until=F.max("segment"))
+        found = join_values(documents, F.struct("invoice_id"), sent_out(dead, size))
+        return found.filter("_until is null or segment >= _until").drop("_until")
 
     # Reading ------------------------------------------------------------------------------------------
 
@@ -138,7 +160,7 @@ class TextIndex:
         """All documents that are there, with the columns they were given with."""
         if self.documents is None:
             raise FileNotFoundError(f"nothing was put into {self.path}")
-        return _latest(self.documents.rows()).drop(_HASH, "segment", "_length")
+        return self._current(self.documents.rows()).drop(_HASH, "segment", "_length")
 
     def blocks_of(self, words):
         """The blocks of some words."""
@@ -221,12 +243,43 @@ def _counted(documents):
     )
 
 
-def _blocks(counted, segment, average):
+def _counted_in_place(documents, keep):
+    """The same, but only documents that come more than once move: a text's words are sorted, and a word's
+    count is the way from its first place to the next word's."""
+    key = F.struct("id", "invoice_id", "_length")
+    twice = group_values(documents, ["id", "invoice_id", "_length"], _n=F.count(F.lit(1))).filter("_n > 1").drop("_n")
+    twice = sent_out(keep(twice, "index-twice"))
+    words, first = F.col("_words"), F.col("_first")
+    places = F.transform("_words", lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i))
+    ends = lambda n: F.coalesce(F.get(first, n + 1), F.size(words))
+    counts = F.transform("_first", lambda i, n: F.struct(F.get(words, i).alias("term"), (ends(n) - i).alias("tf")))
+    once = (
+        join_values(documents, key, twice, "left_anti")
+        .select("id", "invoice_id", F.col("_length").alias("length"),
+                F.sort_array(words_of(F.coalesce("content", F.lit("")))).alias("_words"))
+        .withColumn("_first", F.array_compact(places))
+        .select("id", "invoice_id", "length", F.inline(counts))
+    )
+    return once.unionByName(_counted(join_values(documents, key, twice, "left_semi")))
+
+
+def _frequent(counted, keep):
+    """The words that more than `LIST_ROWS` documents have, with the number of their lists. Words are
+    counted one by one only where all those with the same remainder of the hash reach that together."""
+    buckets = 4 * (counted.count() // LIST_ROWS) + 1
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_bucket")
+    full = counted.groupBy(bucket).agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > LIST_ROWS)
+    full = keep(full.select("_bucket"), "index-buckets")
+    some = counted.select("term", bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    frequent = some.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > LIST_ROWS)
+    return keep(frequent.select("term", F.ceil(F.col("df") / LIST_ROWS).alias("lists")), "index-lists")
+
+
+def _blocks(counted, segment, average, keep=materialize):
     """The blocks of a segment. The list of a word that very many documents have is cut by the documents'
     hash, so that no task orders more than about `LIST_ROWS` postings of one word."""
-    counted = materialize(counted, "index-counts")
-    frequent = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > LIST_ROWS)
-    lists = materialize(frequent.select("term", F.ceil(F.col("df") / LIST_ROWS).alias("lists")), "index-lists")
+    counted = keep(counted, "index-counts")
+    lists = sent_out(_frequent(counted, keep))
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("lists")), F.lit(0))
     rows = counted.join(lists, "term", "left").select("term", part.alias("part"), "id", "invoice_id", "tf", "length")
     # Postings move once, to the range of hashes where their blocks are written.
@@ -236,6 +289,7 @@ def _blocks(counted, segment, average):
     by_impact = Window.partitionBy(_HASH, "term", "part").orderBy(F.desc("impact"), "id")
     rows = rows.withColumn("_block", F.floor((F.row_number().over(by_impact) - 1) / BLOCK))
     entries = F.sort_array(F.collect_list(F.struct("impact", "id", "invoice_id", "tf", "length")), asc=False)
+    entries = F.transform(entries, lambda e: e.dropFields("impact"))
     return rows.groupBy(_HASH, "term", "part", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"),
         entries.alias("entries"),

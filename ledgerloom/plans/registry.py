@@ -558,22 +558,24 @@ def index_write(spark, sf_dir):
     """All documents are indexed, then every fifth order again with a text cut short."""
     path = work_path(spark, "index")
     tables.write_index(_documents(spark, sf_dir), path)
-    tables.write_index(_cut_documents(spark, sf_dir), path)
+    tables.write_index(_cut_documents(invoices(spark, sf_dir, *SEARCH_INPUT)), path)
     return tables.read_index(spark, path).withColumn("content", F.md5("content"))
 
 
-def _cut_documents(spark, sf_dir):
-    rows = invoices(spark, sf_dir, *SEARCH_INPUT)
+def _cut_documents(rows, settle=False):
     fifth = F.substring_index("id", "-", 1).cast("bigint") % 5 == 0
     again = search.cut_stored_text(rows.filter(fifth), 100)
-    return search.search_documents(again, sequence="processed_at")
+    return search.search_documents(again, sequence="processed_at", settle=settle)
 
 
 def _text_index(spark, sf_dir):
-    """All documents, then every fifth order again with a text cut short, as segments of an index."""
+    """All documents, then every fifth order again with a text cut short, as segments of an index. Both
+    come from one stored table of invoices, so that texts are not moved to find an id's latest row."""
     index = TextIndex(spark, work_path(spark, "text-index"))
-    index.put(_documents(spark, sf_dir))
-    index.put(_cut_documents(spark, sf_dir))
+    with tables.scratch(spark) as keep:
+        rows = keep(invoices(spark, sf_dir, *SEARCH_INPUT), "search-input")
+        index.put(search.search_documents(rows, sequence="processed_at", settle=keep))
+        index.put(_cut_documents(rows, settle=keep))
     return index
 
 

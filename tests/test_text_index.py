@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import search, text_index
 from ledgerloom.operators.text_index import TextIndex
 from ledgerloom.session import work_path
+from ledgerloom.sources.tables import materialize, scratch
 from tests.conftest import scanned_rows
 from tests.test_search import bm25, invoices
 
@@ -141,3 +142,54 @@ def test_postings_move_once(spark, monkeypatch):
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
     assert {r["term"]: r["n"] for r in blocks.collect()}["common"] == 40
+
+
+def test_words_are_counted_in_place_and_documents_given_twice_together(spark):
+    rows = [("a:0", "a", 3, "x y x"), ("a:1", "a", 2, "Y y"), ("b:0", "b", 3, "x y x"), ("b:0", "b", 3, "x z, x"),
+            ("b:0", "b", 1, "x"), ("c:0", "c", 0, None), ("d:0", "d", 0, " "), ("c:0", "c", 0, "")]
+    documents = materialize(spark.createDataFrame(rows, "id string, invoice_id string, _length int, content string"), "d")
+    whole = sorted(text_index._counted(documents).collect())
+    with scratch(spark) as keep:
+        counted = text_index._counted_in_place(documents, keep)
+        assert counted.columns == ["id", "invoice_id", "length", "term", "tf"]
+        assert sorted(counted.collect()) == whole
+    assert ("b:0", "b", 3, "x", 4) in [tuple(r) for r in whole] and len(whole) == 7
+
+
+def test_frequent_words_are_those_of_the_whole_count(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "LIST_ROWS", 20)
+    counted = spark.range(2000).select(
+        F.when(F.col("id") < 300, F.pmod("id", F.lit(3)))
+        .when(F.col("id") < 420, F.pmod("id", F.lit(6)) + 10).otherwise(F.col("id")).cast("string").alias("term")
+    )
+    with scratch(spark) as keep:
+        found = {tuple(r) for r in text_index._frequent(counted, keep).collect()}
+    assert found == {(str(t), 5) for t in range(3)}  # those of 20 documents are not among them
+
+
+def test_texts_stay_where_they_are_and_nothing_is_left(spark, index, conf):
+    """Replaced documents are found from the narrow table of dead postings, whatever Spark's limit for
+    broadcasts, and what a put writes beside the index is removed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark, "x")).getParent()
+    files = index._manifests.files
+    names = lambda: {s.getPath().getName() for s in files.listStatus(folder)} if files.exists(folder) else set()
+    before = names()
+    conf(autoBroadcastJoinThreshold="100")
+    index.put(documents(spark, texts_of(6, 40)))
+    index.put(documents(spark, texts_of(7, 10), 5), "stream", 1)
+    index.put(documents(spark, texts_of(8, 10), 10))
+    index.put(documents(spark, texts_of(9, 8), 5), "stream", 1)
+    shown = index.rows()
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    latest = text_index._latest(index.documents.rows()).select(shown.columns)
+    assert sorted(shown.collect()) == sorted(latest.collect()) and shown.count() == 40
+    assert names() - before <= {index.path.split("/")[-1]}
+
+
+def test_blocks_hold_no_weights(spark, index):
+    """A block's entries are in the order of their weights; only what a score is made of is stored."""
+    index.put(documents(spark, ["paper", "toner paper paper", "paper paper"]))
+    (block,) = index.blocks_of(["paper"]).collect()
+    assert set(block["entries"][0].asDict()) == {"id", "invoice_id", "tf", "length"}
+    assert [e["id"] for e in block["entries"]] == ["i2:0", "i0:0", "i1:0"]
